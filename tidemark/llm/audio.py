@@ -32,7 +32,7 @@ FEATURE_SCHEMA = "n_frames int, patches binary, spans array<struct<start_ms: int
 
 @dataclass(frozen=True)
 class AudioSpec:
-    """Rates in Hz, lengths in samples of the resampled signal, energies in dB of full scale."""
+    """Rates in Hz, lengths in samples of the resampled signal, thresholds in dB over the medium's mean frame."""
 
     rate: int = 16_000
     up: int = 3
@@ -42,9 +42,9 @@ class AudioSpec:
     hop: int = 144
     n_mels: int = 40
     patch_frames: int = 16
-    on_db: float = -9.0
-    off_db: float = -12.0
-    least_frames: int = 3
+    on_db: float = 0.5
+    off_db: float = 0.1
+    least_frames: int = 2
     block: int = 4_096
 
     @property
@@ -124,9 +124,10 @@ def log_mel(y: np.ndarray, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray]:
 
 def active_spans(energy: np.ndarray, spec: AudioSpec) -> list[tuple[int, int]]:
     """Frame spans that begin at ``on_db``, last while at ``off_db`` or more, and have ``least_frames``."""
-    edges = np.diff(np.concatenate([[0], (energy >= spec.off_db).astype(np.int8), [0]]))
+    level = energy.mean() if len(energy) else 0.0
+    edges = np.diff(np.concatenate([[0], (energy >= level + spec.off_db).astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    loud = np.concatenate([[0], np.cumsum(energy >= spec.on_db)])
+    loud = np.concatenate([[0], np.cumsum(energy >= level + spec.on_db)])
     on = np.searchsorted(loud, loud[starts] + 1) - 1  # the first loud frame of each run
     return [(int(s), int(e)) for s, e in zip(on, ends) if s < e and e - s >= spec.least_frames]
 

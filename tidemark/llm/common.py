@@ -155,4 +155,7 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     """The slices ``values[s : s + n]``, one after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    return values[at]

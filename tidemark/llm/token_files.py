@@ -80,7 +80,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends in them."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > MEMO_ENTRIES // 2:
             self.memo = {"": b""}
         words, numbers, ends = split_words(self._prepared(texts))
         memo = self.memo
@@ -102,7 +102,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
 
     def encode(batches):
         encoder, shard, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in text_batches(batches, 16 << 20):
+        for b in text_batches(batches, 6 << 20):
             ids, ends = encoder.encode(whole_texts(b.column("text")))
             values = pa.array(np.insert(ids, ends[1:], end_id).view(np.int32))
             offsets = ends + np.arange(len(ends))
