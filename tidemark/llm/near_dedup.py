@@ -18,7 +18,7 @@ probability above 0.99999.
 
 Defined cases: a null text and one without words have the empty set and link with
 nothing, fewer words than a shingle form one shingle; rows with a null doc_id are
-dropped; rows that repeat a doc_id give one result, of the smallest text; an empty table
+dropped; rows that repeat a doc_id give one result, of one of their texts; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -44,6 +44,7 @@ class NearSpec:
     rows: int = 8
     near: int = 50
     chunk: int = 400
+    chunk_shingles: int = 400_000
     seed: int = 11
 
     @property
@@ -94,10 +95,10 @@ class Shingler:
             if b - a >= k:
                 out.append(np.unique(run[a : b - k + 1]))
             elif b > a:
-                short = np.uint64(b - a)
+                short = np.array([b - a], np.uint64)
                 for h in hashes[a:b]:
-                    short = mix(np.array([short * np.uint64(0x9E3779B97F4A7C15 + 2) + h], np.uint64))[0]
-                out.append(np.array([short], np.uint64))
+                    short = mix(short * np.uint64(0xD1B54A32D192ED03) + h)
+                out.append(short)
             else:
                 out.append(np.empty(0, np.uint64))
         return out
@@ -129,20 +130,22 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _signed_pair(digest: int) -> tuple[int, int]:
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
 def fingerprints(docs: DataFrame, spec: NearSpec) -> DataFrame:
     """doc_id, n (size of its set), hi and lo (128-bit hash of the set), bands (bucket keys, none for the empty set)."""
     import xxhash
 
     def make():
         shingler = Shingler(spec)
-        signed = lambda x: x - (1 << 63)
-
         def one(b):
             sets = shingler.sets(whole_texts(b.column("text")))
-            digest = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
+            pairs = [_signed_pair(xxhash.xxh3_128_intdigest(s.tobytes())) for s in sets]
             keys = [band_keys(s, spec) if len(s) else np.empty(0, np.uint64) for s in sets]
             return pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(d >> 64) for d in digest], pa.int64()), pa.array([signed(d & (1 << 64) - 1) for d in digest], pa.int64()), _longs(keys)],
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hi for hi, _ in pairs], pa.int64()), pa.array([lo for _, lo in pairs], pa.int64()), _longs(keys)],
                 names=["doc_id", "n", "hi", "lo", "bands"],
             )
 
@@ -152,19 +155,23 @@ def fingerprints(docs: DataFrame, spec: NearSpec) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
-    """id, n, shingles of the documents named in ``ids`` (id)."""
+    """id, n, shingles of the documents named in ``ids`` (id, hi, lo), those rows whose set it is."""
+    import xxhash
 
     def make():
         shingler = Shingler(spec)
 
         def one(b):
             sets = shingler.sets(whole_texts(b.column("text")))
+            wanted = zip(b.column("hi").to_pylist(), b.column("lo").to_pylist())
+            same = [_signed_pair(xxhash.xxh3_128_intdigest(s.tobytes())) == w for s, w in zip(sets, wanted)]
+            b, sets = b.filter(pa.array(same, pa.bool_())), [s for s, x in zip(sets, same) if x]
             return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), _longs(sets)], names=["id", "n", "shingles"])
 
         return one
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return arrow_map(wanted, ["doc_id", "text"], make, "id long, n long, shingles array<long>")
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id"), "hi", "lo"), "doc_id")
+    return arrow_map(wanted, ["doc_id", "text", "hi", "lo"], make, "id long, n long, shingles array<long>")
 
 
 def star_edges(classes: DataFrame, spec: NearSpec) -> DataFrame:
@@ -226,16 +233,17 @@ def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFr
     # size classes: the powers of the size ratio a link allows, so a link spans two neighbours at most
     ratio = 100 / spec.percent
     sized = kept.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9))
-    groups = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("own"))
-    groups = groups.withColumn("chunks", F.ceil(F.col("own") / spec.chunk))
+    groups = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"))
+    groups = groups.withColumn("chunks", F.greatest(F.ceil(F.col("own") / spec.chunk), F.ceil(F.col("shingles") / spec.chunk_shingles)))
     placed = sized.join(groups.select("cluster", "size_class", "chunks"), ["cluster", "size_class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     near = groups.select("cluster", (F.col("size_class") + 1).alias("size_class"), F.col("chunks").alias("below"))
     over = groups.select("cluster", (F.col("size_class") - 1).alias("size_class"), F.col("chunks").alias("above"))
     placed = placed.join(near, ["cluster", "size_class"], "left").join(over, ["cluster", "size_class"], "left")
     cell = lambda s1, c1, s2, c2: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"))
     s, c = F.col("size_class"), F.col("chunk")
+    own_type = "array<struct<s1: bigint, c1: bigint, s2: bigint, c2: bigint>>"
     own = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: cell(s, F.least(c, o), s, F.greatest(c, o)))
-    none = F.array().cast(own_type := "array<struct<s1: bigint, c1: bigint, s2: bigint, c2: bigint>>")
+    none = F.expr(f"cast(array() as {own_type})")
     below = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda o: cell(s - 1, o, s, c))).otherwise(none)
     above = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda o: cell(s, c, s + 1, o))).otherwise(none)
     meetings = placed.select("cluster", "id", "comp", F.explode(F.array_distinct(F.concat(own.cast(own_type), below, above))).alias("cell"))
@@ -286,13 +294,15 @@ def forest(flat: np.ndarray, sizes: np.ndarray, comp: np.ndarray, percent: int)
 
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
-    docs = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if spec is None else docs
     prints = stored(fingerprints(docs, spec), "fingerprints")
-    named = prints.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))  # an empty set is a class of its own
+    again = prints.groupBy("doc_id").agg(F.count("*").alias("times"), F.min(F.struct("hi", "lo")).alias("only")).where("times > 1").select("doc_id", "only")
+    single = prints.join(again, "doc_id", "left").where("only is null or (only.hi = hi and only.lo = lo)").drop("only")
+    named = single.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))  # an empty set is a class of its own
     classes = named.groupBy("hi", "lo", "own").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
     edges = stored(star_edges(classes, spec), "candidates")
-    sets = stored(full_sets(docs, edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), spec), "sets")
+    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    sets = stored(full_sets(docs, classes.select("id", "hi", "lo").join(ids, "id", "left_semi"), spec), "sets")
     checked = stored(confirm(edges, sets, spec), "checked")
     comp = components(checked.where(_reaches(spec.percent)))
     cluster = components(checked.where(_reaches(spec.near)))
@@ -308,4 +318,4 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     reached = classes.join(comp.withColumnRenamed("comp", "reached"), "id", "left").select("hi", "lo", F.col("own").alias("empty_id"), F.coalesce("reached", "id").alias("component_id"))
     full = named.where("n > 0").join(reached.where("empty_id is null").drop("empty_id"), ["hi", "lo"]).select("doc_id", "n", "component_id")
     empty = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return full.unionByName(empty).distinct().select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

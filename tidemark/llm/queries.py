@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, html_text, line_dedup, quality, token_files, toxicity, vector_search
+from . import audio, byte_bpe, html_text, line_dedup, near_dedup, quality, token_files, toxicity, vector_search
 from .common import fold_expr, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,6 +70,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.NearSpec(words=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality": op6_quality,
         "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
