@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, html_text, line_dedup, near_dedup, quality, token_files, toxicity, vector_search
+from . import audio, byte_bpe, html_text, line_dedup, mixing, near_dedup, quality, token_files, toxicity, vector_search
 from .common import fold_expr, table
 
+PATTERN = public_tokenizers.PATTERN
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,8 +24,8 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return bpe_digest(byte_bpe.decode(ids, RANKS, public_tokenizers.PATTERN))
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    return bpe_digest(byte_bpe.decode(ids, RANKS, PATTERN))
 
 
 def bpe_digest(decoded: DataFrame) -> DataFrame:
@@ -59,6 +60,17 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold == 1).alias("held_out"), "score", "predicted")
 
 
+#: Shares of tokens by domain that op7 aims at.
+TARGET_WEIGHTS = {"good": 0.9, "poor": 0.1}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGET_WEIGHTS)
+    shares = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(mixing.DOMAINS)]
+    return mixed.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_text.main_text(pages, html_text.learn(pages))
@@ -82,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_vector_search": op4_vector_search,
         "op5_toxicity": op5_toxicity,
         "op6_quality": op6_quality,
+        "op7_mixing": op7_mixing,
         "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dedup": op10_near_dedup,
