@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         ends = comp.select(F.col("id"), F.col("comp"))
         joined = more.join(ends.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a", "left").join(ends.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b", "left")
         merged = components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-        alone = merged.join(comp.select("comp").distinct(), merged["id"] == F.col("comp"), "left_anti").select("id", "comp")
+        alone = merged.join(comp.select(F.col("comp").alias("id")).distinct(), "id", "left_anti")
         comp = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")).unionByName(alone)
     reached = classes.join(comp.withColumnRenamed("comp", "reached"), "id", "left").select("hi", "lo", F.col("own").alias("empty_id"), F.coalesce("reached", "id").alias("component_id"))
     full = named.where("n > 0").join(reached.where("empty_id is null").drop("empty_id"), ["hi", "lo"]).select("doc_id", "n", "component_id")
