@@ -15,6 +15,7 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -39,6 +40,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,8 +82,6 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends in them."""
-        if len(self.memo) > MEMO_ENTRIES // 2:
-            self.memo = {"": b""}
         words, numbers, ends = split_words(self._prepared(texts))
         memo = self.memo
         found = list(map(memo.get, words))
@@ -91,6 +91,8 @@ class WordEncoder:
         for c in cut:  # a letter and a stop are always apart
             memo[c] = memo[c[:-1]] + memo[c[-1]]
         found = [memo[w] if f is None else f for w, f in zip(words, found)]
+        if len(memo) > MEMO_ENTRIES // 3:  # the words of this batch are the likeliest in the next
+            self.memo = dict(zip(words, found)) | {"": b""}
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = gather(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
         return ids, np.concatenate([[0], np.cumsum(sizes[numbers])])[ends]
@@ -102,7 +104,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
 
     def encode(batches):
         encoder, shard, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        for b in text_batches(batches, 6 << 20):
+        for b in text_batches(batches, 8 << 20):
             ids, ends = encoder.encode(whole_texts(b.column("text")))
             values = pa.array(np.insert(ids, ends[1:], end_id).view(np.int32))
             offsets = ends + np.arange(len(ends))
