@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import Memo, arrow_map, label_sample, labelled_texts, split_words, whole_texts
-from .subwords import feature_rows, sums, word_features
+from .common import arrow_map, label_sample, labelled_texts, split_words, whole_texts
+from .subwords import fill, sums, word_features
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,9 @@ class EmbeddingModel:
 def _documents(texts: pa.Array, spec: EmbeddingSpec):
     """Each document's distinct features with their shares."""
     words, numbers, ends = split_words(texts, None)
-    rows, row_ends = feature_rows(words, lambda w: word_features(w, spec.low, spec.high, spec.buckets))
+    owner, rows, _ = word_features(words, spec.low, spec.high, spec.buckets)
+    rows = rows[np.argsort(owner, kind="stable")]
+    row_ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
     out = []
     for a, b in zip(ends[:-1], ends[1:]):
         own = numbers[a:b]
@@ -114,14 +116,15 @@ class Scorer:
         self.logits = model.vectors.astype(np.float64) @ (model.out[:, 1] - model.out[:, 0])
         self.bias = float(model.bias[1] - model.bias[0])
         self.same = self.logits[spec.buckets]
-        self.spec, self.memo = spec, Memo(self._word)
+        self.spec, self.memo = spec, {}
 
-    def _word(self, word: str) -> tuple[float, int]:
-        found = word_features(word, self.spec.low, self.spec.high, self.spec.buckets)
-        return float(self.logits[found].sum()), len(found)
+    def _words(self, words: list[str]) -> list[tuple[float, float]]:
+        owner, bucket, _ = word_features(words, self.spec.low, self.spec.high, self.spec.buckets)
+        return list(zip(np.bincount(owner, self.logits[bucket], len(words)).tolist(), np.bincount(owner, minlength=len(words)).tolist()))
 
     def documents(self, texts: pa.Array) -> np.ndarray:
         words, numbers, ends = split_words(texts, None)
+        fill(self.memo, words, self._words)
         parts = np.array([self.memo[w] for w in words]).reshape(-1, 2)[numbers]
         same = np.zeros(len(numbers))
         same[1:] = numbers[1:] == numbers[:-1]

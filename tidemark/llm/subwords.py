@@ -1,29 +1,56 @@
-"""Hashed features of words: the word itself and its character n-grams."""
+"""Hashed features of words: the word itself and its character n-grams, all words at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
+from .common import MEMO_ENTRIES
 
-def word_features(word: str, low: int, high: int, buckets: int) -> list[int]:
-    """Buckets of ``<word>`` and of its n-grams of ``low`` to ``high`` characters, boundaries marked.
 
-    Of a word longer than 64 characters the n-grams are those of its distinct pieces, each once.
-    """
-    import xxhash
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-    marked = f"<{word}>"
-    grams = [marked] + [marked[i : i + n] for n in range(low, high + 1) for i in range(len(marked) - n + 1)]
-    if len(word) > 64:
-        grams = list(dict.fromkeys(grams))
-    return [xxhash.xxh3_64_intdigest(g.encode()) % buckets for g in grams]
 
+def word_features(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner (the word's number), bucket, and whether it is the whole word, of every feature.
 
-def feature_rows(words: list[str], features) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all words one after the other, and each word's end."""
-    rows = [features(w) for w in words]
-    ends = np.cumsum([0, *map(len, rows)])
-    return np.fromiter((f for r in rows for f in r), np.int64, int(ends[-1])), ends
+    An n-gram has ``low`` to ``high`` characters of ``<word>``; an empty word has no feature.
+    """
+    n = len(words)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    marked = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum(sizes + 2)
+    owner = np.repeat(np.arange(n), sizes + 2)
+    left = ends[owner] - np.arange(len(marked))  # characters from here to the word's end
+    plain = sizes[owner] > 0
+    # the whole word: a sum of its characters mixed with their places
+    place = _mix(marked * np.uint64(0x9E3779B97F4A7C15) + (sizes[owner] + 2 - left).astype(np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place, dtype=np.uint64)])
+    whole = _mix(total[ends] - total[ends - sizes - 2] + np.uint64(1))
+    has = np.flatnonzero(sizes > 0)
+    owners, keys = [has], [whole[has]]
+    h = np.zeros(len(marked), np.uint64)
+    for k in range(min(high, len(h))):
+        h[: len(h) - k] = _mix(h[: len(h) - k] * np.uint64(0x100000001B3) + marked[k:] + np.uint64(1))
+        if k + 1 >= low:
+            at = np.flatnonzero((left > k) & plain)
+            owners.append(owner[at])
+            keys.append(h[at] + np.uint64(k))
+    first = np.zeros(sum(map(len, keys)), bool)
+    first[: len(has)] = True
+    return np.concatenate(owners), (_mix(np.concatenate(keys)) % np.uint64(buckets)).astype(np.int64), first
+
+
+def fill(memo: dict, words: list[str], make: Callable[[list[str]], list]) -> None:
+    """Adds what ``make`` gives for the words ``memo`` lacks; starts it afresh when it is full."""
+    if len(memo) > MEMO_ENTRIES // 2:
+        memo.clear()
+    new = [w for w in words if w not in memo]
+    if new:
+        memo.update(zip(new, make(new)))
 
 
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, label_sample, labelled_texts, split_words, whole_texts
-from .subwords import feature_rows, sums, word_features
+from .common import arrow_map, label_sample, labelled_texts, split_words, whole_texts
+from .subwords import fill, sums, word_features
 
 STOPS = (".", "!", "?")
 WORD = re.compile(r"\n|[^\x20\x09-\x0D]+")
@@ -58,17 +58,11 @@ def _words(texts: pa.Array):
     return split_words(pc.replace_substring(texts, "\n", " . "), None)
 
 
-def _features(token: str, spec: MilSpec) -> list[int]:
-    word = token.strip(EDGES).lower()
-    return word_features(word, spec.low, spec.high, spec.buckets) if word else []
-
-
-def _scales(sizes: np.ndarray) -> np.ndarray:
-    """Of the features of words: the whole word counts in full, its n-grams by the root of their number."""
-    firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
-    out = np.repeat(1 / np.sqrt(np.maximum(1, sizes - 1)), sizes)
-    out[firsts] = 1
-    return out
+def _features(tokens: list[str], spec: MilSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, bucket and share of each feature: a whole word counts in full, its n-grams by the root of their number."""
+    owner, bucket, whole = word_features([t.strip(EDGES).lower() for t in tokens], spec.low, spec.high, spec.buckets)
+    size = np.bincount(owner, minlength=len(tokens))
+    return owner, bucket, np.where(whole, 1.0, 1 / np.sqrt(np.maximum(1, size - 1))[owner])
 
 
 def _distinct(numbers: np.ndarray, sentence_ends: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +102,7 @@ def fit(texts: list[str], labels: list[int], spec: MilSpec = MilSpec()) -> MilMo
     if not len(y) or y.all() or not y.any():
         return MilModel(spec, weights.astype(np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     words, numbers, ends = _words(pa.array(texts, pa.large_string()))
-    rows, row_ends = feature_rows(words, lambda w: _features(w, spec))
-    scale = _scales(np.diff(row_ends))
-    row_of = np.repeat(np.arange(len(words)), np.diff(row_ends))
+    row_of, rows, scale = _features(words, spec)
     sentence_ends, doc_ends = _sentences(numbers, ends, np.array([w.endswith(STOPS) for w in words], bool))
     numbers, sentence_of = _distinct(numbers, sentence_ends, len(words))
     doc_of = np.repeat(np.arange(len(y)), np.diff(doc_ends))
@@ -134,14 +126,15 @@ def fit(texts: list[str], labels: list[int], spec: MilSpec = MilSpec()) -> MilMo
 class Scorer:
     def __init__(self, model: MilModel):
         self.model = model
-        self.memo = Memo(self._word)
+        self.memo: dict[str, float] = {}
 
-    def _word(self, token: str) -> float:
-        found = _features(token, self.model.spec)
-        return float(self.model.weights[found] @ _scales(np.array([len(found)])))
+    def _words(self, tokens: list[str]) -> list[float]:
+        owner, bucket, share = _features(tokens, self.model.spec)
+        return np.bincount(owner, self.model.weights[bucket] * share, len(tokens)).tolist()
 
     def documents(self, texts: pa.Array) -> np.ndarray:
         words, numbers, ends = _words(texts)
+        fill(self.memo, words, self._words)
         score = np.array([self.memo[w] for w in words])
         stops = np.array([w.endswith(STOPS) for w in words], bool)
         sentence_ends, doc_ends = _sentences(numbers, ends, stops)
@@ -151,6 +144,7 @@ class Scorer:
 
     def offending(self, text: str, least: float) -> list[dict]:
         """Start, end (characters) and score of each sentence at ``least`` or more."""
+        fill(self.memo, list(dict.fromkeys(m[0] for m in WORD.finditer(text))), self._words)
         out, start, end, seen = [], None, 0, set()
 
         def close():
