@@ -1,9 +1,556 @@
-"""Queries of the time-series operators and their SQL."""
+"""Queries of the time-series operators over the driver's tables, and their SQL.
 
+``events`` stand for readings: user_id is the device, ``value`` and the number ``k`` of
+``props`` are metrics. Sums are exact decimals on both sides, so any order gives the same.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import codec
+from .functions.durations import Duration
+from .functions.monoid import Metric
+from .functions.timeaxis import bin_end, epoch_ms, floor_bin, period_label
+from .operators import analytics, ingest, joins, registry, rollup, series
+from .plans import query as range_query
+from .plans.pyramid import DEFAULT_TIERS, default_pyramid
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+VALUE = Metric("value", "value", scale=2)
+K = Metric("k", "k", scale=0)
+PYRAMID = default_pyramid([{"name": "value", "scale": 2}])
+DAY = 86_400_000
+GENESIS, NOW = 1_704_067_200_000, 1_718_409_600_000  # 2024-01-01, 2024-06-15
+START, END = GENESIS + 4 * DAY, GENESIS + 11 * DAY
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql is not None:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = load(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return e.select(F.col("user_id").alias("device_id"), F.col("ts").alias("timestamp"), epoch_ms("ts").alias("ms"), "value", k.alias("k"), "event_type", "event_id")
+
+
+READINGS = """readings AS (
+  SELECT user_id AS device_id, ts AS timestamp, epoch_us(ts) // 1000 AS ms, value, event_type, event_id,
+         TRY_CAST(regexp_extract(props, '"k":\\s*(-?[0-9]+)', 1) AS BIGINT) AS k FROM events)"""
+V, VV = "CAST(value AS DECIMAL(18,2))", "CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2))"
+STATE = f"count(value) AS value_n, coalesce(sum({V})::DOUBLE, 0) AS value_sum, coalesce(sum({VV})::DOUBLE, 0) AS value_sumsq"
+
+
+def fixed(width: int, ms: str = "ms") -> str:
+    return f"({ms} - (({ms} % {width}) + {width}) % {width})"
+
+
+def tier_sql(width: int, where: str = "TRUE") -> str:
+    return f"SELECT device_id, {fixed(width)} AS ts, {STATE} FROM readings WHERE {where} GROUP BY 1, 2"
+
+
+# Tiers ---------------------------------------------------------------------------------
+
+
+def _tier_query(tier: str) -> Query:
+    return lambda spark, sf: range_query.build_tiers(PYRAMID, readings(spark, sf))[tier]
+
+
+for _t in DEFAULT_TIERS:
+    query(f"WITH {READINGS} {tier_sql(Duration.of(_t['bin']).ms)}", f"tier_{_t['name']}")(_tier_query(_t["name"]))
+
+
+@query(f"WITH {READINGS} {tier_sql(DAY)}")
+def tier_direct_d1(spark, sf):
+    return rollup.aggregate_raw(readings(spark, sf), "1d", [VALUE])
+
+
+FINAL = "value_n, CASE WHEN value_n > 0 THEN value_sum / value_n END AS value_mean, CASE WHEN value_n > 0 THEN sqrt(greatest(0.0, value_sumsq / value_n - (value_sum / value_n) * (value_sum / value_n))) END AS value_stddev"
+
+
+@query(f"WITH {READINGS}, t AS ({tier_sql(DAY)}) SELECT device_id, ts, {FINAL} FROM t")
+def tier_mean_stddev(spark, sf):
+    return rollup.finalize(rollup.aggregate_raw(readings(spark, sf), "1d", [VALUE]), [VALUE])
+
+
+@query(f"""WITH {READINGS} SELECT device_id, {fixed(7_200_000)} AS ts, {STATE}, count(k) AS k_n, coalesce(sum(k)::DOUBLE, 0) AS k_sum,
+  coalesce(sum(k * k)::DOUBLE, 0) AS k_sumsq FROM readings GROUP BY 1, 2""")
+def tier_multi_metric_json(spark, sf):
+    return rollup.aggregate_raw(readings(spark, sf), "2h", [VALUE, K])
+
+
+@query(f"WITH {READINGS} SELECT event_type, {fixed(21_600_000)} AS ts, {STATE} FROM readings GROUP BY 1, 2")
+def tier_by_event_type(spark, sf):
+    return rollup.aggregate_raw(readings(spark, sf), "6h", [VALUE], dims=["event_type"])
+
+
+PRICE = Metric("price", "o_totalprice", scale=2)
+
+
+def _orders(bin_: str) -> Query:
+    return lambda spark, sf: rollup.aggregate_raw(load(spark, sf, "orders"), bin_, [PRICE], dims=["o_orderstatus"], time="o_orderdate")
+
+
+for _name, _bin, _trunc in (("tier_month", "1mo", "month"), ("tier_quarter", "3mo", "quarter"), ("tier_year", "1y", "year")):
+    _p = "CAST(o_totalprice AS DECIMAL(18,2))"
+    query(f"SELECT o_orderstatus, epoch_ms(date_trunc('{_trunc}', o_orderdate)::TIMESTAMP) AS ts, count(o_totalprice) AS price_n, sum({_p})::DOUBLE AS price_sum, sum({_p} * {_p})::DOUBLE AS price_sumsq FROM orders GROUP BY 1, 2", _name)(_orders(_bin))
+
+LINE = [Metric(m, f"l_{c}", scale=2) for m, c in (("quantity", "quantity"), ("price", "extendedprice"), ("discount", "discount"), ("tax", "tax"))]
+_line = ", ".join(f"count(l_{c}) AS {m}_n, sum(CAST(l_{c} AS DECIMAL(18,2)))::DOUBLE AS {m}_sum, sum(CAST(l_{c} AS DECIMAL(18,2)) * CAST(l_{c} AS DECIMAL(18,2)))::DOUBLE AS {m}_sumsq" for m, c in (("quantity", "quantity"), ("price", "extendedprice"), ("discount", "discount"), ("tax", "tax")))
+
+
+@query(f"SELECT l_returnflag, l_linestatus, {fixed(32 * DAY, 'epoch_ms(l_shipdate)')} AS ts, {_line} FROM lineitem GROUP BY 1, 2, 3")
+def tier_lineitem_32d(spark, sf):
+    return rollup.aggregate_raw(load(spark, sf, "lineitem"), "32d", LINE, dims=["l_returnflag", "l_linestatus"], time="l_shipdate")
+
+
+@query(f"WITH {READINGS} SELECT {fixed(DAY)} AS ts, count(DISTINCT device_id) AS devices FROM readings GROUP BY 1")
+def tier_distinct_exact(spark, sf):
+    return readings(spark, sf).groupBy(floor_bin(F.col("ms"), "1d").alias("ts")).agg(F.count_distinct("device_id").alias("devices"))
+
+
+@query()
+def tier_hll(spark, sf):
+    """Distinct event ids a device and day by sketch; approximate, so no SQL."""
+    m = Metric("event", "event_id", "hll")
+    day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", [m]), "6h", "1d", [m])
+    return day.select("device_id", "ts", F.hll_sketch_estimate("event_hll").alias("events"))
+
+
+# Range queries ---------------------------------------------------------------------------
+
+
+def _budget(budget: int, smooth=None, mode="centered") -> Query:
+    def run(spark, sf):
+        tiers = range_query.build_tiers(PYRAMID, readings(spark, sf))
+        plan = range_query.plan_query(PYRAMID, START, END, budget, {}, smooth, mode)
+        return range_query.execute(plan, PYRAMID, tiers, START, END)
+
+    return run
+
+
+for _budget_bins in (10, 50, 200, 1000, 50_000):
+    _w = PYRAMID.tier(range_query.choose_tier(PYRAMID, END - START, _budget_bins)).bin.ms
+    query(f"WITH {READINGS}, t AS ({tier_sql(_w)}) SELECT * FROM t WHERE ts >= {START // _w * _w} AND ts < {END}", f"plan_budget_{_budget_bins}")(_budget(_budget_bins))
+
+
+@query(f"WITH {READINGS}, t AS ({tier_sql(21_600_000)}) SELECT * FROM t WHERE ts >= {START} AND ts < {END}")
+def splice_tail(spark, sf):
+    """The 6 h tier is fresh to the middle of the range; the rest comes from the 2 h tier."""
+    tiers = range_query.build_tiers(PYRAMID, readings(spark, sf))
+    cut = START + 3 * DAY + 5_000_000
+    held = tiers | {"h6": tiers["h6"].where(F.col("ts") + 21_600_000 <= cut)}
+    plan = range_query.plan_query(PYRAMID, START, END, 30, {"h6": cut})
+    return range_query.execute(plan, PYRAMID, held, START, END)
+
+
+def smooth_sql(width: int, before: int, after: int) -> str:
+    parts = ", ".join(f"sum(value_{s}) OVER w AS value_smooth_{s}" for s in ("sum", "sumsq"))
+    lo, hi = START // width * width, -(-END // width) * width
+    return f"""WITH {READINGS}, t AS ({tier_sql(width)}), r AS (SELECT * FROM t WHERE ts >= {lo - before} AND ts < {hi + after}),
+s AS (SELECT *, CAST(sum(value_n) OVER w AS BIGINT) AS value_smooth_n, {parts} FROM r
+ WINDOW w AS (PARTITION BY device_id ORDER BY ts RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING))
+SELECT device_id, ts, value_n, round(value_sum, 4) AS value_sum, round(value_sumsq, 4) AS value_sumsq, value_smooth_n, round(value_smooth_sum, 4) AS value_smooth_sum,
+ round(value_smooth_sumsq, 4) AS value_smooth_sumsq FROM s WHERE ts >= {lo} AND ts < {END}"""
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+@query(smooth_sql(7_200_000, 14_400_000, 14_400_000))
+def smooth_centered(spark, sf):
+    return _rounded(_budget(100, "10h")(spark, sf))
+
+
+@query(smooth_sql(7_200_000, 36_000_000, 0))
+def smooth_trailing(spark, sf):
+    return _rounded(_budget(100, "12h", "trailing")(spark, sf))
+
+
+@query(f"""WITH {READINGS} SELECT device_id, event_id, ms, count(value) OVER w AS n, round(sum(value) OVER w, 4) AS total FROM readings
+ WINDOW w AS (PARTITION BY device_id ORDER BY ms RANGE BETWEEN 1800000 PRECEDING AND 1800000 FOLLOWING)""")
+def rolling_raw_1h(spark, sf):
+    v = F.col("value").cast("decimal(18,2)")
+    rows = readings(spark, sf).select("device_id", "event_id", "ms", v.alias("v"))
+    out = series.moving_sums(rows, "ms", ["device_id"], {"n": F.lit(1), "total": F.col("v")}, 1_800_000, 1_800_000)
+    return out.select("device_id", "event_id", "ms", F.col("n").cast("long").alias("n"), F.round(F.col("total").cast("double"), 4).alias("total"))
+
+
+@query(f"WITH {READINGS}, t AS ({tier_sql(60_000)}) SELECT * FROM t WHERE ts >= {START} AND ts < {END} AND device_id IN (3, 7, 11)")
+def pruned_scan(spark, sf):
+    tier = rollup.aggregate_raw(readings(spark, sf).where(F.col("device_id").isin(3, 7, 11)), "1min", [VALUE])
+    return tier.where(ingest.half_open(F.col("ts"), START, END))
+
+
+# Reports ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {READINGS} SELECT device_id, count(*) AS records, min(ms) AS earliest, max(ms) AS latest, CASE WHEN count(*) > 1 THEN ((epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6) / (count(*) - 1) END AS mean_interval FROM readings GROUP BY 1")
+def data_info(spark, sf):
+    out = analytics.info(readings(spark, sf), keys=["device_id"])
+    return out.select("device_id", "records", epoch_ms("earliest").alias("earliest"), epoch_ms("latest").alias("latest"), "mean_interval")
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS records, epoch_ms(min(o_orderdate)) AS earliest, epoch_ms(max(o_orderdate)) AS latest FROM orders GROUP BY 1")
+def data_info_monthly(spark, sf):
+    out = analytics.monthly(load(spark, sf, "orders"), "o_orderdate")
+    return out.select("month", "records", epoch_ms("earliest").alias("earliest"), epoch_ms("latest").alias("latest"))
+
+
+@query("SELECT CAST(strftime(ts, '%Y-%m-%d') AS VARCHAR) AS day, count(*) AS records FROM events GROUP BY 1")
+def data_hist(spark, sf):
+    return analytics.daily(readings(spark, sf)).select(F.col("day").cast("string").alias("day"), "records")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS records FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12' GROUP BY 1")
+def data_hist_range(spark, sf):
+    rows = readings(spark, sf).where(ingest.between(F.col("timestamp"), F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz")))
+    return analytics.daily(rows).select(F.col("day").cast("string").alias("day"), "records")
+
+
+GAPS = f"{READINGS}, g AS (SELECT device_id, ms, (ms - lag(ms) OVER (PARTITION BY device_id ORDER BY ms)) / 1000.0::DOUBLE AS gap_seconds FROM readings)"
+
+
+@query(f"WITH {GAPS} SELECT device_id, ms, gap_seconds FROM g WHERE gap_seconds IS NOT NULL ORDER BY gap_seconds DESC, device_id, ms LIMIT 10")
+def data_gaps_topk(spark, sf):
+    return analytics.top_gaps(readings(spark, sf), 10).select("device_id", "ms", "gap_seconds")
+
+
+@query(f"WITH {GAPS} SELECT device_id, count(*) AS gaps, round(sum(gap_seconds), 3) AS seconds FROM g WHERE gap_seconds >= 1200 GROUP BY 1")
+def data_gaps_min(spark, sf):
+    return analytics.gap_totals(readings(spark, sf), 1200.0).withColumn("seconds", F.round("seconds", 3))
+
+
+@query(f"WITH {GAPS} SELECT device_id, ms, gap_seconds FROM g")
+def gaps_all(spark, sf):
+    return series.gaps(readings(spark, sf).select("device_id", "ms")).select("device_id", "ms", "gap_seconds")
+
+
+@query(f'WITH {GAPS} SELECT device_id, count(*) FILTER (WHERE gap_seconds < 3600) AS under, count(*) FILTER (WHERE gap_seconds = 3600) AS "at", count(*) FILTER (WHERE gap_seconds > 3600) AS over, round(avg(gap_seconds), 3) AS mean_seconds, CAST(floor(604800.0 / avg(gap_seconds)) AS BIGINT) AS rows_a_week FROM g WHERE gap_seconds IS NOT NULL GROUP BY 1')
+def interval_drift(spark, sf):
+    return analytics.interval_drift(readings(spark, sf), 3600.0).withColumn("mean_seconds", F.round("mean_seconds", 3))
+
+
+@query(f"WITH {READINGS} SELECT device_id, min(ms) AS earliest, max(ms) AS latest, count(*) AS records FROM readings GROUP BY 1")
+def bounds(spark, sf):
+    return analytics.bounds(readings(spark, sf), "ms")
+
+
+@query("SELECT user_id AS device_id, arg_max(event_id, (ts, event_id)) AS event_id, epoch_us(max(ts)) // 1000 AS latest FROM events GROUP BY 1")
+def latest_per_device(spark, sf):
+    r = readings(spark, sf)
+    return r.groupBy("device_id").agg(F.max_by("event_id", F.struct("timestamp", "event_id")).alias("event_id"), F.max("ms").alias("latest"))
+
+
+@query(f"WITH {READINGS}, d AS (SELECT device_id, min(ms) AS earliest, max(ms) AS latest, count(*) AS records FROM readings GROUP BY 1) SELECT count(*) AS devices, sum(records)::BIGINT AS records, min(earliest) AS earliest, max(latest) AS latest FROM d")
+def summary_all(spark, sf):
+    return analytics.summary(analytics.bounds(readings(spark, sf), "ms"))
+
+
+@query(f"WITH {READINGS} SELECT device_id, min(ms) - (min(ms) % 60000) AS genesis FROM readings GROUP BY 1")
+def genesis(spark, sf):
+    return readings(spark, sf).groupBy("device_id").agg(F.min("ms").alias("m")).select("device_id", floor_bin(F.col("m"), "1min").alias("genesis"))
+
+
+BINS = f"{READINGS}, b AS (SELECT device_id, {fixed(7_200_000)} AS ts, count(*) AS count, sum({V})::DOUBLE / count(*) AS mean FROM readings GROUP BY 1, 2)"
+
+
+def _bins(spark, sf) -> DataFrame:
+    t = rollup.aggregate_raw(readings(spark, sf), "2h", [VALUE])
+    return t.select("device_id", "ts", F.col("value_n").alias("count"), VALUE.mean().alias("mean"))
+
+
+MARKED = f"{BINS}, m AS (SELECT *, lag(ts) OVER (PARTITION BY device_id ORDER BY ts) AS before FROM b), g AS (SELECT device_id, ts, count, mean FROM b UNION ALL SELECT device_id, before + 7200000, 0, NULL FROM m WHERE ts - before > 21600000)"
+
+
+@query(f"WITH {MARKED} SELECT * FROM g")
+def gap_markers(spark, sf):
+    return series.gap_markers(_bins(spark, sf), 7_200_000, ["mean"])
+
+
+@query(f"""WITH {MARKED}, r AS (SELECT *, sum(CASE WHEN mean IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts) AS run FROM g)
+SELECT device_id, CAST(run AS BIGINT) AS run, min(ts) AS start, max(ts) AS "end", count(*) AS points FROM r WHERE mean IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2""")
+def null_run_segments(spark, sf):
+    return series.null_runs(gap_markers(spark, sf), "mean", ["device_id"], "ts", 2)
+
+
+@query(f"WITH {BINS}, o AS (SELECT *, row_number() OVER (ORDER BY ts DESC, device_id) AS index FROM b) SELECT device_id, ts, count, mean, index FROM o WHERE index > 40 AND index <= 60")
+def table_page(spark, sf):
+    return analytics.table_page(_bins(spark, sf), "ts", 2, 20, ["device_id"])
+
+
+@query(f"""WITH {READINGS}, t AS ({tier_sql(DAY)}), f AS (SELECT device_id, ts, {FINAL} FROM t), x AS (SELECT device_id, min(value_mean - value_stddev) AS lo, max(value_mean + value_stddev) AS hi FROM f GROUP BY 1)
+SELECT device_id, lo - (hi - lo) * 0.05::DOUBLE AS y_min, CASE WHEN hi = lo THEN hi + 1 ELSE hi + (hi - lo) * 0.05::DOUBLE END AS y_max FROM x""")
+def axis_bounds(spark, sf):
+    return analytics.axis_bounds(tier_mean_stddev(spark, sf), F.col("value_mean"), F.col("value_stddev"), ["device_id"])
+
+
+@query(f"""WITH {READINGS}, r AS (SELECT device_id, ms, row_number() OVER (PARTITION BY device_id ORDER BY ms) AS i FROM readings), f AS (SELECT * FROM r WHERE i <= 100),
+d AS (SELECT device_id, ms - lag(ms) OVER (PARTITION BY device_id ORDER BY ms) AS d FROM f), n AS (SELECT device_id FROM f GROUP BY 1 HAVING count(*) >= 10),
+s AS (SELECT device_id, d, row_number() OVER (PARTITION BY device_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS k FROM d JOIN n USING (device_id) WHERE d > 0)
+SELECT device_id, d AS width FROM s WHERE i = k // 2""")
+def input_bin_width(spark, sf):
+    return analytics.input_bin_width(readings(spark, sf))
+
+
+@query(f"WITH {BINS}, days AS (SELECT DISTINCT device_id, {fixed(DAY)} AS ts FROM readings) SELECT device_id, ts, mean FROM days LEFT JOIN b USING (device_id, ts)")
+def grid_fill(spark, sf):
+    days = readings(spark, sf).select("device_id", floor_bin(F.col("ms"), "1d").alias("ts")).distinct()
+    return analytics.align(days, _bins(spark, sf), ["device_id", "ts"], ["mean"])
+
+
+# Ingest ----------------------------------------------------------------------------------
+
+HOUR_KEY = "date_trunc('hour', timestamp)"
+
+
+def _hourly(spark, sf) -> DataFrame:
+    return readings(spark, sf).select("device_id", F.date_trunc("hour", F.col("timestamp").cast("timestamp")).alias("hour"), "event_id", "value", "k")
+
+
+for _keep, _dir in (("first", "ASC"), ("last", "DESC")):
+    query(f"WITH {READINGS}, r AS (SELECT *, row_number() OVER (PARTITION BY device_id, {HOUR_KEY} ORDER BY event_id {_dir}) AS i FROM readings) SELECT device_id, epoch_ms({HOUR_KEY}) AS hour, event_id, value, k FROM r WHERE i = 1", f"dedupe_{_keep}")(
+        lambda spark, sf, keep=_keep: ingest.dedupe(_hourly(spark, sf), ["device_id", "hour"], [F.col("event_id")], keep).withColumn("hour", epoch_ms("hour"))
+    )
+
+
+@query(f"""WITH {READINGS} SELECT device_id, epoch_ms({HOUR_KEY}) AS hour, count(DISTINCT (value, k)) AS variants,
+ concat_ws(',', CASE WHEN count(DISTINCT value) > 1 THEN 'value' END, CASE WHEN count(DISTINCT k) + max(CASE WHEN k IS NULL THEN 1 ELSE 0 END) > 1 THEN 'k' END) AS fields
+ FROM readings GROUP BY 1, 2 HAVING count(DISTINCT (value, k)) > 1""")
+def conflicts(spark, sf):
+    return ingest.conflicts(_hourly(spark, sf), ["device_id", "hour"], ["value", "k"]).withColumn("hour", epoch_ms("hour"))
+
+
+@query("SELECT user_id % 10 AS g, count(*) AS records FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12') GROUP BY 1")
+def delete_range(spark, sf):
+    kept = ingest.delete_range(readings(spark, sf), "timestamp", F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz"))
+    return kept.groupBy((F.col("device_id") % 10).alias("g")).agg(F.count("*").alias("records"))
+
+
+@query(f"""WITH {READINGS}, h AS (SELECT device_id, {HOUR_KEY} AS hour, event_id, value FROM readings), o AS (SELECT device_id, hour, arg_min(value, event_id) AS value FROM h WHERE event_id % 2 = 0 GROUP BY ALL),
+n AS (SELECT device_id, hour, arg_min(value, event_id) AS value FROM h WHERE event_id % 2 = 1 GROUP BY ALL) SELECT device_id, epoch_ms(hour) AS hour, coalesce(n.value, o.value) AS value FROM o FULL JOIN n USING (device_id, hour)""")
+def merge_replace(spark, sf):
+    h = _hourly(spark, sf)
+    part = lambda odd: ingest.dedupe(h.where(F.col("event_id") % 2 == odd), ["device_id", "hour"], [F.col("event_id")]).select("device_id", "hour", "value")
+    return ingest.merge(part(0), part(1), ["device_id", "hour"], ["value"], "replace").withColumn("hour", epoch_ms("hour"))
+
+
+@query("SELECT n_name AS name, count(*) AS suppliers, sum(CAST(s_acctbal AS DECIMAL(18,2)))::DOUBLE AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY 1 UNION ALL SELECT 'Device ' || s_nationkey, count(*), sum(CAST(s_acctbal AS DECIMAL(18,2)))::DOUBLE FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey >= 3 GROUP BY 1")
+def device_names(spark, sf):
+    s = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("device_id"), "s_acctbal")
+    names = load(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("device_id"), F.col("n_name").alias("name"))
+    return analytics.device_names(s, names).groupBy("name").agg(F.count("*").alias("suppliers"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS records FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL")
+def union_months(spark, sf):
+    o = load(spark, sf, "orders").withColumn("ms", epoch_ms("o_orderdate"))
+    year = lambda y: o.where(ingest.half_open(F.col("o_orderdate"), F.lit(f"{y}-01-01").cast("timestamp_ntz"), F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+    return year(1995).unionByName(year(1996)).groupBy(period_label(F.col("ms"), "mo").alias("month"), "o_orderpriority").agg(F.count("*").alias("records"))
+
+
+@query("""SELECT event_id, CASE WHEN a < 120000 THEN 'fresh' WHEN a < 600000 THEN 'warn' WHEN a < 3600000 THEN 'degraded' ELSE 'stale' END AS age
+ FROM (SELECT event_id, epoch_ms(TIMESTAMP '2024-01-20') - epoch_us(ts) // 1000 AS a FROM events WHERE ts < TIMESTAMP '2024-01-20')""")
+def age_classes(spark, sf):
+    at = GENESIS + 19 * DAY
+    r = readings(spark, sf).where(F.col("ms") < at)
+    return r.select("event_id", codec.age_class(at - F.col("ms")).alias("age"))
+
+
+# Registry --------------------------------------------------------------------------------
+
+DAY_SHARDS = f"{READINGS}, shards AS (SELECT device_id, 'raw' AS tier, '1d' AS rung, {fixed(DAY)} AS period_start, {fixed(DAY)} + {DAY} AS period_end, {fixed(DAY)} + {DAY} * (1 + device_id % 20) AS written_at, count(*) AS n_rows, count(DISTINCT event_type) AS n_rgs, sum(length(event_type))::BIGINT AS size_bytes FROM readings GROUP BY ALL)"
+RECORDED = f"{DAY_SHARDS}, recorded AS (SELECT * FROM shards WHERE (period_start // {DAY} + device_id) % 5 <> 0)"
+DEVICES = f"devices AS (SELECT device_id, min(ms) - min(ms) % 60000 AS genesis FROM readings GROUP BY 1)"
+JOURNAL = f'journal AS (SELECT {GENESIS} + (s_suppkey % 30) * {DAY} + 7200000 AS "start", {GENESIS} + (s_suppkey % 30) * {DAY} + 136800000 AS "end", {GENESIS} + (s_suppkey % 30 + 12) * {DAY} AS requested_at FROM supplier WHERE s_suppkey % 3 = 0)'
+
+
+def _shards(spark, sf) -> DataFrame:
+    r = readings(spark, sf).withColumn("period_start", floor_bin(F.col("ms"), "1d"))
+    s = r.groupBy("device_id", "period_start").agg(F.count("*").alias("n_rows"), F.count_distinct("event_type").alias("n_rgs"), F.sum(F.length("event_type")).alias("size_bytes"))
+    end = F.col("period_start") + DAY
+    return s.select("device_id", F.lit("raw").alias("tier"), F.lit("1d").alias("rung"), "period_start", end.alias("period_end"), (F.col("period_start") + DAY * (1 + F.col("device_id") % 20)).alias("written_at"), "n_rows", "n_rgs", "size_bytes")
+
+
+def _recorded(spark, sf) -> DataFrame:
+    return _shards(spark, sf).where((F.floor(F.col("period_start") / DAY) + F.col("device_id")) % 5 != 0)
+
+
+def _journal(spark, sf) -> DataFrame:
+    at = GENESIS + (F.col("s_suppkey") % 30) * DAY
+    return load(spark, sf, "supplier").where("s_suppkey % 3 = 0").select((at + 7_200_000).alias("start"), (at + 136_800_000).alias("end"), (at + 12 * DAY).alias("requested_at"))
+
+
+def _devices(spark, sf) -> DataFrame:
+    return genesis(spark, sf)
+
+
+def cover_sql(rungs: list[str], now: int) -> str:
+    widths = [(r, Duration.of(r).ms) for r in reversed(rungs)]
+    fits = lambda w: f"(pos - pos % {w} + {w} <= {now} AND (pos % {w} = 0 OR pos = genesis))"
+    pick = "CASE " + " ".join(f"WHEN {fits(w)} THEN {w}" for _, w in widths) + " END"
+    name = "CASE w " + " ".join(f"WHEN {w} THEN '{r}'" for r, w in widths) + " END"
+    return f"""WITH RECURSIVE {READINGS}, {DEVICES}, c AS (
+ SELECT device_id, genesis, genesis AS pos, NULL::BIGINT AS was, NULL::BIGINT AS w FROM devices
+ UNION ALL SELECT device_id, genesis, pos - pos % p + p, pos, p FROM (SELECT *, {pick} AS p FROM c WHERE pos < {now}) WHERE p IS NOT NULL)
+SELECT device_id, {name} AS rung, pos - w AS period_start, pos AS period_end, was AS effective_start FROM c WHERE w IS NOT NULL"""
+
+
+@query(cover_sql(["4d", "32d", "128d"], NOW))
+def expected_shards(spark, sf):
+    out = registry.expected(_devices(spark, sf), {"m30": ["4d", "32d", "128d"]}, NOW)
+    return out.select("device_id", "rung", "period_start", "period_end", "effective_start")
+
+
+EXPECTED_DAYS = f"expected AS (SELECT device_id, unnest(range(genesis - genesis % {DAY}, {GENESIS + 31 * DAY}, {DAY})) AS period_start FROM devices)"
+
+
+def _expected_days(spark, sf) -> DataFrame:
+    return registry.expected(_devices(spark, sf), {"raw": ["1d"]}, GENESIS + 31 * DAY)
+
+
+@query(f"WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS} SELECT device_id, period_start FROM expected ANTI JOIN recorded USING (device_id, period_start)")
+def missing_shards(spark, sf):
+    return registry.missing(_expected_days(spark, sf), _recorded(spark, sf)).select("device_id", "period_start")
+
+
+@query(f'WITH {RECORDED}, {JOURNAL} SELECT device_id, period_start, written_at FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at)')
+def stale_shards(spark, sf):
+    return registry.stale(_recorded(spark, sf), _journal(spark, sf)).select("device_id", "period_start", "written_at")
+
+
+@query(f'WITH {RECORDED}, {JOURNAL} SELECT DISTINCT "start", "end", requested_at FROM journal j WHERE EXISTS (SELECT 1 FROM recorded r WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at)')
+def journal_pruned(spark, sf):
+    return registry.prune_journal(_journal(spark, sf), _recorded(spark, sf)).distinct()
+
+
+@query(f'WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS}, {JOURNAL}, s AS (SELECT device_id, period_start FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at)) SELECT device_id, period_start FROM expected ANTI JOIN recorded USING (device_id, period_start) UNION SELECT device_id, period_start FROM expected SEMI JOIN s USING (device_id, period_start)')
+def work_list(spark, sf):
+    return registry.work(_expected_days(spark, sf), _recorded(spark, sf), _journal(spark, sf), ["raw"]).select("device_id", "period_start")
+
+
+@query(f"WITH {RECORDED} SELECT device_id, tier, rung, max(period_end) AS latest_period_end, arg_max(written_at, period_end) AS updated_at FROM recorded GROUP BY 1, 2, 3")
+def watermarks(spark, sf):
+    return registry.watermarks(_recorded(spark, sf))
+
+
+@query(f"WITH {RECORDED} SELECT device_id, tier, rung, count(*) AS shards, max(written_at) AS last_written, avg(size_bytes) AS mean_bytes, avg(n_rows) AS mean_rows, avg(n_rgs) AS mean_rgs, round(avg(CASE WHEN n_rgs > 0 THEN n_rows / n_rgs END), 9) AS mean_rows_a_rg FROM recorded GROUP BY 1, 2, 3")
+def rung_stats(spark, sf):
+    return registry.rung_stats(_recorded(spark, sf)).withColumn("mean_rows_a_rg", F.round("mean_rows_a_rg", 9))
+
+
+COVER = f"{RECORDED}, {DEVICES}, {EXPECTED_DAYS}, slots AS (SELECT e.device_id, e.period_start, CASE WHEN r.device_id IS NOT NULL THEN 'present' WHEN s.device_id IS NOT NULL THEN 'pending' ELSE 'missing' END AS status FROM expected e LEFT JOIN recorded r USING (device_id, period_start) LEFT JOIN shards s USING (device_id, period_start)), cover AS (SELECT device_id, 'raw' AS tier, count(*) AS expected, count(*) FILTER (WHERE status = 'present') AS present, count(*) FILTER (WHERE status = 'pending') AS pending, min(CASE WHEN status = 'missing' THEN period_start END) AS first_missing, count(*) FILTER (WHERE status = 'missing') = 0 AS complete FROM slots GROUP BY 1)"
+
+
+@query(f"WITH {COVER} SELECT * FROM cover")
+def coverage(spark, sf):
+    return registry.coverage(registry.slots(_expected_days(spark, sf), _recorded(spark, sf), _shards(spark, sf)))
+
+
+@query(f"WITH {COVER} SELECT device_id, CAST(expected - present - pending AS BIGINT) AS missing, pending, complete AS all_complete FROM cover")
+def device_coverage(spark, sf):
+    return registry.device_coverage(coverage(spark, sf))
+
+
+@query(f"""WITH {RECORDED}, {DEVICES} SELECT device_id, rung, period_start, period_end FROM recorded WHERE period_end <= {GENESIS + 25 * DAY} UNION ALL
+ SELECT device_id, '1d', d, d + {DAY} FROM (SELECT device_id, unnest(range(genesis - genesis % {DAY}, {GENESIS + 31 * DAY}, {DAY})) AS d FROM devices) x WHERE NOT EXISTS (SELECT 1 FROM recorded r WHERE r.device_id = x.device_id AND r.period_end <= {GENESIS + 25 * DAY} AND r.period_start <= d AND r.period_end >= d + {DAY})""")
+def raw_tip_days(spark, sf):
+    spans = _devices(spark, sf).select("device_id", F.col("genesis").alias("start"), F.lit(GENESIS + 31 * DAY).alias("end"))
+    return registry.raw_tips(_recorded(spark, sf), spans, GENESIS + 25 * DAY)
+
+
+@query(f"WITH {READINGS}, d AS (SELECT DISTINCT device_id FROM readings) SELECT device_id, CAST(((row_number() OVER (ORDER BY device_id) - 1 - 17) % n + n) % n AS BIGINT) AS turn FROM d, (SELECT count(*) AS n FROM d)")
+def rotation(spark, sf):
+    return analytics.rotation(readings(spark, sf).select("device_id").distinct(), 17)
+
+
+@query("""WITH c AS (SELECT event_type || (user_id % 10) AS key, event_id AS seq, CAST(floor(value) AS BIGINT) AS bytes, user_id % 7 AS ms, user_id % 3 = 0 AS cached FROM events), f AS (SELECT key, min(seq) AS first FROM c GROUP BY 1)
+SELECT key, count(*) AS calls, sum(bytes)::BIGINT AS bytes, sum(ms)::BIGINT AS ms, sum(CASE WHEN seq = first THEN bytes ELSE 0 END)::BIGINT AS meta_bytes, sum(CASE WHEN seq = first THEN 0 ELSE bytes END)::BIGINT AS data_bytes, count(*) FILTER (WHERE cached) AS cached FROM c JOIN f USING (key) GROUP BY 1""")
+def fetch_trace(spark, sf):
+    e = load(spark, sf, "events")
+    calls = e.select(F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("bytes"), (F.col("user_id") % 7).alias("ms"), (F.col("user_id") % 3 == 0).alias("cached"))
+    return analytics.fetch_trace(calls)
+
+
+@query(f"WITH {READINGS} SELECT device_id, strftime(timestamp, '%Y-%m') AS label, count(*) AS records, epoch_ms(date_trunc('month', min(timestamp)) + INTERVAL 1 MONTH) AS period_end FROM readings GROUP BY 1, 2")
+def period_labels(spark, sf):
+    r = readings(spark, sf).withColumn("p", floor_bin(F.col("ms"), "1mo"))
+    return r.groupBy("device_id", "p").agg(F.count("*").alias("records")).select("device_id", period_label(F.col("p"), "mo").alias("label"), "records", bin_end(F.col("p"), "1mo").alias("period_end"))
+
+
+# Streams (final state; compared in tests with the batch result) ----------------------------
+
+
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = load(spark, sf, "events").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf.rstrip("/"))
+    return s.select(F.col("user_id").alias("device_id"), F.col("ts").alias("timestamp"), "value", "event_id")
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {READINGS} {tier_sql(21_600_000)}")
+def stream_tiers(spark, sf):
+    from .streaming import ingest as stream
+
+    path = _scratch(spark, "stream-tiers")
+    q = stream.run(_stream(spark, sf), path, f"{path}/_checkpoint", "6h", [VALUE], key=["device_id", "event_id"], trigger={"availableNow": True})
+    q.awaitTermination()
+    return stream.current_bins(spark, path, [VALUE])
+
+
+@query(f"""WITH {GAPS} SELECT device_id, count(*) AS checks FROM g GROUP BY 1""")
+def stale_alert_checks(spark, sf):
+    return stale_alerts(spark, sf).groupBy("device_id").agg(F.count("*").alias("checks"))
+
+
+@query()
+def stale_alerts(spark, sf):
+    """A check just before each reading of each device, folded by the alert state machine."""
+    from .streaming import staleness
+
+    g = series.gaps(readings(spark, sf).select("device_id", "ms"))
+    return staleness.alerts(g.select("device_id", (F.col("ms") - 1).alias("checked_at"), F.col("previous_ms").alias("last_at")))
+
+
+@query("SELECT device_id, n FROM (SELECT user_id AS device_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1)")
+def stream_dedupe(spark, sf):
+    from .streaming import ingest as stream
+
+    path = _scratch(spark, "stream-dedupe")
+    doubled = _stream(spark, sf).select("device_id", "timestamp", "event_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    unique = stream.unique(doubled, ["event_id"], "timestamp", "60 days")
+    q = unique.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{path}/rows").groupBy("device_id").agg(F.count("*").alias("n"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
