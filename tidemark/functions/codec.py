@@ -83,8 +83,9 @@ def parse_datetime(text: str | None) -> str | None:
 def flexible_timestamp(text: Column) -> Column:
     """The same forms as a Column; null where none fits."""
     bare = F.regexp_replace(F.trim(text), "T", "")
-    full = F.when(F.length(F.regexp_extract(bare, r"^\d+", 0)).isin(6, 10) & ~F.trim(text).rlike("^20[0-9]{6}"), F.concat(F.lit("20"), bare)).otherwise(bare)
-    tries = [F.try_to_timestamp(text)] + [F.try_to_timestamp(full, F.lit(f)) for f in ("yyyyMMdd", "yyyyMMddHH", "yyyyMMddHHmm", "yyyyMMddHH:mm", "yyyyMMddHH:mm:ss")]
+    full = F.when(bare.rlike("^20[0-9]{6}"), bare).otherwise(F.concat(F.lit("20"), bare))
+    iso = F.when(text.rlike("^[0-9]{4}-"), F.try_to_timestamp(text))
+    tries = [iso] + [F.try_to_timestamp(full, F.lit(f)) for f in ("yyyyMMdd", "yyyyMMddHH", "yyyyMMddHHmm", "yyyyMMddHH:mm", "yyyyMMddHH:mm:ss")]
     return F.coalesce(*tries)
 
 
