@@ -29,7 +29,7 @@ from .subwords import fill, sums, word_features
 @dataclass(frozen=True)
 class EmbeddingSpec:
     good: int = 2_000
-    poor: int = 1_500
+    poor: int = 1_200
     buckets: int = 1 << 16
     width: int = 8
     low: int = 2
@@ -66,7 +66,7 @@ def _documents(texts: pa.Array, spec: EmbeddingSpec):
         feats, weight = np.append(feats, spec.buckets), np.append(weight, same)
         feats, at = np.unique(feats, return_inverse=True)
         weight = np.bincount(at, weight)
-        out.append((feats, weight / max(1.0, weight.sum())))
+        out.append((feats.astype(np.int32), (weight / max(1.0, weight.sum())).astype(np.float32)))
     return out
 
 

@@ -14,23 +14,32 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_features(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_features(words: list[str], low: int, high: int, buckets: int, part: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner (the word's number), bucket, and whether it is the whole word, of every feature.
 
     An n-gram has ``low`` to ``high`` characters of ``<word>``; an empty word has no feature.
+    Words are taken ``part`` at a time, which bounds the memory beside the result.
     """
+    found = []
+    for at in range(0, max(1, len(words)), part):
+        owner, bucket, whole = _features(words[at : at + part], low, high, buckets)
+        found.append((owner + np.int32(at), bucket, whole))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _features(words: list[str], low: int, high: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(words)
     sizes = np.fromiter(map(len, words), np.int64, n)
     marked = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(sizes + 2)
-    owner = np.repeat(np.arange(n), sizes + 2)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 2)
     left = ends[owner] - np.arange(len(marked))  # characters from here to the word's end
     plain = sizes[owner] > 0
     # the whole word: a sum of its characters mixed with their places
     place = _mix(marked * np.uint64(0x9E3779B97F4A7C15) + (sizes[owner] + 2 - left).astype(np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(place, dtype=np.uint64)])
     whole = _mix(total[ends] - total[ends - sizes - 2] + np.uint64(1))
-    has = np.flatnonzero(sizes > 0)
+    has = np.flatnonzero(sizes > 0).astype(np.int32)
     owners, keys = [has], [whole[has]]
     h = np.zeros(len(marked), np.uint64)
     for k in range(min(high, len(h))):
@@ -41,7 +50,7 @@ def word_features(words: list[str], low: int, high: int, buckets: int) -> tuple[
             keys.append(h[at] + np.uint64(k))
     first = np.zeros(sum(map(len, keys)), bool)
     first[: len(has)] = True
-    return np.concatenate(owners), (_mix(np.concatenate(keys)) % np.uint64(buckets)).astype(np.int64), first
+    return np.concatenate(owners), (_mix(np.concatenate(keys)) % np.uint64(buckets)).astype(np.int32), first
 
 
 def fill(memo: dict, words: list[str], make: Callable[[list[str]], list]) -> None:

@@ -36,10 +36,11 @@ EDGES = ".,!?;:\"'()[]{}*#$%&|-"
 @dataclass(frozen=True)
 class MilSpec:
     positives: int = 1_500
-    negatives: int = 3_500
+    negatives: int = 4_000
     buckets: int = 1 << 18
     low: int = 4
     high: int = 6
+    least_documents: int = 2
     rounds: int = 120
     rate: float = 0.15
     sparsity: float = 0.005
@@ -62,7 +63,7 @@ def _features(tokens: list[str], spec: MilSpec) -> tuple[np.ndarray, np.ndarray,
     """Owner, bucket and share of each feature: a whole word counts in full, its n-grams by the root of their number."""
     owner, bucket, whole = word_features([t.strip(EDGES).lower() for t in tokens], spec.low, spec.high, spec.buckets)
     size = np.bincount(owner, minlength=len(tokens))
-    return owner, bucket, np.where(whole, 1.0, 1 / np.sqrt(np.maximum(1, size - 1))[owner])
+    return owner, bucket, np.where(whole, np.float32(1), (1 / np.sqrt(np.maximum(1, size - 1))).astype(np.float32)[owner])
 
 
 def _distinct(numbers: np.ndarray, sentence_ends: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +96,19 @@ def fit(texts: list[str], labels: list[int], spec: MilSpec = MilSpec()) -> MilMo
     """Adam on the noisy-or likelihood, all documents of the sample a round.
 
     Weights stay at 0 or more and shrink a little each round: a sentence offends by what
-    it holds, and no number of plain words makes up for it.
+    it holds, and no number of plain words makes up for it. Words of fewer than
+    ``least_documents`` documents of the sample teach nothing.
     """
     y = np.array(labels, bool)
     weights, bias = np.zeros(spec.buckets), spec.bias
     if not len(y) or y.all() or not y.any():
         return MilModel(spec, weights.astype(np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
     words, numbers, ends = _words(pa.array(texts, pa.large_string()))
-    row_of, rows, scale = _features(words, spec)
+    spread = np.unique(np.repeat(np.arange(len(y)), np.diff(ends)) * max(1, len(words)) + numbers) % max(1, len(words))
+    common = np.flatnonzero(np.bincount(spread, minlength=len(words)) >= spec.least_documents)
+    row_of, rows, scale = _features([words[i] for i in common], spec)
+    row_of = common[row_of].astype(np.int32)
+    del spread, common
     sentence_ends, doc_ends = _sentences(numbers, ends, np.array([w.endswith(STOPS) for w in words], bool))
     numbers, sentence_of = _distinct(numbers, sentence_ends, len(words))
     doc_of = np.repeat(np.arange(len(y)), np.diff(doc_ends))
