@@ -69,12 +69,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def lower_ascii(texts: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.ascii_lower(texts)
-
-
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of whole texts."""
 
@@ -85,8 +79,9 @@ class Shingler:
         import xxhash
 
         k = self.spec.words
-        words, numbers, ends = split_words(lower_ascii(texts), None)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))[numbers]
+        words, numbers, ends = split_words(texts, None)
+        # bytes.lower() lowers A-Z alone; words that differ in case get equal hashes
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words), np.uint64, len(words))[numbers]
         run = np.zeros(len(hashes), np.uint64)  # the hash of the k words that begin here
         for i in range(k):
             run[: len(hashes) - i] = mix(run[: len(hashes) - i] * np.uint64(0x9E3779B97F4A7C15) + hashes[i:])
