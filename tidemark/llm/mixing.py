@@ -7,8 +7,8 @@ found by projected-gradient least squares from equal rates: each step needs only
 totals by domain, a sum over all documents that Spark combines before its shuffle, and
 moves a document's rate by its posteriors times the residual, projected to 0 or more.
 As a rate follows from the steps so far, documents keep no state between steps and a
-lost task costs a re-read. Steps are scaled by the largest eigenvalue of the domains'
-token-weighted Gram matrix, with Nesterov's momentum. Domains without a target weight
+lost task costs a re-read. Squares are weighed by the inverse of the domains' token-weighted
+Gram matrix, so small domains count as large ones do, with Nesterov's momentum. Domains without a target weight
 keep out of the fit.
 
 Domains come from ``labels``: toxic, poor (quality 0) and good, in this order of
@@ -120,7 +120,9 @@ def solve(rows: DataFrame, targets: np.ndarray, spec: MixSpec = MixSpec()) -> tu
     targets = np.where(bound, targets, 0.0)
     gram = rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
     gram = np.array([x or 0.0 for x in gram]).reshape(k, k)[np.ix_(bound, bound)]
-    step = 1 / max(1e-12, float(np.linalg.eigvalsh(gram).max(initial=0.0)))
+    # residuals weigh by the inverse Gram matrix, which makes one the steepest safe step
+    step = np.zeros((k, k))
+    step[np.ix_(bound, bound)] = np.linalg.pinv(gram) if bound.any() else 0.0
     moves: list[tuple[np.ndarray, float]] = []
     scale = max(1.0, float(np.abs(targets).sum()))
     t, momentum = 1.0, 0.0
@@ -132,7 +134,7 @@ def solve(rows: DataFrame, targets: np.ndarray, spec: MixSpec = MixSpec()) -> tu
         if np.abs(totals - targets)[bound].sum() <= spec.tolerance * scale:
             break
         ahead = totals + momentum * (totals - before)  # totals are linear in the rates
-        moves.append((np.where(bound, step * (ahead - targets), 0.0), momentum))
+        moves.append((step @ np.where(bound, ahead - targets, 0.0), momentum))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         t, momentum = after, (t - 1) / after
     return moves, totals
