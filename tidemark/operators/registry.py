@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import Duration
+from ..functions.timeaxis import bin_end, floor_bin
 from ..plans.cover import min_cover
 from .joins import overlapping, uncovered_days
 
@@ -114,3 +115,17 @@ def device_coverage(coverage_: DataFrame) -> DataFrame:
 
 def work_statistics(results: DataFrame) -> DataFrame:
     return results.groupBy("device_id", "status").agg(F.count("*").alias("shards"))
+
+
+def consolidation(recorded: DataFrame, tier: str, source_rung: str, target_rung: str, now: int) -> DataFrame:
+    """Closed target periods with how many of their source shards there are, and how many it takes.
+
+    Only where all are there may the target be written (``record_complete``).
+    """
+    source, target = Duration.of(source_rung), Duration.of(target_rung)
+    if not source.divides(target):
+        raise ValueError(f"{source} does not divide {target}")
+    own = recorded.where((F.col("tier") == tier) & (F.col("rung") == source_rung)).withColumn("_start", floor_bin(F.col("period_start"), target))
+    found = own.groupBy("device_id", "_start").agg(F.count_distinct("period_start").alias("inputs_present")).withColumn("period_end", bin_end(F.col("_start"), target)).where(F.col("period_end") <= now)
+    expected_ = (F.col("period_end") - F.col("_start")) / F.lit(source.ms) if not source.is_calendar else F.months_between(F.timestamp_millis("period_end"), F.timestamp_millis("_start")) / (source.count * (12 if source.unit == "y" else 1))
+    return found.select("device_id", F.lit(tier).alias("tier"), F.lit(target_rung).alias("rung"), F.col("_start").alias("period_start"), "period_end", "inputs_present", F.round(expected_).cast("long").alias("inputs_expected"))

@@ -496,6 +496,39 @@ def period_labels(spark, sf):
     return r.groupBy("device_id", "p").agg(F.count("*").alias("records")).select("device_id", period_label(F.col("p"), "mo").alias("label"), "records", bin_end(F.col("p"), "1mo").alias("period_end"))
 
 
+@query(f"WITH {RECORDED}, c AS (SELECT device_id, period_start - period_start % {4 * DAY} AS s, count(*) AS n FROM recorded GROUP BY 1, 2) SELECT device_id, s AS period_start, s + {4 * DAY} AS period_end, n AS inputs_present, 4::BIGINT AS inputs_expected FROM c WHERE s + {4 * DAY} <= {GENESIS + 31 * DAY}")
+def consolidation(spark, sf):
+    out = registry.consolidation(_recorded(spark, sf), "raw", "1d", "4d", GENESIS + 31 * DAY)
+    return out.select("device_id", "period_start", "period_end", "inputs_present", "inputs_expected")
+
+
+@query(f"WITH {RECORDED}, c AS (SELECT device_id, period_start - period_start % {4 * DAY} AS s, count(*) AS n FROM recorded GROUP BY 1, 2) SELECT device_id, s AS period_start FROM c WHERE n = 4 AND s + {4 * DAY} <= {GENESIS + 31 * DAY}")
+def consolidated(spark, sf):
+    return registry.record_complete(consolidation(spark, sf)).select("device_id", "period_start")
+
+
+@query(f"WITH {READINGS} {tier_sql(DAY)}")
+def backfill_d1(spark, sf):
+    """Every tier written under a fresh path, the daily one read back."""
+    from .plans import build
+
+    path = _scratch(spark, "pyramid")
+    build.backfill(PYRAMID, readings(spark, sf), path)
+    return build.tier(PYRAMID, spark, path, "d1")
+
+
+@query(f"WITH {READINGS} {tier_sql(7_200_000)}")
+def rebuild_late(spark, sf):
+    """A backfill that lacks three days' late readings, then a rebuild of the days they touch."""
+    from .plans import build
+
+    path, all_ = _scratch(spark, "pyramid"), readings(spark, sf)
+    late = ingest.half_open(F.col("ms"), START + 3_600_000, START + 2 * DAY + 5)
+    build.backfill(PYRAMID, all_.where(~late), path)
+    build.rebuild(PYRAMID, all_, path, [(START + 3_600_000, START + DAY), (START + DAY, START + 2 * DAY + 5)])
+    return build.tier(PYRAMID, spark, path, "h2")
+
+
 # Streams (final state; compared in tests with the batch result) ----------------------------
 
 

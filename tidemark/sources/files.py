@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.durations import Duration
 from ..functions.monoid import Metric
+from ..functions.timeaxis import PATTERNS, bin_end
 from ..operators.ingest import FIELDS
 from ..operators.rollup import TS
 from ..plans.pyramid import Tier
@@ -104,3 +106,13 @@ def parse_keys(paths: DataFrame, path: str = "path") -> DataFrame:
     pattern = r"awair-(\d+)/([^/]+)/([^/]+)/([^/]+)\.parquet$"
     parts = [F.regexp_extract(path, pattern, i) for i in range(1, 5)]
     return paths.where(F.col(path).rlike(pattern)).select("*", parts[0].cast("long").alias("device_id"), parts[1].alias("tier"), parts[2].alias("rung"), parts[3].alias("label"))
+
+
+def bootstrap_registry(spark: SparkSession, base: str, ladders: dict[str, list[str]]) -> DataFrame:
+    """Registry rows of the shard files under ``base`` whose tier, rung and label are valid."""
+    keys = parse_keys(listing(spark, base))
+    allowed = spark.createDataFrame([(t, r, Duration.of(r).unit) for t, rungs in ladders.items() for r in rungs], "tier string, rung string, unit string")
+    start = F.coalesce(*(F.when(F.col("unit") == u, F.unix_millis(F.try_to_timestamp("label", F.lit(p)))) for u, p in PATTERNS.items()))
+    rows = keys.join(allowed, ["tier", "rung"]).withColumn("period_start", start).where("period_start is not null")
+    end = F.coalesce(*(F.when(F.col("rung") == r, bin_end(F.col("period_start"), r)) for r in sorted({r for rungs in ladders.values() for r in rungs})))
+    return rows.select("device_id", "tier", "rung", "period_start", end.alias("period_end"), F.col("path").alias("key"), "written_at", "size_bytes")
