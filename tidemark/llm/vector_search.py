@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
 
     def tile(t: pa.Table) -> pa.Table:
         mask = t.column("asks")
-        q, x = t.filter(mask), t.filter(pa.compute.invert(mask))
+        q, x = t.filter(mask), t.filter(pc.invert(mask))
         if not len(q) or not len(x):
             return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
         found = tile_top_k(integers(q, scale), q.column("vec_id").to_numpy(), integers(x, scale), x.column("vec_id").to_numpy(), k)
