@@ -138,5 +138,30 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents
+), grams AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 3
+    THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM words
+), sets AS (SELECT DISTINCT doc_id, g FROM grams),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+), reach AS (
+  SELECT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, w.doc_id) AS component_id,
+       coalesce(l.component_id, w.doc_id) = w.doc_id AS kept
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.doc_id = w.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
