@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,12 @@ class ByteBpe:
         return gather(self.flat, self.starts[ids], self.sizes[ids]).tobytes()
 
 
+@lru_cache(maxsize=2)
+def bpe_of(path: str, pattern: str) -> ByteBpe:
+    """One coder a Python worker, so its model and memo serve the worker's later tasks too."""
+    return ByteBpe(path, pattern)
+
+
 def _int_lists(parts: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
@@ -123,7 +130,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
     """``keep`` columns and ``ids``: the ranks of each whole text's tokens."""
 
     def make():
-        bpe = ByteBpe(ranks, pattern)
+        bpe = bpe_of(ranks, pattern)
         return lambda b: pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [_int_lists([bpe.encode(t) for t in string_list(b.column(text))])], names=[*keep, "ids"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -134,7 +141,7 @@ def decode(encoded: DataFrame, ranks: str, pattern: str, keep: list[str] = ["doc
     """``keep`` columns, ``ids`` and ``decoded``: the bytes the ids stand for; null ids as none."""
 
     def make():
-        bpe = ByteBpe(ranks, pattern)
+        bpe = bpe_of(ranks, pattern)
         return lambda b: pa.RecordBatch.from_arrays([b.column(c) for c in [*keep, "ids"]] + [pa.array([bpe.decode(x) for x in _lists(b.column("ids"))], pa.binary())], names=[*keep, "ids", "decoded"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*keep).schema)

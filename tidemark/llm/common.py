@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker keeps in a memo of words before it starts a fresh one.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 800_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,14 +77,14 @@ def string_list(column: pa.Array) -> list[str]:
 
 
 class Memo(dict):
-    """A mapping filled on demand; starts afresh before it outgrows ``MEMO_ENTRIES``."""
+    """A mapping filled on demand; starts afresh before it outgrows half of ``MEMO_ENTRIES``."""
 
     def __init__(self, make: Callable):
         super().__init__()
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO_ENTRIES:
+        if len(self) >= MEMO_ENTRIES // 2:
             self.clear()
         value = self[key] = self.make(key)
         return value

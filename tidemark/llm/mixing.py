@@ -52,7 +52,7 @@ class DomainModel:
 
 class Classifier:
     def __init__(self, model: DomainModel):
-        self.toxic, self.quality = toxicity.Scorer(model.toxic), quality.Scorer(model.quality)
+        self.toxic, self.quality = toxicity.scorer_of(model.toxic), quality.scorer_of(model.quality)
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """[n, domains], each row's sum 1, and the number of words of each text."""

@@ -17,6 +17,7 @@ that repeat stay; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ class EmbeddingSpec:
     seed: int = 7
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class EmbeddingModel:
     """``vectors``: a row a bucket, the last for a repeated word; ``out`` and ``bias``: logit of label 1."""
 
@@ -135,6 +136,12 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(1, count) + self.bias, -60, 60)))
 
 
+@lru_cache(maxsize=2)
+def scorer_of(model: EmbeddingModel) -> Scorer:
+    """One scorer a Python worker and model, so its memo serves the worker's later tasks too."""
+    return Scorer(model)
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column, spec: EmbeddingSpec = EmbeddingSpec()) -> EmbeddingModel:
     """Fit on at most ``good + poor`` labelled rows that satisfy ``where`` (a condition on doc_id)."""
     chosen = label_sample(labels.select("doc_id", "quality"), "quality", where, {1: spec.good, 0: spec.poor})
@@ -147,7 +154,7 @@ def score(docs: DataFrame, model: EmbeddingModel, keep: list[str] = ["doc_id"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
 
         def one(b):
             p = scorer.documents(whole_texts(b.column("text")))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +99,18 @@ class WordEncoder:
         return ids, np.concatenate([[0], np.cumsum(sizes[numbers])])[ends]
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a Python worker, so its memo serves the worker's later tasks too."""
+    return WordEncoder(path)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None, row_group_rows: int = 20_000, page_rows: int = 1_000) -> str:
     """Encode ``docs`` (doc_id, text) into Parquet at ``path``, in ascending doc_id order."""
     path = path or new_path(docs.sparkSession, "tokens")
 
     def encode(batches):
-        encoder, shard, start = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encoder, shard, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
         for b in text_batches(batches, 8 << 20):
             ids, ends = encoder.encode(whole_texts(b.column("text")))
             values = pa.array(np.insert(ids, ends[1:], end_id).view(np.int32))

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ class MilSpec:
     bias: float = -6.0
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class MilModel:
     spec: MilSpec
     weights: np.ndarray
@@ -171,6 +172,12 @@ class Scorer:
         return out
 
 
+@lru_cache(maxsize=2)
+def scorer_of(model: MilModel) -> Scorer:
+    """One scorer a Python worker and model, so its memo serves the worker's later tasks too."""
+    return Scorer(model)
+
+
 def train(docs: DataFrame, labels: DataFrame, where: Column, spec: MilSpec = MilSpec()) -> MilModel:
     """Fit on at most ``positives + negatives`` labelled rows that satisfy ``where`` (a condition on doc_id)."""
     chosen = label_sample(labels.select("doc_id", "toxic"), "toxic", where, {1: spec.positives, 0: spec.negatives})
@@ -183,7 +190,7 @@ def score(docs: DataFrame, model: MilModel, keep: list[str] = ["doc_id"], least:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())]))
 
         def one(b):
