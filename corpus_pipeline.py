@@ -33,7 +33,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines an earlier document holds; documents that lose all they had go."""
     kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    left = kept.where("n_dropped = 0 or length(btrim(text, ' \\t\\n\\u000b\\f\\r')) > 0")
+    blank = F.length(F.btrim("text", F.lit(line_dedup.BLANKS.decode()))) == 0
+    left = kept.where((F.col("n_dropped") == 0) | ~blank)
     changed = F.col("n_dropped") > 0
     return left.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
