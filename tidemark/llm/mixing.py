@@ -56,7 +56,7 @@ class Classifier:
 
     def posteriors(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """[n, domains], each row's sum 1, and the number of words of each text."""
-        bad, good = self.toxic.documents(texts), self.quality.documents(texts)
+        bad, good = self.toxic.scores(texts), self.quality.documents(texts)
         return np.stack([bad, (1 - bad) * (1 - good), (1 - bad) * good], axis=1), np.diff(split_words(texts, None)[2])
 
 

@@ -46,6 +46,7 @@ class MilSpec:
     rate: float = 0.15
     sparsity: float = 0.005
     bias: float = -6.0
+    caution: float = 1.0
 
 
 @dataclass(frozen=True, eq=False)
@@ -149,6 +150,11 @@ class Scorer:
         z = self.model.bias + np.bincount(sentence, score[own] if len(words) else None, len(sentence_ends) - 1)
         return -np.expm1(-sums(np.logaddexp(0, z), doc_ends))
 
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """The noisy-or with its log odds lowered by ``caution``: 0.5 is where toxic is e^caution times likelier."""
+        p = self.documents(texts)
+        return p / (p + (1 - p) * np.exp(self.model.spec.caution))
+
     def offending(self, text: str, least: float) -> list[dict]:
         """Start, end (characters) and score of each sentence at ``least`` or more."""
         fill(self.memo, list(dict.fromkeys(m[0] for m in WORD.finditer(text))), self._words)
@@ -195,7 +201,7 @@ def score(docs: DataFrame, model: MilModel, keep: list[str] = ["doc_id"], least:
 
         def one(b):
             texts = whole_texts(b.column("text"))
-            p = scorer.documents(texts)
+            p = scorer.scores(texts)
             found = [scorer.offending(texts[i].as_py(), least) if x >= least else [] for i, x in enumerate(p)]
             return pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(p), pa.array(p >= least).cast(pa.int32()), pa.array(found, spans)], names=[*keep, "score", "predicted", "offending"])
 
