@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -110,11 +111,11 @@ def label_sample(labels: DataFrame, name: str, where, bounds: dict[int, int]) ->
     return out
 
 
-def labelled_texts(docs: DataFrame, chosen: DataFrame, bound: int) -> list[tuple[str, int]]:
-    """(text, label) of the chosen ids in a fixed order, at most one text an id.
+def fit_on_sample(docs: DataFrame, chosen: DataFrame, bound: int, fit: Callable[[list[str], list[int]], object]) -> object:
+    """``fit(texts, labels)`` over the chosen ids in a fixed order, at most one text an id.
 
-    ``chosen`` has at most ``bound`` rows by construction, so it may be broadcast and
-    the result may be gathered.
+    ``chosen`` has at most ``bound`` rows by construction, so it may be broadcast and one
+    task may hold the sample. The fit runs in that task; the driver gets the model alone.
     """
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -122,9 +123,17 @@ def labelled_texts(docs: DataFrame, chosen: DataFrame, bound: int) -> list[tuple
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.max("label").alias("label"))
         .limit(bound)
-        .collect()
+        .coalesce(1)
     )
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")))]
+        held.sort(key=lambda r: r[0])
+        model = fit([r[1] for r in held], [r[2] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    found = rows.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit([], [])
 
 
 def split_words(texts: pa.Array, separator: str | None = " ") -> tuple[list[str], np.ndarray, np.ndarray]:

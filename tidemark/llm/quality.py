@@ -6,7 +6,7 @@ vectors, a softmax over the classes gives its score, and minibatch stochastic gr
 descent in numpy learns vectors and output together.
 
 The model is fitted on a bounded sample of labelled rows (``EmbeddingSpec.good`` and
-``poor``, by a hash of the id) on the driver. As the output is linear in the average,
+``poor``, by a hash of the id) in one task. As the output is linear in the average,
 a word's part of the logit is one number, so scoring is one pass without a shuffle.
 
 Defined cases: null labels and ids are no training rows; null and empty texts score as
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
-from .common import arrow_map, label_sample, labelled_texts, split_words, whole_texts
+from .common import arrow_map, fit_on_sample, label_sample, split_words, whole_texts
 from .subwords import fill, sums, word_features
 
 
@@ -145,8 +145,7 @@ def scorer_of(model: EmbeddingModel) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame, where: Column, spec: EmbeddingSpec = EmbeddingSpec()) -> EmbeddingModel:
     """Fit on at most ``good + poor`` labelled rows that satisfy ``where`` (a condition on doc_id)."""
     chosen = label_sample(labels.select("doc_id", "quality"), "quality", where, {1: spec.good, 0: spec.poor})
-    rows = labelled_texts(docs, chosen, spec.good + spec.poor)
-    return fit([t for t, _ in rows], [x for _, x in rows], spec)
+    return fit_on_sample(docs, chosen, spec.good + spec.poor, lambda texts, labels: fit(texts, labels, spec))
 
 
 def score(docs: DataFrame, model: EmbeddingModel, keep: list[str] = ["doc_id"]) -> DataFrame:

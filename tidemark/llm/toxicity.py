@@ -6,7 +6,7 @@ sentences. Gradient descent on the documents' likelihood trains the word weights
 the sentences that score 0.5 or more locate what is offensive.
 
 The model is fitted on a bounded sample of labelled rows (``MilSpec.positives`` and
-``negatives``, by a hash of the id) on the driver; scoring covers all rows in one pass
+``negatives``, by a hash of the id) in one task; scoring covers all rows in one pass
 without a shuffle.
 
 Defined cases: null labels and ids are no training rows; null and empty texts score as
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, label_sample, labelled_texts, split_words, whole_texts
+from .common import arrow_map, fit_on_sample, label_sample, split_words, whole_texts
 from .subwords import fill, sums, word_features
 
 STOPS = (".", "!", "?")
@@ -187,8 +187,7 @@ def scorer_of(model: MilModel) -> Scorer:
 def train(docs: DataFrame, labels: DataFrame, where: Column, spec: MilSpec = MilSpec()) -> MilModel:
     """Fit on at most ``positives + negatives`` labelled rows that satisfy ``where`` (a condition on doc_id)."""
     chosen = label_sample(labels.select("doc_id", "toxic"), "toxic", where, {1: spec.positives, 0: spec.negatives})
-    rows = labelled_texts(docs, chosen, spec.positives + spec.negatives)
-    return fit([t for t, _ in rows], [x for _, x in rows], spec)
+    return fit_on_sample(docs, chosen, spec.positives + spec.negatives, lambda texts, labels: fit(texts, labels, spec))
 
 
 def score(docs: DataFrame, model: MilModel, keep: list[str] = ["doc_id"], least: float = 0.5) -> DataFrame:
