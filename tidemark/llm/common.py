@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import uuid
 from collections.abc import Callable, Iterator
@@ -51,7 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose Arrow buffers stay near ``most`` bytes; one huge row is its own batch."""
     for b in batches:
         n, size = b.num_rows, max(1, b.nbytes)
@@ -60,6 +62,16 @@ def text_batches(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iter
             yield b.slice(at, step)
 
 
+def release_memory() -> None:
+    """Gives freed memory back, so that a worker that Spark keeps holds no more than its memos."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``make()``'s function over bounded Arrow batches of ``columns``, once per task."""
 
@@ -68,6 +80,7 @@ def arrow_map(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
         for b in text_batches(batches):
             if b.num_rows:
                 yield one(b)
+        release_memory()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -130,7 +143,9 @@ def fit_on_sample(docs: DataFrame, chosen: DataFrame, bound: int, fit: Callable[
         held = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")))]
         held.sort(key=lambda r: r[0])
         model = fit([r[1] for r in held], [r[2] for r in held])
+        del held
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        release_memory()
 
     found = rows.mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else fit([], [])

@@ -55,7 +55,7 @@ def _features(words: list[str], low: int, high: int, buckets: int) -> tuple[np.n
 
 def fill(memo: dict, words: list[str], make: Callable[[list[str]], list]) -> None:
     """Adds what ``make`` gives for the words ``memo`` lacks; starts it afresh when it is full."""
-    if len(memo) > MEMO_ENTRIES // 2:
+    if len(memo) > MEMO_ENTRIES // 3:
         memo.clear()
     new = [w for w in words if w not in memo]
     if new:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, gather, new_path, split_words, text_batches, whole_texts
+from .common import MEMO_ENTRIES, gather, new_path, release_memory, split_words, text_batches, whole_texts
 
 STORE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
@@ -111,7 +111,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
 
     def encode(batches):
         encoder, shard, start = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
-        for b in text_batches(batches, 8 << 20):
+        for b in text_batches(batches, 6 << 20):
             ids, ends = encoder.encode(whole_texts(b.column("text")))
             values = pa.array(np.insert(ids, ends[1:], end_id).view(np.int32))
             offsets = ends + np.arange(len(ends))
@@ -121,6 +121,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | N
                 names=["doc_id", "shard", "local_start", "n_tokens", "ids"],
             )
             start += int(offsets[-1])
+        release_memory()
 
     (
         docs.select("doc_id", "text")
