@@ -177,7 +177,9 @@ def learn(pages: DataFrame, sample: int = 2_000) -> RegionWeights:
         names = set(known)
         return one
 
-    labelled = pages.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+    named = pages.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("page_id", "html")
+    chosen = named.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids alone are gathered
+    labelled = named.join(F.broadcast(chosen), "page_id")
     found = arrow_map(labelled, ["html"], make, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
     counts = {r["name"]: (r["inside"], r["outside"]) for r in found}
     return weights_from(counts)
