@@ -50,9 +50,10 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents kept by their rates towards TARGET_WEIGHTS, none more than once.
 
     The targets ask for every good token once (with a little headroom, so that a good
-    document's rate isn't below one by a trifle); the other domains are thinned.
+    document's rate isn't below one by a trifle), whatever the other domains hold; those
+    are thinned to their share, and kept where they have less.
     """
-    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGET_WEIGHTS, headroom=1.05)
+    mixed = mixing.mix(docs, table(spark, sf_dir, "labels"), TARGET_WEIGHTS, headroom=1.05, whole="good")
     gone = mixed.where("copies = 0 and n_tokens > 0").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -43,6 +43,16 @@ def test_stages_in_order(spark, sf_dir):
     assert poor.join(mixed, "doc_id", "left_semi").count() < poor.count()
 
 
+@pytest.mark.parametrize("n_poor,labelled", [(0, True), (3, True), (0, False)])
+def test_mixing_keeps_good_documents_when_poor_ones_are_scarce(spark, tmp_path, n_poor, labelled):
+    text = lambda i: " ".join(f"{'junk' if i < n_poor else 'prose'}{(i * 31 + j * j) % 60}" for j in range(50))
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 80) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i >= n_poor), 0) for i in range(300 if labelled else 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    left = {r["doc_id"] for r in corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).collect()}
+    assert left >= set(range(n_poor, 300))
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0

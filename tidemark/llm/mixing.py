@@ -140,21 +140,36 @@ def solve(rows: DataFrame, targets: np.ndarray, spec: MixSpec = MixSpec()) -> tu
     return moves, totals
 
 
-def token_targets(rows: DataFrame, weights: dict[str, float], headroom: float = 1.0) -> np.ndarray:
-    """Target tokens by domain: the largest mix of these weights that needs no domain more than once, times ``headroom``; domains without a weight are free (NaN)."""
+def token_targets(rows: DataFrame, weights: dict[str, float], headroom: float = 1.0, whole: str | None = None) -> np.ndarray:
+    """Target tokens by domain: the largest mix of these weights that needs no domain more than once, times ``headroom``; domains without a weight are free (NaN).
+
+    With ``whole`` the mix is sized by that domain alone, so that it is there once; a
+    domain too scarce for its share is then asked for once as well and binds nothing.
+    """
     found = rows.agg(*[F.sum(F.col("n_tokens") * F.col("p")[k]) for k in range(len(DOMAINS))]).first()
     have = np.array([x or 0.0 for x in found])
     share = np.array([weights.get(d, np.nan) for d in DOMAINS], float)
     share /= max(1e-12, np.nansum(share))
+    if whole is not None:
+        k = DOMAINS.index(whole)
+        return np.minimum(have, share * (have[k] / share[k])) * headroom
     wanted = np.nan_to_num(share) > 0
     budget = float((have[wanted] / share[wanted]).min()) if wanted.any() else 0.0
     return share * budget * headroom
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], headroom: float = 1.0, spec: MixSpec = MixSpec()) -> DataFrame:
-    """doc_id, n_tokens, p, rate and copies: the rate rounded up or down by a hash of doc_id, right in expectation."""
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], headroom: float = 1.0, spec: MixSpec = MixSpec(), whole: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, p, rate and copies: the rate rounded up or down by a hash of doc_id, right in expectation.
+
+    Where the posteriors can't thin the other domains and keep ``whole``, the others are free.
+    """
     rows = stored(posteriors(docs, train(docs, labels, spec)), "posteriors")
-    moves, _ = solve(rows, token_targets(rows, weights, headroom), spec)
+    targets = token_targets(rows, weights, headroom, whole)
+    moves, totals = solve(rows, targets, spec)
+    if whole is not None:
+        first = np.array([d == whole for d in DOMAINS])
+        if (totals * headroom < targets * (1 - spec.tolerance))[first].any():
+            moves, _ = solve(rows, np.where(first, targets, np.nan), spec)
     rated = _with_rates(rows, moves, ["doc_id", "n_tokens", "p"])
     chance = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"))
