@@ -178,6 +178,27 @@ def test_pages(page, want):
     assert html_text.extract(page, WEIGHTS) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><p class="share">Share<p>Body one</p><p>Body two</p></article>', "Body one\nBody two"),
+        ('<article><p class="share">Share<hr>Body <b>one</b><div>Body two</div></article>', "Body one\nBody two"),
+        ('<article><div><p class="share">Share <b>x</i></div>Body</article>', "Body"),
+        ('<article><ul><li>one<li class="share">Share<ul><li>x<li>y</ul>z<li>two</ul><p>Body</article>', "one\ntwo\nBody"),
+        ('<article><ul><li class="share">Share</ul><dl><dt>a<dd class="share">b<dt>c<dd>d</dl></article>', "a\nc\nd"),
+        ('<article><table><tr><td class="share">s<table><tr><td>x</table>y<td>a<tr class="share"><td>s<tr><td>b</table>c</article>', "a\nb\nc"),
+        ('<article><div class="share"><p>s<p>t</div><p>Body<section><span class="share">s</section>on</article>', "Body\non"),
+    ],
+)
+def test_pages_with_end_tags_left_out(page, want):
+    assert html_text.extract(page, WEIGHTS) == want
+
+
+def test_deep_pages_take_linear_time():
+    for page in ("<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000 + "x", '<p class="share">' * 100_000 + "x", "<ul><li>" * 100_000 + "</ul>" * 100_000):
+        html_text.parse(page)
+
+
 def test_best_run_equals_brute_force():
     random = np.random.default_rng(9)
     for _ in range(50):

@@ -8,7 +8,8 @@ linear scan finds the contiguous run with the highest sum; where it lies in an a
 or main element, the run widens to that element, else to whole blocks.
 
 Defined cases: null and empty pages, and pages without words, give an empty text; an
-unclosed element ends with its container; repeated rows stay; without labelled pages the
+unclosed element ends where HTML implies its end tag (a paragraph at the next block, an
+item or cell at the next one), else with its container; repeated rows stay; without labelled pages the
 default weights hold; an empty table gives an empty result; other columns of the input
 are ignored but for those named to keep.
 """
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import html as _html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -29,6 +32,22 @@ from .common import arrow_map, string_list
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 ASIDE = frozenset("aside button canvas datalist dialog embed footer form head header iframe input label map menu nav noscript object option select svg template textarea".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that bound the reach of an end tag, and blocks that a search for an open item passes.
+SCOPE = ("caption", "html", "object", "table", "td", "template", "th")
+SPECIAL = BLOCKS | {"button", "object", "select", "template"}
+LOOSE = ("address", "div", "p")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Start tags that end an open paragraph.
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
+_ROWS, _CELLS = ("tbody", "thead", "tfoot"), ("caption", "td", "th")
+#: By start tag: the open elements it ends, and the elements that keep those beyond them open.
+ENDS = {
+    **{x: (("td", "th"), ("table", "tr")) for x in ("td", "th")},
+    "tr": (("tr", *_CELLS), ("table", *_ROWS)),
+    **{x: ((*_ROWS, "tr", *_CELLS), ("table",)) for x in _ROWS},
+    "option": (("option",), ("datalist", "optgroup", "select")),
+    "optgroup": (("optgroup", "option"), ("select",)),
+}
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = ("article", "main")
 #: Words in a class, id or role that mark what isn't content.
@@ -64,6 +83,61 @@ def _is_aside(name: str, attrs: str) -> bool:
     return any(ASIDE_WORDS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower().replace("_", "-")) for m in marks)
 
 
+class OpenElements:
+    """The open elements by HTML's rules for end tags left out; a look costs a few ends of lists, whatever the depth."""
+
+    def __init__(self):
+        self.names: list[str] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.special: list[int] = []
+        self.firm: list[int] = []  # special but for LOOSE
+
+    def _last(self, names) -> int:
+        return max((self.at[n][-1] for n in names if self.at[n]), default=-1)
+
+    def push(self, name: str) -> None:
+        for places in (self.at[name], *([self.special] if name in SPECIAL else []), *([self.firm] if name in SPECIAL and name not in LOOSE else [])):
+            places.append(len(self.names))
+        self.names.append(name)
+
+    def cut(self, depth: int) -> None:
+        while len(self.names) > depth:
+            self.at[self.names.pop()].pop()
+        for places in (self.special, self.firm):
+            while places and places[-1] >= depth:
+                places.pop()
+
+    def start(self, name: str) -> None:
+        """End what the start tag ends."""
+        same = ("li",) if name == "li" else ("dd", "dt") if name in ("dd", "dt") else ()
+        if same and self.firm and self.names[self.firm[-1]] in same:
+            self.cut(self.firm[-1])
+        if name in ENDS:
+            ended, until = ENDS[name]
+            bound = self._last(until)
+            found = [self.at[n][i] for n in ended if (i := bisect_right(self.at[n], bound)) < len(self.at[n])]
+            if found:
+                self.cut(min(found))
+        if name in ENDS_P and self.at["p"] and self.at["p"][-1] > self._last((*SCOPE, "button")):
+            self.cut(self.at["p"][-1])
+
+    def end(self, name: str) -> None:
+        """End the element that the end tag names and all within, if it is in reach."""
+        found = self._last(HEADINGS if name in HEADINGS else (name,))
+        if found < 0:
+            return
+        if name in CONTENT or name in ("body", "html", "table") or name in ASIDE and name not in BLOCKS:
+            bound = -1
+        elif name in ENDS:
+            bound = self._last(("table",))
+        elif name not in BLOCKS:
+            bound = self.special[-1] if self.special else -1
+        else:
+            bound = self._last((*SCOPE, *{"p": ("button",), "li": ("ol", "ul")}.get(name, ())))
+        if found > bound:
+            self.cut(found)
+
+
 def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
     """Tokens outside set-aside elements, and the token spans of article and main elements.
 
@@ -72,29 +146,35 @@ def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
     tokens: list = []
     spans: list[tuple[int, int]] = []
     open_: list[int] = []
-    skip, depth = "", 0
+    elements = OpenElements()
+    skip, depth = "", 0  # the set-aside element and its place among the open ones
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is not None:
             name = name.lower()
-            close = bool(m["close"])
+            close, empty = bool(m["close"]), name in VOID or m["attrs"].endswith("/")
+            if skip and name in CONTENT and not close and skip not in ("form", "aside"):
+                elements.cut(depth)  # the element was never closed
+            elif close:
+                elements.end(name)
+            else:
+                elements.start(name)
             if skip:
-                if name in CONTENT and not close and skip not in ("form", "aside"):
-                    skip = ""  # the element was never closed
-                elif name == skip:
-                    depth += -1 if close else not m["attrs"].endswith("/")
-                    if depth == 0:
-                        skip = ""
-                        tokens.append("/" + name)
+                if len(elements.names) > depth and not (close and name == "body"):
+                    if not close and not empty:
+                        elements.push(name)
+                    continue
+                elements.cut(depth)
+                tokens.append("/" + skip)
+                ended, skip = skip, ""
+                if close and name == ended:
                     continue
-                elif close and name in CONTENT and open_ or close and name == "body":
-                    skip = ""
-                else:
+            if not close and not empty:
+                elements.push(name)
+                if _is_aside(name, m["attrs"]):
+                    skip, depth = name, len(elements.names) - 1
+                    tokens.append(name)
                     continue
-            if not close and name not in VOID and not m["attrs"].endswith("/") and _is_aside(name, m["attrs"]):
-                skip, depth = name, 1
-                tokens.append(name)
-                continue
             if name in CONTENT:
                 if not close:
                     open_.append(len(tokens))
