@@ -194,6 +194,27 @@ def test_pages_with_end_tags_left_out(page, want):
     assert html_text.extract(page, WEIGHTS) == want
 
 
+LONG = "{hidden : class=ads > < " + "x y " * 25_000 + " hidden }"
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><div class='sidebar' data-x='{'x > ' * 25_000}'>side<div data-y=\"{'y>' * 50_000}\">s</div>side</div><p>body</p></article>", "body"),
+        (f"<p>a b c d</p><ul><li>x</ul><article data-x=\"{'z ' * 50_000}\"><p>body one</p><p data-x='{'> ' * 1_500}'>body two three</p></article>", "body one\nbody two three"),
+        (f"<article><p data-x='{LONG}'>body</p><p srcset=a/b?c='d title=don't>more</p></article>", "body\nmore"),
+        ("<article><p title=\"never closed>body</p><p>more</p></article>", "body\nmore"),
+    ],
+)
+def test_pages_with_long_attributes(page, want):
+    assert html_text.extract(page, WEIGHTS) == want
+
+
+def test_odd_tags_take_linear_time():
+    for page in ("<a title='" * 100_000, "<a " * 100_000, "<a x=\">" * 100_000, "<a x='>\"" * 100_000, "<p class=\"" + "x " * 500_000):
+        html_text.parse(page)
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000 + "x", '<p class="share">' * 100_000 + "x", "<ul><li>" * 100_000 + "</ul>" * 100_000):
         html_text.parse(page)

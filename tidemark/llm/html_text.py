@@ -54,13 +54,16 @@ CONTENT = ("article", "main")
 ASIDE_WORDS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|complementary|contentinfo|consent|cookies?|disqus|footer|header|masthead|menus?|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|respond|search|share\w*|sharing|sidebars?|social|sponsor\w*|subscribe|widgets?)(?![a-z])"
 )
+#: An attribute as HTML reads it: a quote after "=" opens a value of any length; one that never closes is a plain character, so its tag ends at the next ">".
+_ATTRIBUTE = r"(?P<key>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"|'(?P<single>[^']*+)'|(?P<bare>[^\s>\"'][^\s>]*+)|(?=>)))?+"
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+#: Each character is read a bounded number of times: a tag goes to its ">" or, without one, takes the rest of the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]{0,2000}\"|'[^']{0,2000}')*+)>|<[/!?a-z][^>]*>|(?P<text>[^<]+|<)",
+    rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[\s/]++|{_ATTRIBUTE})*+)(?P<end>>?)|<[/!?][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 
 
 @dataclass(frozen=True)
@@ -75,11 +78,14 @@ class RegionWeights:
 def _is_aside(name: str, attrs: str) -> bool:
     if name in ASIDE:
         return True
-    if name in ("html", "body", *CONTENT) or "=" not in attrs and "hidden" not in attrs:
+    if name in ("html", "body", *CONTENT) or not attrs:
         return False
-    if HIDDEN.search(attrs):
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attrs):
+        found.setdefault(m["key"].lower(), m["double"] or m["single"] or m["bare"] or "")
+    if "hidden" in found or INVISIBLE.search(found.get("style", "")) or found.get("aria-hidden", "").strip().lower() == "true":
         return True
-    marks = (a or b or c for a, b, c in MARKED.findall(attrs))
+    marks = (found[k] for k in ("class", "id", "role") if k in found)
     return any(ASIDE_WORDS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower().replace("_", "-")) for m in marks)
 
 
@@ -150,7 +156,7 @@ def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
     skip, depth = "", 0  # the set-aside element and its place among the open ones
     for m in TOKEN.finditer(page):
         name = m["name"]
-        if name is not None:
+        if name is not None and m["end"]:
             name = name.lower()
             close, empty = bool(m["close"]), name in VOID or m["attrs"].endswith("/")
             if skip and name in CONTENT and not close and skip not in ("form", "aside"):
@@ -181,8 +187,8 @@ def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
                 elif open_:
                     spans.append((open_.pop(), len(tokens) + 1))
             tokens.append("/" + name if close else name)
-        elif m["text"] is not None and not skip:
-            text = _html.unescape(m["text"])
+        elif (m["text"] is not None or name is not None) and not skip:  # a tag that never ends is text
+            text = _html.unescape(m[0])
             tokens.append((text, len(text.split())))
     spans += [(a, len(tokens)) for a in open_]
     return tokens, spans
