@@ -215,6 +215,17 @@ def test_odd_tags_take_linear_time():
         html_text.parse(page)
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<main><article><p>the words of it</p></article><div><a>unmarked</a><a>related</a></div></main>", "the words of it"),
+        ("<main><p>the many words of it</p><article>card</article></main>", "the many words of it\ncard"),
+    ],
+)
+def test_the_innermost_element_with_the_run(page, want):
+    assert html_text.extract(page, WEIGHTS) == want
+
+
 def test_deep_pages_take_linear_time():
     for page in ("<div>" * 100_000 + "x", "<p><button>" + "<div>" * 100_000 + "x", '<p class="share">' * 100_000 + "x", "<ul><li>" * 100_000 + "</ul>" * 100_000):
         html_text.parse(page)

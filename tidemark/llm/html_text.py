@@ -5,7 +5,8 @@ is learned from labelled pages, those whose markup names the content (an article
 element), as log odds of a tag standing outside the content rather than inside. Elements
 that are never content (menus, forms, scripts, comments, ...) are set aside first. One
 linear scan finds the contiguous run with the highest sum; where it lies in an article
-or main element, the run widens to that element, else to whole blocks.
+or main element, the run widens to the innermost one that holds most of its words, else
+to whole blocks.
 
 Defined cases: null and empty pages, and pages without words, give an empty text; an
 unclosed element ends where HTML implies its end tag (a paragraph at the next block, an
@@ -210,9 +211,9 @@ def best_run(tokens: list, weights: RegionWeights) -> tuple[int, int]:
 
 def _widen(tokens: list, spans: list[tuple[int, int]], run: tuple[int, int]) -> tuple[int, int]:
     words = lambda a, b: sum(t[1] for t in tokens[a:b] if not isinstance(t, str))
-    inside = [(words(max(a, run[0]), min(b, run[1])), b - a, (a, b)) for a, b in spans if a < run[1] and b > run[0]]
+    inside = [(words(max(a, run[0]), min(b, run[1])), a - b, (a, b)) for a, b in spans if a < run[1] and b > run[0]]
     inside = [x for x in inside if x[0]]
-    if inside:  # the element that holds most of the run; of nested ones the widest
+    if inside:  # the element that holds most of the run; of nested ones the innermost
         return max(inside)[2]
     is_block = lambda t: isinstance(t, str) and t.lstrip("/") in BLOCKS
     start, end = run
