@@ -50,6 +50,18 @@ def test_tier_choice_and_smoothing():
     assert q.smoothing_of("10h", b).bins == 5 and q.smoothing_of(1, b) is None
 
 
+def test_splice_below_several_stale_tiers(spark):
+    p, hour, day = default_pyramid([{"name": "v"}]), 3_600_000, 86_400_000
+    readings = spark.range(0, 7 * 144).select((F.col("id") % 2).alias("device_id"), F.timestamp_millis(F.col("id") * 600_000).alias("timestamp"), F.col("id").cast("double").alias("v"))
+    tiers = {n: t.localCheckpoint() for n, t in q.build_tiers(p, readings).items()}
+    want = sorted(map(tuple, tiers["h6"].collect()))
+    for fresh in ({"h6": 3 * day, "h2": 3 * day}, {"h6": 3 * day, "h2": 3 * day + 5 * hour, "m30": 5 * day + hour, "m10": 6 * day + 1}, {"h6": 0, "h2": 0, "m30": 0, "m10": 0}):
+        held = {n: t.where(F.col("ts") + p.tier(n).bin.ms <= fresh.get(n, 8 * day)) for n, t in tiers.items()}
+        plan = q.plan_query(p, 0, 7 * day, 30, fresh)
+        assert plan.output_tier == "h6" and plan.segments[0].start == 0 and plan.segments[-1].end == 7 * day
+        assert sorted(map(tuple, q.execute(plan, p, held, 0, 7 * day).collect())) == want
+
+
 def test_previous_over_chunks(spark):
     df = spark.createDataFrame([(1, t) for t in (5, 7, 25, 26, 99)] + [(2, 50)], "d long, t long")
     out = {(r["d"], r["t"]): r["previous"] for r in series.previous(df, "t", ["d"], F.floor(F.col("t") / 10)).collect()}

@@ -71,10 +71,12 @@ def smoothing_of(request: str | int | None, bin_: Duration, mode: str = "centere
 
 
 def plan_query(pyramid: Pyramid, start: int, end: int, budget: int, fresh: dict[str, int], smooth: str | int | None = None, mode: str = "centered") -> QueryPlan:
-    """Segments of the chosen tier and, past what it holds, of the nearest finer tier that divides it.
+    """Segments of the chosen tier and, past what each tier holds, of the nearest finer tier that divides it, down to the finest.
 
-    ``fresh``: up to where each tier has data (ms). Bins that cross the cut come whole
-    from the finer tier. The scan widens by the smoothing's reach.
+    ``fresh``: up to where each tier has data (ms); a tier without an entry holds the whole
+    range. Bins that cross a cut come whole from finer tiers; a tier no fresher than those
+    above it has no segment, and the finest tier has the rest. The scan widens by the
+    smoothing's reach.
     """
     name = choose_tier(pyramid, end - start, budget)
     tier = pyramid.tier(name)
@@ -83,12 +85,16 @@ def plan_query(pyramid: Pyramid, start: int, end: int, budget: int, fresh: dict[
     lo = start // width * width - (smoothing.before * width if smoothing else 0)
     hi = -(-end // width) * width + (smoothing.after * width if smoothing else 0)
     finest = min(pyramid.tiers, key=lambda t: t.bin.ms).name
-    source = pyramid.source_of(name)
-    segments = [Segment(name, lo, hi, False)]
-    if source is not None and fresh.get(name, hi) < min(hi, fresh.get(source.name, hi)):
-        cut = max(lo, fresh[name] // width * width)
-        segments = [s for s in (Segment(name, lo, cut, False), Segment(source.name, cut, hi, True)) if s.start < s.end]
-    return QueryPlan(name, str(tier.bin), fresh.get(finest, end), tuple(segments), smoothing)
+    segments, at, now = [], lo, tier
+    while now is not None and at < hi:
+        source = pyramid.source_of(now.name)
+        bins = now.bin.ms
+        to = hi if source is None else min(hi, fresh.get(now.name, hi) // bins * bins)
+        if to > at:
+            segments.append(Segment(now.name, at, to, now is not tier))
+            at = to
+        now = source
+    return QueryPlan(name, str(tier.bin), fresh.get(finest, end), tuple(segments or [Segment(name, lo, hi, False)]), smoothing)
 
 
 def execute(plan: QueryPlan, pyramid: Pyramid, tiers: dict[str, DataFrame], start: int, end: int, device_ids: list[int] | None = None) -> DataFrame:
