@@ -119,6 +119,30 @@ def test_alert_levels(spark):
     assert [staleness.next_level(x) for x in (0, 5, 15, 60, 360, 1440, 10_080)] == [5, 15, 60, 120, 480, 1800, 11_520]
 
 
+def test_alerts_over_chunks_equal_one_fold(spark):
+    import random
+
+    pick, rows = random.Random(4), []
+    start = 1_704_067_200_000 - 40 * 86_400_000
+    for device, step in ((1, 600), (2, 7_000), (3, 90_000), (None, 50_000)):
+        times = sorted(pick.sample(range(0, 60 * 86_400, 7), 60 * 86_400 // step // 2))
+        for t in [*times, 31 * 86_400 + 60]:
+            stale = pick.choice([0, 2, 7, 20, 70, 130, 800, 3_000, 20_000]) if device != 3 else 20_000
+            now = start + t * 1000 + 1
+            rows.append((device, now, None if pick.random() < 0.1 else now - stale * 60_000))
+        rows += [(device, 1_704_067_200_001, None)]  # under five minutes into a month: below any level
+    df = spark.createDataFrame(rows, "device_id long, checked_at long, last_at long").repartition(5).dropDuplicates(["device_id", "checked_at"])
+    want = []
+    for device in (1, 2, 3, None):
+        own = sorted((r["checked_at"], r["last_at"]) for r in df.collect() if r["device_id"] == device)
+        want += [(device, *r) for r in staleness.fold(iter(own), staleness.AlertState())[0]]
+    out = staleness.alerts(df)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # no device is one group
+    assert staleness.alerts(df.limit(0)).count() == 0
+
+
 def test_alert_stream_equals_batch(spark, tmp_path):
     checks = [(d, 10**12 + i * 60_000, 10**12 - d * 60_000 * 3) for d in (1, 2, 3) for i in range(40)]
     df = spark.createDataFrame(checks, "device_id long, checked_at long, last_at long")

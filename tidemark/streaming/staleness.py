@@ -1,12 +1,22 @@
-"""Staleness alerts: a small state machine per device, over a batch of checks or a stream."""
+"""Staleness alerts: a small state machine per device, over a batch of checks or a stream.
+
+Over a batch no task holds a device: what a day of checks makes of any state is one row,
+these are folded to the state each day begins with, and the days are folded from there.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Alert levels in minutes, and the step to the next by the level reached.
@@ -44,8 +54,16 @@ def check(state: AlertState, now: int, last: int | None, month_start: int) -> tu
     return "below-level", minutes, after
 
 
+DAY_MS = 86_400_000
+
+
 def _month_start(ms: int) -> int:
-    at = pd.Timestamp(ms, unit="ms")
+    return _month_of(ms // DAY_MS)
+
+
+@lru_cache(maxsize=4_096)
+def _month_of(day: int) -> int:
+    at = pd.Timestamp(day * DAY_MS, unit="ms")
     return int(at.replace(day=1).normalize().value // 1_000_000)
 
 
@@ -69,13 +87,118 @@ def _checks(pdf: pd.DataFrame) -> Iterator[tuple[int, int | None]]:
     return ((int(t), None if pd.isna(x) else int(x)) for t, x in zip(ordered.checked_at, ordered.last_at))
 
 
-def alerts(checks: DataFrame) -> DataFrame:
-    """The checks (device_id, checked_at, last_at; ms) of each device folded in order."""
+#: Stands for the first_stale_at that a chunk was entered with.
+KEPT = -(1 << 62)
+_LEVELS = [0]
+
+
+def _rank(minutes: int) -> int:
+    """How many levels there are up to ``minutes``."""
+    while _LEVELS[-1] <= minutes:
+        _LEVELS.append(next_level(_LEVELS[-1]))
+    return max(0, bisect_right(_LEVELS, minutes) - 1)
+
+
+def transition(checks: Iterator[tuple[int, int | None]]) -> tuple:
+    """What the checks make of any state: ranks by entry rank, first_stale_at where none was set, and, after a fresh check, the states.
+
+    Until a fresh check a level only climbs: ranks[r] is what rank r became, and ranks
+    beyond stay. The first fresh check resets all but states without a level, which keep
+    their first_stale_at. ``states``: from a level, from none, from none with first_stale_at set.
+    """
+    ranks, since, states = np.arange(1), 0, None
+    for now, last in checks:
+        month = _month_start(now)
+        if states is not None:
+            states = [check(s, now, last, month)[2] for s in states]
+            if len(states) == 3 and states[0] == states[1] == states[2]:
+                states = states[:1]
+            continue
+        status, minutes, after = check(AlertState(), now, last, month)
+        if status == "fresh":
+            states = [AlertState(), AlertState(0, since), AlertState(0, KEPT)] if ranks[0] == 0 else [AlertState()]
+        else:
+            top = _rank(minutes)
+            ranks = np.append(ranks, np.arange(len(ranks), top + 1))
+            ranks += ranks < top
+            since = since or after.first_stale_at
+    return ranks.tolist(), since, None if states is None else [x for s in states for x in (s.level, s.first_stale_at)]
+
+
+def enter(state: AlertState, ranks: list[int], since: int, states: list[int] | None) -> AlertState:
+    """The state after the checks of a ``transition`` from ``state``."""
+    if states is None:
+        rank = _rank(state.level)
+        after = ranks[rank] if rank < len(ranks) else rank
+        while len(_LEVELS) <= after:
+            _LEVELS.append(next_level(_LEVELS[-1]))
+        return AlertState(_LEVELS[after], state.first_stale_at or since)
+    at = 0 if len(states) == 2 or state.level else 2 if state.first_stale_at else 1
+    level, first = states[2 * at : 2 * at + 2]
+    return AlertState(level, state.first_stale_at if first == KEPT else first)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
-    def one(key, pdf):
-        return _frame(key[0], fold(_checks(pdf), AlertState())[0])
 
-    return checks.groupBy("device_id").applyInPandas(one, SCHEMA)
+def _batches(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], size: int = 4_096) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+
+
+LONG = pa.int64()
+
+
+def _transitions(batches):
+    def rows():
+        for (device, chunk), own in groupby(_rows(batches), key=lambda r: r[:2]):
+            yield (device, chunk, *transition(r[2:] for r in own))
+
+    return _batches(rows(), ["device_id", "chunk", "ranks", "since", "states"], [LONG, LONG, pa.list_(LONG), LONG, pa.list_(LONG)], 256)
+
+
+def _entries(batches):
+    def rows():
+        for device, own in groupby(_rows(batches), key=lambda r: r[0]):
+            state = AlertState()
+            for _, chunk, *made in own:
+                yield device, chunk, state.level, state.first_stale_at
+                state = enter(state, *made)
+
+    return _batches(rows(), ["device_id", "chunk", "level", "first"], [LONG] * 4)
+
+
+def _folded(batches):
+    def rows():
+        for _, own in groupby(_rows(batches), key=lambda r: r[:2]):
+            state = None
+            for device, _, now, last, level, first in own:
+                (row,), state = fold(iter([(now, last)]), state or AlertState(level, first))
+                yield device, *row
+
+    return _batches(rows(), ["device_id", "checked_at", "status", "stale_minutes", "level", "first_stale_at"], [LONG, LONG, pa.string(), LONG, LONG, LONG])
+
+
+def alerts(checks: DataFrame) -> DataFrame:
+    """The checks (device_id, checked_at, last_at; ms) of each device folded in order.
+
+    Tasks stream sorted rows: the checks by device and day, and one row a day by device.
+    """
+    long = lambda c: F.col(c).cast("long").alias(c)
+    cut = checks.select(long("device_id"), F.floor(F.col("checked_at") / DAY_MS).cast("long").alias("chunk"), long("checked_at"), long("last_at"))
+    dealt = lambda df, *keys: df.repartition(*keys).sortWithinPartitions("device_id", "chunk", *(c for c in ("checked_at", "last_at") if c in df.columns))
+    made = dealt(cut, "device_id", "chunk").mapInArrow(_transitions, "device_id long, chunk long, ranks array<long>, since long, states array<long>")
+    entries = dealt(made, "device_id").mapInArrow(_entries, "device_id long, chunk long, level long, first long").select(F.col("device_id").alias("_device"), F.col("chunk").alias("_chunk"), "level", "first")
+    entered = cut.join(entries, F.col("device_id").eqNullSafe(F.col("_device")) & (F.col("chunk") == F.col("_chunk"))).drop("_device", "_chunk")
+    return dealt(entered, "device_id", "chunk").mapInArrow(_folded, SCHEMA)
 
 
 def alert_stream(checks: DataFrame) -> DataFrame:
