@@ -103,3 +103,12 @@ def test_mixing_over_odd_rows(spark):
     out = mixing.mix(docs, labels, {"good": 0.9, "poor": 0.1}).collect()
     assert len(out) == 6 and all(r["rate"] >= 0 and abs(sum(r["p"]) - 1) < 1e-6 for r in out)
     assert mixing.mix(docs.limit(0), labels, {"good": 1.0}).count() == 0
+
+
+def test_the_mix_holds_no_toxic_share(spark, sf_dir):
+    from tidemark.llm.queries import op7_mixing
+
+    out = op7_mixing(spark, sf_dir)
+    tokens = {d: F.sum(F.col("copies") * F.col("n_tokens") * F.col(f"p_{d}")) for d in mixing.DOMAINS}
+    kept = out.agg(*(c.alias(d) for d, c in tokens.items())).first()
+    assert kept["toxic"] < 0.03 * sum(kept) and kept["good"] > 0.8 * sum(kept)

@@ -61,7 +61,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Shares of tokens by domain that op7 aims at.
-TARGET_WEIGHTS = {"good": 0.9, "poor": 0.1}
+TARGET_WEIGHTS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
