@@ -107,3 +107,13 @@ def test_bounds_never_exceed_distances():
 def test_large_integers_stay_exact():
     q = np.array([[2.0**40, 1.0]])
     assert int(vector_search.exact(q, np.array([[2.0**20, 3.0]]))[0, 0]) == 2**60 + 3
+
+
+def test_frames_cover_the_end_of_a_medium():
+    spec = audio.AudioSpec()
+    for n in (1, 144, 384, 385, 432, 528, 14_400):
+        mels, energy = audio.log_mel(np.ones(n, np.float32), spec)
+        assert (len(mels) - 1) * spec.hop + spec.frame >= n > (len(mels) - 2) * spec.hop + spec.frame or len(mels) == 1
+    text = bytes(range(40, 104)) * 15
+    ends = [audio.describe(text[:-50] + tail + text[-8:], spec) for tail in (b"a" * 42, b"z" * 42)]
+    assert len(text) % 192 == 0 and ends[0]["mel_mean"] != ends[1]["mel_mean"] and ends[0]["patches"] != ends[1]["patches"]

@@ -108,10 +108,10 @@ def resample(x: np.ndarray, spec: AudioSpec) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray, spec: AudioSpec) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel frames [n, n_mels] and each frame's energy in dB; a short signal is one padded frame."""
+    """Log-mel frames [n, n_mels] and each frame's energy in dB; the last frame is padded, so that frames cover the whole signal."""
     if not len(y):
         return np.empty((0, spec.n_mels), np.float32), np.empty(0, np.float32)
-    short = max(0, spec.frame - len(y))
+    short = spec.frame - len(y) if len(y) <= spec.frame else -(len(y) - spec.frame) % spec.hop
     frames = np.lib.stride_tricks.sliding_window_view(np.pad(y, (0, short)), spec.frame)[:: spec.hop]
     mels, energy = [], []
     for at in range(0, len(frames), spec.block):
