@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,27 @@ def test_token_files(spark, tmp_path):
         start += len(ids)
 
 
+def test_every_code_point_as_the_library():
+    from tokenizers import Tokenizer
+
+    texts = [f"{chr(i)}. b{chr(i)}, .{chr(i)}" for i in range(0x30000) if not 0xD800 <= i < 0xE000] + ["KAD\u0130. ok", "\u0130, \u0130.", "[\u0130\u03a3]. \u03a3,"]
+    encoder, library = token_files.WordEncoder(WORD_TOKENIZER), Tokenizer.from_file(WORD_TOKENIZER)
+    ids, ends = encoder.encode(pa.array(texts, pa.large_string()))
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert encoder.chunked and not [t for t, e, a, b in zip(texts, want, ends[:-1], ends[1:]) if e.ids != ids[a:b].tolist()]
+
+
+def test_a_file_whose_tokens_hold_blanks():
+    """Its texts go through the library whole."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    ids, ends = encoder.encode(pa.array(ODD, pa.large_string()))
+    assert not encoder.chunked
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [e.ids for e in library.encode_batch(ODD, add_special_tokens=False)]
+
+
 def test_token_file_layout(spark, tmp_path):
     import glob
 

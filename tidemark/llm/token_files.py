@@ -32,12 +32,17 @@ from .common import MEMO_ENTRIES, gather, new_path, release_memory, split_words,
 STORE_SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
 
+#: Words, numbers, marks, letters of odd case and joining marks, for the probe below.
+PROBE = "I'll don't 'S 's a1-b2, 3.14 x.\n\n  \u00c9t\u00e9 e \u0308x \u0130. \u03a3\u03a3, \u6f22\u5b57 \u0661\u0662 \U0001f600\u200d! \tq <|x|> \u00df--(y)"
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizers file, with a memo of the chunks between blanks.
 
-    A blank or line end always ends a token of the file's pre-tokenizer, and its
-    normaliser works on either side of one alone, so a text's ids are those of its
-    chunks in order. Chunks not seen before go through the library together.
+    Where no token of the file reaches over a blank or line end (a probe tells), a text's
+    ids are those of its chunks in order; the library encodes each distinct chunk whole,
+    many at a time with a special token of the file between them. Else it encodes whole
+    texts.
     """
 
     def __init__(self, path: str):
@@ -45,54 +50,47 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(1 + max(vocab.values(), default=0), bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = lambda t: not (t.single_word or t.lstrip or t.rstrip or re.search(r"\s", t.content))
+        self.chunked = all(map(plain, added.values())) and self._one(PROBE) == [i for c in re.split("[ \n]", PROBE) for i in self._one(c)]
+        self.separator = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized), None)
         self.memo: dict[str, bytes] = {"": b""}
 
-    def _library(self, chunks: list[str]) -> None:
-        """Encode new chunks; plain words go in joined by blanks and are cut at word ends."""
-        plain = [c for c in chunks if c.isascii() and c.isalpha() or c.isalpha() and max(c) < "ɐ"]
-        parts = [plain[at : at + 500] for at in range(0, len(plain), 500)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):  # another kind of file: one by one
-                self._each(part)
+    def _one(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, chunks: list[str], together: int = 500) -> None:
+        """Puts the ids of new chunks into the memo."""
+        if self.separator is None:
+            self.memo.update(zip(chunks, self._each(chunks)))
+            return
+        cut, mark = self.separator
+        chunks, odd = [c for c in chunks if mark not in c], [c for c in chunks if mark in c]
+        parts = [chunks[at : at + together] for at in range(0, len(chunks), together)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == cut), len(ids))
+            if len(ends) != len(part):  # two chunks' ends make another special token
+                odd += part
                 continue
-            raw, ends = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-        self._each([c for c in chunks if c not in self.memo])
-
-    def _each(self, chunks: list[str]) -> None:
-        for chunk, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)):
-            self.memo[chunk] = np.array(e.ids, "<u4").tobytes()
-
-    def _prepared(self, texts: pa.Array) -> pa.Array:
-        """Lower case as the file's normaliser makes it, line ends as blanks, and stops that
-        follow a letter and precede a blank set apart, as the pre-tokenizer does.
-
-        Texts with special strings or with the two letters that lower otherwise here and
-        there keep their case.
-        """
-        odd = pc.match_substring_regex(texts, "[İΣ]|" + "|".join(map(re.escape, ["<|", *self.special])))
-        plain = pc.if_else(odd, texts, pc.utf8_lower(texts))
-        plain = pc.replace_substring(plain, "\n", " ")
-        return pc.if_else(odd, plain, pc.replace_substring_regex(plain, "([a-zß-öø-ž])([.,]) ", "\\1 \\2 "))
+            raw = ids.tobytes()
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist()))))
+        self.memo.update(zip(odd, self._each(odd)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends in them."""
-        words, numbers, ends = split_words(self._prepared(texts))
+        if not self.chunked:
+            found = self._each(texts.to_pylist())
+            return np.frombuffer(b"".join(found), "<u4"), np.concatenate([[0], np.cumsum([len(f) // 4 for f in found])]).astype(np.int64)
+        words, numbers, ends = split_words(pc.replace_substring(texts, "\n", " "))
         memo = self.memo
         found = list(map(memo.get, words))
-        new = [w for w, f in zip(words, found) if f is None]
-        cut = {c for c in new if len(c) > 1 and c[-1] in ".," and c[-2].isalpha() and c[-2] < "ɐ" and "<|" not in c}
-        self._library(list(dict.fromkeys([c for c in new if c not in cut] + [x for c in cut for x in (c[:-1], c[-1]) if x not in memo])))
-        for c in cut:  # a letter and a stop are always apart
-            memo[c] = memo[c[:-1]] + memo[c[-1]]
+        self._learn([w for w, f in zip(words, found) if f is None])
         found = [memo[w] if f is None else f for w, f in zip(words, found)]
-        if len(memo) > MEMO_ENTRIES // 3:  # the words of this batch are the likeliest in the next
+        if len(memo) > 3 * MEMO_ENTRIES // 4:  # the words of this batch are the likeliest in the next
             self.memo = dict(zip(words, found)) | {"": b""}
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = gather(np.frombuffer(b"".join(found), "<u4"), (np.cumsum(sizes) - sizes)[numbers], sizes[numbers])
