@@ -3,14 +3,17 @@
 ``store_media`` keeps samples losslessly as 8-bit mono WAV in a Parquet binary column;
 ``read_samples`` takes them out again. ``features`` resamples by a polyphase filter,
 takes overlapped log-mel filterbank frames, finds active spans by an energy threshold
-with hysteresis, and returns for each medium one Arrow IPC stream: a row a patch of
-frames, with its start and end in milliseconds and a fixed-shape tensor
-``[patch_frames, n_mels]``. A short last patch is padded with the floor value.
+with hysteresis, and makes of each medium one Arrow IPC stream: a row a patch of frames, with
+its start and end in milliseconds and a fixed-shape tensor ``[patch_frames, n_mels]`` of
+16-bit floats. A short last patch is padded with the floor value. ``store_features``
+keeps these streams beside the spans in Parquet, and ``tensor_means`` reads the tensors
+back.
 
 Defined cases: a null payload is an empty one, whose medium has no samples, no patch and
 no span; rows that repeat stay; equal payloads give equal media and features, as each
 row is computed by itself; an empty table gives an empty result. Long media are filtered
-and framed in blocks, so memory beyond the samples themselves is bounded.
+and framed in blocks, so memory beyond the samples themselves is bounded. Columns of the
+input beside the id and the payload are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, new_path
 
-FEATURE_SCHEMA = "n_frames int, patches binary, spans array<struct<start_ms: int, end_ms: int>>, mel_mean array<float>"
+FEATURE_SCHEMA = "n_frames int, patches binary, spans array<struct<start_ms: int, end_ms: int>>"
 
 
 @dataclass(frozen=True)
@@ -135,9 +138,9 @@ def active_spans(energy: np.ndarray, spec: AudioSpec) -> list[tuple[int, int]]:
 def _patches(mels: np.ndarray, spec: AudioSpec) -> bytes:
     """An Arrow stream of fixed-shape tensors with time spans."""
     n = -(-len(mels) // spec.patch_frames)
-    data = np.full((n * spec.patch_frames, spec.n_mels), np.log(np.float32(1e-6)), np.float32)
+    data = np.full((n * spec.patch_frames, spec.n_mels), np.log(1e-6), np.float16)
     data[: len(mels)] = mels
-    kind = pa.fixed_shape_tensor(pa.float32(), [spec.patch_frames, spec.n_mels])
+    kind = pa.fixed_shape_tensor(pa.float16(), [spec.patch_frames, spec.n_mels])
     tensors = pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(pa.array(data.ravel()), spec.patch_frames * spec.n_mels))
     first = np.arange(n) * spec.patch_frames
     last = np.minimum(first + spec.patch_frames, len(mels)) - 1
@@ -164,7 +167,6 @@ def describe(samples: bytes, spec: AudioSpec) -> dict:
         "n_frames": len(mels),
         "patches": _patches(mels, spec),
         "spans": [{"start_ms": ms(s * spec.hop), "end_ms": ms((e - 1) * spec.hop + spec.frame)} for s, e in spans],
-        "mel_mean": (mels.mean(axis=0) if len(mels) else np.zeros(spec.n_mels, np.float32)).tolist(),
     }
 
 
@@ -192,11 +194,11 @@ def features(media: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media and the features of its samples."""
     import hashlib
 
-    names = ["n_frames", "patches", "spans", "mel_mean"]
+    names = ["n_frames", "patches", "spans"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, " + FEATURE_SCHEMA
 
     def make():
-        types = [pa.int32(), pa.binary(), pa.list_(pa.struct([("start_ms", pa.int32()), ("end_ms", pa.int32())])), pa.list_(pa.float32())]
+        types = [pa.int32(), pa.binary(), pa.list_(pa.struct([("start_ms", pa.int32()), ("end_ms", pa.int32())]))]
 
         def one(b):
             media = b.column("media").to_pylist()
@@ -216,8 +218,34 @@ def features(media: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
     return arrow_map(media, ["doc_id", "n_bytes", "media"], make, schema)
 
 
+def store_features(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """Write what ``features`` makes, tensors and spans, and read it back."""
+    path = path or new_path(rows.sparkSession, "features")
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def tensor_means(stored: DataFrame, spec: AudioSpec = AudioSpec()) -> DataFrame:
+    """The columns of stored features and ``mel_mean``, from the tensors read back; the padding stays out."""
+
+    def make():
+        def mean(stream: bytes, frames: int) -> list[float]:
+            tensors = read_patches(stream).column("log_mel").combine_chunks()
+            data = tensors.storage.flatten().to_numpy(zero_copy_only=False).reshape(-1, spec.n_mels)[:frames]
+            return data.mean(axis=0, dtype=np.float64).tolist() if frames else [0.0] * spec.n_mels
+
+        def one(b):
+            found = [mean(s, n) for s, n in zip(b.column("patches").to_pylist(), b.column("n_frames").to_pylist())]
+            return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.float64()))], names=[*b.schema.names, "mel_mean"])
+
+        return one
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stored.schema)
+    return arrow_map(stored, stored.columns, make, f"{kept}, mel_mean array<double>")
+
+
 def feature_digest():
-    """A short text of the features: frames, spans and the mean log-mel to two decimals."""
+    """A short text of stored features: frames, spans, the mean log-mel of the tensors to two decimals, and the SHA-256 of the stored stream."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start_ms"], s["end_ms"])), ",")
-    means = F.array_join(F.transform("mel_mean", lambda x: F.round(x.cast("double"), 2).cast("string")), ",")
-    return F.concat_ws("|", F.col("n_frames").cast("string"), spans, means)
+    means = F.array_join(F.transform("mel_mean", lambda x: F.round(x, 2).cast("string")), ",")
+    return F.concat_ws("|", F.col("n_frames").cast("string"), spans, means, F.sha2("patches", 256))

@@ -39,7 +39,7 @@ def bpe_digest(decoded: DataFrame) -> DataFrame:
 
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
-    found = audio.features(audio.store_media(docs))
+    found = audio.tensor_means(audio.store_features(audio.features(audio.store_media(docs))))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", audio.feature_digest().alias("feature"))
 
 
