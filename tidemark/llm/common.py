@@ -85,6 +85,13 @@ def arrow_map(df: DataFrame, columns: list[str], make: Callable[[], Callable[[pa
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def checked_keep(keep: list[str], *made: str) -> None:
+    """Kept columns may not have the name of one that the operator makes."""
+    clash = {k.lower() for k in keep} & set(made)
+    if clash:
+        raise ValueError(f"kept columns clash with the result's: {sorted(clash)}")
+
+
 def string_list(column: pa.Array) -> list[str]:
     """The texts of a column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]
@@ -124,14 +131,20 @@ def label_sample(labels: DataFrame, name: str, where, bounds: dict[int, int]) ->
     return out
 
 
+#: Code points of the longest text that a classifier learns from.
+LONGEST = 16_384
+
+
 def fit_on_sample(docs: DataFrame, chosen: DataFrame, bound: int, fit: Callable[[list[str], list[int]], object]) -> object:
     """``fit(texts, labels)`` over the chosen ids in a fixed order, at most one text an id.
 
-    ``chosen`` has at most ``bound`` rows by construction, so it may be broadcast and one
-    task may hold the sample. The fit runs in that task; the driver gets the model alone.
+    ``chosen`` has at most ``bound`` rows by construction and texts longer than ``LONGEST``
+    teach nothing, so rows and bytes are bounded: the ids may be broadcast and one task may
+    hold the sample. The fit runs in that task; the driver gets the model alone.
     """
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .where(F.length("text") <= LONGEST)
         .join(F.broadcast(chosen), "doc_id")
         .groupBy("doc_id")
         .agg(F.min("text").alias("text"), F.max("label").alias("label"))

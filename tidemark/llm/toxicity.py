@@ -3,34 +3,33 @@
 Only documents carry labels. A sentence's score is a logistic function of its words'
 weights (hashed words and character n-grams); a document's is the noisy-or of its
 sentences. Gradient descent on the documents' likelihood trains the word weights, and
-the sentences that score 0.5 or more locate what is offensive.
+the sentences that score 0.5 or more by themselves locate what is offensive.
 
 The model is fitted on a bounded sample of labelled rows (``MilSpec.positives`` and
 ``negatives``, by a hash of the id) in one task; scoring covers all rows in one pass
-without a shuffle.
+without a shuffle. Sample rows that a first fit leaves out choose the margin that a
+document's log odds are lowered by; the model then learns from the whole sample.
 
 Defined cases: null labels and ids are no training rows; null and empty texts score as
-one empty sentence and locate nothing; without a label of either kind every score is
-that of the prior; rows that repeat stay; an empty table gives an empty result.
+one empty sentence and locate nothing; without a label of either kind every sentence
+scores the prior; rows that repeat stay; an empty table gives an empty result; a kept
+column may have any name but score, predicted and offending.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fit_on_sample, label_sample, split_words, whole_texts
-from .subwords import fill, sums, word_features
+from .common import arrow_map, checked_keep, fit_on_sample, label_sample, whole_texts
+from .subwords import Words, bucket_of, distinct_pairs, grams, read_words, spelling_hashes, sums, word_sums
 
-STOPS = (".", "!", "?")
-WORD = re.compile(r"\n|[^\x20\x09-\x0D]+")
+STOPS = ".!?"
 EDGES = ".,!?;:\"'()[]{}*#$%&|-"
 
 
@@ -42,145 +41,215 @@ class MilSpec:
     low: int = 4
     high: int = 6
     least_documents: int = 2
-    rounds: int = 120
-    rate: float = 0.15
+    rounds: int = 60
+    rate: float = 0.25
     sparsity: float = 0.005
     bias: float = -6.0
-    caution: float = 1.0
+    #: One sample row in so many is held back to choose the margin.
+    held_back: int = 5
 
 
 @dataclass(frozen=True, eq=False)
 class MilModel:
+    """``margin``: what the log odds of a document are lowered by."""
+
     spec: MilSpec
     weights: np.ndarray
     bias: float
+    margin: float = 0.0
+
+
+@lru_cache(maxsize=1)
+def _lower() -> np.ndarray:
+    """The lower-case letter of each code point of the first plane, where it is a single one."""
+    return np.array([ord(x) if len(x := chr(i).lower()) == 1 else i for i in range(1 << 16)], np.uint32)
+
+
+def _one_of(codes: np.ndarray, marks: str) -> np.ndarray:
+    """Which code points are among these ASCII marks."""
+    held = np.zeros(129, bool)
+    held[[ord(c) for c in marks]] = True
+    return held[np.minimum(codes, 128)]
+
+
+def _spelt(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in lower case without marks at their edges: spelling, sizes and hash."""
+    start, end = words.start[words.first], words.end[words.first]
+    edge = _one_of(words.codes, EDGES)
+    at = np.arange(len(edge), dtype=np.int32 if len(edge) < 1 << 31 else np.int64)
+    right = np.minimum.accumulate(np.where(edge, len(edge), at)[::-1])[::-1]
+    left = np.maximum.accumulate(np.where(edge, -1, at))
+    if len(start):
+        start = np.minimum(right[start], end)
+        end = np.maximum(left[end - 1] + 1, start)
+    spelt, sizes = words.spelt(start, end)
+    low = _lower()
+    first_plane = spelt < len(low)
+    spelt[first_plane] = low[spelt[first_plane]]
+    return spelt, sizes, spelling_hashes(spelt, np.cumsum(sizes) - sizes, sizes)
+
+
+def _shares(sizes: np.ndarray, spec: MilSpec) -> np.ndarray:
+    """What an n-gram of a word counts: one by the root of their number in it."""
+    count = sum(np.maximum(0, sizes - k) for k in range(spec.low - 1, spec.high))
+    return (1 / np.sqrt(np.maximum(1, count))).astype(np.float32)
+
+
+def _features(words: Words, chosen: np.ndarray, spec: MilSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, bucket and share of each feature of the chosen distinct words: a whole word counts in full."""
+    spelt, sizes, keys = _spelt(words)
+    wanted = np.zeros(len(sizes), bool)
+    wanted[chosen] = True
+    some = np.flatnonzero(wanted & (sizes > 2))
+    owner_of = np.repeat(np.arange(len(sizes)), sizes).astype(np.int32)
+    wanted = wanted[owner_of]
+    share = _shares(sizes, spec)
+    owners, found, shares = [some.astype(np.int32)], [bucket_of(keys[some], spec.buckets)], [np.ones(len(some), np.float32)]
+    for here, bucket in grams(spelt, sizes, spec.low, spec.high, spec.buckets):
+        at = np.flatnonzero(here & wanted)
+        owners.append(owner_of[at])
+        found.append(bucket[at])
+        shares.append(share[owner_of[at]])
+    return np.concatenate(owners), np.concatenate(found), np.concatenate(shares)
+
+
+def _sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of sentences among the words, and ends of documents among the sentences.
+
+    A stop at the end of a word, a line end and the document's end close a sentence; a
+    document without a word is one empty sentence.
+    """
+    at = np.flatnonzero(words.closes | _one_of(words.codes[words.end - 1], STOPS)) + 1
+    per_doc = np.diff(np.searchsorted(at, words.ends, "right"))
+    empty = np.diff(words.ends) == 0
+    own = np.sort(np.concatenate([at, words.ends[1:][empty]]))
+    return np.concatenate([[0], own]), np.concatenate([[0], np.cumsum(np.where(empty, 1, per_doc))])
 
 
-def _words(texts: pa.Array):
-    """Lines end sentences: a line end counts as a full stop of its own."""
-    return split_words(pc.replace_substring(texts, "\n", " . "), None)
-
-
-def _features(tokens: list[str], spec: MilSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Owner, bucket and share of each feature: a whole word counts in full, its n-grams by the root of their number."""
-    owner, bucket, whole = word_features([t.strip(EDGES).lower() for t in tokens], spec.low, spec.high, spec.buckets)
-    size = np.bincount(owner, minlength=len(tokens))
-    return owner, bucket, np.where(whole, np.float32(1), (1 / np.sqrt(np.maximum(1, size - 1))).astype(np.float32)[owner])
-
-
-def _distinct(numbers: np.ndarray, sentence_ends: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each sentence's distinct words: word numbers and the sentences they are in."""
+def _pairs(words: Words, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's distinct words: the sentence and the word's number."""
     sentence = np.repeat(np.arange(len(sentence_ends) - 1), np.diff(sentence_ends))
-    key = np.unique(sentence * max(1, n_words) + numbers)
-    return key % max(1, n_words), key // max(1, n_words)
+    return distinct_pairs(sentence, words.number, len(words.first))[:2]
 
 
-def _sentences(numbers: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of sentences among the tokens, and ends of documents among the sentences.
-
-    A document without a token is one empty sentence.
-    """
-    if not len(numbers):
-        return np.zeros(len(ends), np.int64), np.arange(len(ends))
-    cut = np.zeros(len(numbers), bool)
-    cut[stops[numbers]] = True
-    last = ends[1:][np.diff(ends) > 0] - 1
-    cut[last] = True
-    at = np.flatnonzero(cut) + 1
-    per_doc = np.searchsorted(at, ends[1:], "right") - np.searchsorted(at, ends[:-1], "right")
-    empty = np.diff(ends) == 0
-    doc_ends = np.concatenate([[0], np.cumsum(np.where(empty, 1, per_doc))])
-    own = np.sort(np.concatenate([at, ends[1:][empty]]))
-    return np.concatenate([[0], own]), doc_ends
-
-
-def fit(texts: list[str], labels: list[int], spec: MilSpec = MilSpec()) -> MilModel:
-    """Adam on the noisy-or likelihood, all documents of the sample a round.
+def _learn(words: Words, y: np.ndarray, spec: MilSpec) -> MilModel:
+    """Adam on the noisy-or likelihood, all documents a round.
 
     Weights stay at 0 or more and shrink a little each round: a sentence offends by what
     it holds, and no number of plain words makes up for it. Words of fewer than
-    ``least_documents`` documents of the sample teach nothing.
+    ``least_documents`` documents teach nothing.
     """
-    y = np.array(labels, bool)
-    weights, bias = np.zeros(spec.buckets), spec.bias
-    if not len(y) or y.all() or not y.any():
-        return MilModel(spec, weights.astype(np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
-    words, numbers, ends = _words(pa.array(texts, pa.large_string()))
-    spread = np.unique(np.repeat(np.arange(len(y)), np.diff(ends)) * max(1, len(words)) + numbers) % max(1, len(words))
-    common = np.flatnonzero(np.bincount(spread, minlength=len(words)) >= spec.least_documents)
-    row_of, rows, scale = _features([words[i] for i in common], spec)
-    row_of = common[row_of].astype(np.int32)
-    del spread, common
-    sentence_ends, doc_ends = _sentences(numbers, ends, np.array([w.endswith(STOPS) for w in words], bool))
-    numbers, sentence_of = _distinct(numbers, sentence_ends, len(words))
+    weights, bias, n_words = np.zeros(spec.buckets), spec.bias, len(words.first)
+    doc, number, _ = distinct_pairs(np.repeat(np.arange(len(y)), np.diff(words.ends)), words.number, n_words)
+    common = np.bincount(number, minlength=n_words) >= spec.least_documents
+    owner, bucket, share = _features(words, np.flatnonzero(common), spec)
+    # a bucket that no toxic document has keeps weight 0, so it takes no part in a round
+    bad = np.zeros(n_words, bool)
+    bad[number[y[doc]]] = True
+    open_ = np.zeros(spec.buckets, bool)
+    open_[bucket[bad[owner]]] = True
+    some = open_[bucket]
+    owner, bucket, share = owner[some], bucket[some], share[some].astype(np.float64)
+    common, owner = np.unique(owner, return_inverse=True)
+    rank = np.full(n_words, -1)
+    rank[common] = np.arange(len(common))
+    used, bucket = np.unique(bucket, return_inverse=True)
+    sentence_ends, doc_ends = _sentences(words)
+    sentence_of, number = _pairs(words, sentence_ends)
+    known = rank[number] >= 0
+    sentence_of, number = sentence_of[known], rank[number[known]]
     doc_of = np.repeat(np.arange(len(y)), np.diff(doc_ends))
-    m, v = np.zeros(spec.buckets + 1), np.zeros(spec.buckets + 1)
+    own, m, v = np.zeros(len(used)), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, spec.rounds + 1):
-        word_score = np.bincount(row_of, weights[rows] * scale, len(words))
-        z = bias + np.bincount(sentence_of, word_score[numbers], len(sentence_ends) - 1)
+        word_score = np.bincount(owner, own[bucket] * share, len(common))
+        z = bias + np.bincount(sentence_of, word_score[number], len(sentence_ends) - 1)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.bincount(doc_of, -np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))  # -log P(no sentence)
-        share = np.where(y, -np.exp(-none) / np.maximum(1e-6, -np.expm1(-none)), 1.0)
-        dz = p * share[doc_of]
-        dword = np.bincount(numbers, dz[sentence_of], len(words))
-        grad = np.append(np.bincount(rows, dword[row_of] * scale, spec.buckets), dz.sum()) / len(y)
+        blame = np.where(y, -np.exp(-none) / np.maximum(1e-6, -np.expm1(-none)), 1.0)
+        dz = p * blame[doc_of]
+        dword = np.bincount(number, dz[sentence_of], len(common))
+        grad = np.append(np.bincount(bucket, dword[owner] * share, len(used)), dz.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         step = spec.rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        weights = np.maximum(0, weights - step[:-1] - spec.rate * spec.sparsity)
+        own = np.maximum(0, own - step[:-1] - spec.rate * spec.sparsity)
         bias -= step[-1]
+    weights[used] = own
     return MilModel(spec, weights.astype(np.float32), float(bias))
 
 
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-15, 1 - 1e-15)
+    return np.log(p) - np.log1p(-p)
+
+
+def best_margin(odds: np.ndarray, y: np.ndarray, spread: float = 2.0) -> float:
+    """The shift of the log odds that makes the labels likeliest, itself drawn from a normal around 0 with deviation ``spread``, so that few rows move it little."""
+    cuts = np.linspace(-8, 8, 321)
+    cost = [np.logaddexp(0, np.where(y, c - odds, odds - c)).sum() + c * c / (2 * spread**2) for c in cuts]
+    return float(cuts[np.argmin(cost)])
+
+
+def fit(texts: list[str], labels: list[int], spec: MilSpec = MilSpec()) -> MilModel:
+    """Learn from the sample; the margin comes from rows of the sample that a first fit leaves out."""
+    y = np.array(labels, bool)
+    if not len(y) or y.all() or not y.any():
+        return MilModel(spec, np.zeros(spec.buckets, np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))))
+    column = pa.array(texts, pa.large_string())
+    back = np.zeros(len(y), bool)
+    for label in (False, True):  # every so-manieth row of each label
+        back[np.flatnonzero(y == label)[spec.held_back - 1 :: spec.held_back]] = True
+    margin = 0.0
+    if back.any() and 0 < y[~back].sum() < (~back).sum():
+        first = Scorer(_learn(read_words(column.filter(pa.array(~back))), y[~back], spec))
+        margin = best_margin(log_odds(first.documents(read_words(column.filter(pa.array(back))))), y[back])
+    return replace(_learn(read_words(column), y, spec), margin=margin)
+
+
 class Scorer:
     def __init__(self, model: MilModel):
         self.model = model
-        self.memo: dict[str, float] = {}
-
-    def _words(self, tokens: list[str]) -> list[float]:
-        owner, bucket, share = _features(tokens, self.model.spec)
-        return np.bincount(owner, self.model.weights[bucket] * share, len(tokens)).tolist()
-
-    def documents(self, texts: pa.Array) -> np.ndarray:
-        words, numbers, ends = _words(texts)
-        fill(self.memo, words, self._words)
-        score = np.array([self.memo[w] for w in words])
-        stops = np.array([w.endswith(STOPS) for w in words], bool)
-        sentence_ends, doc_ends = _sentences(numbers, ends, stops)
-        own, sentence = _distinct(numbers, sentence_ends, len(words))
-        z = self.model.bias + np.bincount(sentence, score[own] if len(words) else None, len(sentence_ends) - 1)
-        return -np.expm1(-sums(np.logaddexp(0, z), doc_ends))
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """The noisy-or with its log odds lowered by ``caution``: 0.5 is where toxic is e^caution times likelier."""
-        p = self.documents(texts)
-        return p / (p + (1 - p) * np.exp(self.model.spec.caution))
-
-    def offending(self, text: str, least: float) -> list[dict]:
-        """Start, end (characters) and score of each sentence at ``least`` or more."""
-        fill(self.memo, list(dict.fromkeys(m[0] for m in WORD.finditer(text))), self._words)
-        out, start, end, seen = [], None, 0, set()
-
-        def close():
-            p = 1 / (1 + np.exp(-np.clip(self.model.bias + sum(self.memo[w] for w in seen), -60, 60)))
-            if start is not None and p >= least:
-                out.append({"start": start, "end": end, "p": float(p)})
-            seen.clear()
-
-        for m in WORD.finditer(text):
-            token = m[0]
-            if token != "\n":
-                start, end = m.start() if start is None else start, m.end()
-                seen.add(token)
-            if token == "\n" or token.endswith(STOPS):
-                close()
-                start = None
-        close()
-        return out
+
+    def _sentence_odds(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log odds of each sentence, ends of sentences and ends of documents."""
+        spec, weights = self.model.spec, self.model.weights
+        spelt, sizes, keys = _spelt(words)
+        part = np.zeros(len(spelt), np.float32)
+        for here, bucket in grams(spelt, sizes, spec.low, spec.high, spec.buckets):
+            part += np.where(here, weights[bucket], np.float32(0))
+        score = word_sums(part, sizes) * _shares(sizes, spec) + np.where(sizes > 2, weights[bucket_of(keys, spec.buckets)], 0)
+        sentence_ends, doc_ends = _sentences(words)
+        sentence, number = _pairs(words, sentence_ends)
+        return self.model.bias + np.bincount(sentence, score[number], len(sentence_ends) - 1), sentence_ends, doc_ends
+
+    def documents(self, words: Words) -> np.ndarray:
+        """The noisy-or of each text's sentences."""
+        odds, _, doc_ends = self._sentence_odds(words)
+        return -np.expm1(-sums(np.logaddexp(0, odds), doc_ends))
+
+    def scores(self, words: Words) -> np.ndarray:
+        """The noisy-or with its log odds lowered by the margin."""
+        return self._moved(self.documents(words))
+
+    def _moved(self, p: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(log_odds(p) - self.model.margin, -60, 60)))
+
+    def located(self, words: Words, least: float) -> tuple[np.ndarray, list[list[dict]]]:
+        """Scores, and for texts of ``least`` or more start, end (characters) and score of each sentence that has as much by itself."""
+        odds, sentence_ends, doc_ends = self._sentence_odds(words)
+        p = self._moved(-np.expm1(-sums(np.logaddexp(0, odds), doc_ends)))
+        alone = self._moved(1 / (1 + np.exp(-np.clip(odds, -60, 60))))
+        out: list[list[dict]] = [[] for _ in p]
+        for d in np.flatnonzero(p >= least):
+            for s in range(doc_ends[d], doc_ends[d + 1]):
+                a, b = sentence_ends[s], sentence_ends[s + 1]
+                if alone[s] >= least and a < b:
+                    out[d].append({"start": int(words.start[a] - words.text_at[d]), "end": int(words.end[b - 1] - words.text_at[d]), "p": float(alone[s])})
+        return p, out
 
 
 @lru_cache(maxsize=2)
 def scorer_of(model: MilModel) -> Scorer:
-    """One scorer a Python worker and model, so its memo serves the worker's later tasks too."""
+    """One scorer a Python worker and model."""
     return Scorer(model)
 
 
@@ -192,6 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, where: Column, spec: MilSpec = Mil
 
 def score(docs: DataFrame, model: MilModel, keep: list[str] = ["doc_id"], least: float = 0.5) -> DataFrame:
     """``keep`` columns, score, predicted and the offending sentences of documents scored ``least`` or more."""
+    checked_keep(keep, "score", "predicted", "offending")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -199,9 +269,7 @@ def score(docs: DataFrame, model: MilModel, keep: list[str] = ["doc_id"], least:
         spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())]))
 
         def one(b):
-            texts = whole_texts(b.column("text"))
-            p = scorer.scores(texts)
-            found = [scorer.offending(texts[i].as_py(), least) if x >= least else [] for i, x in enumerate(p)]
+            p, found = scorer.located(read_words(whole_texts(b.column("text"))), least)
             return pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(p), pa.array(p >= least).cast(pa.int32()), pa.array(found, spans)], names=[*keep, "score", "predicted", "offending"])
 
         return one
