@@ -2,17 +2,23 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative; how much
 is learned from labelled pages, those whose markup names the content (an article or main
-element), as log odds of a tag standing outside the content rather than inside. Elements
-that are never content (menus, forms, scripts, comments, ...) are set aside first. One
-linear scan finds the contiguous run with the highest sum; where it lies in an article
-or main element, the run widens to the innermost one that holds most of its words, else
-to whole blocks.
+element). There words in the content element score positive and words beside it negative;
+a tag's score is the log odds of standing in the content rather than beside it, and so is
+that of a mark, a name in an element's class, id or role. One linear scan finds the
+contiguous run with the highest sum, its ends widen to whole blocks, and the words in it
+that score positive are the text.
+
+On a page whose markup names no content, every word scores positive until its element's
+marks say otherwise, and tags by what was learned. Elements that HTML itself defines as
+no content (menus, forms, scripts, hidden ones, ...) and those whose marks outweigh a word
+stand outside the sequence. Without evidence a mark counts against an element only if all
+its parts name page furniture or layout (``cookie-banner``, but not ``search-algorithms``).
 
 Defined cases: null and empty pages, and pages without words, give an empty text; an
 unclosed element ends where HTML implies its end tag (a paragraph at the next block, an
 item or cell at the next one), else with its container; repeated rows stay; without labelled pages the
 default weights hold; an empty table gives an empty result; other columns of the input
-are ignored but for those named to keep.
+are ignored but for those named to keep, which may have any name but text and n_chars.
 """
 
 from __future__ import annotations
@@ -22,12 +28,14 @@ import re
 from bisect import bisect_right
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
+from math import log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, string_list
+from .common import arrow_map, checked_keep, string_list
 
 # Names of HTML elements by their part in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -51,10 +59,9 @@ ENDS = {
 }
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = ("article", "main")
-#: Words in a class, id or role that mark what isn't content.
-ASIDE_WORDS = re.compile(
-    r"(?<![a-z])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|complementary|contentinfo|consent|cookies?|disqus|footer|header|masthead|menus?|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|respond|search|share\w*|sharing|sidebars?|social|sponsor\w*|subscribe|widgets?)(?![a-z])"
-)
+# Parts of the names that pages give to their furniture, and parts that only say where or how it is laid out.
+FURNITURE = frozenset("ad ads advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices popup promo promos promotion related replies reply respond search share sharing sidebar sidebars social sponsor sponsored subscribe widget widgets".split())
+LAYOUT = frozenset("area bar block body bottom box button buttons col column container content form group icons inner item items left link links list main outer page panel posts primary right row secondary section signup site slot top unit wrap wrapper".split())
 #: An attribute as HTML reads it: a quote after "=" opens a value of any length; one that never closes is a plain character, so its tag ends at the next ">".
 _ATTRIBUTE = r"(?P<key>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"|'(?P<single>[^']*+)'|(?P<bare>[^\s>\"'][^\s>]*+)|(?=>)))?+"
 ATTRIBUTE = re.compile(_ATTRIBUTE)
@@ -69,25 +76,39 @@ INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 
 @dataclass(frozen=True)
 class RegionWeights:
-    """Score of a word, and of a tag by its name (``/name`` closes); ``other`` for the rest."""
+    """Score of a word, of a tag by its name (whether it opens or closes) and of a mark; ``other`` for tags that aren't known."""
 
     word: float = 1.0
-    other: float = -2.0
+    other: float = -1.0
     tags: dict[str, float] = field(default_factory=dict)
+    marks: dict[str, float] = field(default_factory=dict)
+
+    def of_marks(self, marks: list[str]) -> float:
+        return sum(self.marks[m] if m in self.marks else prior_odds(m) for m in marks)
+
+
+def marks_of(attrs: dict[str, str]) -> list[str]:
+    """The names in class, id and role, in lower case, words of camel case apart, each run of digits as #."""
+    names = " ".join(attrs[k] for k in ("class", "id", "role") if k in attrs).split()
+    return list(dict.fromkeys(re.sub(r"\d+", "#", re.sub(r"([a-z])([A-Z])", r"\1-\2", n)).lower() for n in names))
+
+
+@lru_cache(maxsize=1 << 16)
+def prior_odds(mark: str) -> float:
+    """Log odds of a mark that no labelled page holds: against content if all its parts are furniture or layout, one of them furniture."""
+    parts = [p for p in re.split(r"[^a-z]+", mark) if p]
+    return -4.0 if FURNITURE.intersection(parts) and FURNITURE.union(LAYOUT).issuperset(parts) else 0.0
 
 
-def _is_aside(name: str, attrs: str) -> bool:
-    if name in ASIDE:
-        return True
-    if name in ("html", "body", *CONTENT) or not attrs:
-        return False
+def _attributes(attrs: str) -> dict[str, str]:
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attrs):
         found.setdefault(m["key"].lower(), m["double"] or m["single"] or m["bare"] or "")
-    if "hidden" in found or INVISIBLE.search(found.get("style", "")) or found.get("aria-hidden", "").strip().lower() == "true":
-        return True
-    marks = (found[k] for k in ("class", "id", "role") if k in found)
-    return any(ASIDE_WORDS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", m).lower().replace("_", "-")) for m in marks)
+    return found
+
+
+def _is_hidden(attrs: dict[str, str]) -> bool:
+    return bool("hidden" in attrs or INVISIBLE.search(attrs.get("style", "")) or attrs.get("aria-hidden", "").strip().lower() == "true")
 
 
 class OpenElements:
@@ -145,16 +166,27 @@ class OpenElements:
             self.cut(found)
 
 
-def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
-    """Tokens outside set-aside elements, and the token spans of article and main elements.
+@dataclass(frozen=True)
+class Token:
+    """A tag (``words`` -1, ``/name`` closes) or a text with its words; ``place``: 2 in an article, 1 in main alone, 0 elsewhere; ``marks`` of the tag itself or of the text's open elements, where asked for."""
 
-    A token is a tag's name (``/name`` for one that closes) or a (text, words) pair.
-    """
-    tokens: list = []
-    spans: list[tuple[int, int]] = []
-    open_: list[int] = []
+    text: str
+    words: int
+    place: int
+    marks: tuple[str, ...] = ()
+
+    @property
+    def name(self) -> str:
+        return self.text.lstrip("/")
+
+
+def parse(page: str, weights: RegionWeights | None = None) -> list[Token]:
+    """Tokens outside set-aside elements; without weights only what HTML defines is set aside, and texts carry marks."""
+    tokens: list[Token] = []
     elements = OpenElements()
+    marked: list[tuple[int, list[str]]] = []  # open elements with marks, by their depth
     skip, depth = "", 0  # the set-aside element and its place among the open ones
+    place = lambda: 2 if elements.at["article"] else 1 if elements.at["main"] else 0
     for m in TOKEN.finditer(page):
         name = m["name"]
         if name is not None and m["end"]:
@@ -166,41 +198,61 @@ def parse(page: str) -> tuple[list, list[tuple[int, int]]]:
                 elements.end(name)
             else:
                 elements.start(name)
+            while marked and marked[-1][0] > len(elements.names):
+                marked.pop()
             if skip:
                 if len(elements.names) > depth and not (close and name == "body"):
                     if not close and not empty:
                         elements.push(name)
                     continue
                 elements.cut(depth)
-                tokens.append("/" + skip)
+                tokens.append(Token("/" + skip, -1, place()))
                 ended, skip = skip, ""
                 if close and name == ended:
                     continue
             if not close and not empty:
                 elements.push(name)
-                if _is_aside(name, m["attrs"]):
+                attrs = _attributes(m["attrs"]) if m["attrs"] else {}
+                aside = name in ASIDE or name not in ("html", "body", *CONTENT) and _is_hidden(attrs)
+                marks = marks_of(attrs) if attrs and name not in ("html", "body", *CONTENT) else []
+                if not aside and marks and weights is not None:
+                    aside = weights.word + weights.of_marks(marks) < 0
+                if aside:
                     skip, depth = name, len(elements.names) - 1
-                    tokens.append(name)
+                    tokens.append(Token(name, -1, place()))
                     continue
-            if name in CONTENT:
-                if not close:
-                    open_.append(len(tokens))
-                elif open_:
-                    spans.append((open_.pop(), len(tokens) + 1))
-            tokens.append("/" + name if close else name)
+                if marks and weights is None:
+                    marked.append((len(elements.names), marks))
+            tokens.append(Token("/" + name if close else name, -1, place(), () if close or empty else tuple(marks)))
         elif (m["text"] is not None or name is not None) and not skip:  # a tag that never ends is text
             text = _html.unescape(m[0])
-            tokens.append((text, len(text.split())))
-    spans += [(a, len(tokens)) for a in open_]
-    return tokens, spans
+            tokens.append(Token(text, len(text.split()), place(), tuple(dict.fromkeys(x for _, own in marked for x in own))))
+    return tokens
+
 
+def named_place(tokens: list[Token]) -> int:
+    """The place that the page's markup names as content: article, main where it holds more beside its articles, or 0."""
+    words = [sum(t.words for t in tokens if t.words > 0 and t.place == p) for p in range(3)]
+    return 2 if words[2] and words[2] >= words[1] else 1 if words[1] else 0
+
+
+def scores(tokens: list[Token], weights: RegionWeights) -> list[float]:
+    """A score a token. In the element that markup names as content words weigh far more than tags; beside it they score negative."""
+    content = named_place(tokens)
+    word, tag, other = weights.word, weights.tags, weights.other
+    out = []
+    for t in tokens:
+        if t.words >= 0:
+            out.append(word * t.words if t.place >= content else -word * t.words)
+        else:
+            out.append(-0.01 * word if content and t.place >= content else tag.get(t.name, other))
+    return out
 
-def best_run(tokens: list, weights: RegionWeights) -> tuple[int, int]:
-    """Start and end of the contiguous tokens with the highest sum; the first of equals, (0, 0) if none is positive."""
+
+def best_run(values: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous values with the highest sum; the first of equals, (0, 0) if none is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
-    tag, word, other = weights.tags, weights.word, weights.other
-    for i, t in enumerate(tokens):
-        value = tag.get(t, other) if isinstance(t, str) else word * t[1]
+    for i, value in enumerate(values):
         if total <= 0:
             total, start = 0.0, i
         total += value
@@ -209,13 +261,9 @@ def best_run(tokens: list, weights: RegionWeights) -> tuple[int, int]:
     return span
 
 
-def _widen(tokens: list, spans: list[tuple[int, int]], run: tuple[int, int]) -> tuple[int, int]:
-    words = lambda a, b: sum(t[1] for t in tokens[a:b] if not isinstance(t, str))
-    inside = [(words(max(a, run[0]), min(b, run[1])), a - b, (a, b)) for a, b in spans if a < run[1] and b > run[0]]
-    inside = [x for x in inside if x[0]]
-    if inside:  # the element that holds most of the run; of nested ones the innermost
-        return max(inside)[2]
-    is_block = lambda t: isinstance(t, str) and t.lstrip("/") in BLOCKS
+def _widen(tokens: list[Token], run: tuple[int, int]) -> tuple[int, int]:
+    """The run's ends moved out to the ends of their blocks."""
+    is_block = lambda t: t.words < 0 and t.name in BLOCKS
     start, end = run
     while start > 0 and not is_block(tokens[start - 1]):
         start -= 1
@@ -226,66 +274,88 @@ def _widen(tokens: list, spans: list[tuple[int, int]], run: tuple[int, int]) ->
 
 def extract(page: str, weights: RegionWeights) -> str:
     """Blocks of the main content in page order, joined by a line end."""
-    tokens, spans = parse(page)
-    start, end = _widen(tokens, spans, best_run(tokens, weights))
+    tokens = parse(page, weights)
+    values = scores(tokens, weights)
+    start, end = _widen(tokens, best_run(values))
     blocks, now = [], []
-    for t in tokens[start:end]:
-        if not isinstance(t, str):
-            now.append(t[0])
-        elif t.lstrip("/") in BLOCKS or t.lstrip("/") in ASIDE:
+    for t, value in zip(tokens[start:end], values[start:end]):
+        if t.words >= 0:
+            if value >= 0:
+                now.append(t.text)
+        elif t.name in BLOCKS:
             blocks.append("".join(now))
             now = []
-        elif t == "br":
+        elif t.text == "br":
             now.append(" ")
     blocks.append("".join(now))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def learn(pages: DataFrame, sample: int = 2_000) -> RegionWeights:
+def learn(pages: DataFrame, sample: int = 2_000, most_marks: int = 2_000) -> RegionWeights:
     """Weights from labelled pages, at most ``sample`` of them by a hash of page_id.
 
-    The executors count words and tags inside and outside the content; what reaches the
-    driver is two counts for each name of a fixed list.
+    The executors count words, tags and marked words inside and beside the content; what
+    reaches the driver is two counts for each name of a fixed list of tags and for the
+    ``most_marks`` marks of the most words.
     """
-    known = sorted(BLOCKS | ASIDE | INLINE | set(CONTENT))
+    known = BLOCKS | ASIDE | INLINE | set(CONTENT)
 
     def make():
         def one(b):
-            counts: dict[str, list[int]] = {}
+            counts: dict[tuple[str, str], list[int]] = {}
             for page in string_list(b.column("html")):
-                tokens, spans = parse(page)
-                for i, t in enumerate(tokens):
-                    at = 0 if any(s < i < e - 1 for s, e in spans) else 1
-                    key, n = (t, 1) if isinstance(t, str) else ("", t[1])
-                    counts.setdefault(key, [0, 0])[at] += n
-            kept = {k: v for k, v in counts.items() if k.lstrip("/") in names or not k}
-            return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.string()), *(pa.array([v[i] for v in kept.values()], pa.int64()) for i in (0, 1))], names=["name", "inside", "outside"])
-
-        names = set(known)
+                tokens = parse(page)
+                content = named_place(tokens)
+                for t in tokens if content else ():
+                    beside = t.place < content
+                    if t.words >= 0:
+                        keys = [("word", ""), *(("mark", x) for x in t.marks)]
+                    else:  # a tag with marks tells of these, by the words it holds
+                        keys = [("tag", t.text)] if t.text in known and not t.marks else []
+                    for key in keys:
+                        counts.setdefault(key, [0, 0])[beside] += abs(t.words)
+            columns = [pa.array([k[i] for k in counts], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in counts.values()], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=["kind", "name", "inside", "beside"])
+
         return one
 
     named = pages.where(F.lower("html").rlike("<(article|main)[\\s>]")).select("page_id", "html")
     chosen = named.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids alone are gathered
     labelled = named.join(F.broadcast(chosen), "page_id")
-    found = arrow_map(labelled, ["html"], make, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
-    counts = {r["name"]: (r["inside"], r["outside"]) for r in found}
-    return weights_from(counts)
+    found = arrow_map(labelled, ["html"], make, "kind string, name string, inside long, beside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("beside").alias("beside"))
+    marks = found.where("kind = 'mark'").orderBy((F.col("inside") + F.col("beside")).desc(), "name").limit(most_marks)
+    rows = found.where("kind <> 'mark'").unionByName(marks).collect()
+    return weights_from({(r["kind"], r["name"]): (r["inside"], r["beside"]) for r in rows})
 
 
-def weights_from(counts: dict[str, tuple[int, int]]) -> RegionWeights:
-    """Log odds of outside against inside for tags (never above a small negative score), of inside for words."""
-    from math import log
+def weights_from(counts: dict[tuple[str, str], tuple[int, int]], prior_words: float = 50.0, least: float = -4.0) -> RegionWeights:
+    """Log odds of standing inside rather than beside the content: of words (never under a small positive score), of tags (from ``least`` to a small negative one), of marked words.
 
+    A mark is held against its element as far as its words stand beside the content more
+    often than others do, ``prior_words`` of the usual mixture taken for granted, and by
+    its ``prior_odds``; furniture within the content is no evidence for its marks.
+    """
     if not counts:
         return RegionWeights()
-    inside, outside = (1 + sum(c[i] for c in counts.values()) for i in (0, 1))
-    odds = lambda c: log((c[0] + 0.5) / inside) - log((c[1] + 0.5) / outside)
-    word = max(0.25, odds(counts.get("", (0, 0))))
-    return RegionWeights(word, -2.0, {k: min(-0.1, odds(c)) for k, c in counts.items() if k})
+    inside, beside = (1 + sum(c[i] for (kind, _), c in counts.items() if kind != "mark") for i in (0, 1))
+    odds = lambda c: log((c[0] + 0.5) / inside) - log((c[1] + 0.5) / beside)
+    words = counts.get(("word", ""), (0, 0))
+    usual = [(1 + x) / (2 + sum(words)) for x in words]
+
+    def against(c: tuple[int, int]) -> float:
+        return min(0.0, log((c[0] + prior_words * usual[0]) / (c[1] + prior_words * usual[1])) - log(usual[0] / usual[1]))
+
+    return RegionWeights(
+        max(0.25, odds(words)),
+        RegionWeights.other,
+        {name: max(least, min(-0.1, odds(c))) for (kind, name), c in counts.items() if kind == "tag"},
+        {name: prior_odds(name) + against(c) for (kind, name), c in counts.items() if kind == "mark"},
+    )
 
 
 def main_text(pages: DataFrame, weights: RegionWeights, keep: list[str] = ["page_id", "url"]) -> DataFrame:
     """``keep`` columns, text and n_chars (code points)."""
+    checked_keep(keep, "text", "n_chars")
 
     def make():
         def one(b):
