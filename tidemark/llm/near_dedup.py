@@ -12,6 +12,8 @@ Candidate edges with at least ``near`` similarity hold together clusters, and wh
 cluster has members in different components, an exact pass compares its chunks of
 bounded size, pair of chunks by pair of chunks and only those whose set sizes allow a
 link, and returns the edges that join components. No bucket, bin or cluster is capped.
+What no pass can find: a link whose two classes share buckets only with centres that are
+under ``near`` like one of them, so that they are in different clusters.
 
 Shingle hashes have 64 bits. Bands of 8 of 320 bins find a pair at similarity 0.85 with
 probability above 0.99999.
@@ -214,6 +216,13 @@ def _reaches(percent: int):
     return F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
 
 
+def _salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """``rows`` with the one row of ``few`` for their keys; a key that a third of all rows have is dealt to ``salts`` tasks by id."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
     """a, b: links between members of one cluster that are in different components so far.
 
@@ -224,16 +233,17 @@ def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFr
     from pyspark.sql import Window
 
     split = clusters.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high")
-    kept = clusters.join(split.select("cluster", "members"), "cluster")
+    kept = _salted_join(clusters, split.select("cluster", "members"), ["cluster"])
     # size classes: the powers of the size ratio a link allows, so a link spans two neighbours at most
     ratio = 100 / spec.percent
     sized = kept.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9))
     groups = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"))
     groups = groups.withColumn("chunks", F.greatest(F.ceil(F.col("own") / spec.chunk), F.ceil(F.col("shingles") / spec.chunk_shingles)))
-    placed = sized.join(groups.select("cluster", "size_class", "chunks"), ["cluster", "size_class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    placed = _salted_join(sized, groups.select("cluster", "size_class", "chunks"), ["cluster", "size_class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     near = groups.select("cluster", (F.col("size_class") + 1).alias("size_class"), F.col("chunks").alias("below"))
     over = groups.select("cluster", (F.col("size_class") - 1).alias("size_class"), F.col("chunks").alias("above"))
-    placed = placed.join(near, ["cluster", "size_class"], "left").join(over, ["cluster", "size_class"], "left")
+    for beside in (near, over):
+        placed = _salted_join(placed, beside, ["cluster", "size_class"], "left")
     cell = lambda s1, c1, s2, c2: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"))
     s, c = F.col("size_class"), F.col("chunk")
     own_type = "array<struct<s1: bigint, c1: bigint, s2: bigint, c2: bigint>>"
