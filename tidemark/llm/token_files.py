@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -40,9 +41,11 @@ class WordEncoder:
     """Ids of whole texts by a tokenizers file, with a memo of the chunks between blanks.
 
     Where no token of the file reaches over a blank or line end (a probe tells), a text's
-    ids are those of its chunks in order; the library encodes each distinct chunk whole,
-    many at a time with a special token of the file between them. Else it encodes whole
-    texts.
+    ids are those of its chunks in order. The library encodes each distinct chunk, many at
+    a time: letters alone with blanks between, where it says that each made one word;
+    others with a special token of the file between. A stop or comma at a chunk's end is
+    encoded by itself where the library, asked for it with the character before it, gives
+    the ids of both apart. For other files it encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -54,7 +57,12 @@ class WordEncoder:
         plain = lambda t: not (t.single_word or t.lstrip or t.rstrip or re.search(r"\s", t.content))
         self.chunked = all(map(plain, added.values())) and self._one(PROBE) == [i for c in re.split("[ \n]", PROBE) for i in self._one(c)]
         self.separator = next(((i, t.content) for i, t in added.items() if t.special and not t.normalized), None)
+        self.marked = re.compile("[" + re.escape("".join({t.content[0] for t in added.values()})) + "]").search if added else lambda text: None
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(1 + max([*vocab.values(), *added], default=0), bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {"": b""}
+        self.apart: dict[str, bool] = {}
 
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -62,23 +70,48 @@ class WordEncoder:
     def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str], together: int = 500) -> None:
-        """Puts the ids of new chunks into the memo."""
-        if self.separator is None:
-            self.memo.update(zip(chunks, self._each(chunks)))
-            return
-        cut, mark = self.separator
-        chunks, odd = [c for c in chunks if mark not in c], [c for c in chunks if mark in c]
+    def _stands_apart(self, pair: str) -> bool:
+        """Whether the library encodes a character and the mark after it as it does each alone."""
+        known = self.apart.get(pair)
+        if known is None:
+            ids = self._one(pair)
+            known = self.apart[pair] = bool(ids) and ids == self._one(pair[0]) + self._one(pair[1])
+        return known
+
+    def _joined(self, chunks: list[str], mark: str, together: int, cuts: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[str]:
+        """Encodes chunks with ``mark`` between; ``cuts`` finds each one's ids. Returns those of groups that don't come apart."""
+        left = []
         parts = [chunks[at : at + together] for at in range(0, len(chunks), together)]
         for part, e in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == cut), len(ids))
-            if len(ends) != len(part):  # two chunks' ends make another special token
-                odd += part
+            starts, ends = cuts(ids)
+            if len(ends) != len(part) or len(ends) and ends[-1] != len(ids):
+                left += part
                 continue
             raw = ids.tobytes()
-            self.memo.update(zip(part, map(raw.__getitem__, map(slice, [0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist()))))
-        self.memo.update(zip(odd, self._each(odd)))
+            self.memo.update(zip(part, map(raw.__getitem__, map(slice, (4 * starts).tolist(), (4 * ends).tolist()))))
+        return left
+
+    def _words(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        return np.concatenate([[0], ends[:-1]]) if len(ends) else ends, ends
+
+    def _separated(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(ids == self.separator[0])
+        return np.concatenate([[0], at + 1]), np.append(at, len(ids))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Puts the ids of new chunks into the memo."""
+        # every chunk of letters makes a word at least, so as many words as chunks are one each
+        letters, left = [], []
+        for c in chunks:
+            (letters if c.isalpha() else left).append(c)
+        left += self._joined(letters, " ", 500, self._words)
+        if self.separator is not None:
+            mark = self.separator[1]
+            odd = [c for c in left if mark in c]
+            left = self._joined([c for c in left if mark not in c], mark, 2_000, self._separated) + odd
+        self.memo.update(zip(left, self._each(left)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends in them."""
@@ -88,7 +121,11 @@ class WordEncoder:
         words, numbers, ends = split_words(pc.replace_substring(texts, "\n", " "))
         memo = self.memo
         found = list(map(memo.get, words))
-        self._learn([w for w, f in zip(words, found) if f is None])
+        new = [w for w, f in zip(words, found) if f is None]
+        # a mark encoded by itself at the end; chunks that may hold a special token stay whole
+        cut = {w for w in new if w[-1] in ".," and len(w) > 1 and self._stands_apart(w[-2:]) and not self.marked(w)}
+        self._learn([c for c in dict.fromkeys([*(w for w in new if w not in cut), *(x for w in cut for x in (w[:-1], w[-1]))]) if c not in memo])
+        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in cut)
         found = [memo[w] if f is None else f for w, f in zip(words, found)]
         if len(memo) > 3 * MEMO_ENTRIES // 4:  # the words of this batch are the likeliest in the next
             self.memo = dict(zip(words, found)) | {"": b""}
