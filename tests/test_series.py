@@ -1,11 +1,17 @@
+import json
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.monoid import Metric
 from tidemark.operators import analytics, ingest, registry, rollup, series
+from tidemark.operators import devices as device_table
+from tidemark.plans import build
 from tidemark.plans import query as q
 from tidemark.plans.pyramid import Pyramid, default_pyramid
 from tidemark.sources import files, rest
+from tidemark.streaming import ingest as stream
 from tidemark.streaming import staleness
 
 M = Metric("v", "v")
@@ -16,8 +22,6 @@ def rows(spark, data, schema="device_id long, timestamp timestamp, v string"):
 
 
 def test_raw_state_of_odd_values(spark):
-    from datetime import datetime
-
     at = lambda *a: datetime(2024, 1, 1, *a)
     df = rows(spark, [(1, at(0, 0), "1"), (1, at(0, 0, 30), "x"), (1, at(0, 1), None), (1, at(0, 2), "NaN"), (1, datetime(1969, 12, 31, 23, 59, 30), "2")])
     out = {r["ts"]: (r["v_n"], r["v_sum"], r["v_sumsq"]) for r in rollup.aggregate_raw(df, "1min", [M]).collect()}
@@ -34,11 +38,11 @@ def test_coarsen_needs_division(spark):
 def test_sources_of_tiers():
     p = default_pyramid([{"name": "v"}])
     assert [getattr(p.source_of(t.name), "name", None) for t in p.tiers] == [None, "raw", "raw", "m10", "m30", "h2", "h6"]
-    for bad in ({"metrics": [{"name": "v", "monoid": "no"}], "tiers": []}, {"metrics": [{"name": "v"}], "tiers": [{"name": "a", "bin": "1d", "shards": ["3d", "4d"]}]}):
+    for bad in ({"metrics": [{"name": "v", "monoid": "no"}], "tiers": [{"name": "a", "bin": "1d", "shards": ["4d"]}]}, {"metrics": [{"name": "v"}], "tiers": [{"name": "a", "bin": "1d", "shards": ["3d", "4d"]}]}):
         with pytest.raises(ValueError):
             Pyramid.of(bad)
-    with pytest.raises(NotImplementedError):
-        Metric("v", "v", "tdigest")
+    with pytest.raises(ValueError):
+        Metric("v", "v", "median")
 
 
 def test_tier_choice_and_smoothing():
@@ -53,7 +57,7 @@ def test_tier_choice_and_smoothing():
 def test_splice_below_several_stale_tiers(spark):
     p, hour, day = default_pyramid([{"name": "v"}]), 3_600_000, 86_400_000
     readings = spark.range(0, 7 * 144).select((F.col("id") % 2).alias("device_id"), F.timestamp_millis(F.col("id") * 600_000).alias("timestamp"), F.col("id").cast("double").alias("v"))
-    tiers = {n: t.localCheckpoint() for n, t in q.build_tiers(p, readings).items()}
+    tiers = {n: t.cache() for n, t in q.build_tiers(p, readings).items()}
     want = sorted(map(tuple, tiers["h6"].collect()))
     for fresh in ({"h6": 3 * day, "h2": 3 * day}, {"h6": 3 * day, "h2": 3 * day + 5 * hour, "m30": 5 * day + hour, "m10": 6 * day + 1}, {"h6": 0, "h2": 0, "m30": 0, "m10": 0}):
         held = {n: t.where(F.col("ts") + p.tier(n).bin.ms <= fresh.get(n, 8 * day)) for n, t in tiers.items()}
@@ -89,19 +93,36 @@ def test_merge_policies(spark):
     assert get("replace") == {1: 1.0, 2: 3.0, 3: 4.0}
     with pytest.raises(ValueError):
         get("error")
-    assert ingest.inserted(old, ingest.merge(old, new, ["k"], ["v"])) == 1
+    assert ingest.inserted(old, new, ["k"]) == 1
 
 
 def test_devices(spark):
-    devices = spark.createDataFrame([(17617, "Gym"), (137496, "BR"), (5, "Gym 2")], "device_id long, name string")
-    assert analytics.resolve_device(devices, "17617") == 17617 and analytics.resolve_device(devices, "br") == 137496
+    devices = spark.createDataFrame([(41, "Attic"), (90210, "Shed"), (5, "Attic 2")], "device_id long, name string")
+    assert analytics.resolve_device(devices, "41") == 41 and analytics.resolve_device(devices, "shed") == 90210
     with pytest.raises(LookupError):
-        analytics.resolve_device(devices, "gym")
-    assert analytics.find_device(devices, "gym") == 17617 and analytics.find_device(devices, "ym") is None
-    page, total, more = analytics.search(devices, "name", ["g", "m"], ["device_id"], 0, 1)
+        analytics.resolve_device(devices, "attic")
+    assert analytics.find_device(devices, "attic") == 41 and analytics.find_device(devices, "tic") is None
+    page, total, more = analytics.search(devices, "name", ["a", "c"], ["device_id"], 0, 1)
     assert (page.count(), total, more) == (1, 2, True)
 
 
+def test_the_device_list_is_kept(spark, tmp_path):
+    calls = []
+
+    def fetch():
+        calls.append(1)
+        return [{"device_id": 7, "name": f"n{len(calls)}", "active": False}, {"device_id": 8, "name": "m"}]
+
+    path, get = str(tmp_path / "devices"), lambda **k: {r["device_id"]: r["name"] for r in device_table.listed(spark, path, fetch, **k).collect()}
+    assert get(now=1_000) == {7: "n1", 8: "m"} == get(now=3_600_000)
+    assert get(now=3_602_000) == {7: "n2", 8: "m"} and get(now=3_602_000, refresh=True) == {7: "n3", 8: "m"}
+    own = spark.createDataFrame([(8, "mine"), (7, None)], "device_id long, name string")
+    assert get(now=3_602_000, overrides=own) == {7: "n3", 8: "mine"}
+    held = device_table.listed(spark, path, fetch, now=3_602_000)
+    assert [r["device_id"] for r in device_table.active(held).collect()] == [8]
+    assert {r["device_id"] for r in device_table.listed(spark, "/proc/none/devices", fetch, now=1).collect()} == {7, 8}
+
+
 def test_upsert_keeps_what_is_new(spark):
     schema = "device_id long, tier string, rung string, period_start long, period_end long, written_at long, size_bytes long"
     old = spark.createDataFrame([(1, "raw", "1d", 0, 1, 10, 7), (1, "raw", "1d", 1, 2, 10, 8)], schema)
@@ -159,23 +180,99 @@ def test_alert_stream_equals_batch(spark, tmp_path):
 def test_files(spark, tmp_path):
     state = spark.createDataFrame([(d, i * 60_000, 1, 1.0, 1.0) for d in (1, 2) for i in range(2000)], "device_id long, ts long, v_n long, v_sum double, v_sumsq double")
     tier = default_pyramid([{"name": "v"}]).tier("raw")
-    files.write_tier(state, str(tmp_path / "t"), tier, 1)
+    files.write_tier(state, str(tmp_path / "t"), tier, 1, row_group_rows=1000)
     back = files.read_tier(spark, str(tmp_path / "t"), tier, [M], 60_000, 86_400_000)
     assert back.count() == 2 * 1439
     plan = back._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan and "PartitionFilters: [isnotnull(day" in plan
+    assert "PushedFilters" in plan and "PartitionFilters: [isnotnull(part" in plan
     stats = files.footers(spark, str(tmp_path / "t")).collect()
-    assert sum(r["n_rows"] for r in stats) == 4000 and max(max(r["rg_row_counts"]) for r in stats) <= 1440
+    assert sum(r["n_rows"] for r in stats) == 4000 and max(max(r["rg_row_counts"]) for r in stats) == 1000
+    assert all(sum(r["rg_row_counts"]) == r["n_rows"] and len(r["rg_row_counts"]) == r["n_rgs"] for r in stats)
+    assert files.row_group_length(spark, stats[0]["path"]) == stats[0]["rg_row_counts"][0] and files.row_group_length(spark, str(tmp_path / "no")) is None
+    one = files.head(spark, stats[0]["path"])
+    assert one["size_bytes"] == stats[0]["size_bytes"] and files.head(spark, str(tmp_path / "no")) is None
+    files.rewrite(spark, str(tmp_path / "t/tier=raw"), str(tmp_path / "r"), 500)
+    assert max(max(r["rg_row_counts"]) for r in files.footers(spark, str(tmp_path / "r")).collect()) == 500
     assert files.read_or_empty(spark, str(tmp_path / "none"), files.READING_SCHEMA).count() == 0
-    assert files.listing(spark, str(tmp_path / "t")).count() == len(stats)
-    keys = spark.createDataFrame([("x/awair-7/raw/1d/2024-01-01.parquet",), ("x/other.parquet",)], "path string")
+    assert files.listing(spark, str(tmp_path / "t")).count() == len(stats) and files.listing(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_footers_of_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    want = [tuple(r) for r in files.footers(spark, str(tmp_path / "t")).collect()]
+    monkeypatch.setattr(files, "KNOWN_STORES", "^none:")
+    assert [tuple(r) for r in files.footers(spark, str(tmp_path / "t")).collect()] == want and want[0][2] == 100
+
+
+def test_keys_go_round(spark):
+    p = default_pyramid([{"name": "v"}])
+    key = p.format_key(7, "raw", "1d", "2024-01-01")
+    with pytest.raises(ValueError):
+        p.format_key(7, "raw", "4d", "2024-01-01")
+    keys = spark.createDataFrame([(f"s3://b/x/{key}",), ("x/other.parquet",), ("device-x/raw/1d/2024-01-01.parquet",)], "path string")
     assert [tuple(r)[1:] for r in files.parse_keys(keys).collect()] == [(7, "raw", "1d", "2024-01-01")]
+    other = spark.createDataFrame([("a/raw.1d/9_2024.parquet",)], "path string")
+    assert [tuple(r)[1:] for r in files.parse_keys(other, key="{tier}.{shard}/{device_id}_{period}.parquet").collect()] == [(9, "raw", "1d", "2024")]
+
+
+def test_registry_from_files(spark, tmp_path):
+    p = default_pyramid([{"name": "v"}])
+    for tier, shard, label in (("raw", "1d", "2024-01-02"), ("raw", "1mo", "2024-02"), ("m10", "4d", "2024-01-05")):
+        spark.range(1).coalesce(1).write.parquet(str(tmp_path / "staging"), mode="overwrite")
+        target = tmp_path / p.format_key(12, tier, shard, label)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        next((tmp_path / "staging").glob("*.parquet")).rename(target)
+    (tmp_path / "device-12/raw/1d/oops.parquet").write_bytes(target.read_bytes())
+    out = files.bootstrap_registry(spark, str(tmp_path), {"raw": ["1d", "1mo"], "m10": ["1d"]}).orderBy("period_start").collect()
+    day = 86_400_000
+    assert [(r["device_id"], r["tier"], r["rung"], r["period_end"] - r["period_start"]) for r in out] == [(12, "raw", "1d", day), (12, "raw", "1mo", 29 * day)]
+
+
+def test_monthly_files(spark, tmp_path):
+    at = lambda m, d, h=0: datetime(2024, m, d, h)
+    schema = "timestamp timestamp, v double"
+    rows = spark.createDataFrame([(at(1, 5), 1.0), (at(1, 28), 2.0), (at(2, 3), 3.0)], schema)
+    base = str(tmp_path / "m")
+    files.write_monthly(rows, base)
+    assert sorted(x.name for x in (tmp_path / "m").glob("month=*")) == ["month=2024-01", "month=2024-02"]
+    merge = lambda data, how="warn": files.merge_monthly(spark, base, spark.createDataFrame(data, schema), ["timestamp"], ["v"], on_conflict=how)
+    held = lambda: sorted(tuple(r) for r in spark.read.parquet(base).select("timestamp", "v").collect())
+    february = {f.name for f in (tmp_path / "m/month=2024-02").iterdir()}
+    assert not merge([(at(1, 5), 1.0), (at(1, 28), 9.0)])  # nothing new, and a conflict that is left
+    assert merge([(at(1, 28), 9.0), (at(1, 9), 4.0)], "replace")
+    assert held() == [(at(1, 5), 1.0), (at(1, 9), 4.0), (at(1, 28), 9.0), (at(2, 3), 3.0)]
+    assert {f.name for f in (tmp_path / "m/month=2024-02").iterdir()} == february  # untouched
+    assert merge([(at(3, 1), 5.0)]) and len(held()) == 5
+    first = files.merge_monthly(spark, str(tmp_path / "new"), rows, ["timestamp"], ["v"])
+    assert first and spark.read.parquet(str(tmp_path / "new")).count() == 3
+
+
+def test_a_devices_readings(spark, tmp_path):
+    schema = "timestamp timestamp, v double"
+    for name, day in (("2024-02", 1), ("2024-01", 2), ("notes", 3)):
+        (tmp_path / "device-9").mkdir(exist_ok=True)
+        spark.createDataFrame([(datetime(2024, 1, day), float(day))], schema).toPandas().to_parquet(tmp_path / f"device-9/{name}.parquet", coerce_timestamps="us")
+    spark.createDataFrame([(datetime(2023, 1, 1), 7.0)], schema).toPandas().to_parquet(tmp_path / "device-8.parquet", coerce_timestamps="us")
+    kind = spark.createDataFrame([], schema).schema
+    assert [x.rsplit("/", 1)[1] for x in files.monthly_files(spark, str(tmp_path / "device-9"))] == ["2024-01.parquet", "2024-02.parquet"]
+    assert files.monthly_files(spark, str(tmp_path / "none")) == []
+    assert [r["v"] for r in files.read_monthly(spark, str(tmp_path / "device-9"), kind, "timestamp").collect()] == [1.0, 2.0]
+    get = lambda n: [r["v"] for r in files.read_device(spark, str(tmp_path / n), kind).collect()]
+    assert sorted(get("device-9")) == [1.0, 2.0] and get("device-8") == [7.0] and get("device-7") == []
+    named = files.with_device(files.read_monthly(spark, str(tmp_path / "device-9"), kind))
+    assert {r["device_id"] for r in named.collect()} == {9}
+
+
+def test_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(datetime(2024, 1, 1), None)], "timestamp timestamp, v double").coalesce(1)
+    files.write_json_lines(df, str(tmp_path / "j"))
+    assert [json.loads(x) for f in (tmp_path / "j").glob("*.json") for x in f.read_text().splitlines()] == [{"timestamp": "2024-01-01T00:00:00.000Z", "v": None}]
 
 
 def test_pages(spark):
-    page = '{"data":[{"timestamp":"2025-07-05T22:22:06.331Z","sensors":[{"comp":"temp","value":73.36},{"comp":"co2","value":563}]}]}'
+    page = '{"data":[{"timestamp":"2024-07-05T22:22:06.331Z","sensors":[{"comp":"temp","value":71.5},{"comp":"co2","value":612}]}]}'
     out = rest.flatten(spark.createDataFrame([(page,)], "p string"), F.col("p"), ["temp", "co2", "voc"]).first()
-    assert (out["temp"], out["co2"], out["voc"]) == (73.36, 563.0, None)
+    assert (out["temp"], out["co2"], out["voc"]) == (71.5, 612.0, None)
 
 
 def test_rest_source(spark):
@@ -183,6 +280,145 @@ def test_rest_source(spark):
     df = spark.read.format("readings").options(**{"pages": "tests.pages:fetch", "devices": "1,2", "from": 0, "to": 7_200_000, "slice_hours": 1, "limit": 7}).load()
     assert df.groupBy("device_id").count().orderBy("device_id").collect() == [(1, 120), (2, 120)]
     assert df.select("timestamp").distinct().count() == 120
+    held = spark.createDataFrame([(datetime(1970, 1, 1, 0, 30), 1.0), (datetime(1970, 1, 2), 2.0)], "timestamp timestamp, value double")
+    assert rest.replace_range(held, df.where("device_id = 1").select("timestamp", "value"), 0, 7_200_000).count() == 121
+
+
+def test_rest_outcomes(spark):
+    spark.dataSource.register(rest.RequestsSource)
+    spark.dataSource.register(rest.ReadingsSource)
+    options = {"devices": "1", "from": 0, "to": 5 * 3_600_000, "limit": 60}
+    load = lambda kind, **k: spark.read.format(kind).options(**options, **k).load()
+    rows = [tuple(r) for r in load("reading_requests", pages="tests.pages:shaky").collect()]
+    assert [r[3] for r in rows] == ["ok", "http_error", "ok", "ok", "rate_limit"] and rows[0][1:3] == (0, 18_000_000)
+    assert rows[0][4:] == (60, 14_400_000, 17_940_000, 60.0)
+    assert rows[2][2] == rows[1][2] - 3_600_000  # an hour back after an error
+    assert [r[3] for r in load("reading_requests", pages="tests.pages:shaky", max_requests=2).collect()] == ["ok", "http_error"]
+    assert load("readings", pages="tests.pages:shaky").count() == 180
+    with pytest.raises(Exception):
+        load("readings", pages="tests.pages:shaky", on_rate_limit="fail").count()
+
+
+def test_scans_get_the_range(spark, sf_dir):
+    from tidemark.queries import queries
+
+    for name in ("plan_budget_10", "plan_budget_50000", "pruned_scan", "splice_tail", "smooth_centered"):
+        plan = queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        scans = [x for x in plan.splitlines() if "PushedFilters" in x]
+        assert scans and all("GreaterThanOrEqual(ts," in x and "LessThan(ts," in x for x in scans)
+
+
+CALENDAR = {"metrics": [{"name": "v"}], "tiers": [{"name": "d", "bin": "1d", "shards": ["1mo"]}, {"name": "m", "bin": "1mo", "shards": ["1y"]}, {"name": "y", "bin": "1y", "shards": ["10y"]}]}
+
+
+def test_calendar_tiers_plan_and_smooth(spark):
+    p, day = Pyramid.of(CALENDAR), 86_400_000
+    assert [getattr(p.source_of(t.name), "name", None) for t in p.tiers] == [None, "d", "m"]
+    assert [q.choose_tier(p, 366 * day, b, 1_704_067_200_000) for b in (1, 11, 12, 365, 366)] == ["y", "y", "m", "m", "d"]
+    readings = spark.range(0, 800).select(F.lit(1).alias("device_id"), F.timestamp_millis(1_704_067_200_000 + F.col("id") * day).alias("timestamp"), F.lit(1.0).alias("v"))
+    tiers = q.build_tiers(p, readings)
+    start, end = 1_706_745_600_000, 1_730_419_200_000  # February to October of 2024
+    plan = q.plan_query(p, start, end, 20, {"m": 1_719_792_000_000 + 5}, smooth="auto3")
+    assert plan.output_tier == "m" and [s.tier for s in plan.segments] == ["m", "d"] and plan.segments[0].end == 1_719_792_000_000
+    out = q.execute(plan, p, tiers, start, end).orderBy("ts").collect()
+    assert [r["v_n"] for r in out] == [29, 31, 30, 31, 30, 31, 31, 30, 31]
+    assert [r["v_smooth_n"] for r in out][:3] == [91, 90, 92] and out[0]["ts"] == start
+
+
+def test_a_plan_from_shards():
+    p, hour, day = default_pyramid([{"name": "v"}]), 3_600_000, 86_400_000
+    plan = lambda shards: [(s.tier, s.start, s.end, s.reaggregate) for s in q.plan_from_inventory(p, 0, 7 * day, 30, shards).segments]
+    assert plan([("h6", "16d", 0, 3 * day), ("h6", "128d", day, 8 * day)]) == [("h6", 0, 7 * day, False)]
+    assert plan([("h6", "16d", 0, 2 * day + hour), ("h2", "16d", 0, 4 * day), ("h2", "128d", day, 5 * day), ("raw", "1d", 6 * day, 7 * day)]) == [("h6", 0, 2 * day, False), ("h2", 2 * day, 5 * day, True), ("raw", 6 * day, 7 * day, True)]
+    assert plan([]) == []
+
+
+def test_freshness_is_the_laggards(spark):
+    rows = spark.createDataFrame([(1, "raw", 50), (1, "raw", 70), (2, "raw", 60), (1, "h6", 30)], "device_id long, tier string, period_end long")
+    assert q.freshness(rows) == {"raw": 60, "h6": 30} and q.freshness(rows, [1]) == {"raw": 70, "h6": 30}
+
+
+def test_lists_of_odd_values(spark):
+    metrics = [Metric("t", "v", "topk", k=2), Metric("b", "v", "botk", k=2), Metric("h", "v", "histogram", width=10.0), Metric("n", "v", "count")]
+    at = datetime(2024, 1, 1)
+    df = rows(spark, [(1, at, x) for x in ("3", "12", "x", None, "NaN", "25", "12")] + [(None, at, "7"), (2, at, "none")])
+    out = {r["device_id"]: (r["t_topk"], r["b_botk"], r["h_histogram"], r["n_n"]) for r in rollup.aggregate_raw(df, "1d", metrics).collect()}
+    assert out == {1: ([25.0, 12.0], [3.0, 12.0], {0: 1, 1: 2, 2: 1}, 4), None: ([7.0], [7.0], {0: 1}, 1), 2: ([], [], {}, 0)}
+    two = rollup.aggregate_raw(df, "1d", metrics).unionByName(rollup.aggregate_raw(df, "1d", metrics))
+    merged = {r["device_id"]: (r["t_topk"], r["b_botk"], r["h_histogram"], r["n_n"]) for r in rollup.stitch([two, two.limit(0)], metrics).collect()}
+    assert merged == {1: ([25.0, 25.0], [3.0, 3.0], {0: 2, 1: 4, 2: 2}, 8), None: ([7.0, 7.0], [7.0, 7.0], {0: 2}, 2), 2: ([], [], {}, 0)}
+    assert rollup.aggregate_raw(df.limit(0), "1d", metrics).count() == 0
+
+
+def test_one_shard_is_built(spark, tmp_path):
+    p, base = Pyramid.of(CALENDAR | {"tiers": [{"name": "d", "bin": "1d", "shards": ["1d", "1mo"]}, {"name": "m", "bin": "1mo", "shards": ["1y"]}]}), str(tmp_path / "p")
+    days = [datetime(2024, 1, 3), datetime(2024, 1, 9), datetime(2024, 2, 1)]
+    readings = spark.createDataFrame([(1, d, 2.0) for d in days], "device_id long, timestamp timestamp, v double")
+    assert build.build_shard(p, readings, base, "d", "1mo", "2024-01") == build.Built("written", 2, 31)
+    assert build.build_shard(p, readings, base, "m", "1y", "2024") == build.Built("written", 2, 366)
+    assert build.build_shard(p, readings, base, "d", "1mo", "2023-01") == build.Built("no_inputs", 0, 31)
+    assert [r["v_n"] for r in build.tier(p, spark, base, "m").collect()] == [2]  # February's day isn't built yet
+    with pytest.raises(ValueError):
+        build.build_shard(p, readings, base, "d", "1y", "2024")
+
+
+def test_converging_reports_failures_and_time(spark, tmp_path):
+    p, day = Pyramid.of({"metrics": [{"name": "v"}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d"]}]}), 86_400_000
+    readings = spark.createDataFrame([(1, datetime(2024, 1, d), 1.0) for d in (1, 2)], "device_id long, timestamp timestamp, v double")
+    devices = spark.createDataFrame([(1, 1_704_067_200_000)], "device_id long, genesis long")
+    nothing = spark.createDataFrame([], "device_id long, tier string, rung string, period_start long, period_end long, written_at long")
+    journal = spark.createDataFrame([], "start long, end long, requested_at long")
+    go = lambda **k: build.converge(p, devices, nothing, journal, readings.withColumnRenamed("v", k.pop("name", "v")), str(tmp_path / "c"), 1_704_067_200_000 + 2 * day, **k)
+    results, after = go()
+    assert [r[:2] for r in results] == [("h6", "written"), ("d1", "written")] and after.count() == 4
+    assert [r[:2] for r in go(budget_s=0.0)[0]] == [("h6", "skipped"), ("d1", "skipped")]
+    results, after = go(name="w")
+    assert results[0][1].startswith("failed") and results[1][:2] == ("d1", "written") and after.count() == 2
+
+
+def test_streams_are_compacted_and_repaired(spark, tmp_path):
+    path, day = str(tmp_path / "s"), 86_400_000
+    frame = lambda data: spark.createDataFrame([(d, datetime(2024, 1, a, h), v) for d, a, h, v in data], "device_id long, timestamp timestamp, v double")
+    send = lambda data, i, **k: stream.merge_batch(frame(data), i, path, "6h", [M], "timestamp", ["device_id", "timestamp"], "timestamp", **k)
+    state = lambda: sorted((r["device_id"], r["ts"], r["v_n"], r["v_sum"]) for r in stream.current_bins(spark, path, [M]).collect())
+    send([(1, 1, 0, 1.0), (1, 2, 7, 2.0)], 0)
+    send([(1, 1, 1, 4.0), (1, 1, 0, 1.0)], 1)
+    send([(1, 1, 1, 4.0), (1, 1, 0, 1.0)], 1)  # a retry
+    jan1 = 1_704_067_200_000
+    want = [(1, jan1, 2, 5.0), (1, jan1 + day + 6 * 3_600_000, 1, 2.0)]
+    assert state() == want
+    days = (jan1 // day, jan1 // day + 1)
+    stream.compact(spark, path, days)
+    assert state() == want and len(list((tmp_path / f"s/bins/day={days[0]}").glob("batch=*"))) == 1
+    stream.compact(spark, path, days)
+    send([(1, 1, 2, 8.0)], 2)
+    assert state()[0] == (1, jan1, 3, 13.0)
+    broken = [Metric("v", "no_such_column")]
+    with pytest.raises(Exception):
+        stream.merge_batch(frame([(1, 2, 8, 1.0)]), 3, path, "6h", broken, "timestamp", ["device_id", "timestamp"], "timestamp")
+    stream.merge_batch(frame([(1, 2, 8, 1.0)]), 3, path, "6h", broken, "timestamp", ["device_id", "timestamp"], "timestamp", best_effort=True)
+    assert state()[1] == want[1] and stream.repair(spark, path, "6h", [M]) and state()[1][2:] == (2, 3.0)
+    assert not stream.repair(spark, str(tmp_path / "none"), "6h", [M])
+
+
+def test_rolling_over_odd_values(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 60_000, None), (1, 120_000, 3.0), (1, 10_000_000, None)], "device_id long, ms long, v double")
+    out = {r["ms"]: (r["mean"], r["stddev"]) for r in analytics.rolling(df, 4, "v").collect()}
+    assert out == {0: (2.0, 1.0), 60_000: (2.0, 1.0), 120_000: (2.0, 1.0), 10_000_000: (None, 0.0)}
+    same = {r["ms"]: (r["mean"], r["stddev"]) for r in analytics.rolling(df, 1, "v").collect()}
+    assert same == {0: (1.0, 0.0), 60_000: (None, 0.0), 120_000: (3.0, 0.0), 10_000_000: (None, 0.0)}
+
+
+def test_bands_of_null_spreads(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (1, 5.0, 1.0), (2, None, None), (3, -1.0, None)], "k int, m double, s double")
+    bounds = lambda **a: {r["k"]: (r["y_min"], r["y_max"]) for r in analytics.axis_bounds(df, F.col("m"), F.col("s"), ["k"], **a).collect()}
+    assert bounds() == {1: (pytest.approx(1.8), pytest.approx(6.2)), 3: (-1.0, 0.0)}
+    assert bounds(auto=False) == {1: (0.0, 6.0), 3: (-1.0, 0.0)}
+
+
+def test_table_places():
+    assert analytics.first_index(10 * 60_000, None, 60_000) == 1
+    assert [analytics.first_index(600_000, e, 60_000) for e in (600_000, 540_000, 569_999, 900_000)] == [1, 2, 2, 1]
 
 
 def test_empty_tables(spark):

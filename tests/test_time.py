@@ -6,8 +6,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import codec
-from tidemark.functions.durations import Duration, row_group_rows
-from tidemark.functions.timeaxis import bin_end, floor_bin, label_of, parse_period, periods_overlapping, span_of, to_ms
+from tidemark.functions.durations import Duration
+from tidemark.functions.timeaxis import bin_end, bin_index, bins_between, ceil_bin, floor_bin, label_of, parse_period, periods_overlapping, shift, span_of, to_ms
 from tidemark.plans.cover import min_cover, tile
 
 DAY = 86_400_000
@@ -22,7 +22,8 @@ def test_durations():
     for bad in ("", "0d", "5mo", "2w", "-1d"):
         with pytest.raises(ValueError):
             Duration.of(bad)
-    assert [row_group_rows(b) for b in ("1min", "5min", "30min", "1h", "1d", "1mo")] == [1440, 288, 100, 100, 100, None]
+    order = [Duration.of(d).usual_ms for d in ("1min", "1d", "28d", "1mo", "32d", "3mo", "1y")]
+    assert order == sorted(order)
 
 
 def test_periods():
@@ -39,6 +40,22 @@ def test_periods():
     assert months[-1][1] == utc(2024, 3, 1)  # a leap February
 
 
+def test_calendar_arithmetic():
+    assert shift(utc(2024, 1, 1), "1mo", 14) == utc(2025, 3, 1) and shift(utc(2024, 1, 1), "3mo", -1) == utc(2023, 10, 1)
+    assert shift(utc(2024, 1, 1), "6h", -1) == utc(2023, 12, 31, 18) and shift(utc(2024, 1, 1), "1y", -2) == utc(2022, 1, 1)
+    assert ceil_bin(utc(2024, 2, 1), "1mo") == utc(2024, 2, 1) and ceil_bin(utc(2024, 2, 1) + 1, "1mo") == utc(2024, 3, 1)
+    assert bins_between(utc(2024, 1, 31), utc(2024, 3, 2), "1mo") == 3 and bins_between(0, 3 * DAY + 1, "1d") == 4
+
+
+def test_bin_numbers_are_neighbours(spark):
+    for width in ("1mo", "3mo", "1y", "6h"):
+        starts = [span_of(utc(1969, 1, 1), width)[0]]
+        for _ in range(9):
+            starts.append(shift(starts[-1], width, 1))
+        found = spark.createDataFrame([(x,) for x in starts], "s long").select(bin_index(F.col("s"), width).alias("i")).collect()
+        assert [r["i"] - found[0]["i"] for r in found] == list(range(10))
+
+
 LADDERS = [["1d", "1mo"], ["1d", "4d", "32d"], ["4d", "32d", "128d"], ["16d", "128d", "512d"]]
 
 
@@ -97,7 +114,39 @@ def test_flexible_dates(spark):
 
 def test_amounts():
     assert codec.nice_ticks(0, 10) == [0, 2, 4, 6, 8, 10]
+    assert codec.nice_ticks(0, 12) == [0, 2, 4, 6, 8, 10, 12] and codec.nice_ticks(0, 40) == [0, 10, 20, 30, 40]
+    assert codec.nice_ticks(-3, 3) == [-3, -2, -1, 0, 1, 2, 3] and codec.nice_ticks(5, 5) == [5]
     assert codec.target_points(None) == 300 and codec.target_points(4000) == 400 and codec.target_points(100) == 100
+    assert codec.target_points(900, 4) == 225
     assert codec.chart_window(DAY, 300) == 5
     assert codec.split_url("s3://bucket/a/b.parquet") == ("bucket", "a/b.parquet")
     assert codec.round_span(61 * 60_000) == 60 * 60_000
+
+
+def test_time_ticks():
+    assert codec.time_ticks(1, DAY, 6) == [i * 3 * 3_600_000 for i in range(1, 8)]
+    assert codec.time_ticks(0, 10 * 60_000, 9) == [i * 60_000 for i in range(10)]
+    assert codec.time_ticks(5, 30 * DAY, 4) == [7 * DAY, 14 * DAY, 21 * DAY, 28 * DAY]
+
+
+def test_ranges_and_months():
+    now = datetime(2024, 3, 31, 12, tzinfo=timezone.utc)
+    start, end = codec.default_range(now)
+    assert (now - start).days == 34 and (end - now).seconds == 600 and codec.default_range(now, now, now) == (now, now)
+    assert [codec.month_label(now, b) for b in (0, 1, 3)] == ["2024-03", "2024-02", "2023-12"]
+    assert codec.require_zone(now) == now
+    with pytest.raises(ValueError):
+        codec.require_zone(datetime(2024, 1, 1))
+
+
+def test_url_codes():
+    assert codec.decode_axes("tcA") == (["temp", "co2"], True) and codec.decode_axes("h") == (["humid"], False)
+    assert codec.encode_axes(["temp", "co2"], True) == "tca"
+    assert codec.decode_floors("t32,c350.5,zz") == {"temp": 32.0, "co2": 350.5} and codec.encode_floors({"temp": 32.0, "co2": 350.5}) == "t32,c350.5"
+    for code in ("4px", "1h", "1d3h"):
+        assert codec.encode_grouping(*codec.decode_grouping(code)) == code
+
+
+def test_rounding_by_metric(spark):
+    row = spark.createDataFrame([(21.25, 400.5, -0.5)], "t double, c double, v double").select(codec.round_metric(F.col("t"), "temp"), codec.round_metric(F.col("c"), "co2"), codec.round_metric(F.col("v"), "voc")).first()
+    assert tuple(row) == (21.3, 401.0, 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,8 +108,11 @@ def human_bytes(n: Column) -> Column:
     return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
 
 
-def target_points(width: int | None) -> int:
-    return 300 if width is None else min(400, max(100, width // 4))
+def target_points(width: int | None, pixels: int | None = None) -> int:
+    """Points for a chart of ``width`` pixels: one in ``pixels`` of them where given, else a quarter within bounds."""
+    if width is None:
+        return 300
+    return max(1, width // pixels) if pixels else min(400, max(100, width // 4))
 
 
 def chart_window(span_ms: int, points: int) -> int:
@@ -117,16 +120,100 @@ def chart_window(span_ms: int, points: int) -> int:
     return next((w for w in CHART_WINDOWS if span_ms / (w * MINUTE) <= points), CHART_WINDOWS[-1])
 
 
+# A step is the second number times a power of ten while the rough step is under the first.
+TICK_STEPS = [(1.5, 1), (3, 2), (7, 5), (math.inf, 10)]
+#: Steps of a time axis in minutes.
+TIME_STEPS = [1, 5, 15, 30, 60, 120, 180, 360, 720, 1440, 2880, 10080, 20160]
+#: Metrics shown as whole numbers; others have one decimal.
+WHOLE_METRICS = ("co2", "voc", "pm25")
+
+
 def nice_ticks(low: float, high: float, count: int = 5) -> list[float]:
-    """Multiples of 1, 2 or 5 times a power of ten in [low, high], about ``count``."""
+    """Multiples in [low, high] of 1, 2 or 5 times a power of ten, about ``count``."""
     if high <= low:
         return [low]
     rough = (high - low) / count
-    power = 10 ** math.floor(math.log10(rough))
-    step = next(m * power for m in (1, 2, 5, 10) if m * power >= rough * (1 - 1e-12))
+    power = 10.0 ** math.floor(math.log10(rough))
+    step = next(s for under, s in TICK_STEPS if rough / power < under) * power
     return [round(i * step, 12) for i in range(math.ceil(low / step - 1e-9), math.floor(high / step + 1e-9) + 1)]
 
 
+def time_ticks(start: int, end: int, count: int) -> list[int]:
+    """Multiples in [start, end) of the time step that is nearest to giving ``count``; of two as near the smaller."""
+    step = MINUTE * min(TIME_STEPS, key=lambda m: abs(m * MINUTE - (end - start) / count))
+    return list(range(-(-start // step) * step, end, step))
+
+
+def round_metric(value: Column, metric: str) -> Column:
+    """Half up, to whole numbers or one decimal by the metric."""
+    scale = 1 if metric in WHOLE_METRICS else 10
+    return F.floor(value * scale + 0.5) / scale
+
+
+def default_range(now: datetime, start: datetime | None = None, end: datetime | None = None, days: int = 34, minutes: int = 10) -> tuple[datetime, datetime]:
+    """A missing start is ``days`` ago, a missing end ``minutes`` ahead."""
+    return start or now - timedelta(days=days), end or now + timedelta(minutes=minutes)
+
+
+def require_zone(at: datetime) -> datetime:
+    """``at`` in UTC; a time without a zone is an error."""
+    if at.tzinfo is None:
+        raise ValueError(f"{at} has no time zone")
+    return at.astimezone(timezone.utc)
+
+
+def month_label(at: datetime, back: int = 0) -> str:
+    """yyyy-MM of the UTC month ``back`` months before that of ``at``."""
+    months = at.year * 12 + at.month - 1 - back
+    return f"{months // 12:04d}-{months % 12 + 1:02d}"
+
+
+def human_duration(ms: Column) -> Column:
+    """Days, hours and minutes, parts of 0 left out: ``2d 3h``; under a minute ``0m``."""
+    total = F.greatest(F.lit(0), F.floor(ms / MINUTE))
+    parts = [(F.floor(total / 1440), "d"), (F.floor(total % 1440 / 60), "h"), (total % 60, "m")]
+    text = F.concat_ws(" ", *(F.when(n > 0, F.concat(n.cast("long").cast("string"), F.lit(u))) for n, u in parts))
+    return F.when(text == "", "0m").otherwise(text)
+
+
+# Axes and groupings in URLs: metrics by letter, floors by metric, groupings in pixels or time.
+
+# Letters of the metrics.
+METRIC_LETTERS = {"t": "temp", "c": "co2", "h": "humid", "p": "pm25", "v": "voc"}
+
+
+def decode_axes(code: str) -> tuple[list[str], bool]:
+    """Metrics of up to two axes, and whether they scale by themselves (a trailing ``a`` or ``A``)."""
+    auto = code[-1:] in ("a", "A")
+    return [METRIC_LETTERS[c] for c in code.rstrip("aA") if c in METRIC_LETTERS][:2], auto
+
+
+def encode_axes(metrics: list[str], auto: bool) -> str:
+    letters = {m: c for c, m in METRIC_LETTERS.items()}
+    return "".join(letters[m] for m in metrics) + ("a" if auto else "")
+
+
+def decode_floors(code: str) -> dict[str, float]:
+    """``t32,c350``: the least value of each metric's axis."""
+    found = (re.fullmatch(r"([a-z])(-?\d+(?:\.\d+)?)", part) for part in code.split(","))
+    return {METRIC_LETTERS[m[1]]: float(m[2]) for m in found if m and m[1] in METRIC_LETTERS}
+
+
+def encode_floors(floors: dict[str, float]) -> str:
+    letters = {m: c for c, m in METRIC_LETTERS.items()}
+    return ",".join(f"{letters[m]}{v:g}" for m, v in floors.items())
+
+
+def decode_grouping(code: str) -> tuple[str, int]:
+    """``4px``: pixels a point; ``1h``: milliseconds a window."""
+    pixels = re.fullmatch(r"(\d+)px", code)
+    return ("pixels", int(pixels[1])) if pixels else ("span", parse_span(code))
+
+
+def encode_grouping(kind: str, n: int) -> str:
+    return f"{n}px" if kind == "pixels" else format_span(n)
+
+
 def split_url(url: str) -> tuple[str, str]:
     """Bucket and key of an object URL."""
     m = re.fullmatch(r"[a-z0-9]+://([^/]+)/?(.*)", url)

@@ -37,22 +37,22 @@ class Duration:
             raise ValueError(f"{self} has no fixed length")
         return self.count * UNIT_MS[self.unit]
 
+    @property
+    def months(self) -> int:
+        return self.count * (12 if self.unit == "y" else 1)
+
+    @property
+    def usual_ms(self) -> float:
+        """The length, or the mean length of calendar units, to put durations in order."""
+        return self.months * 2_629_746_000.0 if self.is_calendar else float(self.ms)
+
     def divides(self, other: Duration) -> bool:
         """Whether bins of ``other`` are unions of this one's."""
         if not self.is_calendar and not other.is_calendar:
             return other.ms % self.ms == 0
         if not self.is_calendar:
             return UNIT_MS["d"] % self.ms == 0
-        months = lambda d: d.count * (12 if d.unit == "y" else 1)
-        return other.is_calendar and months(other) % months(self) == 0
+        return other.is_calendar and other.months % self.months == 0
 
     def __str__(self) -> str:
         return f"{self.count}{self.unit}"
-
-
-def row_group_rows(bin_: str | Duration) -> int | None:
-    """Rows a Parquet row group should hold for about a day of such bins, 100 at least; None for calendar bins."""
-    d = Duration.of(bin_)
-    if d.is_calendar:
-        return None
-    return max(100, {"min": 1440, "h": 24, "d": 1}[d.unit] // d.count)

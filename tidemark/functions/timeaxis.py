@@ -35,8 +35,16 @@ def bin_end(start: Column, bin_: str | Duration) -> Column:
     d = Duration.of(bin_)
     if not d.is_calendar:
         return start + d.ms
-    months = d.count * (12 if d.unit == "y" else 1)
-    return F.unix_millis(F.add_months(F.timestamp_millis(start).cast("date"), months).cast("timestamp"))
+    return F.unix_millis(F.add_months(F.timestamp_millis(start).cast("date"), d.months).cast("timestamp"))
+
+
+def bin_index(start: Column, bin_: str | Duration) -> Column:
+    """The number of a bin by its start; neighbours differ by one."""
+    d = Duration.of(bin_)
+    if not d.is_calendar:
+        return F.floor(start / d.ms)
+    at = F.timestamp_millis(start)
+    return F.floor((F.year(at) * 12 + F.month(at) - 1) / d.months)
 
 
 def period_label(ms: Column, unit: str) -> Column:
@@ -72,6 +80,30 @@ def span_of(ms: int, rung: str | Duration) -> tuple[int, int]:
     return _months(at.year, month), _months(at.year, month + d.count)
 
 
+def shift(start: int, bin_: str | Duration, n: int) -> int:
+    """The start of the bin that is ``n`` bins after the one that begins at ``start``."""
+    d = Duration.of(bin_)
+    if not d.is_calendar:
+        return start + n * d.ms
+    at = from_ms(start)
+    months = at.year * 12 + at.month - 1 + n * d.months
+    return _months(months // 12, months % 12 + 1)
+
+
+def ceil_bin(ms: int, bin_: str | Duration) -> int:
+    """The first start of a bin at ``ms`` or later."""
+    start, end = span_of(ms, bin_)
+    return ms if start == ms else end
+
+
+def bins_between(start: int, end: int, bin_: str | Duration) -> int:
+    """How many bins meet [start, end)."""
+    d = Duration.of(bin_)
+    if not d.is_calendar:
+        return -(-end // d.ms) - start // d.ms
+    return len(periods_overlapping(start, end, d))
+
+
 def label_of(ms: int, rung: str | Duration) -> str:
     return from_ms(ms).strftime(LABELS[Duration.of(rung).unit])
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import gaps
+from ..functions.timeaxis import floor_bin
+from .series import gap_markers, gaps, moving_sums
 
 
 def info(df: DataFrame, time: str = "timestamp", keys: list[str] = []) -> DataFrame:
@@ -50,12 +53,66 @@ def summary(per_device: DataFrame) -> DataFrame:
     return per_device.agg(F.count("*").alias("devices"), F.sum("records").alias("records"), F.min("earliest").alias("earliest"), F.max("latest").alias("latest"))
 
 
-def axis_bounds(df: DataFrame, mean: Column, spread: Column, keys: list[str]) -> DataFrame:
-    """Plot bounds over mean and mean ± spread with 5 % margin; equal bounds part by one."""
-    s = F.coalesce(spread, F.lit(0.0))
-    found = df.groupBy(*keys).agg(F.min(mean - s).alias("lo"), F.max(mean + s).alias("hi"))
-    margin = (F.col("hi") - F.col("lo")) * 0.05
-    return found.select(*keys, (F.col("lo") - margin).alias("y_min"), F.when(F.col("hi") == F.col("lo"), F.col("hi") + 1).otherwise(F.col("hi") + margin).alias("y_max"))
+def axis_bounds(df: DataFrame, mean: Column, spread: Column, keys: list[str], auto: bool = True, raw: Column | None = None) -> DataFrame:
+    """Plot bounds over mean, mean ± spread and ``raw``: with 5 % margin, or from 0 where not ``auto``; equal bounds part by one.
+
+    A null spread leaves the mean alone, null values count for nothing.
+    """
+    values = [mean, mean - spread, mean + spread, *([] if raw is None else [raw])]
+    both = lambda pick: pick(*values) if len(values) > 1 else values[0]
+    found = df.groupBy(*keys).agg(F.min(both(F.least)).alias("lo"), F.max(both(F.greatest)).alias("hi"))
+    margin = (F.col("hi") - F.col("lo")) * 0.05 if auto else F.lit(0.0)
+    low = F.col("lo") - margin if auto else F.least(F.lit(0.0), F.col("lo"))
+    bounds_ = found.where(F.col("lo").isNotNull()).select(*keys, low.alias("y_min"), (F.col("hi") + margin).alias("y_max"))
+    return bounds_.withColumn("y_max", F.when(F.col("y_max") == F.col("y_min"), F.col("y_min") + 1).otherwise(F.col("y_max")))
+
+
+def chart_windows(df: DataFrame, minutes: int, value: str, keys: list[str] = ["device_id"], ms: str = "ms") -> DataFrame:
+    """keys, ts, count, mean and stddev by windows of ``minutes``; a row of nulls where over three widths pass without one.
+
+    Windows of a minute or less pass readings through: each its own row, deviation 0.
+    """
+    if minutes <= 1:
+        return df.select(*keys, F.col(ms).alias("ts"), F.lit(1).cast("long").alias("count"), F.col(value).cast("double").alias("mean"), F.lit(0.0).alias("stddev"))
+    width = minutes * 60_000
+    bins = df.groupBy(*keys, floor_bin(F.col(ms), f"{minutes}min").alias("ts")).agg(F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stddev"))
+    return gap_markers(bins, width, ["mean", "stddev"], keys)
+
+
+def rolling(df: DataFrame, minutes: int, value: str, keys: list[str] = ["device_id"], ms: str = "ms") -> DataFrame:
+    """``df`` with mean and stddev of ``value`` over the window of ``minutes`` centred on each reading; a minute or less: the value itself and 0."""
+    if minutes <= 1:
+        return df.withColumn("mean", F.col(value).cast("double")).withColumn("stddev", F.lit(0.0))
+    half, v = minutes * 30_000, F.col(value).cast("double")
+    summed = moving_sums(df, ms, keys, {"_n": F.col(value).isNotNull().cast("long"), "_sum": v, "_squares": v * v}, half, half)
+    mean = F.col("_sum") / F.col("_n")
+    variance = F.greatest(F.lit(0.0), F.col("_squares") / F.col("_n") - mean * mean)
+    some = F.col("_n") > 0
+    return summed.withColumn("mean", F.coalesce(F.when(some, mean), v)).withColumn("stddev", F.coalesce(F.when(some, F.sqrt(variance)), F.lit(0.0))).drop("_n", "_sum", "_squares")
+
+
+def first_index(full_end: int, range_end: int | None, window_ms: int) -> int:
+    """The place, from 1, of a table's first row among all windows, newest first; a range without an end is the latest."""
+    return 1 if range_end is None else max(1, math.floor((full_end - range_end) / window_ms + 1 + 0.5))
+
+
+def table_metadata(df: DataFrame, minutes: int, keys: list[str] = ["device_id"], ms: str = "ms") -> DataFrame:
+    """keys, windows and minutes that a device's readings span, rounded up."""
+    span = (F.max(ms) - F.min(ms)) / 60_000.0
+    return df.groupBy(*keys).agg(F.ceil(span / minutes).alias("windows"), F.ceil(span).alias("minutes"))
+
+
+def health(coverage_: DataFrame, rungs: DataFrame, tips: DataFrame) -> DataFrame:
+    """One row a device and tier: its coverage, its rungs' statistics as a list, and when its newest raw file (device_id, uploaded) was written.
+
+    ``badge``: the missing shards if any, else the pending ones, else complete.
+    """
+    listed = rungs.groupBy("device_id", "tier").agg(F.array_sort(F.collect_list(F.struct("rung", "shards", "last_written"))).alias("rungs"))
+    latest = tips.groupBy("device_id").agg(F.max("uploaded").alias("uploaded"))
+    missing = F.col("expected") - F.col("present") - F.col("pending")
+    text = lambda n, word: F.concat(n.cast("string"), F.lit(word))
+    badge = F.when(missing > 0, text(missing, " missing")).when(F.col("pending") > 0, text(F.col("pending"), " pending")).otherwise("complete")
+    return coverage_.join(listed, ["device_id", "tier"], "left").join(latest, "device_id", "left").withColumn("badge", badge)
 
 
 def input_bin_width(df: DataFrame, keys: list[str] = ["device_id"], ms: str = "ms", sample: int = 100, least: int = 10) -> DataFrame:
@@ -126,15 +183,26 @@ def search(df: DataFrame, column: str, terms: list[str], order: list[str], offse
 
 
 def rotation(devices: DataFrame, minute: int, id_: str = "device_id") -> DataFrame:
-    """Devices with ``turn``: their place in a round robin that starts one further each minute."""
-    ranked = devices.withColumn("_i", F.row_number().over(Window.orderBy(id_)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("turn", F.pmod(F.col("_i") - F.lit(minute), F.col("_n")).cast("long")).drop("_i", "_n")
+    """Devices with ``turn``: their place in a round robin that starts one further each minute.
+
+    The list of devices is a small table; its order is one list of ids, not a window over rows.
+    """
+    order = devices.agg(F.array_sort(F.collect_set(id_)).alias("_order"))
+    placed = order.select(F.posexplode("_order").alias("_i", "_id"), F.size("_order").alias("_n"))
+    turn = F.pmod(F.col("_i") - F.lit(minute), F.col("_n")).cast("long")
+    return devices.join(placed.select(F.col("_id").alias(id_), turn.alias("turn")), id_)
 
 
-def fetch_trace(calls: DataFrame) -> DataFrame:
-    """Per key: calls, bytes and ms, and bytes by phase; a key's first call (by seq) reads metadata, later ones data."""
+def fetch_trace(calls: DataFrame, by_key: bool = True) -> DataFrame:
+    """Per key, or over all: calls, bytes and ms, bytes by phase, cached calls and their share; a key's first call (by seq) reads metadata, later ones data."""
     firsts = calls.groupBy("key").agg(F.min("seq").alias("_first"))
     meta = F.col("seq") == F.col("_first")
-    return calls.join(firsts, "key").groupBy("key").agg(
-        F.count("*").alias("calls"), F.sum("bytes").alias("bytes"), F.sum("ms").alias("ms"), F.sum(F.when(meta, F.col("bytes")).otherwise(0)).alias("meta_bytes"), F.sum(F.when(meta, 0).otherwise(F.col("bytes"))).alias("data_bytes"), F.count_if("cached").alias("cached")
+    return calls.join(firsts, "key").groupBy(*(["key"] if by_key else [])).agg(
+        F.count("*").alias("calls"),
+        F.sum("bytes").alias("bytes"),
+        F.sum("ms").alias("ms"),
+        F.sum(F.when(meta, F.col("bytes")).otherwise(0)).alias("meta_bytes"),
+        F.sum(F.when(meta, 0).otherwise(F.col("bytes"))).alias("data_bytes"),
+        F.count_if("cached").alias("cached"),
+        (F.count_if("cached") / F.count("*")).alias("hit_share"),
     )

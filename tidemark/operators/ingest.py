@@ -31,6 +31,13 @@ def half_open(time: Column, start, end) -> Column:
     return (time >= start) & (time < end)
 
 
+def in_range(df: DataFrame, time: str, start: int, end: int) -> DataFrame:
+    """Rows with ``time`` in [start, end) of epoch ms, compared in the column's own type, so that the scan gets the filter."""
+    kind = df.schema[time].dataType
+    at = lambda ms: F.timestamp_millis(F.lit(ms)).cast(kind)
+    return df.where(half_open(F.col(time), at(start), at(end)))
+
+
 def delete_range(df: DataFrame, time: str, start, end) -> DataFrame:
     """``df`` without the rows in the inclusive range; rows without a time stay."""
     return df.where(~F.coalesce(between(F.col(time), start, end), F.lit(False)))
@@ -51,9 +58,10 @@ def dedupe(df: DataFrame, keys: list[str], order: list[Column], keep: str = "fir
 def conflicts(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys, variants (distinct rows), fields (names whose values differ, in order) where rows of a key differ.
 
-    Null differs from a value.
+    Null differs from a value. A field's values differ if the least isn't the greatest,
+    which combines before the shuffle.
     """
-    differs = lambda v: (F.count_distinct(v) + F.max(F.col(v).isNull().cast("int"))) > 1
+    differs = lambda v: (F.min(v) < F.max(v)) | ((F.count(v) > 0) & (F.count(v) < F.count("*")))
     found = df.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("variants"), F.array_join(F.array_compact(F.array(*(F.when(differs(v), F.lit(v)) for v in values))), ",").alias("fields"))
     return found.where("variants > 1")
 
@@ -71,5 +79,6 @@ def merge(stored: DataFrame, new: DataFrame, keys: list[str], values: list[str],
     return dedupe(both, keys, [F.col("_new")], "last" if on_conflict == "replace" else "first").drop("_new")
 
 
-def inserted(before: DataFrame, after: DataFrame) -> int:
-    return after.count() - before.count()
+def inserted(before: DataFrame, new: DataFrame, keys: list[str]) -> int:
+    """How many keys of ``new`` are not in ``before``."""
+    return new.select(*keys).distinct().join(before.select(*keys), keys, "left_anti").count()

@@ -57,6 +57,18 @@ def prune_journal(journal: DataFrame, recorded: DataFrame, width: int = 86_400_0
     return overlapping(journal, spans, ["start", "end", "requested_at"], width, F.col("written_at") < F.col("requested_at"))
 
 
+def upsert_watermarks(held: DataFrame, new: DataFrame) -> DataFrame:
+    """One row a device, tier and rung: the latest end of both sides, a mark never moves back; the latest update."""
+    both = held.unionByName(new)
+    return both.groupBy("device_id", "tier", "rung").agg(F.max("latest_period_end").alias("latest_period_end"), F.max("updated_at").alias("updated_at"))
+
+
+def shards_overlapping(recorded: DataFrame, targets: DataFrame, width: int = 86_400_000) -> DataFrame:
+    """Recorded shards whose period meets a target's effective range (effective_start, effective_end)."""
+    spans = targets.select(F.col("effective_start").alias("r_start"), F.col("effective_end").alias("r_end"))
+    return overlapping(recorded, spans, KEY, width, None, ("period_start", "period_end"))
+
+
 def upsert(recorded: DataFrame, new: DataFrame) -> DataFrame:
     """One row a key, the latest written; state a new row lacks (nulls) comes from the old one."""
     rest = [c for c in recorded.columns if c not in KEY]
@@ -101,12 +113,22 @@ def slots(expected_: DataFrame, recorded: DataFrame, sources: DataFrame | None =
     return out.withColumn("status", status).drop("_have", "_ready")
 
 
-def coverage(slots_: DataFrame) -> DataFrame:
-    """Per device and tier: expected, present, pending, the first missing period and whether none is missing."""
+def coverage(slots_: DataFrame, stale_: DataFrame | None = None, now: int | None = None) -> DataFrame:
+    """Per device and tier: expected, present, pending, the first missing period and whether none is missing.
+
+    With the stale shards (KEY) also how many they are; with ``now`` the seconds since the
+    end of the last expected period (the dust that no closed period covers yet).
+    """
     gone = F.col("status") == "missing"
-    return slots_.groupBy("device_id", "tier").agg(
-        F.count("*").alias("expected"), F.count_if(F.col("status") == "present").alias("present"), F.count_if(F.col("status") == "pending").alias("pending"), F.min(F.when(gone, F.col("period_start"))).alias("first_missing"), (F.count_if(gone) == 0).alias("complete")
+    out = slots_.groupBy("device_id", "tier").agg(
+        F.count("*").alias("expected"), F.count_if(F.col("status") == "present").alias("present"), F.count_if(F.col("status") == "pending").alias("pending"), F.min(F.when(gone, F.col("period_start"))).alias("first_missing"), (F.count_if(gone) == 0).alias("complete"), F.max("period_end").alias("_end")
     )
+    if stale_ is not None:
+        counts = stale_.groupBy("device_id", "tier").agg(F.count("*").alias("stale"))
+        out = out.join(counts, ["device_id", "tier"], "left").withColumn("stale", F.coalesce("stale", F.lit(0).cast("long")))
+    if now is not None:
+        out = out.withColumn("dust_age_s", F.floor((F.lit(now) - F.col("_end")) / 1000))
+    return out.drop("_end")
 
 
 def device_coverage(coverage_: DataFrame) -> DataFrame:

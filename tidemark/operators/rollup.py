@@ -6,11 +6,11 @@ all readings costs a shuffle of its bins, not of its readings.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import Duration
-from ..functions.monoid import Metric
+from ..functions.monoid import Metric, coerce
 from ..functions.timeaxis import epoch_ms, floor_bin
 
 DEVICE, TS = "device_id", "ts"
@@ -19,8 +19,35 @@ DEVICE, TS = "device_id", "ts"
 def aggregate_raw(readings: DataFrame, bin_: str, metrics: list[Metric], dims: list[str] = [DEVICE], time: str = "timestamp") -> DataFrame:
     """dims, ts (bin start, ms) and the metrics' state; a bin without valid values keeps a row of zeros."""
     binned = readings.withColumn("_bin", floor_bin(epoch_ms(time), bin_))
-    keys = [F.col(d) for d in dims]
-    return binned.groupBy(*keys, F.col("_bin").alias(TS)).agg(*(c for m in metrics for c in m.init()))
+    keys = [*(F.col(d) for d in dims), F.col("_bin").alias(TS)]
+    listed = [m for m in metrics if m.listed]
+    plain = [c for m in metrics if not m.listed for c in m.init()]
+    out = binned.groupBy(*keys).agg(*plain) if plain else binned.select(*keys).distinct()
+    if not listed:
+        return out
+    # equal keys meet by grouping, so null dims do too; each part has one row a key
+    state = [s for m in metrics for s in m.state]
+    for m in listed:
+        out = out.unionByName(listed_state(binned, dims, m), allowMissingColumns=True)
+    merged = out.groupBy(*dims, TS).agg(*(F.first(s, ignorenulls=True).alias(s) for s in state))
+    empty = {s: F.expr(f"cast({'map' if t.startswith('map') else 'array'}() as {t})") for m in listed for s, t in zip(m.state, m.state_types)}
+    return merged.withColumns({s: F.coalesce(s, e) for s, e in empty.items()})
+
+
+def listed_state(binned: DataFrame, dims: list[str], m: Metric) -> DataFrame:
+    """dims, ts and the state of a topk, botk or histogram metric.
+
+    Values are ranked, or counted by bucket, before any list is made, and Spark limits or
+    combines them before the shuffle: a list has at most k values or the buckets in use.
+    """
+    rows = binned.select(*dims, F.col("_bin").alias(TS), coerce(F.expr(m.value)).alias("_v")).where("_v is not null")
+    if m.monoid == "histogram":
+        counted = rows.groupBy(*dims, TS, F.floor(F.col("_v") / m.width).cast("long").alias("key")).agg(F.count("*").alias("value"))
+        return counted.groupBy(*dims, TS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(m.state[0]))
+    up = m.monoid == "botk"
+    rank = F.row_number().over(Window.partitionBy(*dims, TS).orderBy(F.col("_v") if up else F.desc("_v")))
+    best = rows.withColumn("_rank", rank).where(F.col("_rank") <= m.k)
+    return best.groupBy(*dims, TS).agg(F.sort_array(F.collect_list("_v"), up).alias(m.state[0]))
 
 
 def coarsen(state: DataFrame, source_bin: str, bin_: str, metrics: list[Metric], dims: list[str] = [DEVICE]) -> DataFrame:
@@ -33,6 +60,8 @@ def coarsen(state: DataFrame, source_bin: str, bin_: str, metrics: list[Metric],
 
 def stitch(pieces: list[DataFrame], metrics: list[Metric], dims: list[str] = [DEVICE]) -> DataFrame:
     """Pieces of one tier as one: equal bins merge."""
+    if len(pieces) == 1:
+        return pieces[0]
     columns = [*dims, TS, *(s for m in metrics for s in m.state)]
     whole = pieces[0].select(*columns)
     for p in pieces[1:]:

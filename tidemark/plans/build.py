@@ -1,58 +1,173 @@
 """Building and rebuilding a stored pyramid.
 
 Each tier is written once and the coarser ones read it back, so a fleet's backfill is one
-job a tier and no tier is computed twice. A rebuild replaces the days it touches and no
-others (dynamic partition overwrite), so it can be repeated after a failure.
+job a tier and no tier is computed twice. A rebuild widens the spans it is told of to the
+bins of each tier and to the stored partitions these begin in, replaces those and no
+others (dynamic partition overwrite), and removes the ones that have no bins left, so it
+can be repeated after a failure.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time as clock
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.durations import UNIT_MS
-from ..functions.timeaxis import epoch_ms
+from ..functions.durations import Duration
+from ..functions.timeaxis import ceil_bin, floor_bin, parse_period, period_label, periods_overlapping, span_of
+from ..operators import registry
+from ..operators.ingest import in_range
 from ..operators.rollup import TS, aggregate_raw, coarsen
-from ..sources.files import read_tier, write_tier
-from .pyramid import Pyramid
+from ..sources.files import drop_empty_parts, read_or_empty, read_tier, tier_schema, write_tier
+from .pyramid import Pyramid, Tier
 
-DAY = UNIT_MS["d"]
+FIRST, LAST = -(1 << 45), 1 << 45
 
 
-def _ordered(pyramid: Pyramid):
-    return sorted(pyramid.tiers, key=lambda t: t.bin.ms)
+def _bins_from(tier: Tier, start: int, end: int) -> tuple[int, int]:
+    """The span of the bins that begin in [start, end)."""
+    return ceil_bin(start, tier.bin), ceil_bin(end, tier.bin)
 
 
-def _built(pyramid: Pyramid, tier, readings: DataFrame, base: str, start: int, end: int, time: str) -> DataFrame:
+def _built(pyramid: Pyramid, tier: Tier, readings: DataFrame, base: str, start: int, end: int, time: str) -> DataFrame:
     metrics, dims = list(pyramid.metrics), list(pyramid.dims)
     source = pyramid.source_of(tier.name)
     if source is None:
-        ms = epoch_ms(time)
-        return aggregate_raw(readings.where((ms >= start) & (ms < end)), str(tier.bin), metrics, dims, time)
+        return aggregate_raw(in_range(readings, time, start, end), str(tier.bin), metrics, dims, time)
     held = read_tier(readings.sparkSession, base, source, metrics, start, end)
     return coarsen(held, str(source.bin), str(tier.bin), metrics, dims)
 
 
-def backfill(pyramid: Pyramid, readings: DataFrame, base: str, time: str = "timestamp", start: int = -(1 << 45), end: int = 1 << 45) -> None:
-    """Write every tier over [start, end), widened to whole days, under ``base``."""
-    start, end = start // DAY * DAY, -(-end // DAY) * DAY
-    for tier in _ordered(pyramid):
-        write_tier(_built(pyramid, tier, readings, base, start, end, time), base, tier)
+def backfill(pyramid: Pyramid, readings: DataFrame, base: str, time: str = "timestamp", start: int = FIRST, end: int = LAST) -> None:
+    """Write every tier's bins that begin in the partitions that [start, end) meets, under ``base``."""
+    for tier in pyramid.ordered:
+        lo, hi = span_of(start, tier.part)[0], ceil_bin(end, tier.part)
+        write_tier(_built(pyramid, tier, readings, base, *_bins_from(tier, lo, hi), time), base, tier)
 
 
-def rebuild(pyramid: Pyramid, readings: DataFrame, base: str, journal: list[tuple[int, int]], time: str = "timestamp") -> None:
-    """Rebuild the days that the journal's spans touch, joined where they meet."""
-    days = sorted({d for s, e in journal for d in range(s // DAY, -(-e // DAY))})
+def touched_parts(tier: Tier, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of stored partitions in which the tier's bins begin that the spans meet."""
     runs: list[list[int]] = []
-    for d in days:
-        if runs and runs[-1][1] == d:
-            runs[-1][1] = d + 1
+    for s, e in sorted(x for x in spans if x[0] < x[1]):
+        lo, hi = span_of(span_of(s, tier.bin)[0], tier.part)[0], ceil_bin(ceil_bin(e, tier.bin), tier.part)
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(hi, runs[-1][1])
         else:
-            runs.append([d, d + 1])
-    for first, last in runs:
-        backfill(pyramid, readings, base, time, first * DAY, last * DAY)
+            runs.append([lo, hi])
+    return [(a, b) for a, b in runs]
+
+
+def rebuild_tier(pyramid: Pyramid, tier: Tier, readings: DataFrame, base: str, spans: list[tuple[int, int]], time: str = "timestamp") -> int:
+    """Rebuild the tier's bins that the spans touch; how many partitions were replaced."""
+    replaced = 0
+    for start, end in touched_parts(tier, spans):
+        state = _built(pyramid, tier, readings, base, *_bins_from(tier, start, end), time)
+        write_tier(state, base, tier)
+        label = period_label(F.col(TS), tier.part.unit).alias("part")
+        written = {r["part"] for r in state.select(label).distinct().collect()}  # at most the run's partitions
+        drop_empty_parts(readings.sparkSession, base, tier, start, end, written)
+        replaced += len(periods_overlapping(start, end, tier.part))
+    return replaced
 
 
-def tier(pyramid: Pyramid, spark, base: str, name: str, start: int = -(1 << 45), end: int = 1 << 45) -> DataFrame:
+def rebuild(pyramid: Pyramid, readings: DataFrame, base: str, journal: list[tuple[int, int]], time: str = "timestamp") -> None:
+    """Rebuild every tier's bins that the journal's spans touch, fine tiers first."""
+    for t in pyramid.ordered:
+        rebuild_tier(pyramid, t, readings, base, journal, time)
+
+
+def tier(pyramid: Pyramid, spark: SparkSession, base: str, name: str, start: int = FIRST, end: int = LAST) -> DataFrame:
     t = pyramid.tier(name)
     return read_tier(spark, base, t, list(pyramid.metrics), start, end).select(*pyramid.dims, TS, *(F.col(s) for m in pyramid.metrics for s in m.state))
+
+
+@dataclass(frozen=True)
+class Built:
+    """What became of one shard: ``written``, or ``no_inputs`` and nothing written; periods of the source that have rows, and all of them."""
+
+    status: str
+    inputs_present: int
+    inputs_expected: int
+
+
+def build_shard(pyramid: Pyramid, readings: DataFrame, base: str, name: str, shard: str, label: str, time: str = "timestamp") -> Built:
+    """Build the bins of one period of a tier from its source, as far as that is there."""
+    t = pyramid.tier(name)
+    if Duration.of(shard) not in t.shards:
+        raise ValueError(f"tier {name} has no shards of {shard}")
+    start, end = parse_period(label, shard)
+    source = pyramid.source_of(name)
+    step = Duration.of("1d") if source is None else source.tip
+    if source is None:
+        rows = in_range(readings, time, start, end).select(F.unix_millis(F.col(time).cast("timestamp")).alias(TS))
+    else:
+        rows = read_tier(readings.sparkSession, base, source, list(pyramid.metrics), start, end)
+    present = rows.select(floor_bin(F.col(TS), step).alias("period")).distinct().count()
+    expected = len(periods_overlapping(start, end, step))
+    if present:
+        rebuild_tier(pyramid, t, readings, base, [(start, end)], time)
+    return Built("written" if present else "no_inputs", present, expected)
+
+
+# Shards by rung ----------------------------------------------------------------------------
+
+
+def _shard_path(base: str, name: str) -> str:
+    return f"{base}/shards/tier={name}"
+
+
+def write_shards(state: DataFrame, base: str, name: str, rung: str, devices_a_file: int = 64) -> None:
+    """A tier's rows as files by rung and period, sorted by device and time; a write replaces the periods it holds."""
+    rows = state.withColumn("rung", F.lit(rung)).withColumn("period_start", floor_bin(F.col(TS), rung))
+    dealt = rows.repartition("period_start", F.pmod(F.xxhash64("device_id"), F.lit(devices_a_file))).sortWithinPartitions("period_start", "device_id", TS)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rung", "period_start").parquet(_shard_path(base, name))
+
+
+def read_shards(spark: SparkSession, pyramid: Pyramid, base: str, name: str, rung: str) -> DataFrame:
+    """Rows of all shards of a rung, with their period_start."""
+    schema = tier_schema(list(pyramid.metrics)).add("rung", "string").add("period_start", "long")
+    return read_or_empty(spark, _shard_path(base, name), schema).where(F.col("rung") == rung).drop("rung")
+
+
+def consolidate(pyramid: Pyramid, base: str, recorded: DataFrame, name: str, source_rung: str, target_rung: str, now: int) -> DataFrame:
+    """Write the closed target periods that shards of the source rung tile without a hole; the registry rows of these.
+
+    A device's period with a hole is left alone.
+    """
+    spark = recorded.sparkSession
+    whole = registry.record_complete(registry.consolidation(recorded, name, source_rung, target_rung, now))
+    rows = read_shards(spark, pyramid, base, name, source_rung).withColumn("period_start", floor_bin(F.col("period_start"), target_rung))
+    kept = rows.join(whole.select("device_id", "period_start"), ["device_id", "period_start"], "left_semi")
+    write_shards(kept.drop("period_start"), base, name, target_rung)
+    return whole.select("device_id", "tier", "rung", "period_start", "period_end", F.lit(now).cast("long").alias("written_at"))
+
+
+# Convergence -------------------------------------------------------------------------------
+
+
+def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal: DataFrame, readings: DataFrame, base: str, now: int, budget_s: float = 25.0, tiers: list[str] | None = None, time: str = "timestamp") -> tuple[list[tuple[str, str, int]], DataFrame]:
+    """Build what is missing or stale, a tier at a time for all devices; (tier, status, partitions) each, and the registry after it.
+
+    A tier that fails is reported and the next one tried; with under half a second of the
+    budget left no further tier begins. Only distinct periods reach the driver.
+    """
+    began, results, after = clock.monotonic(), [], recorded
+    for t in pyramid.ordered:
+        if tiers is not None and t.name not in tiers:
+            continue
+        if clock.monotonic() - began > budget_s - 0.5:
+            results.append((t.name, "skipped", 0))
+            continue
+        try:
+            ladder = {t.name: [str(r) for r in t.shards]}
+            todo = registry.work(registry.expected(devices, ladder, now), recorded.where(F.col("tier") == t.name), journal, [t.name])
+            spans = [(r["effective_start"], r["effective_end"]) for r in todo.groupBy("period_start", "period_end").agg(F.min("effective_start").alias("effective_start"), F.max("effective_end").alias("effective_end")).collect()]
+            parts = rebuild_tier(pyramid, t, readings, base, spans, time)
+            done = todo.select("device_id", "tier", "rung", "period_start", "period_end", F.lit(now).cast("long").alias("written_at"))
+            after = registry.upsert(after, done)
+            results.append((t.name, "written", parts))
+        except Exception as e:  # one tier's failure is no other's
+            results.append((t.name, f"failed: {type(e).__name__}", 0))
+    return results, after

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import Duration
+from ..functions.timeaxis import bin_index, bins_between, ceil_bin, shift, span_of
 from ..operators.rollup import TS, aggregate_raw, coarsen, stitch
 from ..operators.series import moving_sums
 from .pyramid import Pyramid
@@ -48,10 +49,11 @@ class QueryPlan:
     smoothing: Smoothing | None = None
 
 
-def choose_tier(pyramid: Pyramid, span: int, budget: int) -> str:
-    """The finest tier whose bins over the span fit the budget, else the coarsest."""
-    order = sorted(pyramid.tiers, key=lambda t: t.bin.ms)
-    return next((t.name for t in order if -(-span // t.bin.ms) <= budget), order[-1].name)
+def choose_tier(pyramid: Pyramid, span: int, budget: int, start: int = 0) -> str:
+    """The finest tier whose bins over [start, start + span) fit the budget, else the coarsest."""
+    order = pyramid.ordered
+    count = lambda t: bins_between(start, start + span, t.bin) if t.bin.is_calendar else -(-span // t.bin.ms)
+    return next((t.name for t in order if count(t) <= budget), order[-1].name)
 
 
 def smoothing_of(request: str | int | None, bin_: Duration, mode: str = "centered", auto: int = 50) -> Smoothing | None:
@@ -64,7 +66,7 @@ def smoothing_of(request: str | int | None, bin_: Duration, mode: str = "centere
         bins = int(request[4:])
     else:
         width = Duration.of(f"{request}min" if isinstance(request, int) else request).ms
-        bins = max(1, round(width / bin_.ms))
+        bins = max(1, round(width / bin_.usual_ms))
     if mode == "centered":
         bins = bins // 2 * 2 + 1
     return Smoothing(max(1, bins), mode)
@@ -78,18 +80,15 @@ def plan_query(pyramid: Pyramid, start: int, end: int, budget: int, fresh: dict[
     above it has no segment, and the finest tier has the rest. The scan widens by the
     smoothing's reach.
     """
-    name = choose_tier(pyramid, end - start, budget)
+    name = choose_tier(pyramid, end - start, budget, start)
     tier = pyramid.tier(name)
-    width = tier.bin.ms
     smoothing = smoothing_of(smooth, tier.bin, mode)
-    lo = start // width * width - (smoothing.before * width if smoothing else 0)
-    hi = -(-end // width) * width + (smoothing.after * width if smoothing else 0)
-    finest = min(pyramid.tiers, key=lambda t: t.bin.ms).name
+    lo, hi = _reach(tier.bin, start, end, smoothing)
+    finest = pyramid.ordered[0].name
     segments, at, now = [], lo, tier
     while now is not None and at < hi:
         source = pyramid.source_of(now.name)
-        bins = now.bin.ms
-        to = hi if source is None else min(hi, fresh.get(now.name, hi) // bins * bins)
+        to = hi if source is None else min(hi, span_of(fresh.get(now.name, hi), now.bin)[0])
         if to > at:
             segments.append(Segment(now.name, at, to, now is not tier))
             at = to
@@ -97,10 +96,60 @@ def plan_query(pyramid: Pyramid, start: int, end: int, budget: int, fresh: dict[
     return QueryPlan(name, str(tier.bin), fresh.get(finest, end), tuple(segments or [Segment(name, lo, hi, False)]), smoothing)
 
 
+def _reach(bin_: Duration, start: int, end: int, smoothing: Smoothing | None) -> tuple[int, int]:
+    """[start, end) widened to whole bins and by the smoothing's reach."""
+    before, after = (smoothing.before, smoothing.after) if smoothing else (0, 0)
+    return shift(span_of(start, bin_)[0], bin_, -before), shift(ceil_bin(end, bin_), bin_, after)
+
+
+def plan_from_inventory(pyramid: Pyramid, start: int, end: int, budget: int, shards: list[tuple[str, str, int, int]], smooth: str | int | None = None, mode: str = "centered") -> QueryPlan:
+    """Segments from the shards there are: (tier, rung, start, end) each.
+
+    At each point the output tier's shard of the longest rung that covers it is taken,
+    else the longest of the nearest finer tier that makes up its bins; where none covers
+    it, the plan goes on at the next shard's start. Pieces end on the output's bins.
+    """
+    name = choose_tier(pyramid, end - start, budget, start)
+    tier = pyramid.tier(name)
+    smoothing = smoothing_of(smooth, tier.bin, mode)
+    lo, hi = _reach(tier.bin, start, end, smoothing)
+    chain = [tier]
+    while (source := pyramid.source_of(chain[-1].name)) is not None:
+        chain.append(source)
+    segments: list[Segment] = []
+    at = lo
+    while at < hi:
+        for t in chain:
+            # whole bins of the tier that the shard holds from here on
+            held = [(min(hi, span_of(e, t.bin)[0]), Duration.of(r).usual_ms) for n, r, s, e in shards if n == t.name and s <= at < e]
+            held = [h for h in held if h[0] > at]
+            if held:
+                to = max(held, key=lambda h: (h[1], h[0]))[0]
+                last = segments[-1] if segments else None
+                if last and last.tier == t.name and last.end == at:
+                    segments[-1] = Segment(t.name, last.start, to, t is not tier)
+                else:
+                    segments.append(Segment(t.name, at, to, t is not tier))
+                at = to
+                break
+        else:
+            later = [ceil_bin(s, t.bin) for t in chain for n, _, s, e in shards if n == t.name and s > at]
+            at = min(later, default=hi)
+    finest = chain[-1].name
+    return QueryPlan(name, str(tier.bin), max((e for n, _, _, e in shards if n == finest), default=end), tuple(segments), smoothing)
+
+
+def freshness(recorded: DataFrame, device_ids: list[int] | None = None) -> dict[str, int]:
+    """Up to where each tier's recorded shards reach, of the devices asked for the one that lags; a few rows on the driver."""
+    rows = recorded if device_ids is None else recorded.where(F.col("device_id").isin(device_ids))
+    latest = rows.groupBy("tier", "device_id").agg(F.max("period_end").alias("end")).groupBy("tier").agg(F.min("end").alias("end"))
+    return {r["tier"]: r["end"] for r in latest.collect()}
+
+
 def execute(plan: QueryPlan, pyramid: Pyramid, tiers: dict[str, DataFrame], start: int, end: int, device_ids: list[int] | None = None) -> DataFrame:
     """State rows of the output tier in [start, end), and ``{m}_smooth_*`` state when the plan smooths."""
     metrics, dims = list(pyramid.metrics), list(pyramid.dims)
-    pieces = []
+    pieces = [] if plan.segments else [tiers[plan.output_tier].limit(0)]
     for s in plan.segments:
         part = tiers[s.tier].where((F.col(TS) >= s.start) & (F.col(TS) < s.end))
         if device_ids is not None:
@@ -108,20 +157,20 @@ def execute(plan: QueryPlan, pyramid: Pyramid, tiers: dict[str, DataFrame], star
         if s.reaggregate:
             part = coarsen(part, str(pyramid.tier(s.tier).bin), plan.output_bin, metrics, dims)
         pieces.append(part)
-    width = Duration.of(plan.output_bin).ms
-    out = stitch(pieces, metrics, dims) if len(pieces) > 1 else pieces[0]
+    out = stitch(pieces, metrics, dims)
     if plan.smoothing:
         state = [c for m in metrics for c in m.state]
         named = {c[: c.rindex("_")] + "_smooth" + c[c.rindex("_") :]: F.col(c) for c in state}
-        out = moving_sums(out, TS, dims, named, plan.smoothing.before * width, plan.smoothing.after * width)
-    first = start // width * width
-    return out.where((F.col(TS) >= first) & (F.col(TS) < end))
+        numbered = out.withColumn("_bin", bin_index(F.col(TS), plan.output_bin))
+        reach = plan.smoothing.before + plan.smoothing.after
+        out = moving_sums(numbered, "_bin", dims, named, plan.smoothing.before, plan.smoothing.after, chunk=max(4096, 64 * reach)).drop("_bin")
+    return out.where((F.col(TS) >= span_of(start, plan.output_bin)[0]) & (F.col(TS) < end))
 
 
 def build_tiers(pyramid: Pyramid, readings: DataFrame, time: str = "timestamp") -> dict[str, DataFrame]:
     """Every tier, each from the coarsest tier that divides it (lazy; write them to keep)."""
     out: dict[str, DataFrame] = {}
-    for tier in sorted(pyramid.tiers, key=lambda t: t.bin.ms):
+    for tier in pyramid.ordered:
         source = pyramid.source_of(tier.name)
         if source is None:
             out[tier.name] = aggregate_raw(readings, str(tier.bin), list(pyramid.metrics), list(pyramid.dims), time)

@@ -7,17 +7,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import codec
 from .functions.durations import Duration
 from .functions.monoid import Metric
-from .functions.timeaxis import bin_end, epoch_ms, floor_bin, period_label
-from .operators import analytics, ingest, joins, registry, rollup, series
+from .functions.timeaxis import bin_end, epoch_ms, floor_bin, period_label, to_ms
+from .operators import analytics, devices, ingest, registry, rollup, series
 from .plans import query as range_query
-from .plans.pyramid import DEFAULT_TIERS, default_pyramid
+from .plans.pyramid import DEFAULT_TIERS, Pyramid, default_pyramid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,6 +43,10 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+def epoch_of(year: int) -> int:
+    return to_ms(datetime(year, 1, 1))
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -134,14 +140,76 @@ def tier_hll(spark, sf):
     return day.select("device_id", "ts", F.hll_sketch_estimate("event_hll").alias("events"))
 
 
+@query(f"WITH {READINGS}, t AS (SELECT device_id, {fixed(DAY)} AS ts, list(value ORDER BY value DESC)[:3] AS top, list(value ORDER BY value)[:3] AS low FROM readings GROUP BY 1, 2) SELECT device_id, ts, array_to_string(top, ' ') AS top, array_to_string(low, ' ') AS low FROM t")
+def tier_top_values(spark, sf):
+    """The three highest and lowest values a day, merged from six-hour lists."""
+    metrics = [Metric("value", "value", "topk", k=3), Metric("low", "value", "botk", k=3)]
+    day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", metrics), "6h", "1d", metrics)
+    text = lambda c: F.array_join(F.transform(c, lambda v: F.regexp_replace(v.cast("string"), r"\\.0$", ".0")), " ")
+    return day.select("device_id", "ts", text("value_topk").alias("top"), text("low_botk").alias("low"))
+
+
+@query(f"WITH {READINGS} SELECT device_id, {fixed(DAY)} AS ts, CAST(floor(value / 50) AS BIGINT) AS bucket, count(*) AS n FROM readings WHERE value IS NOT NULL GROUP BY 1, 2, 3")
+def tier_histogram(spark, sf):
+    """Counts of values by buckets of 50 a day, merged from six-hour maps."""
+    m = Metric("value", "value", "histogram", width=50.0)
+    day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", [m]), "6h", "1d", [m])
+    return day.select("device_id", "ts", F.explode("value_histogram").alias("bucket", "n"))
+
+
+@query()
+def tier_quantile(spark, sf):
+    """The median of a device and day by sketch; approximate, so no SQL."""
+    m = Metric("value", "value", "quantile")
+    day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", [m]), "6h", "1d", [m])
+    return day.select("device_id", "ts", F.kll_sketch_get_quantile_double("value_quantile", F.lit(0.5)).alias("median"))
+
+
+CHAIN = Pyramid.of({"metrics": [{"name": "price", "value": "o_totalprice", "scale": 2}], "dims": [{"name": "device_id"}], "tiers": [{"name": "day", "bin": "1d", "shards": ["1mo"]}, {"name": "month", "bin": "1mo", "shards": ["1y"]}, {"name": "year", "bin": "1y", "shards": ["10y"]}]})
+
+
+def _priced(spark, sf) -> DataFrame:
+    return load(spark, sf, "orders").select((F.col("o_custkey") % 20).alias("device_id"), F.col("o_orderdate").alias("timestamp"), "o_totalprice")
+
+
+def _chain_sql(trunc: str, where: str = "TRUE") -> str:
+    p = "CAST(o_totalprice AS DECIMAL(18,2))"
+    return f"SELECT o_custkey % 20 AS device_id, epoch_ms(date_trunc('{trunc}', o_orderdate)::TIMESTAMP) AS ts, count(o_totalprice) AS price_n, sum({p})::DOUBLE AS price_sum, sum({p} * {p})::DOUBLE AS price_sumsq FROM orders WHERE {where} GROUP BY 1, 2"
+
+
+@query(_chain_sql("year"))
+def tier_chain_month(spark, sf):
+    """Days to months to years, written and read back a tier at a time."""
+    from .plans import build
+
+    path = _scratch(spark, "calendar")
+    build.backfill(CHAIN, _priced(spark, sf), path)
+    return build.tier(CHAIN, spark, path, "year")
+
+
+_FROM, _TO = 801_000_000_000, 901_000_000_000  # 1995-05-20 to 1998-07-21
+
+
+@query(f"WITH t AS ({_chain_sql('month')}) SELECT * FROM t WHERE ts >= epoch_ms(TIMESTAMP '1995-05-01') AND ts < {_TO}")
+def plan_calendar(spark, sf):
+    """A range of three years in 60 bins, from month tiers."""
+    plan = range_query.plan_query(CHAIN, _FROM, _TO, 60, {})
+    return range_query.execute(plan, CHAIN, range_query.build_tiers(CHAIN, _priced(spark, sf)), _FROM, _TO)
+
+
 # Range queries ---------------------------------------------------------------------------
 
 
+def _planned(spark, sf, plan: range_query.QueryPlan) -> dict[str, DataFrame]:
+    """The tiers over the plan's span, which reaches the scan of the readings."""
+    lo, hi = min(x.start for x in plan.segments), max(x.end for x in plan.segments)
+    return range_query.build_tiers(PYRAMID, ingest.in_range(readings(spark, sf), "timestamp", lo, hi))
+
+
 def _budget(budget: int, smooth=None, mode="centered") -> Query:
     def run(spark, sf):
-        tiers = range_query.build_tiers(PYRAMID, readings(spark, sf))
         plan = range_query.plan_query(PYRAMID, START, END, budget, {}, smooth, mode)
-        return range_query.execute(plan, PYRAMID, tiers, START, END)
+        return range_query.execute(plan, PYRAMID, _planned(spark, sf, plan), START, END)
 
     return run
 
@@ -154,13 +222,21 @@ for _budget_bins in (10, 50, 200, 1000, 50_000):
 @query(f"WITH {READINGS}, t AS ({tier_sql(21_600_000)}) SELECT * FROM t WHERE ts >= {START} AND ts < {END}")
 def splice_tail(spark, sf):
     """The 6 h tier is fresh to the middle of the range; the rest comes from the 2 h tier."""
-    tiers = range_query.build_tiers(PYRAMID, readings(spark, sf))
     cut = START + 3 * DAY + 5_000_000
-    held = tiers | {"h6": tiers["h6"].where(F.col("ts") + 21_600_000 <= cut)}
     plan = range_query.plan_query(PYRAMID, START, END, 30, {"h6": cut})
+    tiers = _planned(spark, sf, plan)
+    held = tiers | {"h6": tiers["h6"].where(F.col("ts") + 21_600_000 <= cut)}
     return range_query.execute(plan, PYRAMID, held, START, END)
 
 
+@query(f"WITH {READINGS}, t AS ({tier_sql(21_600_000)}) SELECT * FROM t WHERE (ts >= {START} AND ts < {START + 3 * DAY}) OR (ts >= {START + 4 * DAY} AND ts < {END})")
+def inventory_plan(spark, sf):
+    """Shards of three tiers with a day that none has."""
+    shards = [("h6", "16d", START - DAY, START + 2 * DAY + 10_000_000), ("h2", "16d", START, START + 3 * DAY), ("m30", "4d", START + 4 * DAY, START + 6 * DAY), ("h2", "16d", START + 5 * DAY, END + DAY)]
+    plan = range_query.plan_from_inventory(PYRAMID, START, END, 30, shards)
+    return range_query.execute(plan, PYRAMID, _planned(spark, sf, plan), START, END)
+
+
 def smooth_sql(width: int, before: int, after: int) -> str:
     parts = ", ".join(f"sum(value_{s}) OVER w AS value_smooth_{s}" for s in ("sum", "sumsq"))
     lo, hi = START // width * width, -(-END // width) * width
@@ -196,8 +272,15 @@ def rolling_raw_1h(spark, sf):
 
 @query(f"WITH {READINGS}, t AS ({tier_sql(60_000)}) SELECT * FROM t WHERE ts >= {START} AND ts < {END} AND device_id IN (3, 7, 11)")
 def pruned_scan(spark, sf):
-    tier = rollup.aggregate_raw(readings(spark, sf).where(F.col("device_id").isin(3, 7, 11)), "1min", [VALUE])
-    return tier.where(ingest.half_open(F.col("ts"), START, END))
+    rows = ingest.in_range(readings(spark, sf), "timestamp", START, END).where(F.col("device_id").isin(3, 7, 11))
+    return rollup.aggregate_raw(rows, "1min", [VALUE])
+
+
+@query(f"""WITH {READINGS} SELECT device_id, event_id, round(avg(value) OVER w, 6) AS mean, round(stddev_pop(value) OVER w, 6) AS stddev FROM readings
+ WINDOW w AS (PARTITION BY device_id ORDER BY ms RANGE BETWEEN 1800000 PRECEDING AND 1800000 FOLLOWING)""")
+def rolling_stddev(spark, sf):
+    out = analytics.rolling(readings(spark, sf), 60, "value")
+    return out.select("device_id", "event_id", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
 
 
 # Reports ---------------------------------------------------------------------------------
@@ -303,6 +386,28 @@ def axis_bounds(spark, sf):
     return analytics.axis_bounds(tier_mean_stddev(spark, sf), F.col("value_mean"), F.col("value_stddev"), ["device_id"])
 
 
+@query(f"""WITH {READINGS}, t AS ({tier_sql(DAY)}), f AS (SELECT device_id, ts, {FINAL} FROM t), x AS (SELECT device_id, least(min(value_mean), min(value_mean - value_stddev)) AS lo, greatest(max(value_mean), max(value_mean + value_stddev)) AS hi FROM f GROUP BY 1)
+SELECT device_id, least(0.0::DOUBLE, lo) AS y_min, CASE WHEN hi = least(0.0::DOUBLE, lo) THEN least(0.0::DOUBLE, lo) + 1 ELSE hi END AS y_max FROM x""")
+def axis_bounds_from_zero(spark, sf):
+    return analytics.axis_bounds(tier_mean_stddev(spark, sf), F.col("value_mean"), F.col("value_stddev"), ["device_id"], auto=False)
+
+
+@query(f"WITH {READINGS}, b AS (SELECT device_id, {fixed(1_800_000)} AS ts, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS stddev FROM readings GROUP BY 1, 2), m AS (SELECT *, lag(ts) OVER (PARTITION BY device_id ORDER BY ts) AS before FROM b) SELECT device_id, ts, count, mean, stddev FROM b UNION ALL SELECT device_id, before + 1800000, 0, NULL, NULL FROM m WHERE ts - before > 5400000")
+def chart_windows(spark, sf):
+    out = analytics.chart_windows(readings(spark, sf), 30, "value")
+    return out.select("device_id", "ts", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"))
+
+
+@query(f"WITH {READINGS} SELECT device_id, event_id, ms AS ts, 1::BIGINT AS count, value AS mean, 0.0::DOUBLE AS stddev FROM readings")
+def chart_minute(spark, sf):
+    return analytics.chart_windows(readings(spark, sf), 1, "value", keys=["device_id", "event_id"])
+
+
+@query(f"WITH {READINGS} SELECT device_id, CAST(ceil((max(ms) - min(ms)) / 60000.0 / 30) AS BIGINT) AS windows, CAST(ceil((max(ms) - min(ms)) / 60000.0) AS BIGINT) AS minutes FROM readings GROUP BY 1")
+def table_metadata(spark, sf):
+    return analytics.table_metadata(readings(spark, sf), 30)
+
+
 @query(f"""WITH {READINGS}, r AS (SELECT device_id, ms, row_number() OVER (PARTITION BY device_id ORDER BY ms) AS i FROM readings), f AS (SELECT * FROM r WHERE i <= 100),
 d AS (SELECT device_id, ms - lag(ms) OVER (PARTITION BY device_id ORDER BY ms) AS d FROM f), n AS (SELECT device_id FROM f GROUP BY 1 HAVING count(*) >= 10),
 s AS (SELECT device_id, d, row_number() OVER (PARTITION BY device_id ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY device_id) AS k FROM d JOIN n USING (device_id) WHERE d > 0)
@@ -339,10 +444,10 @@ def conflicts(spark, sf):
     return ingest.conflicts(_hourly(spark, sf), ["device_id", "hour"], ["value", "k"]).withColumn("hour", epoch_ms("hour"))
 
 
-@query("SELECT user_id % 10 AS g, count(*) AS records FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12') GROUP BY 1")
+@query("SELECT user_id AS device_id, epoch_us(ts) // 1000 AS ms, value, event_type, event_id FROM events WHERE NOT (ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-12')")
 def delete_range(spark, sf):
     kept = ingest.delete_range(readings(spark, sf), "timestamp", F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-12").cast("timestamp_ntz"))
-    return kept.groupBy((F.col("device_id") % 10).alias("g")).agg(F.count("*").alias("records"))
+    return kept.select("device_id", "ms", "value", "event_type", "event_id")
 
 
 @query(f"""WITH {READINGS}, h AS (SELECT device_id, {HOUR_KEY} AS hour, event_id, value FROM readings), o AS (SELECT device_id, hour, arg_min(value, event_id) AS value FROM h WHERE event_id % 2 = 0 GROUP BY ALL),
@@ -360,19 +465,60 @@ def device_names(spark, sf):
     return analytics.device_names(s, names).groupBy("name").agg(F.count("*").alias("suppliers"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS records FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' GROUP BY ALL")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority, count(*) AS records, epoch_ms(min(o_orderdate)) AS earliest, epoch_ms(max(o_orderdate)) AS latest FROM orders GROUP BY ALL")
 def union_months(spark, sf):
+    """The years one by one, put together again; each part with its range of dates."""
     o = load(spark, sf, "orders").withColumn("ms", epoch_ms("o_orderdate"))
-    year = lambda y: o.where(ingest.half_open(F.col("o_orderdate"), F.lit(f"{y}-01-01").cast("timestamp_ntz"), F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
-    return year(1995).unionByName(year(1996)).groupBy(period_label(F.col("ms"), "mo").alias("month"), "o_orderpriority").agg(F.count("*").alias("records"))
+    cuts = [epoch_of(y) for y in range(1995, 2002)]
+    parts = [ingest.in_range(o, "o_orderdate", a, b) for a, b in zip([-(1 << 45), *cuts], [*cuts, 1 << 45])]
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.groupBy(period_label(F.col("ms"), "mo").alias("month"), "o_orderpriority").agg(F.count("*").alias("records"), F.min("ms").alias("earliest"), F.max("ms").alias("latest"))
 
 
 @query("""SELECT event_id, CASE WHEN a < 120000 THEN 'fresh' WHEN a < 600000 THEN 'warn' WHEN a < 3600000 THEN 'degraded' ELSE 'stale' END AS age
- FROM (SELECT event_id, epoch_ms(TIMESTAMP '2024-01-20') - epoch_us(ts) // 1000 AS a FROM events WHERE ts < TIMESTAMP '2024-01-20')""")
+ FROM (SELECT event_id, epoch_ms(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000 AS a FROM events)""")
 def age_classes(spark, sf):
-    at = GENESIS + 19 * DAY
-    r = readings(spark, sf).where(F.col("ms") < at)
-    return r.select("event_id", codec.age_class(at - F.col("ms")).alias("age"))
+    return readings(spark, sf).select("event_id", codec.age_class(GENESIS + 31 * DAY - F.col("ms")).alias("age"))
+
+
+@query("""SELECT event_id, CASE WHEN t = 0 THEN '0m' ELSE concat_ws(' ', CASE WHEN t >= 1440 THEN (t // 1440) || 'd' END, CASE WHEN t % 1440 >= 60 THEN (t % 1440 // 60) || 'h' END, CASE WHEN t % 60 > 0 THEN (t % 60) || 'm' END) END AS age
+ FROM (SELECT event_id, (epoch_ms(TIMESTAMP '2024-02-01') - epoch_us(ts) // 1000) // 60000 AS t FROM events)""")
+def human_ages(spark, sf):
+    return readings(spark, sf).select("event_id", codec.human_duration(GENESIS + 31 * DAY - F.col("ms")).alias("age"))
+
+
+# Devices (a missing mark or genesis is shown as such) ---------------------------------------------------------------------------------
+
+DEVICE_ROWS = "d AS (SELECT s_suppkey AS device_id, s_name AS name, 'n' || s_nationkey AS device_type, NULL::BIGINT AS genesis, CASE WHEN s_suppkey % 7 = 0 THEN FALSE WHEN s_suppkey % 7 = 1 THEN NULL ELSE TRUE END AS active, 0::BIGINT AS refreshed_at FROM supplier)"
+
+
+_SHOWN = "device_id, name, device_type, coalesce(genesis, -1) AS genesis, coalesce(active::VARCHAR, 'unset') AS active, refreshed_at"
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("genesis", F.coalesce("genesis", F.lit(-1).cast("long"))).withColumn("active", F.coalesce(F.col("active").cast("string"), F.lit("unset")))
+
+
+def _device_rows(spark, sf) -> DataFrame:
+    mark = F.when(F.col("s_suppkey") % 7 == 0, False).when(F.col("s_suppkey") % 7 != 1, True)
+    return load(spark, sf, "supplier").select(F.col("s_suppkey").alias("device_id"), F.col("s_name").alias("name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("device_type"), F.lit(None).cast("long").alias("genesis"), mark.alias("active"), F.lit(0).cast("long").alias("refreshed_at"))
+
+
+@query(f"WITH {DEVICE_ROWS} SELECT {_SHOWN} FROM d WHERE active IS NOT FALSE")
+def devices_active(spark, sf):
+    return _shown(devices.active(_device_rows(spark, sf)))
+
+
+@query(f"WITH {DEVICE_ROWS}, o AS (SELECT user_id AS device_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'own ' || user_id END AS name FROM events GROUP BY 1), x AS (SELECT d.* REPLACE (coalesce(o.name, d.name) AS name) FROM d LEFT JOIN o USING (device_id)) SELECT {_SHOWN} FROM x")
+def devices_overridden(spark, sf):
+    named = readings(spark, sf).select("device_id").distinct().withColumn("name", F.when(F.col("device_id") % 3 != 0, F.concat(F.lit("own "), F.col("device_id").cast("string"))))
+    return _shown(devices.override(_device_rows(spark, sf), named))
+
+
+@query(f"WITH {READINGS}, {DEVICE_ROWS}, b AS (SELECT device_id, name, device_type, min(ms) - min(ms) % 60000 AS genesis, active, {NOW}::BIGINT AS refreshed_at FROM d JOIN readings USING (device_id) WHERE active IS NOT FALSE GROUP BY ALL), x AS (SELECT * FROM b UNION ALL SELECT * FROM d ANTI JOIN b USING (device_id)) SELECT {_SHOWN} FROM x")
+def devices_seeded(spark, sf):
+    held = _device_rows(spark, sf)
+    return _shown(devices.upsert(held, devices.bootstrap(held, readings(spark, sf), NOW)))
 
 
 # Registry --------------------------------------------------------------------------------
@@ -442,9 +588,55 @@ def journal_pruned(spark, sf):
     return registry.prune_journal(_journal(spark, sf), _recorded(spark, sf)).distinct()
 
 
-@query(f'WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS}, {JOURNAL}, s AS (SELECT device_id, period_start FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at)) SELECT device_id, period_start FROM expected ANTI JOIN recorded USING (device_id, period_start) UNION SELECT device_id, period_start FROM expected SEMI JOIN s USING (device_id, period_start)')
+_SLOTS = f"""slots AS (SELECT device_id, 0 AS place, 'raw' AS tier, '1d' AS rung, period_start, period_start + {DAY} AS period_end FROM expected
+ UNION ALL SELECT device_id, 2, 'm10', '1d', period_start, period_start + {DAY} FROM expected)"""
+
+
+@query(f"""WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS}, {JOURNAL}, {_SLOTS}, held AS (SELECT device_id, tier, rung, period_start, period_end, written_at FROM recorded UNION ALL SELECT device_id, 'm10', rung, period_start, period_end, written_at + {5 * DAY} FROM recorded WHERE device_id % 2 = 0),
+ s AS (SELECT device_id, tier, rung, period_start FROM held r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at)),
+ todo AS (SELECT * FROM slots ANTI JOIN held USING (device_id, tier, rung, period_start) UNION SELECT * FROM slots SEMI JOIN s USING (device_id, tier, rung, period_start))
+ SELECT row_number() OVER (ORDER BY place, period_end - period_start, period_start, device_id) AS place, device_id, tier, rung, period_start FROM todo""")
 def work_list(spark, sf):
-    return registry.work(_expected_days(spark, sf), _recorded(spark, sf), _journal(spark, sf), ["raw"]).select("device_id", "period_start")
+    """Missing and stale slots of two tiers, numbered in the order to build them."""
+    wanted = registry.expected(_devices(spark, sf), {"m10": ["1d"], "raw": ["1d"]}, GENESIS + 31 * DAY)
+    raw = _recorded(spark, sf).drop("n_rows", "n_rgs", "size_bytes")
+    held = raw.unionByName(raw.where("device_id % 2 = 0").withColumn("tier", F.lit("m10")).withColumn("written_at", F.col("written_at") + 5 * DAY))
+    return _numbered(registry.work(wanted, held, _journal(spark, sf), ["raw", "m10"]))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The place of each row of an ordered result, the parts of which Spark keeps in order."""
+    rows = rows.select("device_id", "tier", "rung", "period_start").withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+
+
+@query(f"WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS} SELECT device_id, 'm10' AS tier, period_start FROM expected UNION ALL SELECT device_id, 'raw', period_start FROM expected WHERE FALSE")
+def work_without_tip(spark, sf):
+    """Nothing is built yet and the raw day shards are the tip's own: the rest is to build."""
+    wanted = registry.expected(_devices(spark, sf), {"m10": ["1d"], "raw": ["1d"]}, GENESIS + 31 * DAY)
+    nothing, journal = _recorded(spark, sf).limit(0), _journal(spark, sf)
+    return registry.work(wanted, nothing, journal, ["raw", "m10"], tip=("raw", "1d")).select("device_id", "tier", "period_start")
+
+
+@query(f"""WITH {RECORDED}, n AS (SELECT device_id, tier, rung, period_start, period_end, written_at + 1000 AS written_at, n_rows + 1 AS n_rows FROM shards WHERE device_id % 3 = 0)
+ SELECT device_id, tier, rung, period_start, coalesce(n.period_end, r.period_end) AS period_end, coalesce(n.written_at, r.written_at) AS written_at, coalesce(n.n_rows, r.n_rows) AS n_rows, coalesce(r.size_bytes, -1) AS size_bytes FROM recorded r FULL JOIN n USING (device_id, tier, rung, period_start)""")
+def registry_upsert(spark, sf):
+    held = _recorded(spark, sf).drop("n_rgs")
+    new = _shards(spark, sf).where("device_id % 3 = 0").select("device_id", "tier", "rung", "period_start", "period_end", (F.col("written_at") + 1000).alias("written_at"), (F.col("n_rows") + 1).alias("n_rows"))
+    return registry.upsert(held, new).withColumn("size_bytes", F.coalesce("size_bytes", F.lit(-1).cast("long")))
+
+
+@query(f"WITH {RECORDED}, w AS (SELECT device_id, tier, rung, max(period_end) AS e, arg_max(written_at, (period_end, written_at)) AS u FROM recorded GROUP BY ALL) SELECT device_id, tier, rung, greatest(e, {GENESIS + 20 * DAY}) AS latest_period_end, greatest(u, {GENESIS + 40 * DAY}) AS updated_at FROM w")
+def watermarks_upserted(spark, sf):
+    held = registry.watermarks(_recorded(spark, sf))
+    new = held.withColumn("latest_period_end", F.lit(GENESIS + 20 * DAY)).withColumn("updated_at", F.lit(GENESIS + 40 * DAY))
+    return registry.upsert_watermarks(held, new)
+
+
+@query(f"WITH {RECORDED}, {DEVICES} SELECT device_id, period_start FROM recorded r WHERE EXISTS (SELECT 1 FROM (SELECT unnest([{GENESIS + 2 * DAY + 5}, {GENESIS + 9 * DAY}]) AS s, unnest([{GENESIS + 4 * DAY}, {GENESIS + 9 * DAY + 1}]) AS e) t WHERE r.period_start < e AND r.period_end > s)")
+def shards_overlapping(spark, sf):
+    targets = spark.createDataFrame([(GENESIS + 2 * DAY + 5, GENESIS + 4 * DAY), (GENESIS + 9 * DAY, GENESIS + 9 * DAY + 1)], "effective_start long, effective_end long")
+    return registry.shards_overlapping(_recorded(spark, sf), targets).select("device_id", "period_start")
 
 
 @query(f"WITH {RECORDED} SELECT device_id, tier, rung, max(period_end) AS latest_period_end, arg_max(written_at, period_end) AS updated_at FROM recorded GROUP BY 1, 2, 3")
@@ -465,6 +657,22 @@ def coverage(spark, sf):
     return registry.coverage(registry.slots(_expected_days(spark, sf), _recorded(spark, sf), _shards(spark, sf)))
 
 
+_STALE = 's AS (SELECT device_id, count(*) AS stale FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at) GROUP BY 1)'
+
+
+@query(f"""WITH {COVER}, {JOURNAL}, {_STALE}, g AS (SELECT device_id, count(*) AS shards, max(written_at) AS last_written FROM recorded GROUP BY 1), u AS (SELECT device_id, max(ms) AS uploaded FROM readings GROUP BY 1)
+ SELECT c.device_id, expected, present, pending, coalesce(stale, 0) AS stale, {DAY // 2_000}::BIGINT AS dust_age_s, shards, last_written, uploaded,
+ CASE WHEN expected - present - pending > 0 THEN (expected - present - pending) || ' missing' WHEN pending > 0 THEN pending || ' pending' ELSE 'complete' END AS badge
+ FROM cover c LEFT JOIN s USING (device_id) LEFT JOIN g USING (device_id) LEFT JOIN u USING (device_id)""")
+def health(spark, sf):
+    """Coverage with stale counts and dust, the rung's statistics and the newest reading, a device."""
+    recorded = _recorded(spark, sf)
+    cover = registry.coverage(registry.slots(_expected_days(spark, sf), recorded, _shards(spark, sf)), registry.stale(recorded, _journal(spark, sf)), GENESIS + 31 * DAY + DAY // 2)
+    tips = readings(spark, sf).select("device_id", F.col("ms").alias("uploaded"))
+    out = analytics.health(cover, registry.rung_stats(recorded), tips)
+    return out.select("device_id", "expected", "present", "pending", "stale", "dust_age_s", F.col("rungs")[0]["shards"].alias("shards"), F.col("rungs")[0]["last_written"].alias("last_written"), "uploaded", "badge")
+
+
 @query(f"WITH {COVER} SELECT device_id, CAST(expected - present - pending AS BIGINT) AS missing, pending, complete AS all_complete FROM cover")
 def device_coverage(spark, sf):
     return registry.device_coverage(coverage(spark, sf))
@@ -483,11 +691,21 @@ def rotation(spark, sf):
 
 
 @query("""WITH c AS (SELECT event_type || (user_id % 10) AS key, event_id AS seq, CAST(floor(value) AS BIGINT) AS bytes, user_id % 7 AS ms, user_id % 3 = 0 AS cached FROM events), f AS (SELECT key, min(seq) AS first FROM c GROUP BY 1)
-SELECT key, count(*) AS calls, sum(bytes)::BIGINT AS bytes, sum(ms)::BIGINT AS ms, sum(CASE WHEN seq = first THEN bytes ELSE 0 END)::BIGINT AS meta_bytes, sum(CASE WHEN seq = first THEN 0 ELSE bytes END)::BIGINT AS data_bytes, count(*) FILTER (WHERE cached) AS cached FROM c JOIN f USING (key) GROUP BY 1""")
+SELECT key, count(*) AS calls, sum(bytes)::BIGINT AS bytes, sum(ms)::BIGINT AS ms, sum(CASE WHEN seq = first THEN bytes ELSE 0 END)::BIGINT AS meta_bytes, sum(CASE WHEN seq = first THEN 0 ELSE bytes END)::BIGINT AS data_bytes, count(*) FILTER (WHERE cached) AS cached, count(*) FILTER (WHERE cached) / count(*) AS hit_share FROM c JOIN f USING (key) GROUP BY 1""")
 def fetch_trace(spark, sf):
+    return analytics.fetch_trace(_calls(spark, sf))
+
+
+@query("""WITH c AS (SELECT event_type || (user_id % 10) AS key, event_id AS seq, CAST(floor(value) AS BIGINT) AS bytes, user_id % 7 AS ms, user_id % 3 = 0 AS cached FROM events), f AS (SELECT key, min(seq) AS first FROM c GROUP BY 1)
+SELECT count(*) AS calls, sum(bytes)::BIGINT AS bytes, sum(ms)::BIGINT AS ms, sum(CASE WHEN seq = first THEN bytes ELSE 0 END)::BIGINT AS meta_bytes, sum(CASE WHEN seq = first THEN 0 ELSE bytes END)::BIGINT AS data_bytes, count(*) FILTER (WHERE cached) AS cached, count(*) FILTER (WHERE cached) / count(*) AS hit_share FROM c JOIN f USING (key)""")
+def fetch_totals(spark, sf):
+    return analytics.fetch_trace(_calls(spark, sf), by_key=False)
+
+
+def _calls(spark, sf) -> DataFrame:
     e = load(spark, sf, "events")
     calls = e.select(F.concat("event_type", (F.col("user_id") % 10).cast("string")).alias("key"), F.col("event_id").alias("seq"), F.floor("value").cast("long").alias("bytes"), (F.col("user_id") % 7).alias("ms"), (F.col("user_id") % 3 == 0).alias("cached"))
-    return analytics.fetch_trace(calls)
+    return calls
 
 
 @query(f"WITH {READINGS} SELECT device_id, strftime(timestamp, '%Y-%m') AS label, count(*) AS records, epoch_ms(date_trunc('month', min(timestamp)) + INTERVAL 1 MONTH) AS period_end FROM readings GROUP BY 1, 2")
@@ -529,6 +747,59 @@ def rebuild_late(spark, sf):
     return build.tier(PYRAMID, spark, path, "h2")
 
 
+WEEK = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["7d"]}, {"name": "week", "bin": "7d", "shards": ["28d"]}]})
+
+
+@query(f"WITH {READINGS} {tier_sql(7 * DAY)}")
+def rebuild_week(spark, sf):
+    """Late readings of one day: the rebuilt weeks hold the other days' readings too."""
+    from .plans import build
+
+    path, all_ = _scratch(spark, "weeks"), readings(spark, sf)
+    late = ingest.half_open(F.col("ms"), START + DAY, START + 2 * DAY)
+    build.backfill(WEEK, all_.where(~late), path)
+    build.rebuild(WEEK, all_, path, [(START + DAY, START + 2 * DAY)])
+    return build.tier(WEEK, spark, path, "week")
+
+
+@query(f"WITH {READINGS} {tier_sql(DAY, f'NOT (ms >= {START + DAY} AND ms < {START + 3 * DAY})')}")
+def rebuild_deleted(spark, sf):
+    """Two days lose all their readings: their bins go with the rebuild."""
+    from .plans import build
+
+    path, all_ = _scratch(spark, "deleted"), readings(spark, sf)
+    build.backfill(WEEK, all_, path)
+    gone = ingest.half_open(F.col("ms"), START + DAY, START + 3 * DAY)
+    build.rebuild(WEEK, all_.where(~gone), path, [(START + DAY, START + 3 * DAY)])
+    return build.tier(WEEK, spark, path, "d1")
+
+
+@query(f"WITH {RECORDED}, c AS (SELECT device_id, period_start - period_start % {4 * DAY} AS s, count(*) AS n FROM recorded GROUP BY 1, 2), w AS (SELECT device_id, s FROM c WHERE n = 4 AND s + {4 * DAY} <= {GENESIS + 31 * DAY}), t AS ({tier_sql(60_000)}) SELECT t.*, w.s AS period_start FROM t JOIN w ON t.device_id = w.device_id AND ts - ts % {4 * DAY} = w.s")
+def consolidate_write(spark, sf):
+    """Day shards written, then the four-day shards that recorded ones tile, read back."""
+    from .plans import build
+
+    path = _scratch(spark, "shards")
+    tier = rollup.aggregate_raw(readings(spark, sf), "1min", [VALUE])
+    build.write_shards(tier, path, "raw", "1d")
+    build.consolidate(PYRAMID, path, _recorded(spark, sf), "raw", "1d", "4d", GENESIS + 31 * DAY)
+    return build.read_shards(spark, PYRAMID, path, "raw", "4d")
+
+
+@query(f"WITH {READINGS} {tier_sql(DAY)}")
+def converged_d1(spark, sf):
+    """A pyramid built from nothing by the work its registry lacks."""
+    from .plans import build
+
+    path, rows = _scratch(spark, "converge"), readings(spark, sf)
+    first = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "4d"]}]})
+    nothing = _recorded(spark, sf).limit(0).select("device_id", "tier", "rung", "period_start", "period_end", "written_at")
+    results, _ = build.converge(first, _devices(spark, sf), nothing, _journal(spark, sf).limit(0), rows, path, GENESIS + 32 * DAY, budget_s=3_600.0)
+    if any(status != "written" for _, status, _ in results):
+        raise RuntimeError(f"not converged: {results}")
+    return build.tier(first, spark, path, "d1")
+
+
 # Streams (final state; compared in tests with the batch result) ----------------------------
 
 
@@ -555,12 +826,17 @@ def stream_tiers(spark, sf):
     return stream.current_bins(spark, path, [VALUE])
 
 
-@query(f"""WITH {GAPS} SELECT device_id, count(*) AS checks FROM g GROUP BY 1""")
-def stale_alert_checks(spark, sf):
-    return stale_alerts(spark, sf).groupBy("device_id").agg(F.count("*").alias("checks"))
+_NEXT = "CASE WHEN level < 5 THEN 5 WHEN level < 15 THEN 15 WHEN level < 60 THEN 60 WHEN level >= 10080 THEN level + 1440 WHEN level >= 1440 THEN level + 360 WHEN level >= 360 THEN level + 120 ELSE level + 60 END"
+_ALERTS = f"""{GAPS}, c AS (SELECT device_id, ms - 1 AS checked_at, ms - 1 - coalesce(ms - CAST(gap_seconds * 1000 AS BIGINT), epoch_ms(date_trunc('month', epoch_ms(ms - 1))::TIMESTAMP)) AS age, gap_seconds IS NOT NULL AS known,
+  row_number() OVER (PARTITION BY device_id ORDER BY ms) AS i FROM g), m AS (SELECT device_id, checked_at, age // 60000 AS minutes, checked_at - age AS since, known, i FROM c),
+ s AS (SELECT device_id, 0::BIGINT AS i, 0::BIGINT AS checked_at, '' AS status, 0::BIGINT AS minutes, 0::BIGINT AS level, 0::BIGINT AS first, 0::BIGINT AS shown FROM m GROUP BY 1
+  UNION ALL SELECT device_id, n, now_ms, CASE WHEN fresh THEN CASE WHEN level > 0 THEN 'recovered' ELSE 'fresh' END WHEN now >= next THEN 'alerted' ELSE 'below-level' END, now,
+   CASE WHEN fresh THEN 0 WHEN now >= next THEN next ELSE level END, CASE WHEN fresh AND level > 0 THEN 0 WHEN fresh THEN first WHEN first = 0 THEN since ELSE first END,
+   CASE WHEN fresh THEN first WHEN first = 0 THEN since ELSE first END
+  FROM (SELECT s.device_id, m.i AS n, m.checked_at AS now_ms, m.minutes AS now, m.since, m.known AND m.minutes < 5 AS fresh, s.level, s.first, {_NEXT} AS next FROM s JOIN m ON m.device_id = s.device_id AND m.i = s.i + 1) x)"""
 
 
-@query()
+@query(f"WITH RECURSIVE {_ALERTS} SELECT device_id, checked_at, status, minutes AS stale_minutes, level, shown AS first_stale_at FROM s WHERE i > 0")
 def stale_alerts(spark, sf):
     """A check just before each reading of each device, folded by the alert state machine."""
     from .streaming import staleness
@@ -569,8 +845,27 @@ def stale_alerts(spark, sf):
     return staleness.alerts(g.select("device_id", (F.col("ms") - 1).alias("checked_at"), F.col("previous_ms").alias("last_at")))
 
 
-@query("SELECT device_id, n FROM (SELECT user_id AS device_id, count(DISTINCT event_id) AS n FROM events GROUP BY 1)")
+_CHECKS = "SELECT o_custkey % 40 AS device_id, epoch_ms(o_orderdate) + (o_orderkey % 3) * 86400000 * 20 + CASE WHEN o_orderkey % 5 = 0 THEN 60000 ELSE 7200000 END AS checked_at FROM orders"
+
+
+@query(f"""WITH checks AS ({_CHECKS}), files AS (SELECT o_custkey % 40 AS device_id, strftime(o_orderdate, '%Y-%m') AS month, max(epoch_ms(o_orderdate)) AS w FROM orders WHERE o_orderkey % 11 < 2 GROUP BY 1, 2),
+ d AS (SELECT *, strftime(epoch_ms(checked_at), '%Y-%m') AS m, strftime(epoch_ms(checked_at) - INTERVAL 1 MONTH, '%Y-%m') AS p, checked_at - epoch_ms(date_trunc('month', epoch_ms(checked_at))::TIMESTAMP) < 300000 AS early FROM checks)
+ SELECT d.device_id, checked_at, CASE WHEN a.w IS NOT NULL THEN a.w WHEN early OR b.w IS NULL THEN -1 ELSE b.w END AS last_at, CASE WHEN a.w IS NOT NULL THEN 'current' WHEN early THEN 'too-early' WHEN b.w IS NOT NULL THEN 'previous' ELSE 'none' END AS source
+ FROM d LEFT JOIN files a ON a.device_id = d.device_id AND a.month = m LEFT JOIN files b ON b.device_id = d.device_id AND b.month = p""")
+def stale_sources(spark, sf):
+    """Checks over years, resolved to the month file that they may rest on."""
+    from .streaming import staleness
+
+    o = load(spark, sf, "orders").withColumn("device_id", F.col("o_custkey") % 40)
+    late = F.when(F.col("o_orderkey") % 5 == 0, 60_000).otherwise(7_200_000)
+    checks = o.select("device_id", (epoch_ms("o_orderdate") + (F.col("o_orderkey") % 3) * DAY * 20 + late).alias("checked_at"))
+    files = o.where("o_orderkey % 11 < 2").groupBy("device_id", F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.max(epoch_ms("o_orderdate")).alias("written_at"))
+    return staleness.last_seen(checks, files).withColumn("last_at", F.coalesce("last_at", F.lit(-1).cast("long")))
+
+
+@query("SELECT event_id, user_id AS device_id, epoch_us(ts) // 1000 AS ms FROM events")
 def stream_dedupe(spark, sf):
+    """Every event arrives twice; each is kept once."""
     from .streaming import ingest as stream
 
     path = _scratch(spark, "stream-dedupe")
@@ -578,7 +873,21 @@ def stream_dedupe(spark, sf):
     unique = stream.unique(doubled, ["event_id"], "timestamp", "60 days")
     q = unique.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").groupBy("device_id").agg(F.count("*").alias("n"))
+    return spark.read.parquet(f"{path}/rows").select("event_id", "device_id", epoch_ms("timestamp").alias("ms"))
+
+
+@query(f"WITH {READINGS} SELECT device_id, {fixed(DAY)} AS ts, count(*) AS n, round(sum({V})::DOUBLE, 2) AS total FROM readings GROUP BY 1, 2")
+def stream_tumbling(spark, sf):
+    """Daily windows of a stream, kept in their last state by a sink that merges."""
+    from .streaming import ingest as stream
+
+    path = _scratch(spark, "stream-tumbling")
+    windows = stream.tumbling(_stream(spark, sf), "timestamp", "1 day", {"n": F.count("*"), "total": F.sum(F.col("value").cast("decimal(18,2)")).cast("double")})
+    keep = lambda batch, i: batch.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{path}/rows/b={i}")
+    q = windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = ingest.dedupe(spark.read.parquet(f"{path}/rows").drop("b"), ["device_id", "start"], [F.col("batch")], "last")
+    return rows.select("device_id", F.unix_millis("start").alias("ts"), "n", F.round("total", 2).alias("total"))
 
 
 def queries() -> dict[str, Query]:

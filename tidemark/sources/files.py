@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
@@ -9,108 +11,206 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.durations import Duration
 from ..functions.monoid import Metric
-from ..functions.timeaxis import PATTERNS, bin_end
-from ..operators.ingest import FIELDS
+from ..functions.timeaxis import PATTERNS, bin_end, parse_period, period_label
+from ..operators.ingest import FIELDS, merge
 from ..operators.rollup import TS
-from ..plans.pyramid import Tier
+from ..plans.pyramid import Pyramid, Tier, key_pattern
 
+#: Schemes of the stores that pyarrow opens by itself.
+KNOWN_STORES = "^(file|s3|gs|gcs|hdfs|abfs|abfss):"
 READING_SCHEMA = StructType([StructField(FIELDS[0], TimestampType())] + [StructField(f, DoubleType()) for f in FIELDS[1:]])
 
 
 def tier_schema(metrics: list[Metric]) -> StructType:
-    state = [StructField(s, LongType() if s.endswith("_n") else DoubleType()) for m in metrics for s in m.state]
-    return StructType([StructField("device_id", LongType()), StructField(TS, LongType()), *state])
+    state = ", ".join(f"`{s}` {t}" for m in metrics for s, t in zip(m.state, m.state_types))
+    return StructType([StructField("device_id", LongType()), StructField(TS, LongType()), *StructType.fromDDL(state)])
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: StructType, **options: str) -> DataFrame:
     """The files at ``path``, or no rows where there are none."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.options(**options).schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_monthly(spark: SparkSession, base: str, schema: StructType = READING_SCHEMA) -> DataFrame:
-    """The files named YYYY-MM.parquet under ``base``, as one table."""
-    return spark.read.schema(schema).option("pathGlobFilter", "[0-9][0-9][0-9][0-9]-[0-9][0-9].parquet").parquet(base)
+MONTHS = "[0-9][0-9][0-9][0-9]-[0-9][0-9].parquet"
+
+
+def read_monthly(spark: SparkSession, base: str, schema: StructType = READING_SCHEMA, time: str | None = None) -> DataFrame:
+    """The files named YYYY-MM.parquet under ``base`` as one table, in order of ``time`` where given; no rows without the folder."""
+    rows = read_or_empty(spark, base, schema, pathGlobFilter=MONTHS)
+    return rows if time is None else rows.orderBy(time)
+
+
+def monthly_files(spark: SparkSession, base: str) -> list[str]:
+    """Paths of the files named YYYY-MM.parquet under ``base``, in order; none without the folder."""
+    return sorted(r["path"] for r in listing(spark, base, MONTHS).select("path").collect())
 
 
-def with_device(df: DataFrame, pattern: str = r"awair-(\d+)") -> DataFrame:
+def read_device(spark: SparkSession, base: str, schema: StructType = READING_SCHEMA) -> DataFrame:
+    """A device's readings: the monthly files in folder ``base`` if there is one, else the single file ``base``.parquet."""
+    return read_monthly(spark, base, schema) if monthly_files(spark, base) else read_or_empty(spark, f"{base.rstrip('/')}.parquet", schema)
+
+
+def with_device(df: DataFrame, pattern: str = r"device[-_=](\d+)") -> DataFrame:
     """``df`` of a scan with device_id taken from each file's path (null where it names none)."""
     return df.withColumn("device_id", F.col("_metadata.file_path")).withColumn("device_id", F.regexp_extract("device_id", pattern, 1).try_cast("long"))
 
 
-def write_monthly(df: DataFrame, base: str, time: str = "timestamp", mode: str = "overwrite") -> None:
-    """Month directories, rows in order of time; a write replaces the months it holds and no other."""
+def write_monthly(df: DataFrame, base: str, time: str = "timestamp", files_a_month: int = 8, row_group_rows: int | None = None) -> None:
+    """Month directories, rows in order of time; a write replaces the months it holds and no other.
+
+    A month is dealt to ``files_a_month`` tasks by spans of its days, so files don't overlap in time.
+    """
     months = df.withColumn("month", F.date_format(time, "yyyy-MM"))
-    spread = months.repartition("month").sortWithinPartitions("month", time)
-    spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").option("parquet.block.row.count.limit", "5000").partitionBy("month").parquet(base)
+    span = F.floor((F.dayofmonth(time) - 1) * files_a_month / 31)
+    spread = months.repartition("month", span).sortWithinPartitions("month", time)
+    _row_groups(spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), row_group_rows).partitionBy("month").parquet(base)
+
 
+def _row_groups(writer, rows: int | None):
+    return writer if rows is None else writer.option("parquet.block.row.count.limit", str(rows))
 
-def write_tier(state: DataFrame, base: str, tier: Tier, devices_a_file: int = 64) -> None:
-    """A tier as day-partitioned files, sorted by device and time, in row groups of about a day.
 
-    Rows are dealt by day and device group, so a busy day spreads over files and a
-    query's device and time filters skip the rest.
+def merge_monthly(spark: SparkSession, base: str, new: DataFrame, keys: list[str], values: list[str], time: str = "timestamp", on_conflict: str = "warn") -> bool:
+    """Merge ``new`` into a monthly table and rewrite the months it changes; False, and nothing written, where it brings nothing new."""
+    columns = [*keys, *values]
+    schema = StructType([f for f in new.select(*columns).schema]).add("month", "string")
+    held = read_or_empty(spark, base, schema)
+    months = new.select(F.date_format(time, "yyyy-MM").alias("month")).distinct()
+    near = held.join(months, "month", "left_semi").select(*columns)
+    merged = merge(near, new, keys, values, on_conflict)
+    changed = merged.exceptAll(near).select(F.date_format(time, "yyyy-MM").alias("month")).distinct()
+    names = [r["month"] for r in changed.collect()]  # a few months
+    if not names:
+        return False
+    write_monthly(merged.where(F.date_format(time, "yyyy-MM").isin(names)), base, time)
+    return True
+
+
+def write_tier(state: DataFrame, base: str, tier: Tier, devices_a_file: int = 64, row_group_rows: int | None = None) -> None:
+    """A tier as files partitioned by the tier's ``part`` (day or month), sorted by device and time.
+
+    Rows are dealt by part and device group, so a busy day spreads over files and a query's
+    device and time filters skip the rest by the files' and pages' statistics. Row groups
+    have the writer's usual size in bytes unless their rows are given.
     """
-    day = F.date_format(F.timestamp_millis(TS), "yyyy-MM-dd")
-    dealt = state.withColumn("day", day).repartition("day", F.pmod(F.xxhash64("device_id"), F.lit(devices_a_file))).sortWithinPartitions("day", "device_id", TS)
-    writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    if tier.row_group_rows:
-        writer = writer.option("parquet.block.row.count.limit", str(tier.row_group_rows))
-    writer.partitionBy("day").parquet(f"{base}/tier={tier.name}")
+    dealt = state.withColumn("part", period_label(F.col(TS), tier.part.unit)).repartition("part", F.pmod(F.xxhash64("device_id"), F.lit(devices_a_file))).sortWithinPartitions("part", "device_id", TS)
+    _row_groups(dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), row_group_rows).partitionBy("part").parquet(f"{base}/tier={tier.name}")
+
+
+def drop_empty_parts(spark: SparkSession, base: str, tier: Tier, start: int, end: int, written: set[str]) -> None:
+    """Removes the partitions that begin in [start, end) and that a rewrite gave no rows: their bins are gone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/tier={tier.name}")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return
+    held = [s.getPath().getName() for s in fs.listStatus(folder)]
+    for name in held:
+        label = name.removeprefix("part=")
+        if label != name and label not in written and start <= parse_period(label, tier.part)[0] < end:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
 
 
 def read_tier(spark: SparkSession, base: str, tier: Tier, metrics: list[Metric], start: int, end: int) -> DataFrame:
-    """Rows of a tier in [start, end): day partitions prune first, row groups by ts next."""
-    schema = tier_schema(metrics).add("day", "string")
-    day = lambda ms: F.date_format(F.timestamp_millis(F.lit(ms)), "yyyy-MM-dd")
+    """Rows of a tier in [start, end): partitions prune first, row groups by ts next."""
+    schema = tier_schema(metrics).add("part", "string")
+    label = lambda ms: period_label(F.lit(ms), tier.part.unit)
     rows = read_or_empty(spark, f"{base}/tier={tier.name}", schema)
-    return rows.where((F.col("day") >= day(start)) & (F.col("day") <= day(end - 1)) & (F.col(TS) >= start) & (F.col(TS) < end)).drop("day")
+    return rows.where((F.col("part") >= label(start)) & (F.col("part") <= label(end - 1)) & (F.col(TS) >= start) & (F.col(TS) < end)).drop("part")
 
 
 def rewrite(spark: SparkSession, source: str, target: str, row_group_rows: int) -> None:
     """The same rows with another row-group length."""
-    spark.read.parquet(source).write.option("parquet.block.row.count.limit", str(row_group_rows)).parquet(target)
+    _row_groups(spark.read.parquet(source).write, row_group_rows).parquet(target)
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a row, times in ISO form, null fields kept."""
+    df.write.option("ignoreNullFields", "false").json(path)
 
 
 def listing(spark: SparkSession, base: str, glob: str = "*.parquet") -> DataFrame:
-    """path, size and modification time of the files under ``base``, without reading them."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(base)
+    """path, size and modification time of the files under ``base``, without reading them; no rows where there is nothing."""
+    try:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(base)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, size_bytes long, written_at long")
     return files.select("path", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("written_at"))
 
 
+def head(spark: SparkSession, path: str):
+    """path, size_bytes and written_at of one file; None where there is none."""
+    return listing(spark, path, "*").first()
+
+
+FOOTER_SCHEMA = "path string, size_bytes long, n_rows long, n_rgs long, rg_row_counts array<long>"
+
+
+def _footer(path: str, size: int, source) -> tuple:
+    import pyarrow.parquet as pq
+
+    m = pq.ParquetFile(source).metadata
+    return path, size, m.num_rows, m.num_row_groups, [m.row_group(i).num_rows for i in range(m.num_row_groups)]
+
+
 def footers(spark: SparkSession, base: str, glob: str = "*.parquet") -> DataFrame:
-    """path, size_bytes, n_rows, n_rgs and rg_row_counts of Parquet files under ``base``."""
+    """path, size_bytes, n_rows, n_rgs and rg_row_counts of Parquet files under ``base``.
+
+    Tasks read each file's tail alone, where pyarrow knows the store; of other stores Spark
+    reads the file.
+    """
     import io
 
     import pandas as pd
-    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    names = [c.split()[0] for c in FOOTER_SCHEMA.split(", ")]
 
-    def read(batches):
+    def tails(batches):
         for pdf in batches:
             out = []
-            for path, content in zip(pdf.path, pdf.content):
-                m = pq.ParquetFile(io.BytesIO(content)).metadata
-                out.append((path, len(content), m.num_rows, m.num_row_groups, [m.row_group(i).num_rows for i in range(m.num_row_groups)]))
-            yield pd.DataFrame(out, columns=["path", "size_bytes", "n_rows", "n_rgs", "rg_row_counts"])
+            for path, size in zip(pdf.path, pdf.size_bytes):
+                store, place = fs.FileSystem.from_uri(path)
+                with store.open_input_file(place) as f:
+                    out.append(_footer(path, size, f))
+            yield pd.DataFrame(out, columns=names)
+
+    def wholes(batches):
+        for pdf in batches:
+            yield pd.DataFrame([_footer(p, len(c), io.BytesIO(c)) for p, c in zip(pdf.path, pdf.content)], columns=names)
+
+    files = listing(spark, base, glob).select("path", "size_bytes")
+    if not files.where(~F.col("path").rlike(KNOWN_STORES)).isEmpty():
+        content = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(base)
+        return content.select("path", "content").mapInPandas(wholes, FOOTER_SCHEMA)
+    return files.repartition(max(1, min(200, files.count() // 16))).mapInPandas(tails, FOOTER_SCHEMA)
+
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(base)
-    return files.select("path", "content").mapInPandas(read, "path string, size_bytes long, n_rows long, n_rgs long, rg_row_counts array<long>")
+def row_group_length(spark: SparkSession, path: str) -> int | None:
+    """Rows of the first row group of a Parquet file; None for a missing or empty one."""
+    if head(spark, path) is None:
+        return None
+    found = footers(spark, path, "*").first()
+    return found["rg_row_counts"][0] if found["rg_row_counts"] else None
 
 
-def parse_keys(paths: DataFrame, path: str = "path") -> DataFrame:
-    """``paths`` with device_id, tier, rung and label of keys …/awair-<id>/<tier>/<rung>/<label>.parquet; others go."""
-    pattern = r"awair-(\d+)/([^/]+)/([^/]+)/([^/]+)\.parquet$"
-    parts = [F.regexp_extract(path, pattern, i) for i in range(1, 5)]
-    return paths.where(F.col(path).rlike(pattern)).select("*", parts[0].cast("long").alias("device_id"), parts[1].alias("tier"), parts[2].alias("rung"), parts[3].alias("label"))
+def parse_keys(paths: DataFrame, path: str = "path", key: str = Pyramid.key) -> DataFrame:
+    """``paths`` with device_id, tier, rung and label of those that end as the key template says; others go."""
+    pattern = key_pattern(key)
+    order = re.findall(r"\{(\w+)\}", key)
+    part = lambda name: F.regexp_extract(path, pattern, order.index(name) + 1)
+    return paths.where(F.col(path).rlike(pattern)).select("*", part("device_id").cast("long").alias("device_id"), part("tier").alias("tier"), part("shard").alias("rung"), part("period").alias("label"))
 
 
-def bootstrap_registry(spark: SparkSession, base: str, ladders: dict[str, list[str]]) -> DataFrame:
+def bootstrap_registry(spark: SparkSession, base: str, ladders: dict[str, list[str]], key: str = Pyramid.key) -> DataFrame:
     """Registry rows of the shard files under ``base`` whose tier, rung and label are valid."""
-    keys = parse_keys(listing(spark, base))
+    keys = parse_keys(listing(spark, base), key=key)
     allowed = spark.createDataFrame([(t, r, Duration.of(r).unit) for t, rungs in ladders.items() for r in rungs], "tier string, rung string, unit string")
     start = F.coalesce(*(F.when(F.col("unit") == u, F.unix_millis(F.try_to_timestamp("label", F.lit(p)))) for u, p in PATTERNS.items()))
     rows = keys.join(allowed, ["tier", "rung"]).withColumn("period_start", start).where("period_start is not null")

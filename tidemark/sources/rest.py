@@ -1,20 +1,29 @@
-"""A REST source of sensor readings, as a Spark data source.
+"""A REST source of sensor readings, as Spark data sources.
 
 Option ``pages`` names a function ``module:function`` of (device_id, from_ms, to_ms,
-limit) that returns a page: {"data": [{"timestamp", "sensors": [{"comp", "value"}]}]}.
-The range is cut into slices of ``slice_hours``, one task each; a task walks its slice
-backwards a page at a time, as far as the data go. Spark retries a failed task.
+limit) that returns a page: {"data": [{"timestamp", "sensors": [{"comp", "value"}]}]}, or
+raises ``HttpError``. The range is cut into slices of ``slice_hours``, one task each; a
+task walks its slice backwards a page at a time: on from a second before the oldest
+reading, a minute back where a page makes no progress, an hour back after an error, and
+no further after a page without data, ``max_requests`` of the slice, or a rate limit
+(``on_rate_limit`` ``stop``; ``fail`` raises, so that Spark tries the task again).
+
+``readings`` gives the readings, ``reading_requests`` one row a request: what was asked for
+and what came of it.
 """
 
 from __future__ import annotations
 
 import importlib
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.ingest import delete_range
+
 PAGE_TYPE = "struct<data: array<struct<timestamp: string, sensors: array<struct<comp: string, value: double>>>>>"
 
 
@@ -25,11 +34,52 @@ def flatten(pages: DataFrame, page: Column, fields: list[str]) -> DataFrame:
     return rows.withColumn("_s", sensors).select(F.col("r.timestamp").cast("timestamp").alias("timestamp"), *(F.try_element_at("_s", F.lit(f)).alias(f) for f in fields))
 
 
+class HttpError(Exception):
+    """What a page function raises for an HTTP status other than success."""
+
+    def __init__(self, status: int, message: str = ""):
+        super().__init__(status, message)
+        self.status = status
+
+
 class Slice(InputPartition):
     def __init__(self, device_id: int, start: int, end: int):
         self.device_id, self.start, self.end = device_id, start, end
 
 
+def _ms(stamp: str) -> int:
+    return int(datetime.fromisoformat(stamp.replace("Z", "+00:00")).astimezone(timezone.utc).timestamp() * 1000)
+
+
+def walk(fetch, part: Slice, limit: int, max_requests: int | None = None, on_rate_limit: str = "stop") -> Iterator[tuple[tuple, list[tuple[int, dict]]]]:
+    """Each request of a slice, newest first: its report (a row of ``REQUEST_SCHEMA``) and its readings with their times."""
+    to, made = part.end, 0
+    while to > part.start and (max_requests is None or made < max_requests):
+        made += 1
+        asked = (part.device_id, part.start, to)
+        try:
+            data = fetch(part.device_id, part.start, to, limit)["data"]
+        except HttpError as e:
+            if e.status == 429:
+                if on_rate_limit == "fail":
+                    raise
+                yield (*asked, "rate_limit", 0, None, None, None), []
+                return
+            yield (*asked, "http_error", 0, None, None, None), []
+            to -= 3_600_000
+            continue
+        rows = [(_ms(r["timestamp"]), r) for r in data]
+        times = [t for t, _ in rows]
+        first, last = min(times, default=None), max(times, default=None)
+        yield (*asked, "ok", len(rows), first, last, (last - first) / 1000 / (len(rows) - 1) if len(rows) > 1 else None), rows
+        if not rows:
+            return
+        to = first - 1_000 if first < to else to - 60_000
+
+
+REQUEST_SCHEMA = "device_id long, requested_from long, requested_to long, outcome string, records long, actual_from long, actual_to long, mean_interval_s double"
+
+
 class ReadingsSource(DataSource):
     """``spark.dataSource.register(ReadingsSource)``, then format("readings")."""
 
@@ -44,6 +94,20 @@ class ReadingsSource(DataSource):
         return ReadingsReader(self.options)
 
 
+class RequestsSource(ReadingsSource):
+    """``spark.dataSource.register(RequestsSource)``, then format("reading_requests")."""
+
+    @classmethod
+    def name(cls):
+        return "reading_requests"
+
+    def schema(self):
+        return REQUEST_SCHEMA
+
+    def reader(self, schema):
+        return RequestsReader(self.options)
+
+
 class ReadingsReader(DataSourceReader):
     def __init__(self, options):
         self.options = {k.lower(): v for k, v in options.items()}
@@ -54,21 +118,27 @@ class ReadingsReader(DataSourceReader):
         start, end = int(o["from"]), int(o["to"])
         return [Slice(int(d), at, min(end, at + step)) for d in o["devices"].split(",") for at in range(start, end, step)]
 
-    def read(self, part):
+    def _walk(self, part):
         module, _, function = self.options["pages"].partition(":")
-        fetch, limit, to = getattr(importlib.import_module(module), function), int(self.options.get("limit", "360")), part.end
-        while to > part.start:
-            data = fetch(part.device_id, part.start, to, limit)["data"]
-            times = []
-            for row in data:
-                at = datetime.fromisoformat(row["timestamp"].replace("Z", "+00:00")).astimezone(timezone.utc)
-                times.append(int(at.timestamp() * 1000))
-                if part.start <= times[-1] < part.end:
+        most = self.options.get("max_requests")
+        return walk(getattr(importlib.import_module(module), function), part, int(self.options.get("limit", "360")), int(most) if most else None, self.options.get("on_rate_limit", "stop"))
+
+    def read(self, part):
+        for _, rows in self._walk(part):
+            for ms, row in rows:
+                if part.start <= ms < part.end:
+                    at = datetime.fromtimestamp(ms / 1000, timezone.utc)
                     for s in row["sensors"]:
                         yield part.device_id, at, s["comp"], float(s["value"])
-            if not times:
-                return
-            oldest = min(times)
-            to = oldest if oldest < to else to - 60_000  # no progress: a minute back
-            if len(data) < limit:
-                return
+
+
+class RequestsReader(ReadingsReader):
+    def read(self, part):
+        for report, _ in self._walk(part):
+            yield report
+
+
+def replace_range(held: DataFrame, fetched: DataFrame, start: int, end: int, time: str = "timestamp") -> DataFrame:
+    """What is held without its readings in [start, end] (ms), and the fetched ones."""
+    at = lambda ms: F.timestamp_millis(F.lit(ms))
+    return delete_range(held, time, at(start), at(end)).unionByName(fetched)

@@ -1,54 +1,122 @@
 """Readings as a stream: merge, and rebuild of the tiers' bins that late data touch.
 
 Late data are never dropped, so there is no watermark: each micro-batch finds the bins
-it touches, and those bins are rebuilt from the deduplicated readings.
+it touches, and those bins are rebuilt from the deduplicated readings of the days that
+hold them. Readings and bins are kept by day, so a batch reads what it touches and no
+more, and ``compact`` folds a day's batches into one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.durations import UNIT_MS
 from ..functions.monoid import Metric
-from ..functions.timeaxis import epoch_ms, floor_bin
+from ..functions.timeaxis import bin_end, epoch_ms, floor_bin
 from ..operators.ingest import dedupe
 from ..operators.rollup import aggregate_raw
 
+DAY = UNIT_MS["d"]
+
 
 def touched_bins(batch: DataFrame, bin_: str, time: str) -> DataFrame:
     return batch.select("device_id", floor_bin(epoch_ms(time), bin_).alias("ts")).distinct()
 
 
-def merge_batch(batch: DataFrame, batch_id: int, path: str, bin_: str, metrics: list[Metric], time: str, key: list[str], order: str) -> None:
-    """Append the batch to ``path``/readings and write the touched bins' new state, versioned by batch.
+def _keep(rows: DataFrame, ms, batch_id: int, path: str) -> None:
+    """Write rows by day and batch; a retried batch replaces its own files."""
+    dealt = rows.withColumn("day", F.floor(ms / DAY)).withColumn("batch", F.lit(batch_id).cast("long"))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
+
+
+def _days_of(touched: DataFrame, bin_: str) -> list[int]:
+    """The days that the touched bins reach over: as many as the batch has, on the driver."""
+    first, last = F.floor(F.col("ts") / DAY), F.floor((bin_end(F.col("ts"), bin_) - 1) / DAY)
+    return [r["day"] for r in touched.select("ts").distinct().select(F.explode(F.sequence(first, last)).alias("day")).distinct().collect()]
+
+
+def _rebuild(spark: SparkSession, touched: DataFrame, batch_id: int, path: str, bin_: str, metrics: list[Metric], time: str, key: list[str], order: str) -> None:
+    days = _days_of(touched, bin_)
+    seen = spark.read.parquet(f"{path}/readings").where(F.col("day").isin(days) & (F.col("batch") <= batch_id))  # these days' folders alone
+    near = seen.withColumn("ts", floor_bin(epoch_ms(time), bin_)).join(touched, ["device_id", "ts"], "left_semi").drop("ts")
+    clean = dedupe(near.drop("batch", "day"), key, [F.col(order)])
+    _keep(aggregate_raw(clean, bin_, metrics, time=time), F.col("ts"), batch_id, f"{path}/bins")
+
+
+def merge_batch(batch: DataFrame, batch_id: int, path: str, bin_: str, metrics: list[Metric], time: str, key: list[str], order: str, best_effort: bool = False) -> None:
+    """Add the batch to ``path``/readings, then write the touched bins' new state.
 
-    Both writes name the batch, so a retried batch replaces its own files.
+    Readings are safe before a bin is touched. With ``best_effort`` a failure of the second
+    step doesn't stop the stream: the touched bins are noted, and ``repair`` builds them.
     """
     spark = batch.sparkSession
     if batch.isEmpty():
         return
-    batch.write.mode("overwrite").parquet(f"{path}/readings/batch={batch_id}")
-    seen = spark.read.option("basePath", f"{path}/readings").parquet(f"{path}/readings").where(F.col("batch") <= batch_id)
+    _keep(batch, epoch_ms(time), batch_id, f"{path}/readings")
     touched = touched_bins(batch, bin_, time)
-    near = seen.withColumn("ts", floor_bin(epoch_ms(time), bin_)).join(touched, ["device_id", "ts"], "left_semi").drop("ts")
-    clean = dedupe(near.drop("batch"), key, [F.col(order)])
-    aggregate_raw(clean, bin_, metrics, time=time).write.mode("overwrite").parquet(f"{path}/bins/batch={batch_id}")
+    try:
+        _rebuild(spark, touched, batch_id, path, bin_, metrics, time, key, order)
+    except Exception:
+        if not best_effort:
+            raise
+        touched.write.mode("overwrite").parquet(f"{path}/failed/batch={batch_id}")
+
+
+def repair(spark: SparkSession, path: str, bin_: str, metrics: list[Metric], time: str = "timestamp", key: list[str] = ["device_id", "timestamp"], order: str = "timestamp") -> bool:
+    """Build the bins that a ``best_effort`` merge noted, from all readings so far; whether there were any."""
+    from ..sources.files import read_or_empty, tier_schema
+
+    failed = read_or_empty(spark, f"{path}/failed", tier_schema([]))
+    if failed.isEmpty():
+        return False
+    last = spark.read.parquet(f"{path}/readings").agg(F.max("batch")).first()[0]
+    _rebuild(spark, failed.distinct(), last, path, bin_, metrics, time, key, order)
+    return True
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, bin_: str, metrics: list[Metric], time: str = "timestamp", key: list[str] = ["device_id", "timestamp"], order: str = "timestamp", trigger: dict | None = None) -> StreamingQuery:
+def run(stream: DataFrame, path: str, checkpoint: str, bin_: str, metrics: list[Metric], time: str = "timestamp", key: list[str] = ["device_id", "timestamp"], order: str = "timestamp", trigger: dict | None = None, best_effort: bool = False) -> StreamingQuery:
     def each(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch, batch_id, path, bin_, metrics, time, key, order)
+        merge_batch(batch, batch_id, path, bin_, metrics, time, key, order, best_effort)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
-def current_bins(spark, path: str, metrics: list[Metric]) -> DataFrame:
-    """The state of every bin: of the batches that wrote it, the last."""
-    bins = spark.read.option("basePath", f"{path}/bins").parquet(f"{path}/bins")
-    return dedupe(bins, ["device_id", "ts"], [F.col("batch")], "last").drop("batch")
+def current_bins(spark: SparkSession, path: str, metrics: list[Metric], days: tuple[int, int] | None = None) -> DataFrame:
+    """The state of every bin that begins on the days [first, last): of the batches that wrote it, the last."""
+    bins = spark.read.parquet(f"{path}/bins")
+    if days is not None:
+        bins = bins.where((F.col("day") >= days[0]) & (F.col("day") < days[1]))
+    return dedupe(bins.drop("day"), ["device_id", "ts"], [F.col("batch")], "last").drop("batch")
+
+
+def compact(spark: SparkSession, path: str, days: tuple[int, int], key: list[str] = ["device_id", "timestamp"], order: str = "timestamp") -> None:
+    """Fold the batches of each day of [first, last) into the day's last one: readings once a key, bins in their last state.
+
+    The folded files replace the last batch's; then the older batches go. Between the two
+    a reader sees rows twice, which both readers fold, so a failure costs nothing but a
+    second run. No batch of these days may be written meanwhile.
+    """
+    for name, fold in (("readings", lambda df: dedupe(df, key, [F.col(order)])), ("bins", lambda df: dedupe(df, ["device_id", "ts"], [F.col("batch")], "last"))):
+        held = spark.read.parquet(f"{path}/{name}").where((F.col("day") >= days[0]) & (F.col("day") < days[1]))
+        batches = held.select("day", "batch").distinct().collect()  # folders, not rows
+        last: dict[int, int] = {}
+        for r in batches:
+            last[r["day"]] = max(r["batch"], last.get(r["day"], r["batch"]))
+        several = {d for d in last if sum(r["day"] == d for r in batches) > 1}
+        if not several:
+            continue
+        newest = spark.createDataFrame([(d, last[d]) for d in several], "day long, newest long")
+        folded = fold(held.where(F.col("day").isin(list(several)))).join(F.broadcast(newest), "day").withColumn("batch", F.col("newest")).drop("newest")
+        folded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/{name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for r in batches:
+            if r["day"] in several and r["batch"] != last[r["day"]]:
+                fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"day={r['day']}/batch={r['batch']}"), True)
 
 
 def tumbling(stream: DataFrame, time: str, width: str, values: dict[str, Callable]) -> DataFrame:

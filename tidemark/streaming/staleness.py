@@ -201,6 +201,27 @@ def alerts(checks: DataFrame) -> DataFrame:
     return dealt(entered, "device_id", "chunk").mapInArrow(_folded, SCHEMA)
 
 
+# Fixed value: minutes into a month in which its first file may be missing.
+GRACE_MINUTES = 5
+
+
+def last_seen(checks: DataFrame, files: DataFrame) -> DataFrame:
+    """The checks (device_id, checked_at; ms) with last_at and ``source``, from files by month (device_id, month as yyyy-MM, written_at).
+
+    The current month's file counts (``current``); without it the check is void within the
+    month's first minutes (``too-early``), else the previous month's file counts
+    (``previous``), else there are no data (``none``). Void checks are no alert checks.
+    """
+    at = F.timestamp_millis("checked_at")
+    dated = checks.withColumn("_month", F.date_format(at, "yyyy-MM")).withColumn("_previous", F.date_format(F.add_months(at.cast("date"), -1), "yyyy-MM"))
+    month = lambda name, out: files.groupBy("device_id", F.col("month").alias(name)).agg(F.max("written_at").alias(out))
+    found = dated.join(month("_month", "_own"), ["device_id", "_month"], "left").join(month("_previous", "_older"), ["device_id", "_previous"], "left")
+    early = F.col("checked_at") - F.unix_millis(F.date_trunc("month", at)) < GRACE_MINUTES * 60_000
+    source = F.when(F.col("_own").isNotNull(), "current").when(early, "too-early").when(F.col("_older").isNotNull(), "previous").otherwise("none")
+    last = F.coalesce("_own", F.when(~early, F.col("_older")))
+    return found.select("device_id", "checked_at", last.alias("last_at"), source.alias("source"))
+
+
 def alert_stream(checks: DataFrame) -> DataFrame:
     """The same over a stream of checks, with the state kept between micro-batches."""
 
