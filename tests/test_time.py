@@ -140,11 +140,27 @@ def test_ranges_and_months():
 
 
 def test_url_codes():
-    assert codec.decode_axes("tcA") == (["temp", "co2"], True) and codec.decode_axes("h") == (["humid"], False)
-    assert codec.encode_axes(["temp", "co2"], True) == "tca"
-    assert codec.decode_floors("t32,c350.5,zz") == {"temp": 32.0, "co2": 350.5} and codec.encode_floors({"temp": 32.0, "co2": 350.5}) == "t32,c350.5"
-    for code in ("4px", "1h", "1d3h"):
-        assert codec.encode_grouping(*codec.decode_grouping(code)) == code
+    axes = codec.Axes
+    for code, want in (("tcA", axes("temp", "co2", False, True)), ("h", axes("humid", None)), ("pvaA", axes("pm25", "voc", True, True)), (None, axes())):
+        assert codec.decode_axes(code) == want and codec.encode_axes(want) == code
+    assert codec.decode_axes("zc") == axes() and codec.decode_axes("tz") == axes("temp", None)
+    assert codec.decode_floors("t32,c350,zz,h1.5,q3") == {"temp": 32, "co2": 350} and codec.encode_floors({"temp": 32, "co2": -5}) == "t32,c-5"
+    assert codec.decode_floors(None) == {} and codec.encode_floors({}) is None
+    for code in ("4px", "1h", "1d3h", None):
+        assert codec.encode_grouping(codec.decode_grouping(code)) == code
+    assert codec.decode_grouping("3px") == 1
+    assert [codec.compact_minutes(m) for m in (0, 59, 60, 61, 1440, 1501, 3600)] == ["0m", "59m", "1h", "1h1m", "1d", "1d1h", "2d12h"]
+
+
+def test_amounts_as_text(spark):
+    def shown(f, values):
+        return [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(f(F.col("v"))).collect()]
+
+    assert shown(codec.human_bytes, [5.0, 1536.0, 3 * 2.0**20, None]) == ["5 B", "1.5 KiB", "3.0 MiB", "\u2014"]
+    assert shown(codec.human_count, [7.0, 7.25, 512.0, 2500.0, 25_000.0, 2_500_000.0, None]) == ["7", "7.3", "512", "2.50k", "25k", "2.5M", "\u2014"]
+    assert shown(codec.rounded_age, [2_499.0, 59_500.0, 5_400_000.0, 129_600_000.0, None]) == ["2s", "1m", "2h", "2d", "\u2014"]
+    assert shown(codec.compact_age, [59_999.0, 61_000.0, 7_199_999.0, 3 * 86_400_000.0, None, -1.0]) == ["<1m", "1m", "1h", "3d", "\u2013", "\u2013"]
+    assert shown(codec.human_duration, [0.0, 60_000.0, 90_060_000.0, 86_400_000.0]) == ["0m", "1m", "1d 1h 1m", "1d"]
 
 
 def test_rounding_by_metric(spark):

@@ -104,8 +104,53 @@ def age_class(age_ms: Column) -> Column:
     return F.when(age_ms < 2 * MINUTE, "fresh").when(age_ms < 10 * MINUTE, "warn").when(age_ms < HOUR, "degraded").otherwise("stale")
 
 
+NO_VALUE = "\u2014"
+
+
 def human_bytes(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1 << 20)))
+    """Bytes, KiB or MiB with one decimal."""
+    sized = F.when(n < 1 << 10, F.format_string("%d B", n.cast("long"))).when(n < 1 << 20, F.format_string("%.1f KiB", n / (1 << 10))).otherwise(F.format_string("%.1f MiB", n / (1 << 20)))
+    return F.when(n.isNull(), NO_VALUE).otherwise(sized)
+
+
+def human_count(n: Column) -> Column:
+    """Under 100 whole or with one decimal, then whole, then thousands (two decimals under ten) and millions."""
+    x = n.cast("double")
+    small = F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(F.format_string("%.1f", x))
+    thousands = F.when(x < 10_000, F.format_string("%.2fk", x / 1e3)).otherwise(F.format_string("%.0fk", x / 1e3))
+    text = F.when(x < 100, small).when(x < 1_000, F.format_string("%.0f", x)).when(x < 1_000_000, thousands).otherwise(F.format_string("%.1fM", x / 1e6))
+    return F.when(n.isNull(), NO_VALUE).otherwise(text)
+
+
+# How many of a unit make the next.
+AGE_UNITS = [("s", 60), ("m", 60), ("h", 24), ("d", None)]
+
+
+def rounded_age(ms: Column) -> Column:
+    """Seconds, minutes, hours or days, rounded half up from unit to unit."""
+    half_up = lambda x: F.floor(x + 0.5).cast("long")
+    n, out = half_up(ms / 1000), None
+    for unit, many in AGE_UNITS:
+        text = F.concat(n.cast("string"), F.lit(unit))
+        if many is None:
+            return F.coalesce(out.otherwise(text), F.lit(NO_VALUE))
+        out = F.when(n < many, text) if out is None else out.when(n < many, text)
+        n = half_up(n / many)
+
+
+def compact_age(ms: Column) -> Column:
+    """Whole minutes, hours or days passed; ``<1m`` under a minute."""
+    minutes = F.floor(ms / MINUTE).cast("long")
+    text = lambda n, unit: F.concat(F.floor(n).cast("long").cast("string"), F.lit(unit))
+    shown = F.when(ms < MINUTE, "<1m").when(minutes < 60, text(minutes, "m")).when(minutes < 1440, text(minutes / 60, "h")).otherwise(text(minutes / 1440, "d"))
+    return F.when(ms.isNull() | (ms < 0), "\u2013").otherwise(shown)
+
+
+def compact_minutes(minutes: int) -> str:
+    """The two largest units in use, days with hours or hours with minutes: ``2d12h``, ``4h``."""
+    days, hours, rest = minutes // 1440, minutes % 1440 // 60, minutes % 60
+    parts = [(days, "d"), (hours, "h")] if days else [(hours, "h"), (rest, "m")]
+    return "".join(f"{n}{u}" for n, u in parts if n) or "0m"
 
 
 def target_points(width: int | None, pixels: int | None = None) -> int:
@@ -176,42 +221,62 @@ def human_duration(ms: Column) -> Column:
     return F.when(text == "", "0m").otherwise(text)
 
 
-# Axes and groupings in URLs: metrics by letter, floors by metric, groupings in pixels or time.
+# Axes and groupings in URLs; a code that is absent means the default, which has no code.
 
-# Letters of the metrics.
+# Letters of the metrics, and the pixels a point may have.
 METRIC_LETTERS = {"t": "temp", "c": "co2", "h": "humid", "p": "pm25", "v": "voc"}
+POINT_PIXELS = (1, 2, 4, 8)
+
 
+@dataclass(frozen=True)
+class Axes:
+    """Metrics of the left and right axis (None: no right one), and whether each scales by itself."""
+
+    left: str = "temp"
+    right: str | None = "co2"
+    left_auto: bool = False
+    right_auto: bool = False
 
-def decode_axes(code: str) -> tuple[list[str], bool]:
-    """Metrics of up to two axes, and whether they scale by themselves (a trailing ``a`` or ``A``)."""
-    auto = code[-1:] in ("a", "A")
-    return [METRIC_LETTERS[c] for c in code.rstrip("aA") if c in METRIC_LETTERS][:2], auto
 
+def decode_axes(code: str | None) -> Axes:
+    """Letters of one or two metrics, ``a`` and ``A`` where the left and right axis scale; an unknown left metric gives the default."""
+    letters = [c for c in code or "" if c not in "aA"]
+    left = METRIC_LETTERS.get(letters[0]) if letters else None
+    if left is None:
+        return Axes()
+    return Axes(left, METRIC_LETTERS.get(letters[1]) if letters[1:] else None, "a" in code, "A" in code)
 
-def encode_axes(metrics: list[str], auto: bool) -> str:
+
+def encode_axes(axes: Axes) -> str | None:
+    if axes == Axes():
+        return None
     letters = {m: c for c, m in METRIC_LETTERS.items()}
-    return "".join(letters[m] for m in metrics) + ("a" if auto else "")
+    return letters[axes.left] + letters.get(axes.right, "") + "a" * axes.left_auto + "A" * axes.right_auto
 
 
-def decode_floors(code: str) -> dict[str, float]:
-    """``t32,c350``: the least value of each metric's axis."""
-    found = (re.fullmatch(r"([a-z])(-?\d+(?:\.\d+)?)", part) for part in code.split(","))
-    return {METRIC_LETTERS[m[1]]: float(m[2]) for m in found if m and m[1] in METRIC_LETTERS}
+def decode_floors(code: str | None) -> dict[str, int]:
+    """``t32,c350``: the least value of each metric's axis; parts of another form count for nothing."""
+    found = (re.fullmatch(r"(\w)(-?\d+)", part) for part in (code or "").split(","))
+    return {METRIC_LETTERS[m[1]]: int(m[2]) for m in found if m and m[1] in METRIC_LETTERS}
 
 
-def encode_floors(floors: dict[str, float]) -> str:
+def encode_floors(floors: dict[str, int]) -> str | None:
     letters = {m: c for c, m in METRIC_LETTERS.items()}
-    return ",".join(f"{letters[m]}{v:g}" for m, v in floors.items())
+    return ",".join(f"{letters[m]}{v}" for m, v in floors.items()) or None
 
 
-def decode_grouping(code: str) -> tuple[str, int]:
-    """``4px``: pixels a point; ``1h``: milliseconds a window."""
-    pixels = re.fullmatch(r"(\d+)px", code)
-    return ("pixels", int(pixels[1])) if pixels else ("span", parse_span(code))
+def decode_grouping(code: str | None) -> int | str:
+    """``4px``: pixels a point, 1 for a number that isn't allowed; else the label of a window, such as ``1h``."""
+    pixels = re.fullmatch(r"(\d+)px", code or "1px")
+    if not pixels:
+        return code
+    return int(pixels[1]) if int(pixels[1]) in POINT_PIXELS else 1
 
 
-def encode_grouping(kind: str, n: int) -> str:
-    return f"{n}px" if kind == "pixels" else format_span(n)
+def encode_grouping(grouping: int | str) -> str | None:
+    if isinstance(grouping, str):
+        return grouping
+    return None if grouping == 1 else f"{grouping}px"
 
 
 def split_url(url: str) -> tuple[str, str]:
