@@ -53,6 +53,50 @@ def test_mixing_keeps_good_documents_when_poor_ones_are_scarce(spark, tmp_path,
     assert left >= set(range(n_poor, 300))
 
 
+CLASHES = ["score", "predicted", "offending", "n_lines", "n_dropped", "_bitmaps", "tag", "kept", "n", "n_tokens", "p", "rate", "copies", "ids", "decoded", "label"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns that clash."""
+    prose = lambda i: " ".join(f"w{(i * 37 + j * j) % 211}" for j in range(60))
+    texts = [(i, prose(i)) for i in range(60)] + [(70, None), (71, ""), (72, " \n\n"), (73, "word " * 26_000), (5, prose(5)), (80, prose(7)), (80, prose(7)), (None, prose(9)), (None, None)]
+    rows = [(i, t, None if i == 3 else "en", None if i == 4 else "s", None if t is None else len(t), *CLASHES) for i, t in texts]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("odd")
+    rows = [(i, i % 4 and 1, int(i % 9 == 0)) for i in range(60)] + [(None, 1, 1), (70, None, None), (1, 0, 1), (999, 1, 0)]
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(str(path / "labels.parquet"))
+    return str(path)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_over_odd_rows(spark, odd, odd_dir, name, stage):
+    out = stage(spark, odd, odd_dir)
+    empty = stage(spark, odd.limit(0), odd_dir)
+    assert empty.count() == 0 and empty.columns == out.columns
+    rows = [r.asDict() for r in out.collect()]
+    ids = [r["doc_id"] for r in rows]
+    if name == "byte_bpe":
+        assert len(rows) == odd.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (70, 71)} == {0}
+        return
+    assert out.columns == COLUMNS
+    assert {70, 71, 72} <= set(ids) and None in ids  # nothing to judge, so they stay
+    source = {(r["doc_id"], r["text"]): r for r in odd.collect()}
+    if name in ("toxicity", "near_dedup", "mixing"):  # texts and all else as they were
+        assert all(r == {c: source[r["doc_id"], r["text"]][c] for c in COLUMNS} for r in rows)
+        assert ids.count(5) in (0, 2)  # repeated rows go together
+    if name == "near_dedup":
+        assert 80 not in ids and 7 in ids and 73 in ids and ids.count(None) == 2
+    if name == "line_dedup":
+        assert ids.count(5) == 2 and 80 not in ids and 73 in ids
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+
+
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0

@@ -9,7 +9,7 @@ is encoded by itself; ids are the ranks, and decoding looks the byte strings up.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; rows that repeat
 stay; an empty table gives an empty result; columns beside the text pass through
-``encode`` only where named.
+``encode`` only where named, and may have any name but ids and decoded.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, arrow_map, gather, string_list
+from .common import Memo, arrow_map, checked_keep, gather, string_list
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,6 +128,7 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] = ["doc_id"]) -> DataFrame:
     """``keep`` columns and ``ids``: the ranks of each whole text's tokens."""
+    checked_keep(keep, "ids")
 
     def make():
         bpe = bpe_of(ranks, pattern)
@@ -139,6 +140,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text: str = "text", keep:
 
 def decode(encoded: DataFrame, ranks: str, pattern: str, keep: list[str] = ["doc_id"]) -> DataFrame:
     """``keep`` columns, ``ids`` and ``decoded``: the bytes the ids stand for; null ids as none."""
+    checked_keep(keep, "ids", "decoded")
 
     def make():
         bpe = bpe_of(ranks, pattern)

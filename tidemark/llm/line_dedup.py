@@ -148,14 +148,15 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     ``text`` is null where the input's was null.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    own = bitmaps.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "bitmap")).alias("_bitmaps"))
-    joined = docs.select(*columns).join(own, "doc_id", "left").select(*columns, "_bitmaps")
+    held = next(n for n in ("_bitmaps" + "_" * i for i in range(len(columns) + 1)) if n not in columns)
+    own = bitmaps.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "bitmap")).alias(held))
+    joined = docs.select(*columns).join(own, "doc_id", "left").select(*columns, held)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)
 
     def make():
         def one(b):
             texts, total, gone = [], [], []
-            for text, maps in zip(b.column("text").to_pylist(), b.column("_bitmaps").to_pylist()):
+            for text, maps in zip(b.column("text").to_pylist(), b.column(held).to_pylist()):
                 lines = (text or "").split("\n")
                 found = None
                 if maps:
@@ -170,4 +171,4 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
         return one
 
-    return arrow_map(joined, [*columns, "_bitmaps"], make, f"{schema}, n_lines long, n_dropped long")
+    return arrow_map(joined, [*columns, held], make, f"{schema}, n_lines long, n_dropped long")

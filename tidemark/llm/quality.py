@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ class EmbeddingSpec:
     width: int = 8
     low: int = 2
     high: int = 4
-    epochs: int = 5
+    updates: int = 400
     batch: int = 64
     rate: float = 0.5
     seed: int = 7
@@ -101,7 +102,7 @@ def _documents(words: Words, spec: EmbeddingSpec) -> tuple[np.ndarray, np.ndarra
 
 
 def fit(texts: list[str], labels: list[int], spec: EmbeddingSpec = EmbeddingSpec(), part: int = 200) -> EmbeddingModel:
-    """AdaGrad on minibatches that are drawn once and come in a new order each epoch."""
+    """AdaGrad on minibatches that are drawn once and come in a new order each round, as many updates for any sample."""
     y = np.array(labels, int)
     random = np.random.default_rng(spec.seed)
     vectors = (random.uniform(-1, 1, (spec.rows, spec.width)) / spec.width).astype(np.float32)
@@ -123,27 +124,27 @@ def fit(texts: list[str], labels: list[int], spec: EmbeddingSpec = EmbeddingSpec
     del docs
     squares = np.full_like(vectors, 1e-6)  # AdaGrad's sums
     out_squares, bias_squares = np.full_like(out, 1e-6), np.full_like(bias, 1e-6)
-    for epoch in range(spec.epochs):
-        rate = spec.rate * (1 - epoch / spec.epochs)
-        for i in random.permutation(len(batches)):
-            truth, used, where, share, owner = batches[i]
-            shares = np.zeros((len(truth), len(used)), np.float32)
-            shares[owner, where] = share
-            hidden = shares @ vectors[used]
-            logits = hidden @ out + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            g = p / p.sum(axis=1, keepdims=True)
-            g[np.arange(len(truth)), truth] -= 1
-            g /= len(truth)
-            back = (g @ out.T).astype(np.float32)
-            grad = shares.T @ back
-            squares[used] += grad * grad
-            vectors[used] -= rate * grad / np.sqrt(squares[used])
-            d_out, d_bias = hidden.T @ g, g.sum(axis=0)
-            out_squares += d_out * d_out
-            bias_squares += d_bias * d_bias
-            out -= rate * d_out / np.sqrt(out_squares)
-            bias -= rate * d_bias / np.sqrt(bias_squares)
+    orders = (random.permutation(len(batches)) for _ in range(-(-spec.updates // len(batches))))
+    for update, i in enumerate(islice(chain.from_iterable(orders), spec.updates)):
+        rate = spec.rate * (1 - update / spec.updates)
+        truth, used, where, share, owner = batches[i]
+        shares = np.zeros((len(truth), len(used)), np.float32)
+        shares[owner, where] = share
+        hidden = shares @ vectors[used]
+        logits = hidden @ out + bias
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        g = p / p.sum(axis=1, keepdims=True)
+        g[np.arange(len(truth)), truth] -= 1
+        g /= len(truth)
+        back = (g @ out.T).astype(np.float32)
+        grad = shares.T @ back
+        squares[used] += grad * grad
+        vectors[used] -= rate * grad / np.sqrt(squares[used])
+        d_out, d_bias = hidden.T @ g, g.sum(axis=0)
+        out_squares += d_out * d_out
+        bias_squares += d_bias * d_bias
+        out -= rate * d_out / np.sqrt(out_squares)
+        bias -= rate * d_bias / np.sqrt(bias_squares)
     return EmbeddingModel(spec, vectors, out, bias)
 
 
