@@ -46,7 +46,8 @@ def test_token_files(spark, tmp_path):
 def test_every_code_point_as_the_library():
     from tokenizers import Tokenizer
 
-    texts = [f"{chr(i)}. b{chr(i)}, .{chr(i)}" for i in range(0x30000) if not 0xD800 <= i < 0xE000] + ["KAD\u0130. ok", "\u0130, \u0130.", "[\u0130\u03a3]. \u03a3,"]
+    texts = [f"{chr(i)}. b{chr(i)}, .{chr(i)}" for i in range(0x30000) if not 0xD800 <= i < 0xE000] + ["KAD\u0130. ok", "\u0130, \u0130.", "[\u0130\u03a3]. \u03a3,", "H\u0331. h\u0331, H\u0331a E\u0301. K\u0307,"]
+    texts += [f"x{chr(a)}{chr(b)} {chr(a)}{chr(b)}." for a in range(128) for b in range(128)] + ["<|STARTOFTEXT|>. <|startoftext|>, A<|endoftext|>."]
     encoder, library = token_files.WordEncoder(WORD_TOKENIZER), Tokenizer.from_file(WORD_TOKENIZER)
     ids, ends = encoder.encode(pa.array(texts, pa.large_string()))
     want = library.encode_batch_fast(texts, add_special_tokens=False)

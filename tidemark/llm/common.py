@@ -25,14 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Where the setting is absent (a local test session) a fresh folder of the
-    warehouse is used, and checkpoints go there too.
+    Where the setting is absent, a local session uses a folder of the warehouse, and
+    checkpoints go there too; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
         sc.setCheckpointDir(f"{warehouse}/_checkpoints")
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")

@@ -20,6 +20,7 @@ import re
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,9 +62,23 @@ class WordEncoder:
         suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(1 + max([*vocab.values(), *added], default=0), bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.bare = self._without_normalizer(path)
         self.memo: dict[str, bytes] = {"": b""}
         self.apart: dict[str, bool] = {}
 
+    def _without_normalizer(self, path: str):
+        """The same tokenizer for lower-case ASCII; None if its normaliser does more to ASCII than lower it."""
+        from tokenizers import Tokenizer, normalizers
+
+        printable = [chr(i) for i in range(33, 127)]
+        probes = [a + b for a in ["", *printable] for b in printable]
+        normalizer = self.tokenizer.normalizer
+        if normalizer is None or any(normalizer.normalize_str(x) != x.lower() for x in probes):
+            return None
+        bare = Tokenizer.from_file(path)
+        bare.normalizer = normalizers.Sequence([])
+        return bare
+
     def _one(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -78,11 +93,11 @@ class WordEncoder:
             known = self.apart[pair] = bool(ids) and ids == self._one(pair[0]) + self._one(pair[1])
         return known
 
-    def _joined(self, chunks: list[str], mark: str, together: int, cuts: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> list[str]:
+    def _joined(self, chunks: list[str], mark: str, together: int, cuts: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], tokenizer=None) -> list[str]:
         """Encodes chunks with ``mark`` between; ``cuts`` finds each one's ids. Returns those of groups that don't come apart."""
         left = []
         parts = [chunks[at : at + together] for at in range(0, len(chunks), together)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([mark.join(p) for p in parts], add_special_tokens=False)):
+        for part, e in zip(parts, (tokenizer or self.tokenizer).encode_batch_fast([mark.join(p) for p in parts], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             starts, ends = cuts(ids)
             if len(ends) != len(part) or len(ends) and ends[-1] != len(ids):
@@ -103,16 +118,25 @@ class WordEncoder:
     def _learn(self, chunks: list[str]) -> None:
         """Puts the ids of new chunks into the memo."""
         # every chunk of letters makes a word at least, so as many words as chunks are one each
-        letters, left = [], []
+        letters, ascii_, left = [], [], []
         for c in chunks:
-            (letters if c.isalpha() else left).append(c)
-        left += self._joined(letters, " ", 500, self._words)
+            (left if not c.isalpha() else ascii_ if self.bare is not None and c.isascii() and c.islower() else letters).append(c)
+        left += self._joined(letters, " ", 500, self._words) + self._joined(ascii_, " ", 500, self._words, self.bare)
         if self.separator is not None:
             mark = self.separator[1]
             odd = [c for c in left if mark in c]
             left = self._joined([c for c in left if mark not in c], mark, 2_000, self._separated) + odd
         self.memo.update(zip(left, self._each(left)))
 
+    def _pieces(self, chunk: str) -> tuple[str, ...]:
+        """What a chunk's ids are put together from; one that may hold a special token stays as it is."""
+        if self.marked(chunk):
+            return (chunk,)
+        cut = chunk[-1] in ".," and len(chunk) > 1 and self._stands_apart(chunk[-2:])
+        if self.bare is not None and chunk.isascii() and chunk.isprintable():
+            chunk = chunk.lower()
+        return (chunk[:-1], chunk[-1]) if cut else (chunk,)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and where each text ends in them."""
         if not self.chunked:
@@ -122,10 +146,9 @@ class WordEncoder:
         memo = self.memo
         found = list(map(memo.get, words))
         new = [w for w, f in zip(words, found) if f is None]
-        # a mark encoded by itself at the end; chunks that may hold a special token stay whole
-        cut = {w for w in new if w[-1] in ".," and len(w) > 1 and self._stands_apart(w[-2:]) and not self.marked(w)}
-        self._learn([c for c in dict.fromkeys([*(w for w in new if w not in cut), *(x for w in cut for x in (w[:-1], w[-1]))]) if c not in memo])
-        memo.update((w, memo[w[:-1]] + memo[w[-1]]) for w in cut)
+        pieces = list(map(self._pieces, new))
+        self._learn([c for c in dict.fromkeys(chain.from_iterable(pieces)) if c not in memo])
+        memo.update((w, memo[p[0]] if len(p) == 1 else memo[p[0]] + memo[p[1]]) for w, p in zip(new, pieces))
         found = [memo[w] if f is None else f for w, f in zip(words, found)]
         if len(memo) > 3 * MEMO_ENTRIES // 4:  # the words of this batch are the likeliest in the next
             self.memo = dict(zip(words, found)) | {"": b""}
