@@ -191,6 +191,7 @@ def test_files(spark, tmp_path):
     assert files.row_group_length(spark, stats[0]["path"]) == stats[0]["rg_row_counts"][0] and files.row_group_length(spark, str(tmp_path / "no")) is None
     one = files.head(spark, stats[0]["path"])
     assert one["size_bytes"] == stats[0]["size_bytes"] and files.head(spark, str(tmp_path / "no")) is None
+    assert files.tiers_written(spark, str(tmp_path / "t")) == {"raw": max(r["written_at"] for r in files.listing(spark, str(tmp_path / "t")).collect())}
     files.rewrite(spark, str(tmp_path / "t/tier=raw"), str(tmp_path / "r"), 500)
     assert max(max(r["rg_row_counts"]) for r in files.footers(spark, str(tmp_path / "r")).collect()) == 500
     assert files.read_or_empty(spark, str(tmp_path / "none"), files.READING_SCHEMA).count() == 0
@@ -265,6 +266,7 @@ def test_a_devices_readings(spark, tmp_path):
 
 def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(datetime(2024, 1, 1), None)], "timestamp timestamp, v double").coalesce(1)
+    assert json.loads(files.json_rows(df).first()["json"]) == {"timestamp": "2024-01-01T00:00:00.000Z", "v": None}
     files.write_json_lines(df, str(tmp_path / "j"))
     assert [json.loads(x) for f in (tmp_path / "j").glob("*.json") for x in f.read_text().splitlines()] == [{"timestamp": "2024-01-01T00:00:00.000Z", "v": None}]
 

@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -810,9 +811,12 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
+    """A fresh path in the shared folder; without one set, a local session's warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_streams"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

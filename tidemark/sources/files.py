@@ -133,6 +133,11 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+def json_rows(df: DataFrame) -> DataFrame:
+    """One column ``json``: each row as an object, null fields kept."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def listing(spark: SparkSession, base: str, glob: str = "*.parquet") -> DataFrame:
     """path, size and modification time of the files under ``base``, without reading them; no rows where there is nothing."""
     try:
@@ -149,6 +154,12 @@ def head(spark: SparkSession, path: str):
     return listing(spark, path, "*").first()
 
 
+def tiers_written(spark: SparkSession, base: str) -> dict[str, int]:
+    """When a file of each stored tier was last written (ms): how fresh each tier is."""
+    named = listing(spark, base).withColumn("tier", F.regexp_extract("path", "/tier=([^/]+)/", 1)).where("tier <> ''")
+    return {r["tier"]: r["at"] for r in named.groupBy("tier").agg(F.max("written_at").alias("at")).collect()}
+
+
 FOOTER_SCHEMA = "path string, size_bytes long, n_rows long, n_rgs long, rg_row_counts array<long>"
 
 
