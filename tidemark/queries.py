@@ -466,6 +466,7 @@ def merge_replace(spark, sf):
 
 @query("SELECT n_name AS name, count(*) AS suppliers, sum(CAST(s_acctbal AS DECIMAL(18,2)))::DOUBLE AS balance FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey < 3 GROUP BY 1 UNION ALL SELECT 'Device ' || s_nationkey, count(*), sum(CAST(s_acctbal AS DECIMAL(18,2)))::DOUBLE FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey >= 3 GROUP BY 1")
 def device_names(spark, sf):
+    """The table of names lacks two regions on purpose: their devices go by number."""
     s = load(spark, sf, "supplier").select(F.col("s_nationkey").alias("device_id"), "s_acctbal")
     names = load(spark, sf, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("device_id"), F.col("n_name").alias("name"))
     return analytics.device_names(s, names).groupBy("name").agg(F.count("*").alias("suppliers"), F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("balance"))
