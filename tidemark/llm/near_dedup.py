@@ -216,11 +216,12 @@ def _reaches(percent: int):
     return F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
 
 
-def _salted_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
-    """``rows`` with the one row of ``few`` for their keys; a key that a third of all rows have is dealt to ``salts`` tasks by id."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+def _dealt_join(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner", share: int = 256) -> DataFrame:
+    """``rows`` with the one row of ``few`` for their keys; a cluster is dealt by id to as many tasks as its ``members`` fill, and only so often is its row copied."""
+    deals = F.ceil(F.col("members") / share)
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64("id"), deals))
+    copies = few.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("members")
+    return dealt.join(copies, [*keys, "_deal"], how).drop("_deal")
 
 
 def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
@@ -233,17 +234,19 @@ def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFr
     from pyspark.sql import Window
 
     split = clusters.groupBy("cluster").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).where("low <> high")
-    kept = _salted_join(clusters, split.select("cluster", "members"), ["cluster"])
+    deals = 8  # before a cluster's members are known
+    copies = split.select("cluster", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deals - 1).cast("long"))).alias("_deal"))
+    kept = clusters.withColumn("_deal", F.pmod(F.xxhash64("id"), F.lit(deals))).join(copies, ["cluster", "_deal"]).drop("_deal")
     # size classes: the powers of the size ratio a link allows, so a link spans two neighbours at most
     ratio = 100 / spec.percent
     sized = kept.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(ratio)) + 1e-9))
-    groups = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"))
+    groups = sized.groupBy("cluster", "size_class").agg(F.count("*").alias("own"), F.sum("n").alias("shingles"), F.first("members").alias("members"))
     groups = groups.withColumn("chunks", F.greatest(F.ceil(F.col("own") / spec.chunk), F.ceil(F.col("shingles") / spec.chunk_shingles)))
-    placed = _salted_join(sized, groups.select("cluster", "size_class", "chunks"), ["cluster", "size_class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    near = groups.select("cluster", (F.col("size_class") + 1).alias("size_class"), F.col("chunks").alias("below"))
-    over = groups.select("cluster", (F.col("size_class") - 1).alias("size_class"), F.col("chunks").alias("above"))
+    placed = _dealt_join(sized, groups.select("cluster", "size_class", "chunks", "members"), ["cluster", "size_class"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    near = groups.select("cluster", "members", (F.col("size_class") + 1).alias("size_class"), F.col("chunks").alias("below"))
+    over = groups.select("cluster", "members", (F.col("size_class") - 1).alias("size_class"), F.col("chunks").alias("above"))
     for beside in (near, over):
-        placed = _salted_join(placed, beside, ["cluster", "size_class"], "left")
+        placed = _dealt_join(placed, beside, ["cluster", "size_class"], "left")
     cell = lambda s1, c1, s2, c2: F.struct(s1.alias("s1"), c1.alias("c1"), s2.alias("s2"), c2.alias("c2"))
     s, c = F.col("size_class"), F.col("chunk")
     own_type = "array<struct<s1: bigint, c1: bigint, s2: bigint, c2: bigint>>"
@@ -251,7 +254,7 @@ def missed_links(clusters: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFr
     none = F.expr(f"cast(array() as {own_type})")
     below = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("below") - 1), lambda o: cell(s - 1, o, s, c))).otherwise(none)
     above = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0).cast("long"), F.col("above") - 1), lambda o: cell(s, c, s + 1, o))).otherwise(none)
-    meetings = placed.select("cluster", "id", "comp", F.explode(F.array_distinct(F.concat(own.cast(own_type), below, above))).alias("cell"))
+    meetings = placed.repartition("id").select("cluster", "id", "comp", F.explode(F.array_distinct(F.concat(own.cast(own_type), below, above))).alias("cell"))
     useful = meetings.groupBy("cluster", "cell").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("cluster", "cell")
     rows = meetings.join(useful, ["cluster", "cell"]).join(sets, "id").select("cluster", "cell", "id", "comp", "shingles")
 
