@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, html_text, line_dedup, mixing, near_dedup, quality, token_files, toxicity, vector_search
+from . import audio, byte_bpe, hard_negatives, html_text, line_dedup, mixing, near_dedup, phrases, quality, token_files, toxicity, vector_search
 from .common import fold_expr, table
 
 PATTERN = public_tokenizers.PATTERN
@@ -86,6 +86,15 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), near_dedup.NearSpec(words=3, percent=85))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), phrases.PhraseSpec(longest=5, least=100, best=2_000))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, hard_negatives.MineSpec(positives=5, negatives=10, low=30, high=90))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": op1_token_files,
@@ -98,6 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dedup": op10_near_dedup,
+        "op11_phrases": op11_phrases,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -163,5 +174,64 @@ FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.doc
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k
+), counted AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), total AS (SELECT lang, sum(f)::HUGEINT AS n FROM counted WHERE k = 1 GROUP BY 1),
+found AS (SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 100),
+inner_parts AS (
+  SELECT lang, unnest([array_to_string(w[:k - i], ' ') || '' FOR i IN [1, 2, 3] IF k - i > 1]
+         || [array_to_string(w[2:k - i + 1], ' ') FOR i IN [1, 2, 3] IF k - i > 1]
+         || [array_to_string(w[3:k - i + 2], ' ') FOR i IN [2, 3] IF k - i > 1]
+         || [array_to_string(w[4:5], ' ') FOR i IN [3] IF k = 5]) AS phrase, f FROM found
+), longer AS (SELECT lang, phrase, max(f) AS f FROM inner_parts GROUP BY ALL),
+alone AS (
+  SELECT c.* FROM found c LEFT JOIN longer l ON l.lang = c.lang AND l.phrase = c.phrase WHERE l.f IS NULL OR 100 * l.f < 100 * c.f
+), cuts AS (
+  SELECT lang, phrase, f AS a, i, array_to_string(w[:i], ' ') AS first, array_to_string(w[i + 1:], ' ') AS rest
+  FROM alone, (SELECT unnest([1, 2, 3, 4]) AS i) WHERE i < k
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.i, x.f AS l, y.f AS r, n, (1000 * c.a * n) // (x.f * y.f) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest
+  JOIN total t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)::INTEGER AS rank,
+       n.vec_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 100 * n.score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL}
+    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_phrases": OP11_SQL, "op13_hard_negatives": OP13_SQL}
