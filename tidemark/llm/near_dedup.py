@@ -7,16 +7,16 @@ fixed random order (optimal densification). Bands of bins give bucket keys. A bu
 links its smallest class to each other one, a star, so candidate pairs grow with the
 rows and never with the square of a bucket. Every edge is confirmed on the full sets.
 
-A star can miss a link between two classes that are both unlike the star's centre.
-Candidate edges with at least ``near`` similarity hold together clusters, and where a
-cluster has members in different components, an exact pass compares its chunks of
-bounded size, pair of chunks by pair of chunks and only those whose set sizes allow a
-link, and returns the edges that join components. No bucket, bin or cluster is capped.
-What no pass can find: a link whose two classes share buckets only with centres that are
-under ``near`` like one of them, so that they are in different clusters.
+A star compares no two classes but with its centre. Where a bucket then still holds
+classes of different components, they meet too: of a bucket with at most ``pairs`` classes
+each pair of different components is confirmed; the classes of larger ones form clusters
+whose chunks of bounded size are compared, pair of chunks by pair of chunks and only
+those whose set sizes allow a link and whose classes aren't of one component, and return
+the edges that join components. So any two classes that share a bucket are in one
+component or have been compared. No bucket, bin or cluster is capped.
 
 Shingle hashes have 64 bits. Bands of 8 of 320 bins find a pair at similarity 0.85 with
-probability above 0.99999.
+probability above 0.99999; a pair that shares no bucket is not found.
 
 Defined cases: a null text and one without words have the empty set and link with
 nothing, fewer words than a shingle form one shingle; rows with a null doc_id are
@@ -44,7 +44,7 @@ class NearSpec:
     percent: int = 85
     bands: int = 40
     rows: int = 8
-    near: int = 50
+    pairs: int = 32
     chunk: int = 400
     chunk_shingles: int = 400_000
     seed: int = 11
@@ -171,13 +171,31 @@ def full_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
     return arrow_map(wanted, ["doc_id", "text", "hi", "lo"], make, "id long, n long, shingles array<long>")
 
 
-def star_edges(classes: DataFrame, spec: NearSpec) -> DataFrame:
-    """a, b: each bucket's smallest class and every other one in it whose size allows a candidate."""
-    rows = classes.where("n > 0").select(F.col("id"), F.col("n"), F.explode("bands").alias("bucket"))
-    centres = rows.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    edges = rows.join(centres, "bucket").where(F.col("id") != F.col("centre.id"))
-    fits = F.least("n", "centre.n") * 100 >= F.greatest("n", "centre.n") * spec.near
-    return edges.where(fits).select(F.col("centre.id").alias("a"), F.col("id").alias("b")).distinct()
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n, need) whose key another class has too, with its ``members`` and its smallest class, ``centre``."""
+    keys = rows.groupBy("key").agg(F.min(F.struct("id", "n", "need")).alias("centre"), F.count("*").alias("members")).where("members > 1")
+    return rows.join(keys, "key")
+
+
+def _fits(n, m, spec):
+    return F.least(n, m) * 100 >= F.greatest(n, m) * spec.percent
+
+
+def star_edges(shared: DataFrame, spec) -> DataFrame:
+    """a, b: a key's smallest class and every other one in it, if their sizes allow a link and they meet in as many keys as either needs."""
+    edges = shared.where((F.col("id") != F.col("centre.id")) & _fits(F.col("n"), F.col("centre.n"), spec))
+    met = edges.groupBy(F.col("centre.id").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("need", "centre.need")).alias("need"))
+    return met.where("times >= need").select("a", "b")
+
+
+def open_pairs(opened: DataFrame, spec) -> DataFrame:
+    """a, b: pairs of different components that meet in as many keys of at most ``pairs`` members as either needs, and whose sizes allow a link."""
+    row = F.struct("id", "n", "need", "comp")
+    lists = opened.where(F.col("members") <= spec.pairs).groupBy("key").agg(F.collect_list(row).alias("m"))
+    met = lists.select("m", F.explode("m").alias("x"))
+    met = met.select("x", F.explode(F.filter("m", lambda y: (y["id"] > F.col("x.id")) & (y["comp"] != F.col("x.comp")) & _fits(y["n"], F.col("x.n"), spec))).alias("y"))
+    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("times"), F.min(F.least("x.need", "y.need")).alias("need"))
+    return met.where("times >= need").select("a", "b")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, spec: NearSpec) -> DataFrame:
@@ -300,30 +318,68 @@ def forest(flat: np.ndarray, sizes: np.ndarray, comp: np.ndarray, percent: int)
     return out_a, out_b
 
 
-def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row a document."""
-    prints = stored(fingerprints(docs, spec), "fingerprints")
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, comp) after further links (a, b)."""
+    ends = comp.select("id", "comp")
+    joined = links.join(ends.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a", "left").join(ends.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b", "left")
+    further = components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
+    alone = further.join(comp.select(F.col("comp").alias("id")).distinct(), "id", "left_anti")
+    return comp.join(further.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")).unionByName(alone)
+
+
+def linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> DataFrame:
+    """id, comp of the classes that have links, where classes meet in the keys of ``rows`` (key, id, n, need).
+
+    Two classes are taken as candidates if they meet in at least as many keys as the less
+    demanding of them needs. All candidates end in one component or have been compared.
+    """
+    print_of = classes.select("id", "hi", "lo")
+
+    def sets_of(ids: DataFrame, name: str) -> DataFrame:
+        return stored(full_sets(docs, print_of.join(ids, "id", "left_semi"), spec), name)
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    shared = stored(shared_keys(rows), "shared-keys")
+    stars = stored(star_edges(shared, spec), "candidates")
+    sets = sets_of(ends(stars), "sets")
+    checked = stored(confirm(stars, sets, spec), "checked")
+    comp = components(checked.where(_reaches(spec.percent)))
+    # keys that still hold several components
+    placed = shared.select("key", "id", "n", "need", "members", F.col("centre.id").alias("centre")).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    held = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    opened = stored(placed.join(held, "key", "left_semi"), "open-keys")
+    pairs = stored(open_pairs(opened, spec).join(checked.select("a", "b"), ["a", "b"], "left_anti"), "open-pairs")
+    large = opened.where(F.col("members") > spec.pairs)
+    clusters = components(large.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+    clusters = stored(clusters.select("id", F.col("comp").alias("cluster")).join(large.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "id"), "clusters")
+    more_ids = ends(pairs).union(clusters.select("id")).distinct().join(sets.select("id"), "id", "left_anti")
+    sets = sets.unionByName(sets_of(more_ids, "more-sets"))
+    links = confirm(pairs, sets, spec).where(_reaches(spec.percent)).select("a", "b").unionByName(missed_links(clusters, sets, spec))
+    links = stored(links, "missed")
+    return merged(comp, links) if links.limit(1).count() else comp
+
+
+def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From one row a document (doc_id, n, hi, lo, need, keys): documents with ``own`` (the doc_id of those with empty sets, which are classes of their own), and classes."""
     again = prints.groupBy("doc_id").agg(F.count("*").alias("times"), F.min(F.struct("hi", "lo")).alias("only")).where("times > 1").select("doc_id", "only")
     single = prints.join(again, "doc_id", "left").where("only is null or (only.hi = hi and only.lo = lo)").drop("only")
-    named = single.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))  # an empty set is a class of its own
-    classes = named.groupBy("hi", "lo", "own").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    edges = stored(star_edges(classes, spec), "candidates")
-    ids = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    sets = stored(full_sets(docs, classes.select("id", "hi", "lo").join(ids, "id", "left_semi"), spec), "sets")
-    checked = stored(confirm(edges, sets, spec), "checked")
-    comp = components(checked.where(_reaches(spec.percent)))
-    cluster = components(checked.where(_reaches(spec.near)))
-    clusters = cluster.select("id", F.col("comp").alias("cluster")).join(comp, "id", "left").select("id", "cluster", F.coalesce("comp", "id").alias("comp"))
-    clusters = clusters.join(sets.select("id", "n"), "id")
-    more = stored(missed_links(clusters, sets, spec), "missed")
-    if more.limit(1).count():
-        ends = comp.select(F.col("id"), F.col("comp"))
-        joined = more.join(ends.select(F.col("id").alias("a"), F.col("comp").alias("x")), "a", "left").join(ends.select(F.col("id").alias("b"), F.col("comp").alias("y")), "b", "left")
-        merged = components(joined.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")))
-        alone = merged.join(comp.select(F.col("comp").alias("id")).distinct(), "id", "left_anti")
-        comp = comp.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")).unionByName(alone)
+    named = single.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))
+    classes = named.groupBy("hi", "lo", "own").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "need", "keys")))
+    return named, stored(classes, "classes")
+
+
+def by_document(named: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row a document."""
     reached = classes.join(comp.withColumnRenamed("comp", "reached"), "id", "left").select("hi", "lo", F.col("own").alias("empty_id"), F.coalesce("reached", "id").alias("component_id"))
     full = named.where("n > 0").join(reached.where("empty_id is null").drop("empty_id"), ["hi", "lo"]).select("doc_id", "n", "component_id")
     empty = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).distinct().select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return full.unionByName(empty).distinct().select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row a document."""
+    prints = stored(fingerprints(docs, spec), "fingerprints").select("doc_id", "n", "hi", "lo", F.lit(1).alias("need"), F.col("bands").alias("keys"))
+    named, classes = classes_of(prints)
+    rows = classes.where("n > 0").select(F.explode("keys").alias("key"), "id", "n", "need")
+    found = by_document(named, classes, linked(rows, classes, docs, spec))
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
