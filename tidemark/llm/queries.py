@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, hard_negatives, html_text, line_dedup, mixing, near_dedup, phrases, quality, token_files, toxicity, vector_search
+from . import audio, byte_bpe, hard_negatives, html_text, line_dedup, mixing, near_dedup, ngram_join, phrases, quality, token_files, toxicity, vector_search
 from .common import fold_expr, table
 
 PATTERN = public_tokenizers.PATTERN
@@ -90,6 +90,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), phrases.PhraseSpec(longest=5, least=100, best=2_000))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), ngram_join.JoinSpec(words=5, percent=80))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, hard_negatives.MineSpec(positives=5, negatives=10, low=30, high=90))
@@ -108,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": op9_line_dedup,
         "op10_near_dedup": op10_near_dedup,
         "op11_phrases": op11_phrases,
+        "op12_ngram_join": op12_ngram_join,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
@@ -149,14 +154,17 @@ FROM marked GROUP BY doc_id
 """
 
 
-OP10_SQL = r"""
+def _similar_sql(k: int, percent: int, more: str = "") -> str:
+    """Documents by components of links of ``percent`` on sets of ``k``-word shingles."""
+    gram = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                                 '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents
 ), grams AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) >= 3
-    THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  SELECT doc_id, unnest(CASE WHEN len(w) >= {k}
+    THEN list_transform(range(1, len(w) - {k} + 2), lambda i: {gram})
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
   FROM words
 ), sets AS (SELECT DISTINCT doc_id, g FROM grams),
@@ -164,16 +172,18 @@ sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
 shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
 ), links AS (
-  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)
 ), reach AS (
   SELECT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other
 ), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY 1)
-SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, w.doc_id) AS component_id,
-       coalesce(l.component_id, w.doc_id) = w.doc_id AS kept
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, w.doc_id) AS component_id{more}
 FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.doc_id = w.doc_id
 """
 
 
+OP10_SQL = _similar_sql(3, 85, ", coalesce(l.component_id, w.doc_id) = w.doc_id AS kept")
+OP12_SQL = _similar_sql(5, 80)
+
 OP11_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,
@@ -234,4 +244,4 @@ QUALIFY rank <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_phrases": OP11_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op4_vector_search": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_near_dedup": OP10_SQL, "op11_phrases": OP11_SQL, "op12_ngram_join": OP12_SQL, "op13_hard_negatives": OP13_SQL}
