@@ -85,7 +85,7 @@ class Shingler:
         # bytes.lower() lowers A-Z alone; words that differ in case get equal hashes
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words), np.uint64, len(words))[numbers]
         run = np.zeros(len(hashes), np.uint64)  # the hash of the k words that begin here
-        for i in range(k):
+        for i in range(min(k, len(hashes))):
             run[: len(hashes) - i] = mix(run[: len(hashes) - i] * np.uint64(0x9E3779B97F4A7C15) + hashes[i:])
         out = []
         for a, b in zip(ends[:-1], ends[1:]):
