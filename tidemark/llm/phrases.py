@@ -7,11 +7,11 @@ with a word's, is the bitmap of the phrase with that word after it; its bits are
 Prefixes are taken depth-first, a run of them at a time, so a shard's memory is bounded.
 Local counts are summed over all shards.
 
-What can't reach ``least`` occurrences isn't extended: words below it, and pairs of words
-below it, have no bit in two filters of bounded size made from exact counts over all
-texts. A filter's false bits cost work and change no result, as the sums decide at last.
-
-Words and pairs are told apart by 64-bit hashes in the filters only; counts go by text.
+What can't reach ``least`` occurrences isn't extended: filters of bounded size say which
+words, pairs and triples of words may. That of words comes from exact counts, the others
+from counters in which all texts' pairs (then triples) are summed by hash, so that none
+that reaches ``least`` is left out. False bits cost work and change no result: exact sums
+of the counts decide at last. Hashes serve the filters alone; counts go by text.
 
 Defined cases: a null text is empty; a null lang is ``und``; rows count each, repeated or
 not, whatever their doc_id; other columns are ignored; without a phrase of ``least``
@@ -47,6 +47,9 @@ class PhraseSpec:
     shard: int = 1 << 21
     run: int = 1 << 17
     filter_bits: int = 1 << 26
+    cells: int = 1 << 23
+    #: Splits of the input whose counts are combined before they are shuffled.
+    splits_a_task: int = 4
 
 
 def _pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -66,7 +69,14 @@ def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]
             yield name, words, numbers
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
+def _combined(docs: DataFrame, spec: PhraseSpec) -> DataFrame:
+    """lang and text in fewer, larger tasks: each sends a phrase's count once, however many texts it has read."""
+    rows = docs.select("lang", "text")
+    splits = rows.rdd.getNumPartitions()
+    return rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-splits // spec.splits_a_task)))
+
+
+def word_counts(docs: DataFrame, spec: PhraseSpec) -> DataFrame:
     """lang, word, f: occurrences of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +96,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         yield flush()
         release_memory()
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, word string, f long")
+    counted = _combined(docs, spec).mapInArrow(run, "lang string, word string, f long")
     return counted.groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
 
@@ -97,8 +107,9 @@ def word_hash(lang: str, words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words), np.uint64, len(words))
 
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
+def longer_hash(first: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The hash of a phrase with one more word."""
+    return mix(first * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -126,7 +137,7 @@ class Shard:
         ``run``: rows that are extended at a time.
         """
         self.hashes, self.size, self.run = hashes, len(numbers), run
-        self.linked: np.ndarray | None = None
+        self.linked: list[np.ndarray] = []
         at = np.flatnonzero(numbers >= 0)
         word, block, bit = numbers[at].astype(np.int64), at // BITS, np.left_shift(np.uint16(1), (at % BITS).astype(np.uint16))
         key = block * max(1, len(hashes)) + word
@@ -136,16 +147,22 @@ class Shard:
         self.word, self.block = word[order][first], block[order][first]
         self.starts = np.searchsorted(self.block, np.arange(self.size // BITS + 3))
 
-    def link(self, filter_: np.ndarray, bits: int) -> None:
-        """From now on extend only to positions whose word and the one before it are a pair in the filter."""
+    def link(self, filters: list[np.ndarray], bits: int) -> None:
+        """From now on extend phrases of 1, 2 ... words only to positions whose word ends a run of 2, 3 ... that the filters hold; the last filter serves longer phrases too."""
         numbers = np.full(self.size + BITS, -1)
         for i in range(BITS):
             held = np.flatnonzero(self.mask >> np.uint16(i) & 1)
             numbers[self.block[held] * BITS + i] = self.word[held]
-        both = np.flatnonzero((numbers[:-1] >= 0) & (numbers[1:] >= 0))
-        kept = both[in_filter(filter_, pair_hash(self.hashes[numbers[both]], self.hashes[numbers[both + 1]]), bits)] + 1
-        self.linked = np.zeros(self.size // BITS + 2, np.uint16)
-        np.bitwise_or.at(self.linked, kept // BITS, np.left_shift(np.uint16(1), (kept % BITS).astype(np.uint16)))
+        ends = np.flatnonzero(numbers >= 0)
+        run = self.hashes[numbers[ends]]
+        for filter_ in filters:
+            on = numbers[ends + 1] >= 0
+            ends, run = ends[on] + 1, longer_hash(run[on], self.hashes[numbers[ends[on] + 1]])
+            kept = in_filter(filter_, run, bits)
+            ends, run = ends[kept], run[kept]
+            linked = np.zeros(self.size // BITS + 2, np.uint16)
+            np.bitwise_or.at(linked, ends // BITS, np.left_shift(np.uint16(1), (ends % BITS).astype(np.uint16)))
+            self.linked.append(linked)
 
     def roots(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Words' own bitmaps, a run of words at a time: word, block, mask."""
@@ -159,12 +176,12 @@ class Shard:
             yield self.word[own], self.block[own], self.mask[own]
             at = end
 
-    def extended(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Bitmaps shifted by one and ANDed with those of the words in the blocks they reach: phrase, word, block, mask where a bit is left."""
+    def extended(self, phrase: np.ndarray, block: np.ndarray, mask: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bitmaps of phrases of ``length`` words, shifted by one and ANDed with those of the words in the blocks they reach: phrase, word, block, mask where a bit is left."""
         over = mask >> np.uint16(BITS - 1) > 0  # the bit that passes into the next block
         phrase, block, mask = np.concatenate([phrase, phrase[over]]), np.concatenate([block, block[over] + 1]), np.concatenate([mask << np.uint16(1), np.ones(int(over.sum()), np.uint16)])
-        if self.linked is not None:
-            mask = mask & self.linked[block]
+        if self.linked:
+            mask = mask & self.linked[min(length, len(self.linked)) - 1][block]
         some = mask > 0
         phrase, block, mask = phrase[some], block[some], mask[some]
         start, count = self.starts[block], self.starts[block + 1] - self.starts[block]
@@ -179,35 +196,27 @@ class Shard:
                 out.append(part)
         return tuple(np.concatenate(f) if f else np.empty(0, np.int64) for f in found)
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Hashes of pairs of words and how often they occur."""
-        for word, block, mask in self.roots():
-            first, second, _, both = self.extended(word, block, mask)
-            code, count = _summed(first * len(self.hashes) + second, both)
-            yield pair_hash(self.hashes[code // len(self.hashes)], self.hashes[code % len(self.hashes)]), count
-
     def phrases(self, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Phrases of two words or more as rows of word numbers, and their counts: each run of first words to its full depth."""
         for word, block, mask in self.roots():
             names = np.arange(len(self.hashes))[:, None]  # a row of words for each phrase number
             phrase = word
-            for _ in range(longest - 1):
-                before, after, block, mask = self.extended(phrase, block, mask)
+            for length in range(1, longest):
+                before, after, block, mask = self.extended(phrase, block, mask, length)
                 if not len(before):
                     break
-                code = before * len(self.hashes) + after
-                order = np.lexsort((block, code))
-                code, block, mask = code[order], block[order], mask[order]
-                own, phrase = np.unique(code, return_inverse=True)
-                # a shift can leave bits of one phrase in a block twice: from the block itself and from the one before
+                own, phrase = np.unique(before * len(self.hashes) + after, return_inverse=True)
                 names = np.concatenate([names[own // len(self.hashes)], (own % len(self.hashes))[:, None]], axis=1)
                 yield names, np.bincount(phrase, weights=np.bitwise_count(mask)).astype(np.int64)
 
-
-def _summed(code: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and the bits counted over their masks."""
-    own, at = np.unique(code, return_inverse=True)
-    return own, np.bincount(at, weights=np.bitwise_count(mask), minlength=len(own)).astype(np.int64)
+    def hash_counts(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes of phrases of just ``length`` words, and their counts."""
+        for names, count in self.phrases(length):
+            if names.shape[1] == length:
+                run = self.hashes[names[:, 0]]
+                for i in range(1, length):
+                    run = longer_hash(run, self.hashes[names[:, i]])
+                yield run, count
 
 
 def _shards(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, spec: PhraseSpec) -> Iterator[tuple[str, list[str], Shard]]:
@@ -231,36 +240,70 @@ def _shards(batches: Iterator[pa.RecordBatch], filter_: np.ndarray, spec: Phrase
         yield made(lang)
 
 
-def pair_counts(docs: DataFrame, filter_: np.ndarray, spec: PhraseSpec) -> DataFrame:
-    """h, f: occurrences of every pair of words that the filter holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+def run_filter(docs: DataFrame, filters: list[np.ndarray], spec: PhraseSpec, block: int = 1 << 15) -> np.ndarray:
+    """A bit for each of ``cells`` counters in which the runs of words of one length more than the filters' reach ``least`` together.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, shard in _shards(batches, shared.value, spec):
-            for hashes, count in shard.pairs():
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count)], names=["h", "f"])
+    The first filter is of words. A task sends its counters, cut off at ``least``, whatever it has read; the driver gets the bits.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    least, cells = spec.least, spec.cells
+    kind = np.uint8 if least < 1 << 8 else np.uint16 if least < 1 << 16 else np.uint32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(cells, kind)
+        for _, _, shard in _shards(batches, shared.value[0], spec):
+            shard.link(shared.value[1:], cells)
+            for hashes, found in shard.hash_counts(len(shared.value) + 1):
+                own, at = np.unique(hashes.view(np.int64) % cells, return_inverse=True)
+                total[own] = np.minimum(least, total[own] + np.bincount(at, weights=found)).astype(kind)
+        for at in range(0, cells, block):
+            if (part := total[at : at + block]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([part.tobytes()], pa.binary())], names=["block", "part"])
         release_memory()
 
-    return docs.select("lang", "text").mapInArrow(run, "h long, f long").groupBy("h").agg(F.sum("f").alias("f"))
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, part in zip(b.column("block").to_pylist(), b.column("part").to_pylist()):
+                own = np.frombuffer(part, kind)
+                held[at] = np.minimum(least, held[at] + own.astype(np.int64)) if at in held else own.astype(np.int64)
+        bits = [np.packbits(v >= least, bitorder="little").tobytes() for v in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(bits, pa.binary())], names=["block", "part"])
+
+    parts = _combined(docs, spec).mapInArrow(count, "block long, part binary").repartition("block").mapInArrow(reach, "block long, part binary")
+    out = np.zeros(-(-cells // 8), np.uint8)
+    for r in parts.collect():
+        own = np.frombuffer(r["part"], np.uint8)
+        out[r["block"] // 8 : r["block"] // 8 + len(own)] = own
+    return out
+
 
+def phrase_counts(docs: DataFrame, filters: list[np.ndarray], spec: PhraseSpec) -> DataFrame:
+    """lang, phrase, f: occurrences of phrases of 2 to ``longest`` words whose runs of words the filters hold."""
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-def phrase_counts(docs: DataFrame, words: np.ndarray, pairs: np.ndarray, spec: PhraseSpec) -> DataFrame:
-    """lang, phrase, f: occurrences of phrases of 2 to ``longest`` words, all pairs of which the filter holds."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    def rows(lang: str, held: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_filter, pair_filter = shared.value
-        for lang, names, shard in _shards(batches, word_filter, spec):
-            shard.link(pair_filter, spec.filter_bits)
-            texts = pa.array(names, pa.string())
-            for rows, count in shard.phrases(spec.longest):
-                for at in range(0, len(rows), 1 << 16):
-                    part = rows[at : at + (1 << 16)]
+        sums: dict[str, dict[str, int]] = {}
+        for lang, names, shard in _shards(batches, shared.value[0], spec):
+            shard.link(shared.value[1:], spec.cells)
+            texts, held = pa.array(names, pa.string()), sums.setdefault(lang, {})
+            for words, count in shard.phrases(spec.longest):
+                for at in range(0, len(words), 1 << 16):
+                    part = words[at : at + (1 << 16)]
                     phrase = pc.binary_join_element_wise(*(texts.take(pa.array(part[:, i])) for i in range(part.shape[1])), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), phrase, pa.array(count[at : at + (1 << 16)])], names=["lang", "phrase", "f"])
+                    for p, c in zip(phrase.to_pylist(), count[at : at + (1 << 16)].tolist()):
+                        held[p] = held.get(p, 0) + c
+                    if len(held) > MEMO_ENTRIES // 2:
+                        yield rows(lang, held)
+                        held.clear()
+        for lang, held in sums.items():
+            yield rows(lang, held)
         release_memory()
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return _combined(docs, spec).mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
@@ -270,8 +313,7 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
     that are never seen but inside one longer candidate are left out: a longer one with as
     many occurrences has one that is longer by a single word between them.
     """
-    spark = docs.sparkSession
-    counted = stored(word_counts(docs), "word-counts")
+    counted = stored(word_counts(docs, spec), "word-counts")
     total = counted.groupBy("lang").agg(F.sum("f").alias("n"))
     words = counted.where(F.col("f") >= spec.least)
 
@@ -282,8 +324,10 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64())], names=["h"])
 
     word_filter = bit_filter(words.select("lang", "word").mapInArrow(hashed, "h long"), spec.filter_bits)
-    pair_filter = bit_filter(pair_counts(docs, word_filter, spec).where(F.col("f") >= spec.least), spec.filter_bits)
-    found = stored(phrase_counts(docs, word_filter, pair_filter, spec).where(F.col("f") >= spec.least), "phrases")
+    filters = [word_filter]
+    for _ in range(min(2, spec.longest - 1)):
+        filters.append(run_filter(docs, filters, spec))
+    found = stored(phrase_counts(docs, filters, spec).where(F.col("f") >= spec.least), "phrases")
     return best_phrases(found, stored(words, "words"), total, spec)
 
 
