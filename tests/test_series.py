@@ -10,7 +10,7 @@ from tidemark.operators import devices as device_table
 from tidemark.plans import build
 from tidemark.plans import query as q
 from tidemark.plans.pyramid import Pyramid, default_pyramid
-from tidemark.sources import files, rest
+from tidemark.sources import commits, files, rest
 from tidemark.streaming import ingest as stream
 from tidemark.streaming import staleness
 
@@ -237,15 +237,20 @@ def test_monthly_files(spark, tmp_path):
     files.write_monthly(rows, base)
     assert sorted(x.name for x in (tmp_path / "m").glob("month=*")) == ["month=2024-01", "month=2024-02"]
     merge = lambda data, how="warn": files.merge_monthly(spark, base, spark.createDataFrame(data, schema), ["timestamp"], ["v"], on_conflict=how)
-    held = lambda: sorted(tuple(r) for r in spark.read.parquet(base).select("timestamp", "v").collect())
-    february = {f.name for f in (tmp_path / "m/month=2024-02").iterdir()}
+    base = str(tmp_path / "merged")
+    table = files.monthly_table(spark, base, rows.schema)
+    held = lambda: sorted(tuple(r) for r in table.read().select("timestamp", "v").collect())
+    assert merge(rows.collect())
+    folder = lambda: {r["month"]: r["folder"] for r in table.manifest().collect()}
+    february = folder()["2024-02"]
     assert not merge([(at(1, 5), 1.0), (at(1, 28), 9.0)])  # nothing new, and a conflict that is left
     assert merge([(at(1, 28), 9.0), (at(1, 9), 4.0)], "replace")
     assert held() == [(at(1, 5), 1.0), (at(1, 9), 4.0), (at(1, 28), 9.0), (at(2, 3), 3.0)]
-    assert {f.name for f in (tmp_path / "m/month=2024-02").iterdir()} == february  # untouched
+    assert folder()["2024-02"] == february  # untouched
     assert merge([(at(3, 1), 5.0)]) and len(held()) == 5
-    first = files.merge_monthly(spark, str(tmp_path / "new"), rows, ["timestamp"], ["v"])
-    assert first and spark.read.parquet(str(tmp_path / "new")).count() == 3
+    with pytest.raises(commits.StaleVersion):
+        files.merge_monthly(spark, base, rows.withColumn("v", F.lit(0.5)), ["timestamp"], ["v"], on_conflict="replace", expected=1)
+    assert len(held()) == 5
 
 
 def test_a_devices_readings(spark, tmp_path):
@@ -371,11 +376,103 @@ def test_converging_reports_failures_and_time(spark, tmp_path):
     nothing = spark.createDataFrame([], "device_id long, tier string, rung string, period_start long, period_end long, written_at long")
     journal = spark.createDataFrame([], "start long, end long, requested_at long")
     go = lambda **k: build.converge(p, devices, nothing, journal, readings.withColumnRenamed("v", k.pop("name", "v")), str(tmp_path / "c"), 1_704_067_200_000 + 2 * day, **k)
-    results, after = go()
-    assert [r[:2] for r in results] == [("h6", "written"), ("d1", "written")] and after.count() == 4
-    assert [r[:2] for r in go(budget_s=0.0)[0]] == [("h6", "skipped"), ("d1", "skipped")]
-    results, after = go(name="w")
-    assert results[0][1].startswith("failed") and results[1][:2] == ("d1", "written") and after.count() == 2
+    statuses = lambda run: sorted((r["tier"], r["status"]) for r in run.slots.select("tier", "status").distinct().collect())
+    plan = go(dry_run=True)
+    assert [r[:2] for r in plan.results] == [("h6", "due"), ("d1", "due")] and plan.registry.count() == 0 and build.tier(p, spark, str(tmp_path / "c"), "h6").count() == 0
+    assert statuses(plan) == [("d1", "no_inputs"), ("h6", "due")]  # the coarser tier's inputs aren't built
+    broken = go(name="w")
+    assert broken.results[0][1].startswith("failed") and statuses(broken) == [("d1", "held"), ("h6", "failed")]
+    assert broken.registry.count() == 0 and build.tier(p, spark, str(tmp_path / "c"), "d1").count() == 0
+    run = go()
+    assert [r[:2] for r in run.results] == [("h6", "written"), ("d1", "written")] and run.registry.count() == 4
+    assert statuses(run) == [("d1", "written"), ("h6", "written")]
+    assert [r[:2] for r in go(budget_s=0.0).results] == [("h6", "skipped"), ("d1", "skipped")]
+    again = build.backfill_missing(p, devices, run.registry, readings, str(tmp_path / "c"), 1_704_067_200_000 + 2 * day)
+    assert again.slots.count() == 0 and again.registry.count() == 4
+    forced = build.backfill_missing(p, devices, run.registry, readings, str(tmp_path / "c"), 1_704_067_200_000 + 2 * day, force=True)
+    assert statuses(forced) == [("d1", "written"), ("h6", "written")]
+
+
+def test_failing_devices_hold_back_no_others(spark, tmp_path):
+    day, t0 = 86_400_000, 1_704_153_600_000
+    of = lambda value: Pyramid.of({"metrics": [{"name": "v", "value": value}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "2d"]}]})
+    readings = spark.createDataFrame([(d, datetime(2024, 1, n), 1.0) for d in range(40) for n in (2, 3) if (d, n) != (9, 3)], "device_id long, timestamp timestamp, v double")
+    devices = spark.createDataFrame([(d, t0) for d in range(41)], "device_id long, genesis long")  # device 40 has no readings
+    nothing = spark.createDataFrame([], "device_id long, tier string, rung string, period_start long, period_end long, written_at long")
+    journal = spark.createDataFrame([], "start long, end long, requested_at long")
+    go = lambda p, held: build.converge(p, devices, held, journal, readings, str(tmp_path / "c"), t0 + 2 * day, 600.0)
+    run = go(of("if(device_id = 5, raise_error('broken'), v)"), nothing)
+    slots = {(r["device_id"], r["tier"], r["period_start"]): r["status"] for r in run.slots.collect()}
+    beside = {r["device_id"] for r in devices.where(files.bucket_of() == devices.where("device_id = 5").select(files.bucket_of()).first()[0]).collect()}
+    assert 5 in beside and len(beside) < 20
+    for d in range(41):
+        fine, coarse = slots[d, "h6", t0], slots[d, "d1", t0]
+        assert (fine, coarse) == (("no_inputs", "held" if d in beside else "no_inputs") if d == 40 else ("failed", "held") if d in beside else ("written", "partial" if d == 9 else "written"))
+    assert slots[9, "h6", t0 + day] in ("no_inputs", "failed")
+    healed = go(of("v"), run.registry)
+    recorded = {(r["device_id"], r["tier"], r["period_start"]) for r in healed.registry.collect()}
+    assert recorded == {(d, "h6", t0 + n * day) for d in range(40) for n in (0, 1) if (d, n) != (9, 1)} | {(d, "d1", t0) for d in range(40) if d != 9}
+    assert build.tier(of("v"), spark, str(tmp_path / "c"), "d1").agg(F.sum("v_n")).first()[0] == 79
+
+
+def table_at(spark, path):
+    schema = spark.createDataFrame([], "device_id long, v double, month string").schema
+    return commits.Versioned(spark, str(path), schema, ("month",))
+
+
+def test_commits(spark, tmp_path):
+    table = table_at(spark, tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "device_id long, v double, month string")
+    held = lambda v=None: sorted(tuple(r) for r in table.read(v).collect())
+    assert table.version() == 0 and held() == []
+    assert table.commit(frame((1, 1.0, "a/b=c"), (2, 2.0, "a/b=c"), (1, 3.0, "2024-02"))) == 1
+    assert table.commit(frame((2, 9.0, "a/b=c")), keys=["device_id", "month"]) == 2
+    assert held() == [(1, 1.0, "a/b=c"), (1, 3.0, "2024-02"), (2, 9.0, "a/b=c")] and held(1) != held()
+    # two writers of one month from one version: the second is told, and nothing of it shows
+    assert table.commit(frame((1, 5.0, "2024-02")), expected=2) == 3
+    with pytest.raises(commits.StaleVersion):
+        table.commit(frame((1, 6.0, "2024-02")), expected=2)
+    assert (1, 5.0, "2024-02") in held() and len(held()) == 3
+    # what is replaced and not written goes; an empty table can be read
+    table.commit(frame((3, 1.0, "2024-03")), replaced=F.col("month") < "2024-03")
+    assert held() == [(1, 1.0, "a/b=c"), (2, 9.0, "a/b=c"), (3, 1.0, "2024-03")]
+    before = held()
+    assert table.vacuum() > 0 and held() == before and table.vacuum() == 0
+    table.commit(frame(), replaced=F.lit(True))
+    assert held() == []
+
+
+def test_writers_of_different_partitions_both_win(spark, tmp_path, monkeypatch):
+    mine, other = table_at(spark, tmp_path / "t"), table_at(spark, tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "device_id long, v double, month string")
+    mine.commit(frame((1, 1.0, "x"), (1, 1.0, "y")))
+    write = commits.Versioned._write
+
+    def meanwhile(month):
+        def slow(self, rows, folder, options):
+            write(self, rows, folder, options)
+            if self is mine:
+                other.commit(frame((7, 7.0, month)))
+        monkeypatch.setattr(commits.Versioned, "_write", slow)
+
+    meanwhile("y")
+    assert mine.commit(frame((2, 2.0, "x"))) == 3
+    assert sorted(tuple(r) for r in mine.read().collect()) == [(2, 2.0, "x"), (7, 7.0, "y")]
+    meanwhile("x")
+    with pytest.raises(commits.StaleVersion):
+        mine.commit(frame((3, 3.0, "x")))
+    assert sorted(tuple(r) for r in mine.read().collect()) == [(7, 7.0, "x"), (7, 7.0, "y")]
+
+
+def test_a_devices_shards_leave_others_alone(spark, tmp_path):
+    p, base = default_pyramid([{"name": "v"}]), str(tmp_path / "s")
+    state = spark.createDataFrame([(d, i * 3_600_000, 1, float(d), 1.0) for d in range(20) for i in range(30)], "device_id long, ts long, v_n long, v_sum double, v_sumsq double")
+    for d in (1, 2, 1):
+        build.write_shards(state.where(F.col("device_id") == d), base, "raw", "1d", buckets=1)
+    rows = build.read_shards(spark, p, base, "raw", "1d")
+    assert {(r["device_id"], r["count"]) for r in rows.groupBy("device_id").count().collect()} == {(1, 30), (2, 30)}
+    with pytest.raises(commits.StaleVersion):
+        build.write_shards(state, base, "raw", "1d", expected=1)
 
 
 def test_streams_are_compacted_and_repaired(spark, tmp_path):

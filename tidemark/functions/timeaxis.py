@@ -47,6 +47,16 @@ def bin_index(start: Column, bin_: str | Duration) -> Column:
     return F.floor((F.year(at) * 12 + F.month(at) - 1) / d.months)
 
 
+def period_starts(start: Column, end: Column, bin_: str | Duration) -> Column:
+    """An array of the starts of all bins that meet [start, end), in order; empty where the span is."""
+    d, none = Duration.of(bin_), F.expr("cast(array() as array<bigint>)")
+    if not d.is_calendar:
+        return F.when(start < end, F.sequence(floor_bin(start, d), end - 1, F.lit(d.ms).cast("long"))).otherwise(none)
+    day = lambda ms: F.timestamp_millis(floor_bin(ms, d)).cast("date")
+    months = F.sequence(day(start), day(end - 1), F.make_ym_interval(F.lit(d.months // 12), F.lit(d.months % 12)))
+    return F.when(start < end, F.transform(months, lambda m: F.unix_millis(m.cast("timestamp")))).otherwise(none)
+
+
 def period_label(ms: Column, unit: str) -> Column:
     return F.date_format(F.timestamp_millis(ms), PATTERNS[unit])
 

@@ -2,25 +2,33 @@
 
 Each tier is written once and the coarser ones read it back, so a fleet's backfill is one
 job a tier and no tier is computed twice. A rebuild widens the spans it is told of to the
-bins of each tier and to the stored partitions these begin in, replaces those and no
-others (dynamic partition overwrite), and removes the ones that have no bins left, so it
-can be repeated after a failure.
+bins of each tier and to the stored partitions these begin in, and replaces those and no
+others: what had bins and has none goes. Every write is a version of its tier
+(``sources.commits``), so a reader sees all of it or nothing, and it can be repeated after
+a failure.
+
+``converge`` goes by dependency: a slot's inputs are the periods of its source that the
+registry holds, only slots with all inputs enter the registry, and a group of devices whose
+tier fails is held back from the coarser tiers while the others go on.
 """
 
 from __future__ import annotations
 
 import time as clock
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.durations import Duration
-from ..functions.timeaxis import ceil_bin, floor_bin, parse_period, period_label, periods_overlapping, span_of
+from ..functions.timeaxis import bins_between, ceil_bin, floor_bin, parse_period, period_starts, periods_overlapping, span_of
 from ..operators import registry
 from ..operators.ingest import in_range
 from ..operators.rollup import TS, aggregate_raw, coarsen
-from ..sources.files import drop_empty_parts, read_or_empty, read_tier, tier_schema, write_tier
+from ..sources.commits import Versioned
+from ..sources.files import BUCKETS, bucket_of, parts_between, read_tier, tier_schema, write_tier
 from .pyramid import Pyramid, Tier
 
 FIRST, LAST = -(1 << 45), 1 << 45
@@ -44,7 +52,7 @@ def backfill(pyramid: Pyramid, readings: DataFrame, base: str, time: str = "time
     """Write every tier's bins that begin in the partitions that [start, end) meets, under ``base``."""
     for tier in pyramid.ordered:
         lo, hi = span_of(start, tier.part)[0], ceil_bin(end, tier.part)
-        write_tier(_built(pyramid, tier, readings, base, *_bins_from(tier, lo, hi), time), base, tier)
+        write_tier(_built(pyramid, tier, readings, base, *_bins_from(tier, lo, hi), time), base, tier, replaced=parts_between(tier, lo, hi))
 
 
 def touched_parts(tier: Tier, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -59,16 +67,15 @@ def touched_parts(tier: Tier, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(a, b) for a, b in runs]
 
 
-def rebuild_tier(pyramid: Pyramid, tier: Tier, readings: DataFrame, base: str, spans: list[tuple[int, int]], time: str = "timestamp") -> int:
-    """Rebuild the tier's bins that the spans touch; how many partitions were replaced."""
+def rebuild_tier(pyramid: Pyramid, tier: Tier, readings: DataFrame, base: str, spans: list[tuple[int, int]], time: str = "timestamp", buckets: list[int] | None = None) -> int:
+    """Rebuild the tier's bins that the spans touch, of some groups of devices or of all; how many partitions were replaced."""
     replaced = 0
     for start, end in touched_parts(tier, spans):
-        state = _built(pyramid, tier, readings, base, *_bins_from(tier, start, end), time)
-        write_tier(state, base, tier)
-        label = period_label(F.col(TS), tier.part.unit).alias("part")
-        written = {r["part"] for r in state.select(label).distinct().collect()}  # at most the run's partitions
-        drop_empty_parts(readings.sparkSession, base, tier, start, end, written)
-        replaced += len(periods_overlapping(start, end, tier.part))
+        state, own = _built(pyramid, tier, readings, base, *_bins_from(tier, start, end), time), parts_between(tier, start, end)
+        if buckets is not None:
+            state, own = state.where(bucket_of().isin(buckets)), own & F.col("bucket").isin(buckets)
+        write_tier(state, base, tier, replaced=own)
+        replaced += bins_between(start, end, tier.part)
     return replaced
 
 
@@ -114,21 +121,28 @@ def build_shard(pyramid: Pyramid, readings: DataFrame, base: str, name: str, sha
 # Shards by rung ----------------------------------------------------------------------------
 
 
-def _shard_path(base: str, name: str) -> str:
-    return f"{base}/shards/tier={name}"
+def shard_table(spark: SparkSession, base: str, name: str, schema: StructType) -> Versioned:
+    """A tier's shards: by rung, period and group of devices."""
+    more = StructType([StructField("rung", StringType())]).add("period_start", "long").add("bucket", "integer")
+    return Versioned(spark, f"{base}/shards/tier={name}", StructType([*schema, *more]), ("rung", "period_start", "bucket"))
 
 
-def write_shards(state: DataFrame, base: str, name: str, rung: str, devices_a_file: int = 64) -> None:
-    """A tier's rows as files by rung and period, sorted by device and time; a write replaces the periods it holds."""
-    rows = state.withColumn("rung", F.lit(rung)).withColumn("period_start", floor_bin(F.col(TS), rung))
-    dealt = rows.repartition("period_start", F.pmod(F.xxhash64("device_id"), F.lit(devices_a_file))).sortWithinPartitions("period_start", "device_id", TS)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rung", "period_start").parquet(_shard_path(base, name))
+def write_shards(state: DataFrame, base: str, name: str, rung: str, buckets: int = BUCKETS, expected: int | None = None) -> int:
+    """A tier's rows as files by rung, period and group of devices, sorted by device and time; the table's version.
+
+    A write replaces the periods of the devices it holds; other devices' rows stay. One that
+    was made from another version than ``expected``, or whose files another writer changed
+    meanwhile, raises StaleVersion.
+    """
+    rows = state.withColumns({"rung": F.lit(rung), "period_start": floor_bin(F.col(TS), rung), "bucket": bucket_of(buckets=buckets)})
+    dealt = rows.repartition("period_start", "bucket").sortWithinPartitions("period_start", "bucket", "device_id", TS)
+    return shard_table(state.sparkSession, base, name, state.schema).commit(dealt, keys=["rung", "period_start", "device_id"], expected=expected)
 
 
 def read_shards(spark: SparkSession, pyramid: Pyramid, base: str, name: str, rung: str) -> DataFrame:
     """Rows of all shards of a rung, with their period_start."""
-    schema = tier_schema(list(pyramid.metrics)).add("rung", "string").add("period_start", "long")
-    return read_or_empty(spark, _shard_path(base, name), schema).where(F.col("rung") == rung).drop("rung")
+    rows = shard_table(spark, base, name, tier_schema(list(pyramid.metrics))).read()
+    return rows.where(F.col("rung") == rung).drop("rung", "bucket")
 
 
 def consolidate(pyramid: Pyramid, base: str, recorded: DataFrame, name: str, source_rung: str, target_rung: str, now: int) -> DataFrame:
@@ -147,27 +161,102 @@ def consolidate(pyramid: Pyramid, base: str, recorded: DataFrame, name: str, sou
 # Convergence -------------------------------------------------------------------------------
 
 
-def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal: DataFrame, readings: DataFrame, base: str, now: int, budget_s: float = 25.0, tiers: list[str] | None = None, time: str = "timestamp") -> tuple[list[tuple[str, str, int]], DataFrame]:
-    """Build what is missing or stale, a tier at a time for all devices; (tier, status, partitions) each, and the registry after it.
+@dataclass(frozen=True)
+class Converged:
+    """``results``: (tier, status, partitions) each; ``registry``: its rows after the run; ``slots``: what became of each slot that was due."""
+
+    results: list[tuple[str, str, int]]
+    registry: DataFrame
+    slots: DataFrame
+
 
-    A tier that fails is reported and the next one tried; with under half a second of the
-    budget left no further tier begins. Only distinct periods reach the driver.
+def inputs(pyramid: Pyramid, t: Tier, todo: DataFrame, recorded: DataFrame, readings: DataFrame, time: str) -> DataFrame:
+    """``todo`` with inputs_present and inputs_expected: periods of the source's shortest rung in the slot's effective range that recorded shards cover, and all of them.
+
+    The finest tier's inputs are days with readings. One join on device and period for all slots.
+    """
+    source = pyramid.source_of(t.name)
+    if source is None:
+        step = Duration.of("1d")
+        held = readings.select("device_id", floor_bin(F.unix_millis(F.col(time).cast("timestamp")), step).alias("_input")).distinct()
+    else:
+        step = source.tip
+        own = recorded.where(F.col("tier") == source.name)
+        held = own.select("device_id", F.explode(period_starts(F.col("period_start"), F.col("period_end"), step)).alias("_input")).distinct()
+    slots = todo.withColumn("_inputs", period_starts(F.col("effective_start"), F.col("effective_end"), step))
+    wanted = slots.select(*registry.KEY, F.explode("_inputs").alias("_input"))
+    found = wanted.join(held.withColumn("_have", F.lit(1)), ["device_id", "_input"]).groupBy(*registry.KEY).agg(F.count("*").alias("inputs_present"))
+    counted = slots.withColumn("inputs_expected", F.size("_inputs").cast("long")).drop("_inputs").join(found, registry.KEY, "left")
+    return counted.withColumn("inputs_present", F.coalesce("inputs_present", F.lit(0).cast("long")))
+
+
+def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal: DataFrame, readings: DataFrame, base: str, now: int, budget_s: float = 25.0, tiers: list[str] | None = None, time: str = "timestamp", dry_run: bool = False) -> Converged:
+    """Build what is missing or stale, a tier at a time for all devices, fine tiers first.
+
+    Of the slots that are due, those with no inputs get nothing (``no_inputs``), those with
+    some are built as far as these go (``partial``), and those with all are built and
+    recorded (``written``). If a tier fails, its devices are halved by group until the failing
+    groups stand alone (``failed``); coarser tiers leave these groups alone (``held``).
+    With under half a second of the budget left no further write begins (``skipped``).
+    ``dry_run`` writes nothing, takes no slot as built, and calls what it would build ``due``.
+    What was found due is kept under ``base``/_runs; distinct periods reach the driver.
     """
-    began, results, after = clock.monotonic(), [], recorded
+    began, spark = clock.monotonic(), readings.sparkSession
+    run, results, after, outcomes = uuid.uuid4().hex, [], recorded, []
+    bad: set[int] = set()
+    late = lambda: clock.monotonic() - began > budget_s - 0.5
     for t in pyramid.ordered:
         if tiers is not None and t.name not in tiers:
             continue
-        if clock.monotonic() - began > budget_s - 0.5:
+        if late():
             results.append((t.name, "skipped", 0))
             continue
-        try:
-            ladder = {t.name: [str(r) for r in t.shards]}
-            todo = registry.work(registry.expected(devices, ladder, now), recorded.where(F.col("tier") == t.name), journal, [t.name])
-            spans = [(r["effective_start"], r["effective_end"]) for r in todo.groupBy("period_start", "period_end").agg(F.min("effective_start").alias("effective_start"), F.max("effective_end").alias("effective_end")).collect()]
-            parts = rebuild_tier(pyramid, t, readings, base, spans, time)
-            done = todo.select("device_id", "tier", "rung", "period_start", "period_end", F.lit(now).cast("long").alias("written_at"))
-            after = registry.upsert(after, done)
-            results.append((t.name, "written", parts))
-        except Exception as e:  # one tier's failure is no other's
-            results.append((t.name, f"failed: {type(e).__name__}", 0))
-    return results, after
+        ladder = {t.name: [str(r) for r in t.shards]}
+        todo = registry.work(registry.expected(devices, ladder, now), after.where(F.col("tier") == t.name), journal, [t.name])
+        due, at = inputs(pyramid, t, todo, after, readings, time).withColumn("bucket", bucket_of()), f"{base}/_runs/{run}/tier={t.name}"
+        due.write.parquet(at)
+        due = spark.read.schema(due.schema).parquet(at)
+        ready = due.where("inputs_present > 0")
+        spans: dict[int, set[tuple[int, int]]] = {}
+        for r in ready.groupBy("bucket", "period_start", "period_end").agg(F.min("effective_start").alias("s"), F.max("effective_end").alias("e")).collect():
+            spans.setdefault(r["bucket"], set()).add((r["s"], r["e"]))
+        parts, failed, skipped = 0, {}, set()
+
+        def attempt(buckets: list[int]) -> int:
+            if late():
+                skipped.update(buckets)
+                return 0
+            try:
+                return rebuild_tier(pyramid, t, readings, base, sorted(set().union(*(spans[b] for b in buckets))), time, buckets)
+            except Exception as e:  # one group's failure is no other's
+                if len(buckets) == 1:
+                    failed[buckets[0]] = type(e).__name__
+                    return 0
+                half = len(buckets) // 2
+                return attempt(buckets[:half]) + attempt(buckets[half:])
+
+        groups = sorted(spans.keys() - bad)
+        if groups and not dry_run:
+            parts = attempt(groups)
+        among = lambda b: F.col("bucket").isin(sorted(b)) if b else F.lit(False)
+        built = F.when(F.col("inputs_present") == F.col("inputs_expected"), "written").otherwise("partial")
+        status = F.when(among(bad), "held").when(F.col("inputs_present") == 0, "no_inputs").when(among(failed.keys()), "failed").when(among(skipped), "skipped").when(F.lit(dry_run), "due").otherwise(built)
+        told = due.withColumn("status", status).drop("bucket")
+        outcomes.append(told)
+        after = registry.upsert(after, told.where("status = 'written'").select(*registry.KEY, "period_end", F.lit(now).cast("long").alias("written_at")))
+        bad |= failed.keys()
+        errors = ", ".join(sorted(set(failed.values())))
+        results.append((t.name, f"failed: {errors}" if failed and not parts else f"written, {len(failed)} of {len(groups)} groups failed: {errors}" if failed else "skipped" if skipped else "due" if dry_run else "written", parts))
+    slots = outcomes[0].sparkSession.createDataFrame([], outcomes[0].schema) if outcomes else None
+    for told in outcomes:
+        slots = slots.unionByName(told)
+    if slots is None:
+        slots = registry.work(registry.expected(devices, {}, now), recorded, journal, [""]).withColumns({"inputs_expected": F.lit(0).cast("long"), "inputs_present": F.lit(0).cast("long"), "status": F.lit("skipped")})
+    return Converged(results, after, slots)
+
+
+def backfill_missing(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, readings: DataFrame, base: str, now: int, force: bool = False, tiers: list[str] | None = None, time: str = "timestamp", dry_run: bool = False) -> Converged:
+    """Every tier's covering periods of every device, without those recorded unless ``force``d; failures are in ``slots``, and others' work goes on."""
+    held = recorded.limit(0) if force else recorded
+    nothing = readings.sparkSession.createDataFrame([], "start long, end long, requested_at long")
+    return converge(pyramid, devices, held, nothing, readings, base, now, float("inf"), tiers, time, dry_run)

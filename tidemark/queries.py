@@ -801,12 +801,73 @@ def converged_d1(spark, sf):
     path, rows = _scratch(spark, "converge"), readings(spark, sf)
     first = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "4d"]}]})
     nothing = _recorded(spark, sf).limit(0).select("device_id", "tier", "rung", "period_start", "period_end", "written_at")
-    results, _ = build.converge(first, _devices(spark, sf), nothing, _journal(spark, sf).limit(0), rows, path, GENESIS + 32 * DAY, budget_s=3_600.0)
+    results = build.converge(first, _devices(spark, sf), nothing, _journal(spark, sf).limit(0), rows, path, GENESIS + 32 * DAY, budget_s=3_600.0).results
     if any(status != "written" for _, status, _ in results):
         raise RuntimeError(f"not converged: {results}")
     return build.tier(first, spark, path, "d1")
 
 
+TWO_TIERS = {"tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "4d"]}]}
+_HOLE = f"device_id % 7 = 3 AND ms >= {GENESIS + 10 * DAY} AND ms < {GENESIS + 11 * DAY}"
+#: Slots of both tiers and how many days with readings they have, of how many.
+_INPUTS = f"""slots AS (SELECT 'd1' AS tier, * FROM ({cover_sql(["1d", "4d"], GENESIS + 32 * DAY)}) UNION ALL SELECT 'h6', * FROM ({cover_sql(["1d"], GENESIS + 32 * DAY)})),
+ {READINGS}, held AS (SELECT DISTINCT device_id, ms - ms % {DAY} AS day FROM readings WHERE NOT ({_HOLE})),
+ counted AS (SELECT s.device_id, tier, rung, period_start, period_end, (period_end - (effective_start - effective_start % {DAY})) // {DAY} AS wanted, count(day) AS found
+  FROM slots s LEFT JOIN held h ON h.device_id = s.device_id AND day >= effective_start - effective_start % {DAY} AND day < period_end GROUP BY ALL)"""
+
+
+def _with_hole(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Readings of which some devices lack a day, and devices of which one has no readings."""
+    rows = readings(spark, sf).where(f"NOT ({_HOLE})")
+    silent = _devices(spark, sf).select((F.lit(1_000_000) + F.col("device_id")).alias("device_id"), "genesis").where("device_id = 1000001")
+    return rows, _devices(spark, sf).select("device_id", "genesis").unionByName(silent)
+
+
+def _nothing(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return _recorded(spark, sf).limit(0).select("device_id", "tier", "rung", "period_start", "period_end", "written_at"), _journal(spark, sf).limit(0)
+
+
+@query(f"WITH {_INPUTS} SELECT device_id, tier, rung, period_start, period_end, {GENESIS + 32 * DAY} AS written_at FROM counted WHERE found = wanted")
+def converge_registry(spark, sf):
+    """The registry after a run over a device without readings and devices with a hole: only shards whose inputs were all there."""
+    from .plans import build
+
+    p = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], **TWO_TIERS})
+    rows, fleet = _with_hole(spark, sf)
+    return build.converge(p, fleet, *_nothing(spark, sf), rows, _scratch(spark, "converge"), GENESIS + 32 * DAY, budget_s=3_600.0).registry
+
+
+@query(f"""WITH {_INPUTS}, broken AS (SELECT 1 AS run, device_id, tier, rung, period_start, CASE WHEN tier = 'd1' THEN 'held' WHEN found = 0 THEN 'no_inputs' ELSE 'failed' END AS status FROM counted WHERE device_id = 5)
+ SELECT * FROM broken UNION ALL SELECT 2, device_id, tier, rung, period_start, CASE WHEN found = 0 THEN 'no_inputs' WHEN found < wanted THEN 'partial' ELSE 'written' END FROM counted WHERE device_id = 5
+ UNION ALL SELECT 3, device_id, tier, rung, period_start, 'recorded' FROM counted WHERE found = wanted""")
+def converge_after_failure(spark, sf):
+    """A device's readings break the fine tier: its slots fail, its coarser ones are held; the next run heals them; the registry after both."""
+    from .plans import build
+
+    rows, fleet = _with_hole(spark, sf)
+    nothing, journal = _nothing(spark, sf)
+    path, now = _scratch(spark, "converge"), GENESIS + 32 * DAY
+    of = lambda value: Pyramid.of({"metrics": [{"name": "value", "value": value, "scale": 2}], **TWO_TIERS})
+    fleet = fleet.where("device_id < 1000000")
+    first = build.converge(of("if(device_id = 5, raise_error('broken'), value)"), fleet, nothing, journal, rows, path, now, budget_s=3_600.0)
+    second = build.converge(of("value"), fleet, first.registry, journal, rows, path, now, budget_s=3_600.0)
+    told = lambda run, df: df.where("device_id = 5").select(F.lit(run).alias("run"), "device_id", "tier", "rung", "period_start", "status")
+    recorded = second.registry.select(F.lit(3).alias("run"), "device_id", "tier", "rung", "period_start", F.lit("recorded").alias("status"))
+    return told(1, first.slots).unionByName(told(2, second.slots)).unionByName(recorded)
+
+
+@query(f"WITH {READINGS}, t AS ({tier_sql(60_000)}) SELECT t.*, ts - ts % {DAY} AS period_start FROM t")
+def shards_by_device(spark, sf):
+    """Day shards of odd devices, then those of even ones on the same days, then some of both again: all are there, once."""
+    from .plans import build
+
+    path = _scratch(spark, "shards")
+    tier = rollup.aggregate_raw(readings(spark, sf), "1min", [VALUE])
+    for some in ("device_id % 2 = 1", "device_id % 2 = 0", f"device_id % 5 = 0 AND ts < {GENESIS + 9 * DAY}"):
+        build.write_shards(tier.where(some), path, "raw", "1d")
+    return build.read_shards(spark, PYRAMID, path, "raw", "1d")
+
+
 # Streams (final state; compared in tests with the batch result) ----------------------------
 
 

@@ -6,15 +6,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType, TimestampType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.durations import Duration
 from ..functions.monoid import Metric
-from ..functions.timeaxis import PATTERNS, bin_end, parse_period, period_label
+from ..functions.timeaxis import PATTERNS, bin_end, label_of, period_label
 from ..operators.ingest import FIELDS, merge
 from ..operators.rollup import TS
 from ..plans.pyramid import Pyramid, Tier, key_pattern
+from .commits import Versioned
 
 #: Schemes of the stores that pyarrow opens by itself.
 KNOWN_STORES = "^(file|s3|gs|gcs|hdfs|abfs|abfss):"
@@ -65,62 +66,80 @@ def write_monthly(df: DataFrame, base: str, time: str = "timestamp", files_a_mon
 
     A month is dealt to ``files_a_month`` tasks by spans of its days, so files don't overlap in time.
     """
+    _row_groups(_by_month(df, time, files_a_month).write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), row_group_rows).partitionBy("month").parquet(base)
+
+
+def _by_month(df: DataFrame, time: str, files_a_month: int = 8) -> DataFrame:
     months = df.withColumn("month", F.date_format(time, "yyyy-MM"))
     span = F.floor((F.dayofmonth(time) - 1) * files_a_month / 31)
-    spread = months.repartition("month", span).sortWithinPartitions("month", time)
-    _row_groups(spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), row_group_rows).partitionBy("month").parquet(base)
+    return months.repartition("month", span).sortWithinPartitions("month", time)
 
 
 def _row_groups(writer, rows: int | None):
     return writer if rows is None else writer.option("parquet.block.row.count.limit", str(rows))
 
 
-def merge_monthly(spark: SparkSession, base: str, new: DataFrame, keys: list[str], values: list[str], time: str = "timestamp", on_conflict: str = "warn") -> bool:
-    """Merge ``new`` into a monthly table and rewrite the months it changes; False, and nothing written, where it brings nothing new."""
+def monthly_table(spark: SparkSession, base: str, schema: StructType) -> Versioned:
+    """A table of readings by month whose writes become visible at once."""
+    return Versioned(spark, base, StructType([*schema, StructField("month", StringType())]), ("month",))
+
+
+def merge_monthly(spark: SparkSession, base: str, new: DataFrame, keys: list[str], values: list[str], time: str = "timestamp", on_conflict: str = "warn", expected: int | None = None) -> bool:
+    """Merge ``new`` into a monthly table (``monthly_table``) and replace the months it changes; False, and nothing written, where it brings nothing new.
+
+    All months change at once, or none; if another writer has changed one of them since
+    the table was read, or the table isn't at the version ``expected``, StaleVersion is raised.
+    """
     columns = [*keys, *values]
-    schema = StructType([f for f in new.select(*columns).schema]).add("month", "string")
-    held = read_or_empty(spark, base, schema)
-    months = new.select(F.date_format(time, "yyyy-MM").alias("month")).distinct()
-    near = held.join(months, "month", "left_semi").select(*columns)
+    table = monthly_table(spark, base, new.select(*columns).schema)
+    version = table.version() if expected is None else expected
+    month = F.date_format(time, "yyyy-MM").alias("month")
+    near = table.read(version).join(new.select(month).distinct(), "month", "left_semi").select(*columns)
     merged = merge(near, new, keys, values, on_conflict)
-    changed = merged.exceptAll(near).select(F.date_format(time, "yyyy-MM").alias("month")).distinct()
+    changed = merged.exceptAll(near).select(month).distinct()
     names = [r["month"] for r in changed.collect()]  # a few months
     if not names:
         return False
-    write_monthly(merged.where(F.date_format(time, "yyyy-MM").isin(names)), base, time)
+    table.commit(_by_month(merged.where(F.date_format(time, "yyyy-MM").isin(names)), time), expected=version)
     return True
 
 
-def write_tier(state: DataFrame, base: str, tier: Tier, devices_a_file: int = 64, row_group_rows: int | None = None) -> None:
-    """A tier as files partitioned by the tier's ``part`` (day or month), sorted by device and time.
+#: Groups of devices by a hash of the id; each has files of its own in every partition of a tier.
+BUCKETS = 8
 
-    Rows are dealt by part and device group, so a busy day spreads over files and a query's
-    device and time filters skip the rest by the files' and pages' statistics. Row groups
-    have the writer's usual size in bytes unless their rows are given.
-    """
-    dealt = state.withColumn("part", period_label(F.col(TS), tier.part.unit)).repartition("part", F.pmod(F.xxhash64("device_id"), F.lit(devices_a_file))).sortWithinPartitions("part", "device_id", TS)
-    _row_groups(dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic"), row_group_rows).partitionBy("part").parquet(f"{base}/tier={tier.name}")
 
+def bucket_of(device: str = "device_id", buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64(device), F.lit(buckets)).cast("int")
 
-def drop_empty_parts(spark: SparkSession, base: str, tier: Tier, start: int, end: int, written: set[str]) -> None:
-    """Removes the partitions that begin in [start, end) and that a rewrite gave no rows: their bins are gone."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/tier={tier.name}")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return
-    held = [s.getPath().getName() for s in fs.listStatus(folder)]
-    for name in held:
-        label = name.removeprefix("part=")
-        if label != name and label not in written and start <= parse_period(label, tier.part)[0] < end:
-            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), True)
+
+def tier_table(spark: SparkSession, base: str, name: str, schema: StructType) -> Versioned:
+    """A stored tier: by ``part`` (the day or month in which bins begin) and group of devices."""
+    return Versioned(spark, f"{base}/tier={name}", StructType([*schema, StructField("part", StringType()), StructField("bucket", IntegerType())]), ("part", "bucket"))
+
+
+def parts_between(tier: Tier, start: int, end: int):
+    """Whether a stored partition begins in [start, end), both on its edges, as a condition on ``part``."""
+    return (F.col("part") >= label_of(start, tier.part)) & (F.col("part") <= label_of(end - 1, tier.part))
+
+
+def write_tier(state: DataFrame, base: str, tier: Tier, buckets: int = BUCKETS, row_group_rows: int | None = None, replaced=None, expected: int | None = None) -> int:
+    """A tier's rows, sorted by device and time, as the next version of the stored tier; the version.
+
+    Replaces the partitions for which ``replaced`` holds (on ``part`` and ``bucket``), else those it
+    has rows of. A busy day spreads over its groups of devices; a query's device and time
+    filters skip the rest by the files' and pages' statistics. Row groups have the writer's
+    usual size in bytes unless their rows are given.
+    """
+    dealt = state.withColumn("part", period_label(F.col(TS), tier.part.unit)).withColumn("bucket", bucket_of(buckets=buckets)).repartition("part", "bucket").sortWithinPartitions("part", "bucket", "device_id", TS)
+    options = {} if row_group_rows is None else {"parquet.block.row.count.limit": str(row_group_rows)}
+    return tier_table(state.sparkSession, base, tier.name, state.schema).commit(dealt, replaced, expected=expected, options=options)
 
 
 def read_tier(spark: SparkSession, base: str, tier: Tier, metrics: list[Metric], start: int, end: int) -> DataFrame:
     """Rows of a tier in [start, end): partitions prune first, row groups by ts next."""
-    schema = tier_schema(metrics).add("part", "string")
     label = lambda ms: period_label(F.lit(ms), tier.part.unit)
-    rows = read_or_empty(spark, f"{base}/tier={tier.name}", schema)
-    return rows.where((F.col("part") >= label(start)) & (F.col("part") <= label(end - 1)) & (F.col(TS) >= start) & (F.col(TS) < end)).drop("part")
+    rows = tier_table(spark, base, tier.name, tier_schema(metrics)).read()
+    return rows.where((F.col("part") >= label(start)) & (F.col("part") <= label(end - 1)) & (F.col(TS) >= start) & (F.col(TS) < end)).drop("part", "bucket")
 
 
 def rewrite(spark: SparkSession, source: str, target: str, row_group_rows: int) -> None:
