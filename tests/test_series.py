@@ -11,8 +11,8 @@ from tidemark.plans import build
 from tidemark.plans import query as q
 from tidemark.plans.pyramid import Pyramid, default_pyramid
 from tidemark.sources import commits, files, rest
+from tidemark.streaming import deltas, staleness
 from tidemark.streaming import ingest as stream
-from tidemark.streaming import staleness
 
 M = Metric("v", "v")
 
@@ -500,6 +500,48 @@ def test_streams_are_compacted_and_repaired(spark, tmp_path):
     assert not stream.repair(spark, str(tmp_path / "none"), "6h", [M])
 
 
+@pytest.mark.parametrize("values", [(1.0, 9.0), (9.0, 1.0)])
+def test_streams_keep_the_stored_reading(spark, tmp_path, values):
+    path, day = str(tmp_path / "s"), 19_723
+    send = lambda v, i: stream.merge_batch(spark.createDataFrame([(1, datetime(2024, 1, 1), v)], "device_id long, timestamp timestamp, v double"), i, path, "6h", [M], "timestamp", ["device_id", "timestamp"], "timestamp")
+    held = lambda: [(r["v_n"], r["v_sum"]) for r in stream.current_bins(spark, path, [M]).collect()]
+    send(values[0], 0)
+    send(values[1], 1)
+    assert held() == [(1, values[0])]
+    stream.compact(spark, path, (day, day + 1))
+    send(values[0], 0)  # old batches are sent again
+    send(values[1], 1)
+    send(values[1], 2)
+    assert held() == [(1, values[0])]
+
+
+def test_deltas_of_odd_batches(spark, tmp_path):
+    path, schema = str(tmp_path / "d"), "device_id long, timestamp timestamp, id long, v double, seq int, gone boolean"
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    metric = Metric("v", "v", scale=1)
+
+    def send(rows, replace=True):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        arrived = spark.readStream.schema(schema).parquet(f"{path}/in")
+        deltas.run(arrived, path, f"{path}/ck", "6h", [metric], ["id"], order="seq", deleted="gone", replace=replace, trigger={"availableNow": True}).awaitTermination()
+
+    held = lambda: sorted((r["device_id"], r["ts"], r["v_n"], r["v_sum"], r["v_sumsq"]) for r in deltas.current_bins(spark, path, [metric]).collect())
+    t0 = 1_704_067_200_000
+    send([(1, at(0), 1, 1.5, 0, False), (1, at(1), 2, None, 0, False), (1, at(7), 3, float("nan"), 0, False), (2, at(0), 1, 2.0, 0, False), (2, at(0), 1, 3.0, 1, False)])
+    want = [(1, t0, 1, 1.5, 2.25), (1, t0 + 21_600_000, 0, 0.0, 0.0), (2, t0, 1, 3.0, 9.0)]
+    assert held() == want
+    table = deltas.table(spark, path, [metric])
+    state = table.read().where("batch = 0").drop("batch").collect()
+    names = table.read().drop("batch").columns
+    assert deltas.fold(spark, path, [metric], 0) and held() == want and len(state) == 3 and names[:3] == ["device_id", "ts", "readings"]
+    send([(1, at(0), 1, 1.5, 0, False), (1, at(1), 2, 4.0, 0, False), (1, at(7), 3, None, 5, True), (2, at(0), 9, 1.0, 0, True)])  # equal, replaced, deleted, never held
+    assert held() == [(1, t0, 2, 5.5, 18.25), want[2]]
+    changes = table.read().where("batch = 1").count()
+    assert changes == 2  # the bins that changed alone
+    send([(2, at(0), 1, 8.0, 0, False), (2, at(0, 1), 2, 8.0, 0, False)], replace=False)
+    assert held()[1] == (2, t0, 2, 11.0, 73.0)
+
+
 def test_rolling_over_odd_values(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 60_000, None), (1, 120_000, 3.0), (1, 10_000_000, None)], "device_id long, ms long, v double")
     out = {r["ms"]: (r["mean"], r["stddev"]) for r in analytics.rolling(df, 4, "v").collect()}

@@ -897,6 +897,41 @@ def stream_tiers(spark, sf):
     return stream.current_bins(spark, path, [VALUE])
 
 
+@query(f"WITH {READINGS} {tier_sql(21_600_000)}")
+def stream_conflicts(spark, sf):
+    """Every event comes a second time in a later batch with another value: the stored one stays, also when the batch is sent again after a compaction."""
+    from .streaming import ingest as stream
+
+    path, own = _scratch(spark, "stream-conflicts"), readings(spark, sf).select("device_id", "timestamp", "value", "event_id")
+    send = lambda rows, i: stream.merge_batch(rows, i, path, "6h", [VALUE], "timestamp", ["device_id", "event_id"], "timestamp")
+    changed = own.withColumn("value", F.col("value") + 1)
+    send(own, 0)
+    send(changed, 1)
+    stream.compact(spark, path, (GENESIS // DAY, GENESIS // DAY + 15), ["device_id", "event_id"])
+    send(changed, 1)
+    send(changed.where("event_id % 3 = 0"), 2)
+    return stream.current_bins(spark, path, [VALUE])
+
+
+_LEFT = f"(SELECT device_id, ms, CASE WHEN event_id % 7 = 0 THEN value + 1 ELSE value END AS value FROM readings WHERE event_id % 11 <> 0)"
+
+
+@query(f"WITH {READINGS} SELECT device_id, {fixed(21_600_000)} AS ts, {STATE} FROM {_LEFT} GROUP BY 1, 2")
+def stream_deltas(spark, sf):
+    """Readings, then replacements of some and deletions of others: bins by differences alone, folded half-way."""
+    from .streaming import deltas
+
+    path, own = _scratch(spark, "stream-deltas"), readings(spark, sf).select("device_id", "timestamp", "value", "event_id")
+    stages = [own.withColumn("seq", F.lit(0)).withColumn("gone", F.lit(False)), own.where("event_id % 7 = 0").withColumn("value", F.col("value") + 1).withColumn("seq", F.lit(1)).withColumn("gone", F.lit(False)), own.where("event_id % 11 = 0").withColumn("seq", F.lit(2)).withColumn("gone", F.lit(True))]
+    for i, rows in enumerate(stages):
+        rows.write.mode("append").parquet(f"{path}/in")
+        arrived = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        deltas.run(arrived, path, f"{path}/_checkpoint", "6h", [VALUE], ["event_id"], order="seq", deleted="gone", trigger={"availableNow": True}).awaitTermination()
+        if i == 1:
+            deltas.fold(spark, path, [VALUE], i)
+    return deltas.current_bins(spark, path, [VALUE])
+
+
 _NEXT = "CASE WHEN level < 5 THEN 5 WHEN level < 15 THEN 15 WHEN level < 60 THEN 60 WHEN level >= 10080 THEN level + 1440 WHEN level >= 1440 THEN level + 360 WHEN level >= 360 THEN level + 120 ELSE level + 60 END"
 _ALERTS = f"""{GAPS}, c AS (SELECT device_id, ms - 1 AS checked_at, ms - 1 - coalesce(ms - CAST(gap_seconds * 1000 AS BIGINT), epoch_ms(date_trunc('month', epoch_ms(ms - 1))::TIMESTAMP)) AS age, gap_seconds IS NOT NULL AS known,
   row_number() OVER (PARTITION BY device_id ORDER BY ms) AS i FROM g), m AS (SELECT device_id, checked_at, age // 60000 AS minutes, checked_at - age AS since, known, i FROM c),
