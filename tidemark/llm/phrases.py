@@ -49,7 +49,7 @@ class PhraseSpec:
     filter_bits: int = 1 << 26
     cells: int = 1 << 23
     #: Splits of the input whose counts are combined before they are shuffled.
-    splits_a_task: int = 4
+    splits_a_task: int = 8
 
 
 def _pieces(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
