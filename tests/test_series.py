@@ -2,10 +2,11 @@ import json
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.monoid import Metric
-from tidemark.operators import analytics, ingest, registry, rollup, series
+from tidemark.operators import analytics, ingest, joins, registry, rollup, series
 from tidemark.operators import devices as device_table
 from tidemark.plans import build
 from tidemark.plans import query as q
@@ -550,6 +551,55 @@ def test_rolling_over_odd_values(spark):
     assert same == {0: (1.0, 0.0), 60_000: (None, 0.0), 120_000: (3.0, 0.0), 10_000_000: (None, 0.0)}
 
 
+def test_spans_of_any_length_meet(spark):
+    random = __import__("random").Random(4)
+    spans = [(s := random.randrange(-3000, 3000), s + random.choice([0, 1, 7, 90, 900, 4000])) for _ in range(150)]
+    others = [(s := random.randrange(-3000, 3000), s + random.choice([1, 5, 70, 2500])) for _ in range(25)]
+    left = spark.createDataFrame([(i, *s) for i, s in enumerate(spans)], "i int, start long, end long")
+    right = spark.createDataFrame(others, "r_start long, r_end long")
+    for width in (1, 10, 1000):
+        found = {r["i"] for r in joins.overlapping(left, right, ["i"], width).collect()}
+        assert found == {i for i, (s, e) in enumerate(spans) if s < e and any(s < b and e > a for a, b in others)}
+    day, own = 86_400_000, spark.createDataFrame([(s * 86_400_000 + 5,) for s in (-700, 0, 1, 300, 511, 512, 777)], "s long")
+    a, b = joins.blocks(F.col("s"), F.col("s") + 512 * day, day)
+    assert max(r[0] for r in own.select(F.size(a) + F.size(b)).collect()) <= 40
+
+
+def test_fleet_plans_equal_each_devices_own(spark):
+    random = __import__("random").Random(9)
+    p, hour = default_pyramid([{"name": "v"}]), 3_600_000
+    rungs = {t.name: [str(r) for r in t.shards] for t in p.tiers}
+    shards = []
+    for d in range(12):
+        for _ in range(random.randrange(0, 25)):
+            t = random.choice(["raw", "m10", "h2", "d1"])
+            s = random.randrange(-10, 200) * hour
+            shards.append((d, t, random.choice(rungs[t]), s, s + random.choice([hour // 7, hour, 5 * hour, 50 * hour])))
+    table = spark.createDataFrame(shards, "device_id long, tier string, rung string, period_start long, period_end long")
+    for budget in (8, 90, 900):
+        plan, segments = q.plan_fleet(p, table, 3 * hour, 180 * hour, budget)
+        got: dict = {}
+        for r in segments.orderBy("device_id", "start").collect():
+            got.setdefault(r["device_id"], []).append((r["tier"], r["start"], r["end"]))
+        for d in range(12):
+            one = q.plan_from_inventory(p, 3 * hour, 180 * hour, budget, [s[1:] for s in shards if s[0] == d])
+            assert (one.output_tier, one.output_bin) == (plan.output_tier, plan.output_bin)
+            assert got.get(d, []) == [(s.tier, s.start, s.end) for s in one.segments]
+
+
+def test_a_merge_tells_its_conflicts(spark, tmp_path):
+    schema = "k int, v double"
+    old, new = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], schema), spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 4.0), (4, 4.0)], schema)
+    seen = Observation()
+    assert sorted(tuple(r) for r in ingest.merge(old, new, ["k"], ["v"], seen=seen).collect()) == [(1, 1.0), (2, None), (3, 3.0), (4, 4.0)]
+    assert seen.get == {"rows": 4, "conflicts": 2}
+    merge = lambda v, how="warn": files.merge_monthly(spark, str(tmp_path / "m"), spark.createDataFrame([(datetime(2024, 1, 1), v)], "timestamp timestamp, v double"), ["timestamp"], ["v"], on_conflict=how)
+    assert merge(1.0)
+    with pytest.warns(UserWarning, match="1 keys have readings that differ"):
+        assert not merge(2.0)
+    assert merge(2.0, "replace")
+
+
 def test_bands_of_null_spreads(spark):
     df = spark.createDataFrame([(1, 2.0, None), (1, 5.0, 1.0), (2, None, None), (3, -1.0, None)], "k int, m double, s double")
     bounds = lambda **a: {r["k"]: (r["y_min"], r["y_max"]) for r in analytics.axis_bounds(df, F.col("m"), F.col("s"), ["k"], **a).collect()}

@@ -23,13 +23,6 @@ def coerce(value: Column) -> Column:
     return F.nanvl(value.try_cast("double"), F.lit(None).cast("double"))
 
 
-def _summed(entries: Column) -> Column:
-    """A map of the entries' (key, value), values of equal keys added."""
-    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-    total = lambda k: F.aggregate(F.filter(entries, lambda e: e["key"] == k), F.lit(0).cast("long"), lambda n, e: n + e["value"])
-    return F.map_from_arrays(keys, F.transform(keys, total))
-
-
 @dataclass(frozen=True)
 class Metric:
     """``value``: an expression over readings; ``scale``: decimal places for exact, order-free sums; ``k`` and ``width`` for the monoids that need them."""
@@ -77,10 +70,8 @@ class Metric:
         out = self.state[0]
         if self.monoid == "hll":
             return [F.hll_union_agg(out).alias(out)]
-        if self.monoid in ("topk", "botk"):
-            return [F.slice(F.sort_array(F.flatten(F.collect_list(out)), self.monoid == "botk"), 1, self.k).alias(out)]
-        if self.monoid == "histogram":
-            return [_summed(F.flatten(F.collect_list(F.map_entries(out)))).alias(out)]
+        if self.listed:
+            raise ValueError(f"{self.monoid} has no single merge; see operators.rollup.merged")
         if self.monoid == "quantile":
             return [F.kll_merge_agg_double(out).alias(out)]
         merged = [F.coalesce(F.sum(out), F.lit(0)).cast("long").alias(out)]

@@ -195,14 +195,7 @@ def rotation(devices: DataFrame, minute: int, id_: str = "device_id") -> DataFra
 
 def fetch_trace(calls: DataFrame, by_key: bool = True) -> DataFrame:
     """Per key, or over all: calls, bytes and ms, bytes by phase, cached calls and their share; a key's first call (by seq) reads metadata, later ones data."""
-    firsts = calls.groupBy("key").agg(F.min("seq").alias("_first"))
-    meta = F.col("seq") == F.col("_first")
-    return calls.join(firsts, "key").groupBy(*(["key"] if by_key else [])).agg(
-        F.count("*").alias("calls"),
-        F.sum("bytes").alias("bytes"),
-        F.sum("ms").alias("ms"),
-        F.sum(F.when(meta, F.col("bytes")).otherwise(0)).alias("meta_bytes"),
-        F.sum(F.when(meta, 0).otherwise(F.col("bytes"))).alias("data_bytes"),
-        F.count_if("cached").alias("cached"),
-        (F.count_if("cached") / F.count("*")).alias("hit_share"),
-    )
+    by = calls.groupBy("key").agg(F.count("*").alias("calls"), F.sum("bytes").alias("bytes"), F.sum("ms").alias("ms"), F.min_by("bytes", "seq").alias("meta_bytes"), F.count_if("cached").alias("cached"))
+    if not by_key:
+        by = by.agg(*(F.sum(c).alias(c) for c in ("calls", "bytes", "ms", "meta_bytes", "cached")))
+    return by.withColumn("data_bytes", F.col("bytes") - F.col("meta_bytes")).withColumn("hit_share", F.col("cached") / F.col("calls"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.monoid import coerce
@@ -66,17 +66,31 @@ def conflicts(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     return found.where("variants > 1")
 
 
-def merge(stored: DataFrame, new: DataFrame, keys: list[str], values: list[str], on_conflict: str = "warn") -> DataFrame:
-    """Old and new readings, one a key.
+def outcomes(stored: DataFrame, new: DataFrame, keys: list[str], values: list[str], replace: bool = False) -> DataFrame:
+    """Old and new readings, one a key, with ``added`` (the key wasn't stored) and ``differs`` (its readings differ, nulls from values too).
 
-    The stored one stays; ``replace`` takes the new one where the values differ; ``error``
-    raises if any do.
+    One aggregate, which combines before the shuffle. Of new readings of one key the least by value counts.
     """
     columns = [*keys, *values]
     both = stored.select(*columns).withColumn("_new", F.lit(0)).unionByName(new.select(*columns).withColumn("_new", F.lit(1)))
-    if on_conflict == "error" and conflicts(both, keys, values).limit(1).count():
+    row, pick = F.struct(*values), F.max_by if replace else F.min_by
+    held = both.groupBy(*keys).agg(pick(row, F.struct("_new", *values)).alias("_row"), (F.min("_new") == 1).alias("added"), (F.min(row) < F.max(row)).alias("differs"))
+    return held.select(*keys, *(F.col(f"_row.{v}").alias(v) for v in values), "added", "differs")
+
+
+def merge(stored: DataFrame, new: DataFrame, keys: list[str], values: list[str], on_conflict: str = "warn", seen: Observation | None = None) -> DataFrame:
+    """Old and new readings, one a key.
+
+    The stored one stays; ``replace`` takes the new one where the values differ; ``error``
+    raises if any do. ``seen`` gets, from the job that uses the result, its ``rows`` and the
+    ``conflicts``: keys whose readings differ.
+    """
+    out = outcomes(stored, new, keys, values, on_conflict == "replace")
+    if on_conflict == "error" and out.where("differs").limit(1).count():
         raise ValueError("readings with equal keys differ")
-    return dedupe(both, keys, [F.col("_new")], "last" if on_conflict == "replace" else "first").drop("_new")
+    if seen is not None:
+        out = out.observe(seen, F.count("*").alias("rows"), F.count_if("differs").alias("conflicts"))
+    return out.drop("added", "differs")
 
 
 def inserted(before: DataFrame, new: DataFrame, keys: list[str]) -> int:

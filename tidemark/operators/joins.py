@@ -6,23 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    last = F.floor((F.col(end) - 1) / width)
-    return df.where(F.col(start) < F.col(end)).withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), last)))
+#: Blocks are at most 2 ** TOP cells long; a longer span has several of that length.
+TOP = 10
+
+
+def blocks(start: Column, end: Column, width: int, top: int = TOP) -> tuple[Column, Column]:
+    """The span [start, end) as arrays of (level, place): the fewest aligned blocks of 2 ** level cells that make it up, and the longer blocks that hold some of these but reach beyond the span.
+
+    For a span of n cells these are at most 2 log n blocks each, and one for every 2 ** ``top``
+    cells. Two spans meet in a cell just where a block of one is a block of the other, or one
+    that holds some of the other's.
+    """
+    first, last = F.floor(start / width), F.floor((end - 1) / width) + 1
+    own, over = [], []
+    for level in range(top + 1):
+        n = 1 << level
+        lo, hi = F.ceil(first / n).cast("long"), F.floor(last / n).cast("long")
+        place = lambda i, at=level: F.struct(F.lit(at).alias("level"), i.alias("place"))
+        none = F.expr("cast(array() as array<struct<level: int, place: bigint>>)")
+        if level == top:
+            own.append(F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda i: place(i))).otherwise(none))
+        else:
+            own.append(F.when((lo < hi) & (F.pmod(lo, F.lit(2)) == 1), F.array(place(lo))).otherwise(none))
+            own.append(F.when((lo < hi) & (F.pmod(hi, F.lit(2)) == 1), F.array(place(hi - 1))).otherwise(none))
+        if level:
+            cut = lambda c, size=n: F.pmod(c, F.lit(size)) != 0
+            over.append(F.when(cut(first), F.array(place(F.floor(first / n).cast("long")))).otherwise(none))
+            over.append(F.when(cut(last), F.array(place(F.floor(last / n).cast("long")))).otherwise(none))
+    return F.array_distinct(F.concat(*own)), F.array_distinct(F.concat(*over))
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int, also: Column | None = None, left_span=("start", "end"), right_span=("r_start", "r_end")) -> DataFrame:
     """Rows of ``left`` whose half-open span meets one of ``right`` (and ``also`` holds), each once.
 
-    Both sides are cut into cells of ``width``, so the join is an equi-join on the cell;
-    choose a width near the usual span. ``keys`` identify a left row.
+    Both sides are cut into aligned blocks of cells of ``width``, so the join is an
+    equi-join on the block, however long the spans. ``keys`` identify a left row.
     """
-    a, b = _cells(left, *left_span, width), _cells(right, *right_span, width)
+    sides = []
+    for df, span in ((left, left_span), (right, right_span)):
+        own, over = blocks(F.col(span[0]), F.col(span[1]), width)
+        held = df.where(F.col(span[0]) < F.col(span[1]))
+        sides.append((held.withColumn("_block", F.explode(own)), held.withColumn("_block", F.explode(F.concat(own, over))), held.withColumn("_block", F.explode(over))))
     meets = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(left_span[1]) > F.col(right_span[0]))
     if also is not None:
         meets = meets & also
-    found = a.join(b, (a["_cell"] == b["_cell"]) & meets, "left_semi").select(*keys).distinct()
-    return left.join(found, keys, "left_semi")
+    found = None
+    for a, b in ((sides[0][0], sides[1][1]), (sides[0][2], sides[1][0])):
+        part = a.join(b, (a["_block"] == b["_block"]) & meets, "left_semi").select(*keys)
+        found = part if found is None else found.unionByName(part)
+    return left.join(found.distinct(), keys, "left_semi")
 
 
 def uncovered_days(devices: DataFrame, rows: DataFrame, day_ms: int = 86_400_000) -> DataFrame:

@@ -131,6 +131,17 @@ def coverage(slots_: DataFrame, stale_: DataFrame | None = None, now: int | None
     return out.drop("_end")
 
 
+def coverage_levels(slots_: DataFrame) -> DataFrame:
+    """Rungs, tiers and devices in one pass: level, device_id, tier and rung (null above their level), expected, present, pending, missing, first missing period, and whether none is."""
+    gone = F.col("status") == "missing"
+    levels = slots_.groupingSets([["device_id", "tier", "rung"], ["device_id", "tier"], ["device_id"]], "device_id", "tier", "rung")
+    out = levels.agg(
+        F.grouping_id().alias("_set"), F.count("*").alias("expected"), F.count_if(F.col("status") == "present").alias("present"), F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(gone).alias("missing"), F.min(F.when(gone, F.col("period_start"))).alias("first_missing")
+    )
+    level = F.when(F.col("_set") == 0, "rung").when(F.col("_set") == 1, "tier").otherwise("device")
+    return out.select(level.alias("level"), "device_id", "tier", "rung", "expected", "present", "pending", "missing", "first_missing", (F.col("missing") == 0).alias("complete"))
+
+
 def device_coverage(coverage_: DataFrame) -> DataFrame:
     return coverage_.groupBy("device_id").agg(F.sum(F.col("expected") - F.col("present") - F.col("pending")).alias("missing"), F.sum("pending").alias("pending"), F.bool_and("complete").alias("all_complete"))
 

@@ -6,8 +6,13 @@ carry the time and device filters, so partitions and row groups prune.
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby, islice
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +144,85 @@ def plan_from_inventory(pyramid: Pyramid, start: int, end: int, budget: int, sha
     return QueryPlan(name, str(tier.bin), max((e for n, _, _, e in shards if n == finest), default=end), tuple(segments), smoothing)
 
 
+SEGMENTS = "device_id long, tier string, start long, end long"
+
+
+def plan_fleet(pyramid: Pyramid, shards: DataFrame, start: int, end: int, budget: int, smooth: str | int | None = None, mode: str = "centered") -> tuple[QueryPlan, DataFrame]:
+    """``plan_from_inventory`` for every device by its own shards (device_id, tier, rung, period_start, period_end): the plan without segments, and these as rows (``SEGMENTS``).
+
+    A device's shards stream through a task in order of their starts, so what it holds is the
+    shards that cover one point.
+    """
+    name = choose_tier(pyramid, end - start, budget, start)
+    tier = pyramid.tier(name)
+    smoothing = smoothing_of(smooth, tier.bin, mode)
+    lo, hi = _reach(tier.bin, start, end, smoothing)
+    chain = [tier]
+    while (source := pyramid.source_of(chain[-1].name)) is not None:
+        chain.append(source)
+    depth = {t.name: i for i, t in enumerate(chain)}
+    near = shards.where(F.col("tier").isin(list(depth)) & (F.col("period_start") < hi) & (F.col("period_end") > lo)).select(F.col("device_id").cast("long"), "tier", "rung", F.col("period_start").cast("long"), F.col("period_end").cast("long"))
+
+    def covered(held: Iterator[tuple[str, str, int, int]]) -> Iterator[tuple[str, int, int]]:
+        """Runs (tier, start, end) of one device, its shards in order of their starts."""
+        at, ahead, live, run = lo, deque(islice(held, 1)), [[] for _ in chain], None
+        while at < hi:
+            while ahead and ahead[0][2] <= at:
+                name, rung, _, until = ahead.popleft()
+                heapq.heappush(live[depth[name]], (-Duration.of(rung).usual_ms, -min(hi, span_of(until, chain[depth[name]].bin)[0])))
+                if not ahead:
+                    ahead.extend(islice(held, 1))
+            for heap in live:
+                while heap and -heap[0][1] <= at:
+                    heapq.heappop(heap)
+            place = next((i for i, heap in enumerate(live) if heap), None)
+            if place is None:
+                if not ahead:
+                    break
+                first = lambda s: ceil_bin(s[2], chain[depth[s[0]]].bin)
+                to, begun = min(map(first, ahead)), True
+                while begun and ahead[-1][2] < to:  # a later one may begin on an earlier bin
+                    begun = list(islice(held, 1))
+                    ahead.extend(begun)
+                    to = min([to, *map(first, begun)])
+                at = to
+                continue
+            to = -live[place][0][1]
+            if run is not None and (run[0], run[2]) == (chain[place].name, at):
+                run = (run[0], run[1], to)
+            else:
+                if run is not None:
+                    yield run
+                run = (chain[place].name, at, to)
+            at = to
+        for _ in held:  # what begins later than the range
+            pass
+        if run is not None:
+            yield run
+
+    def cover(batches):
+        rows = ((r[0], r[1:]) for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        out = [(device, *run) for device, own in groupby(rows, key=lambda r: r[0]) for run in covered(r[1] for r in own)]
+        yield pd.DataFrame(out, columns=["device_id", "tier", "start", "end"])
+
+    ordered = near.repartition("device_id").sortWithinPartitions("device_id", "period_start")
+    return QueryPlan(name, str(tier.bin), end, (), smoothing), ordered.mapInPandas(cover, SEGMENTS)
+
+
+def execute_fleet(plan: QueryPlan, segments: DataFrame, pyramid: Pyramid, tiers: dict[str, DataFrame], start: int, end: int) -> DataFrame:
+    """As ``execute``, each device's rows from its own segments: one join a tier."""
+    metrics, dims = list(pyramid.metrics), list(pyramid.dims)
+    lo, hi = _reach(Duration.of(plan.output_bin), start, end, plan.smoothing)
+    chain, pieces = pyramid.tier(plan.output_tier), []
+    while chain is not None:
+        own = segments.where(F.col("tier") == chain.name).select(F.col("device_id").alias("_device"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        rows = tiers[chain.name].where((F.col(TS) >= lo) & (F.col(TS) < hi))
+        part = rows.join(own, (F.col("device_id") == F.col("_device")) & (F.col(TS) >= F.col("_start")) & (F.col(TS) < F.col("_end")), "left_semi")
+        pieces.append(part if chain.name == plan.output_tier else coarsen(part, str(chain.bin), plan.output_bin, metrics, dims))
+        chain = pyramid.source_of(chain.name)
+    return _finished(plan, stitch(pieces, metrics, dims), metrics, dims, start, end)
+
+
 def freshness(recorded: DataFrame, device_ids: list[int] | None = None) -> dict[str, int]:
     """Up to where each tier's recorded shards reach, of the devices asked for the one that lags; a few rows on the driver."""
     rows = recorded if device_ids is None else recorded.where(F.col("device_id").isin(device_ids))
@@ -157,7 +241,11 @@ def execute(plan: QueryPlan, pyramid: Pyramid, tiers: dict[str, DataFrame], star
         if s.reaggregate:
             part = coarsen(part, str(pyramid.tier(s.tier).bin), plan.output_bin, metrics, dims)
         pieces.append(part)
-    out = stitch(pieces, metrics, dims)
+    return _finished(plan, stitch(pieces, metrics, dims), metrics, dims, start, end)
+
+
+def _finished(plan: QueryPlan, out: DataFrame, metrics: list, dims: list[str], start: int, end: int) -> DataFrame:
+    """Smoothing, if the plan has any, and the rows of [start, end)."""
     if plan.smoothing:
         state = [c for m in metrics for c in m.state]
         named = {c[: c.rindex("_")] + "_smooth" + c[c.rindex("_") :]: F.col(c) for c in state}

@@ -133,12 +133,14 @@ def tier_distinct_exact(spark, sf):
     return readings(spark, sf).groupBy(floor_bin(F.col("ms"), "1d").alias("ts")).agg(F.count_distinct("device_id").alias("devices"))
 
 
-@query()
+@query(f"WITH {READINGS} SELECT device_id, {fixed(DAY)} AS ts, count(DISTINCT event_id) AS exact_n, TRUE AS within FROM readings GROUP BY 1, 2")
 def tier_hll(spark, sf):
-    """Distinct event ids a device and day by sketch; approximate, so no SQL."""
+    """Distinct event ids a device and day, and whether the sketch's estimate is within 5 % of them (or one)."""
     m = Metric("event", "event_id", "hll")
     day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", [m]), "6h", "1d", [m])
-    return day.select("device_id", "ts", F.hll_sketch_estimate("event_hll").alias("events"))
+    exact = readings(spark, sf).groupBy("device_id", floor_bin(F.col("ms"), "1d").alias("ts")).agg(F.count_distinct("event_id").alias("exact_n"))
+    close = F.abs(F.hll_sketch_estimate("event_hll") - F.col("exact_n")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact_n"))
+    return day.join(exact, ["device_id", "ts"]).select("device_id", "ts", "exact_n", close.alias("within"))
 
 
 @query(f"WITH {READINGS}, t AS (SELECT device_id, {fixed(DAY)} AS ts, list(value ORDER BY value DESC)[:3] AS top, list(value ORDER BY value)[:3] AS low FROM readings GROUP BY 1, 2) SELECT device_id, ts, array_to_string(top, ' ') AS top, array_to_string(low, ' ') AS low FROM t")
@@ -158,12 +160,16 @@ def tier_histogram(spark, sf):
     return day.select("device_id", "ts", F.explode("value_histogram").alias("bucket", "n"))
 
 
-@query()
+@query(f"WITH {READINGS} SELECT device_id, {fixed(DAY)} AS ts, count(value) AS exact_n, TRUE AS within FROM readings GROUP BY 1, 2")
 def tier_quantile(spark, sf):
-    """The median of a device and day by sketch; approximate, so no SQL."""
+    """The median of a device and day by sketch, and whether the share of readings up to it is within 5 % of a half (or a reading of it)."""
     m = Metric("value", "value", "quantile")
     day = rollup.coarsen(rollup.aggregate_raw(readings(spark, sf), "6h", [m]), "6h", "1d", [m])
-    return day.select("device_id", "ts", F.kll_sketch_get_quantile_double("value_quantile", F.lit(0.5)).alias("median"))
+    median = day.select("device_id", "ts", F.kll_sketch_get_quantile_double("value_quantile", F.lit(0.5)).alias("median"))
+    own = readings(spark, sf).select("device_id", floor_bin(F.col("ms"), "1d").alias("ts"), "value").join(median, ["device_id", "ts"])
+    counts = own.groupBy("device_id", "ts").agg(F.count("value").alias("exact_n"), F.count_if(F.col("value") < F.col("median")).alias("under"), F.count_if(F.col("value") <= F.col("median")).alias("upto"))
+    slack = F.greatest(F.lit(1.0), 0.05 * F.col("exact_n"))
+    return counts.select("device_id", "ts", "exact_n", ((F.col("under") - slack <= F.col("exact_n") / 2) & (F.col("upto") + slack >= F.col("exact_n") / 2)).alias("within"))
 
 
 CHAIN = Pyramid.of({"metrics": [{"name": "price", "value": "o_totalprice", "scale": 2}], "dims": [{"name": "device_id"}], "tiers": [{"name": "day", "bin": "1d", "shards": ["1mo"]}, {"name": "month", "bin": "1mo", "shards": ["1y"]}, {"name": "year", "bin": "1y", "shards": ["10y"]}]})
@@ -243,6 +249,21 @@ def inventory_plan(spark, sf):
     return range_query.execute(plan, PYRAMID, _planned(spark, sf, plan), START, END)
 
 
+_FLEET = f"device_id % 3 <> 2 OR ms < {START + 2 * DAY} OR ms >= {START + 3 * DAY}"
+
+
+@query(f"WITH {READINGS}, t AS ({tier_sql(DAY, _FLEET)}) SELECT * FROM t WHERE ts >= {START} AND ts < {END}")
+def inventory_plan_fleet(spark, sf):
+    """Devices with different shards: days alone; days, then six hours, then minutes; minutes alone, with a day that none has."""
+    shards = [(0, "d1", "32d", START - DAY, END + DAY), (1, "d1", "32d", START - 4 * DAY, START + 3 * DAY), (1, "h6", "16d", START, START + 5 * DAY)]
+    shards += [(k, "raw", "1d", d, d + DAY) for k in (1, 2) for d in range(START, END, DAY) if (k, d) != (2, START + 2 * DAY)]
+    kinds = spark.createDataFrame(shards, "kind int, tier string, rung string, period_start long, period_end long")
+    fleet = readings(spark, sf).select("device_id", (F.col("device_id") % 3).cast("int").alias("kind")).distinct()
+    chain = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], "tiers": [{"name": "raw", "bin": "1min", "shards": ["1d"]}, {"name": "h6", "bin": "6h", "shards": ["16d"]}, {"name": "d1", "bin": "1d", "shards": ["32d"]}]})
+    plan, segments = range_query.plan_fleet(chain, fleet.join(kinds, "kind"), START, END, 10)
+    return range_query.execute_fleet(plan, segments, chain, range_query.build_tiers(chain, readings(spark, sf)), START, END)
+
+
 def smooth_sql(width: int, before: int, after: int) -> str:
     parts = ", ".join(f"sum(value_{s}) OVER w AS value_smooth_{s}" for s in ("sum", "sumsq"))
     lo, hi = START // width * width, -(-END // width) * width
@@ -612,9 +633,25 @@ def work_list(spark, sf):
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """The place of each row of an ordered result, the parts of which Spark keeps in order."""
-    rows = rows.select("device_id", "tier", "rung", "period_start").withColumn("_at", F.monotonically_increasing_id())
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("_at")).cast("long")).drop("_at")
+    """The place of each row of an ordered result: its place in its part, and the rows of the parts before, of which there is one number each."""
+    spark, path = rows.sparkSession, _scratch(rows.sparkSession, "ordered")
+    rows.select("device_id", "tier", "rung", "period_start").withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)  # a part's number is in the id's upper bits
+    held = spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = held.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    return held.join(before, "_part").withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).select("device_id", "tier", "rung", "period_start", "place")
+
+
+_LONG = "SELECT device_id, rung, period_start, period_start + w AS period_end, period_start + (device_id % 40) * 86400000 AS written_at FROM (SELECT DISTINCT device_id, rung, w, ms - ms % w AS period_start FROM readings, (VALUES ('128d', 128 * 86400000::BIGINT), ('512d', 512 * 86400000::BIGINT)) v(rung, w))"
+
+
+@query(f'WITH {READINGS}, {JOURNAL}, recorded AS ({_LONG}) SELECT * FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at + 15000000000 < j.requested_at)')
+def stale_long_rungs(spark, sf):
+    """Shards of 128 and 512 days that late entries of the journal reach."""
+    at = readings(spark, sf).select("device_id", "ms")
+    rungs = [at.select("device_id", F.lit(r).alias("rung"), floor_bin(F.col("ms"), r).alias("period_start")).distinct().withColumn("period_end", F.col("period_start") + Duration.of(r).ms) for r in ("128d", "512d")]
+    held = reduce(DataFrame.unionByName, rungs).withColumn("written_at", F.col("period_start") + (F.col("device_id") % 40) * DAY).withColumn("tier", F.lit("d1"))
+    shifted = _journal(spark, sf).withColumn("requested_at", F.col("requested_at") - 15_000_000_000)
+    return registry.stale(held, shifted).drop("tier")
 
 
 @query(f"WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS} SELECT device_id, 'm10' AS tier, period_start FROM expected UNION ALL SELECT device_id, 'raw', period_start FROM expected WHERE FALSE")
@@ -664,6 +701,20 @@ def coverage(spark, sf):
     return registry.coverage(registry.slots(_expected_days(spark, sf), _recorded(spark, sf), _shards(spark, sf)))
 
 
+@query(f"""WITH {RECORDED}, {DEVICES}, {EXPECTED_DAYS}, wide AS ({cover_sql(["4d", "32d"], NOW)}), all_ AS (SELECT device_id, 'raw' AS tier, '1d' AS rung, period_start FROM expected UNION ALL SELECT device_id, 'm30', rung, period_start FROM wide),
+ held AS (SELECT device_id, 'raw' AS tier, '1d' AS rung, period_start FROM recorded UNION ALL SELECT device_id, 'm30', rung, period_start FROM wide WHERE device_id % 2 = 0 OR rung = '32d' AND device_id % 5 = 0),
+ slots AS (SELECT a.*, CASE WHEN h.device_id IS NOT NULL THEN 'present' WHEN s.device_id IS NOT NULL THEN 'pending' ELSE 'missing' END AS status FROM all_ a LEFT JOIN held h ON h.device_id = a.device_id AND h.tier = a.tier AND h.rung = a.rung AND h.period_start = a.period_start LEFT JOIN shards s ON a.tier = 'raw' AND s.device_id = a.device_id AND s.period_start = a.period_start)
+ SELECT CASE grouping_id(device_id, tier, rung) WHEN 0 THEN 'rung' WHEN 1 THEN 'tier' ELSE 'device' END AS level, device_id, coalesce(tier, '') AS tier, coalesce(rung, '') AS rung, count(*) AS expected, count(*) FILTER (WHERE status = 'present') AS present, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'missing') AS missing, coalesce(min(CASE WHEN status = 'missing' THEN period_start END), -1) AS first_missing, count(*) FILTER (WHERE status = 'missing') = 0 AS complete
+ FROM slots GROUP BY GROUPING SETS ((device_id, tier, rung), (device_id, tier), (device_id))""")
+def coverage_levels(spark, sf):
+    """Coverage of two tiers by rung, tier and device."""
+    wide = registry.expected(_devices(spark, sf), {"m30": ["4d", "32d"]}, NOW)
+    some = wide.where("device_id % 2 = 0 or (rung = '32d' and device_id % 5 = 0)").select(*registry.KEY)
+    held = _recorded(spark, sf).select(*registry.KEY).unionByName(some)
+    out = registry.coverage_levels(registry.slots(_expected_days(spark, sf).unionByName(wide), held, _shards(spark, sf)))
+    return out.withColumns({"tier": F.coalesce("tier", F.lit("")), "rung": F.coalesce("rung", F.lit("")), "first_missing": F.coalesce("first_missing", F.lit(-1).cast("long"))})
+
+
 _STALE = 's AS (SELECT device_id, count(*) AS stale FROM recorded r WHERE EXISTS (SELECT 1 FROM journal j WHERE r.period_start < j."end" AND r.period_end > j."start" AND r.written_at < j.requested_at) GROUP BY 1)'
 
 

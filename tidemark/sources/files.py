@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.utils import AnalysisException
 from ..functions.durations import Duration
 from ..functions.monoid import Metric
 from ..functions.timeaxis import PATTERNS, bin_end, label_of, period_label
-from ..operators.ingest import FIELDS, merge
+from ..operators.ingest import FIELDS, outcomes
 from ..operators.rollup import TS
 from ..plans.pyramid import Pyramid, Tier, key_pattern
 from .commits import Versioned
@@ -87,6 +88,7 @@ def monthly_table(spark: SparkSession, base: str, schema: StructType) -> Version
 def merge_monthly(spark: SparkSession, base: str, new: DataFrame, keys: list[str], values: list[str], time: str = "timestamp", on_conflict: str = "warn", expected: int | None = None) -> bool:
     """Merge ``new`` into a monthly table (``monthly_table``) and replace the months it changes; False, and nothing written, where it brings nothing new.
 
+    Where ``on_conflict`` is ``warn``, a warning tells how many keys have readings that differ.
     All months change at once, or none; if another writer has changed one of them since
     the table was read, or the table isn't at the version ``expected``, StaleVersion is raised.
     """
@@ -95,12 +97,16 @@ def merge_monthly(spark: SparkSession, base: str, new: DataFrame, keys: list[str
     version = table.version() if expected is None else expected
     month = F.date_format(time, "yyyy-MM").alias("month")
     near = table.read(version).join(new.select(month).distinct(), "month", "left_semi").select(*columns)
-    merged = merge(near, new, keys, values, on_conflict)
-    changed = merged.exceptAll(near).select(month).distinct()
-    names = [r["month"] for r in changed.collect()]  # a few months
+    out = outcomes(near, new, keys, values, on_conflict == "replace").withColumn("month", month)
+    told = out.groupBy("month").agg(F.count_if(F.col("added") | (F.col("differs") & F.lit(on_conflict == "replace"))).alias("changed"), F.count_if("differs").alias("conflicts")).collect()  # a few months
+    differ, names = sum(r["conflicts"] for r in told), [r["month"] for r in told if r["changed"]]
+    if differ and on_conflict == "error":
+        raise ValueError("readings with equal keys differ")
+    if differ and on_conflict == "warn":
+        warnings.warn(f"{differ} keys have readings that differ; those stored stay", stacklevel=2)
     if not names:
         return False
-    table.commit(_by_month(merged.where(F.date_format(time, "yyyy-MM").isin(names)), time), expected=version)
+    table.commit(_by_month(out.where(F.col("month").isin(names)).select(*columns), time), expected=version)
     return True
 
 
