@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -268,8 +269,10 @@ def test_marks_are_learned():
     page = '<div class="wide"><p>the words of it</p><div class="zork">gone</div></div>'
     assert html_text.extract(page, weights) == "the words of it"
     assert html_text.extract(page, html_text.RegionWeights(other=-0.1)) == "the words of it\ngone"
-    marked = html_text.parse('<div class="zork Wide2">a<p id=x>b</div><p>c<article>d</article>')
-    assert [(t.text, t.marks) for t in marked if t.words > 0] == [("a", ("zork", "wide#")), ("b", ("zork", "wide#", "x")), ("c", ()), ("d", ())]
+    marks: list = []
+    tokens = html_text.parse('<div class="zork Wide2">a<p id=x>b<i class=zork>e</i></div><p>c<article>d</article>', None, marks)
+    assert [t.text for t in tokens if t.words > 0] == ["a", "b", "e", "c", "d"]
+    assert marks == [("x", [2, 0, 0]), ("zork", [3, 0, 0]), ("wide#", [3, 0, 0])]  # a mark within itself counts once
 
 
 def test_best_run_equals_brute_force():
@@ -295,3 +298,44 @@ def test_pages_as_a_frame(spark, sf_dir):
     odd = spark.createDataFrame([(1, None, None), (2, "u", ""), (2, "u", "<p>" * 20_000 + "x"), (3, "u", "<a title='" * 500)], "page_id long, url string, html string")
     assert sorted(r["text"] for r in html_text.main_text(odd, weights).collect())[:2] == ["", ""]
     assert html_text.main_text(pages.limit(0), html_text.learn(pages.limit(0))).count() == 0
+
+
+PARAGRAPH = "<p>" + "word " * 60 + "</p>"
+FURNITURE = "reader-comments user-comments article-comments post-comments comment-thread discussion responses related-articles related-stories share-tools global-nav gdpr-consent popup-overlay recommended"
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>"])
+def test_furniture_by_its_parts(around):
+    page = lambda name: around % f"{PARAGRAPH}<div class='{name}'><p>some more here.</p></div>{PARAGRAPH}"
+    for name in FURNITURE.split():
+        assert "some more" not in html_text.extract(page(name), html_text.RegionWeights()), name
+    for name in ("search-algorithms", "shared-memory", "readership", "content-body"):
+        assert "some more" in html_text.extract(page(name), html_text.RegionWeights()), name
+
+
+def test_parts_are_learned_from_what_stands_beside():
+    counts = {("word", ""): (10_000, 5_000), ("mark", "zq-strip"): (0, 900), ("part", "zq"): (0, 900), ("part", "strip"): (0, 900), ("linked", ""): (10, 400)}
+    weights = html_text.weights_from(counts)
+    page = f"<article>{PARAGRAPH}<div class='%s'>some more here.</div>{PARAGRAPH}</article>"
+    assert "some more" not in html_text.extract(page % "strip-zq", weights)  # a mark never seen, of parts that were
+    assert "some more" in html_text.extract(page % "zq-algebra", weights)  # a part that nothing speaks against
+    assert weights.linked < -1
+
+
+def test_lists_of_links_are_no_text():
+    links = "".join(f"<li><a href=/{i}>linked title {i}</a></li>" for i in range(4))
+    text = html_text.extract(f"<article>{PARAGRAPH}<ul>{links}</ul><p><a href=/>one link alone</a></p>{PARAGRAPH}</article>", html_text.RegionWeights())
+    assert "linked title" not in text
+    text = html_text.extract(f"<article>{PARAGRAPH}<p><a href=/>one link alone</a></p><ul><li><a href=/>a</a> and more</li></ul></article>", html_text.RegionWeights())
+    assert "one link alone" in text and "a and more" in text
+
+
+@pytest.mark.parametrize("page", ["<!" * 500_000, "</ " * 330_000, "<?x" * 330_000, "<div class=x>" * 100_000 + "word", "<div class=x><p>w" * 50_000], ids=["declarations", "ends", "questions", "marked", "paragraphs"])
+def test_unclosed_and_nested_marks_take_linear_time(page):
+    began = time.process_time()
+    html_text.parse(page, None, [])
+    whole = time.process_time() - began
+    began = time.process_time()
+    html_text.parse(page[: len(page) // 4], None, [])
+    quarter = time.process_time() - began
+    assert whole < max(1.0, 8 * quarter)

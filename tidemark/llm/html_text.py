@@ -3,16 +3,19 @@
 A page is a sequence of words and tags. Words score positive and tags negative; how much
 is learned from labelled pages, those whose markup names the content (an article or main
 element). There words in the content element score positive and words beside it negative;
-a tag's score is the log odds of standing in the content rather than beside it, and so is
-that of a mark, a name in an element's class, id or role. One linear scan finds the
+a tag's score is the log odds of standing in the content rather than beside it, and so are
+those of a mark, a name in an element's class, id or role, and of each part of one. A block
+whose words are mostly links scores by what such blocks do on labelled pages. One linear scan finds the
 contiguous run with the highest sum, its ends widen to whole blocks, and the words in it
 that score positive are the text.
 
 On a page whose markup names no content, every word scores positive until its element's
 marks say otherwise, and tags by what was learned. Elements that HTML itself defines as
 no content (menus, forms, scripts, hidden ones, ...) and those whose marks outweigh a word
-stand outside the sequence. Without evidence a mark counts against an element only if all
-its parts name page furniture or layout (``cookie-banner``, but not ``search-algorithms``).
+stand outside the sequence. A mark counts against an element by its parts: those that name
+page furniture (and parts that labelled pages show beside the content), unless the mark also has
+a part that is neither that nor a word for layout, people or pages (``reader-comments`` and ``cookie-banner`` do, ``search-algorithms`` doesn't).
+Three or more neighbouring blocks that are links alone are a list of links, not text, also inside the content.
 
 Defined cases: null and empty pages, and pages without words, give an empty text; an
 unclosed element ends where HTML implies its end tag (a paragraph at the next block, an
@@ -60,15 +63,15 @@ ENDS = {
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = ("article", "main")
 # Parts of the names that pages give to their furniture, and parts that only say where or how it is laid out.
-FURNITURE = frozenset("ad ads advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header masthead menu menus modal nav navbar navigation newsletter notice notices popup promo promos promotion related replies reply respond search share sharing sidebar sidebars social sponsor sponsored subscribe widget widgets".split())
-LAYOUT = frozenset("area bar block body bottom box button buttons col column container content form group icons inner item items left link links list main outer page panel posts primary right row secondary section signup site slot top unit wrap wrapper".split())
+FURNITURE = frozenset("ad ads advert advertisement advertising adverts banner banners breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies discussion discussions disqus footer gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices overlay popup promo promos promotion recommendations recommended related replies reply respond response responses search share sharing sidebar sidebars social sponsor sponsored subscribe trending widget widgets".split())
+LAYOUT = frozenset("area article articles bar block blog body bottom box button buttons col column container content entry feed form global group icons inner item items latest left link links list main more news of outer page panel popular post posts primary reader readers right row secondary section signup site slot stories story the thread threads tools top unit user users visitor wrap wrapper you".split())
 #: An attribute as HTML reads it: a quote after "=" opens a value of any length; one that never closes is a plain character, so its tag ends at the next ">".
 _ATTRIBUTE = r"(?P<key>[^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"(?P<double>[^\"]*+)\"|'(?P<single>[^']*+)'|(?P<bare>[^\s>\"'][^\s>]*+)|(?=>)))?+"
 ATTRIBUTE = re.compile(_ATTRIBUTE)
-#: Each character is read a bounded number of times: a tag goes to its ">" or, without one, takes the rest of the page.
+#: Each character is read a bounded number of times: a tag or declaration goes to its ">" or, without one, takes the rest of the page.
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|xmp|noembed|noframes)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[\s/]++|{_ATTRIBUTE})*+)(?P<end>>?)|<[/!?][^>]*>|(?P<text>[^<]+|<)",
+    rf"|<(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*+)(?P<attrs>(?:[\s/]++|{_ATTRIBUTE})*+)(?P<end>>?)|<[/!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
@@ -76,15 +79,27 @@ INVISIBLE = re.compile(r"display\s*:\s*none", re.I)
 
 @dataclass(frozen=True)
 class RegionWeights:
-    """Score of a word, of a tag by its name (whether it opens or closes) and of a mark; ``other`` for tags that aren't known."""
+    """Score of a word, of a tag by its name (whether it opens or closes), of a mark and of a mark's part; ``other`` for tags that aren't known; ``linked``: of a word in a block of links."""
 
     word: float = 1.0
     other: float = -1.0
     tags: dict[str, float] = field(default_factory=dict)
     marks: dict[str, float] = field(default_factory=dict)
+    parts: dict[str, float] = field(default_factory=dict)
+    linked: float = -1.0
 
     def of_marks(self, marks: list[str]) -> float:
-        return sum(self.marks[m] if m in self.marks else prior_odds(m) for m in marks)
+        return sum(self.marks[m] if m in self.marks else prior_odds(m) + self.of_parts(m) for m in marks)
+
+    def of_parts(self, mark: str) -> float:
+        """What labelled pages say of the parts of a mark that they don't hold itself; nothing if a part is neither known there nor furniture or layout."""
+        parts = parts_of(mark)
+        return sum(self.parts.get(p, 0.0) for p in parts) if all(p in self.parts or p in FURNITURE or p in LAYOUT for p in parts) else 0.0
+
+
+@lru_cache(maxsize=1 << 16)
+def parts_of(mark: str) -> tuple[str, ...]:
+    return tuple(dict.fromkeys(p for p in re.split(r"[^a-z]+", mark) if p))
 
 
 def marks_of(attrs: dict[str, str]) -> list[str]:
@@ -96,7 +111,7 @@ def marks_of(attrs: dict[str, str]) -> list[str]:
 @lru_cache(maxsize=1 << 16)
 def prior_odds(mark: str) -> float:
     """Log odds of a mark that no labelled page holds: against content if all its parts are furniture or layout, one of them furniture."""
-    parts = [p for p in re.split(r"[^a-z]+", mark) if p]
+    parts = parts_of(mark)
     return -4.0 if FURNITURE.intersection(parts) and FURNITURE.union(LAYOUT).issuperset(parts) else 0.0
 
 
@@ -168,23 +183,39 @@ class OpenElements:
 
 @dataclass(frozen=True)
 class Token:
-    """A tag (``words`` -1, ``/name`` closes) or a text with its words; ``place``: 2 in an article, 1 in main alone, 0 elsewhere; ``marks`` of the tag itself or of the text's open elements, where asked for."""
+    """A tag (``words`` -1, ``/name`` closes) or a text with its words; ``place``: 2 in an article, 1 in main alone, 0 elsewhere; whether a tag has marks, and whether a text is within a link."""
 
     text: str
     words: int
     place: int
-    marks: tuple[str, ...] = ()
+    marked: bool = False
+    linked: bool = False
 
     @property
     def name(self) -> str:
         return self.text.lstrip("/")
 
 
-def parse(page: str, weights: RegionWeights | None = None) -> list[Token]:
-    """Tokens outside set-aside elements; without weights only what HTML defines is set aside, and texts carry marks."""
+def parse(page: str, weights: RegionWeights | None = None, seen: list[tuple[str, list[int]]] | None = None) -> list[Token]:
+    """Tokens outside set-aside elements; without weights only what HTML defines is set aside.
+
+    ``seen`` gets, for each element with marks, each mark that isn't open already and the
+    words in the element by place; an element costs as much however deep it is.
+    """
     tokens: list[Token] = []
     elements = OpenElements()
-    marked: list[tuple[int, list[str]]] = []  # open elements with marks, by their depth
+    marked: list[tuple[int, list[str], list[int]]] = []  # open elements with marks: depth, new marks, words so far by place
+    held: set[str] = set()
+    so_far = [0, 0, 0]
+
+    def close_marked(depth: int) -> None:
+        while marked and marked[-1][0] > depth:
+            _, own, before = marked.pop()
+            held.difference_update(own)
+            if seen is not None:
+                words = [a - b for a, b in zip(so_far, before)]
+                seen.extend((m, words) for m in own)
+
     skip, depth = "", 0  # the set-aside element and its place among the open ones
     place = lambda: 2 if elements.at["article"] else 1 if elements.at["main"] else 0
     for m in TOKEN.finditer(page):
@@ -198,8 +229,7 @@ def parse(page: str, weights: RegionWeights | None = None) -> list[Token]:
                 elements.end(name)
             else:
                 elements.start(name)
-            while marked and marked[-1][0] > len(elements.names):
-                marked.pop()
+            close_marked(len(elements.names))
             if skip:
                 if len(elements.names) > depth and not (close and name == "body"):
                     if not close and not empty:
@@ -221,15 +251,47 @@ def parse(page: str, weights: RegionWeights | None = None) -> list[Token]:
                     skip, depth = name, len(elements.names) - 1
                     tokens.append(Token(name, -1, place()))
                     continue
-                if marks and weights is None:
-                    marked.append((len(elements.names), marks))
-            tokens.append(Token("/" + name if close else name, -1, place(), () if close or empty else tuple(marks)))
+                if marks and seen is not None and (new := [x for x in marks if x not in held]):
+                    marked.append((len(elements.names), new, list(so_far)))
+                    held.update(new)
+            tokens.append(Token("/" + name if close else name, -1, place(), not close and not empty and bool(marks)))
         elif (m["text"] is not None or name is not None) and not skip:  # a tag that never ends is text
             text = _html.unescape(m[0])
-            tokens.append(Token(text, len(text.split()), place(), tuple(dict.fromkeys(x for _, own in marked for x in own))))
+            tokens.append(Token(text, len(text.split()), place(), linked=bool(elements.at["a"])))
+            so_far[place()] += tokens[-1].words
+    close_marked(-1)
     return tokens
 
 
+def linked_blocks(tokens: list[Token], share: float = 0.5) -> list[bool]:
+    """For each token whether it is text of a block whose words are links for more than ``share`` of them."""
+    out, start = [False] * len(tokens), 0
+    for i, t in enumerate([*tokens, None]):
+        if t is None or t.words < 0 and t.name in BLOCKS:
+            words = sum(x.words for x in tokens[start:i] if x.words > 0)
+            if words and sum(x.words for x in tokens[start:i] if x.words > 0 and x.linked) > share * words:
+                out[start:i] = [x.words > 0 for x in tokens[start:i]]
+            start = i + 1
+    return out
+
+
+def link_lists(tokens: list[Token], least: int = 3) -> list[bool]:
+    """For each token whether it is text of one of ``least`` or more neighbouring blocks that are links alone."""
+    out, blocks, start = [False] * len(tokens), [], 0  # blocks: start, end of those that are links alone, in a row
+    for i, t in enumerate([*tokens, None]):
+        if t is None or t.words < 0 and t.name in BLOCKS:
+            texts = [x for x in tokens[start:i] if x.words > 0]
+            if texts and all(x.linked for x in texts):
+                blocks.append((start, i))
+            if t is None or texts and not all(x.linked for x in texts):
+                if len(blocks) >= least:
+                    for s, e in blocks:
+                        out[s:e] = [x.words > 0 for x in tokens[s:e]]
+                blocks = []
+            start = i + 1
+    return out
+
+
 def named_place(tokens: list[Token]) -> int:
     """The place that the page's markup names as content: article, main where it holds more beside its articles, or 0."""
     words = [sum(t.words for t in tokens if t.words > 0 and t.place == p) for p in range(3)]
@@ -241,9 +303,10 @@ def scores(tokens: list[Token], weights: RegionWeights) -> list[float]:
     content = named_place(tokens)
     word, tag, other = weights.word, weights.tags, weights.other
     out = []
-    for t in tokens:
+    for t, of_links, listed in zip(tokens, linked_blocks(tokens), link_lists(tokens)):
         if t.words >= 0:
-            out.append(word * t.words if t.place >= content else -word * t.words)
+            value = weights.linked if of_links and not content or listed else word
+            out.append(value * t.words if t.place >= content else -word * t.words)
         else:
             out.append(-0.01 * word if content and t.place >= content else tag.get(t.name, other))
     return out
@@ -296,7 +359,7 @@ def learn(pages: DataFrame, sample: int = 2_000, most_marks: int = 2_000) -> Reg
 
     The executors count words, tags and marked words inside and beside the content; what
     reaches the driver is two counts for each name of a fixed list of tags and for the
-    ``most_marks`` marks of the most words.
+    ``most_marks`` marks and parts of the most words.
     """
     known = BLOCKS | ASIDE | INLINE | set(CONTENT)
 
@@ -304,16 +367,22 @@ def learn(pages: DataFrame, sample: int = 2_000, most_marks: int = 2_000) -> Reg
         def one(b):
             counts: dict[tuple[str, str], list[int]] = {}
             for page in string_list(b.column("html")):
-                tokens = parse(page)
+                marks: list[tuple[str, list[int]]] = []
+                tokens = parse(page, None, marks)
                 content = named_place(tokens)
-                for t in tokens if content else ():
-                    beside = t.place < content
+                if not content:
+                    continue
+                for t, of_links in zip(tokens, linked_blocks(tokens)):
                     if t.words >= 0:
-                        keys = [("word", ""), *(("mark", x) for x in t.marks)]
+                        keys = [("word", ""), *([("linked", "")] if of_links else [])]
                     else:  # a tag with marks tells of these, by the words it holds
-                        keys = [("tag", t.text)] if t.text in known and not t.marks else []
+                        keys = [("tag", t.text)] if t.text in known and not t.marked else []
                     for key in keys:
-                        counts.setdefault(key, [0, 0])[beside] += abs(t.words)
+                        counts.setdefault(key, [0, 0])[t.place < content] += abs(t.words)
+                for mark, words in marks:
+                    for key in (("mark", mark), *(("part", p) for p in parts_of(mark))):
+                        for place, n in enumerate(words):
+                            counts.setdefault(key, [0, 0])[place < content] += n
             columns = [pa.array([k[i] for k in counts], pa.string()) for i in (0, 1)] + [pa.array([v[i] for v in counts.values()], pa.int64()) for i in (0, 1)]
             return pa.RecordBatch.from_arrays(columns, names=["kind", "name", "inside", "beside"])
 
@@ -323,21 +392,21 @@ def learn(pages: DataFrame, sample: int = 2_000, most_marks: int = 2_000) -> Reg
     chosen = named.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)  # ids alone are gathered
     labelled = named.join(F.broadcast(chosen), "page_id")
     found = arrow_map(labelled, ["html"], make, "kind string, name string, inside long, beside long").groupBy("kind", "name").agg(F.sum("inside").alias("inside"), F.sum("beside").alias("beside"))
-    marks = found.where("kind = 'mark'").orderBy((F.col("inside") + F.col("beside")).desc(), "name").limit(most_marks)
-    rows = found.where("kind <> 'mark'").unionByName(marks).collect()
+    marks = found.where("kind in ('mark', 'part')").orderBy((F.col("inside") + F.col("beside")).desc(), "name").limit(most_marks)
+    rows = found.where("kind not in ('mark', 'part')").unionByName(marks).collect()
     return weights_from({(r["kind"], r["name"]): (r["inside"], r["beside"]) for r in rows})
 
 
 def weights_from(counts: dict[tuple[str, str], tuple[int, int]], prior_words: float = 50.0, least: float = -4.0) -> RegionWeights:
-    """Log odds of standing inside rather than beside the content: of words (never under a small positive score), of tags (from ``least`` to a small negative one), of marked words.
+    """Log odds of standing inside rather than beside the content: of words (never under a small positive score), of tags (from ``least`` to a small negative one), of marked words, of words in blocks of links (at most a small negative one).
 
-    A mark is held against its element as far as its words stand beside the content more
+    A mark, or a part of one, is held against its element as far as its words stand beside the content more
     often than others do, ``prior_words`` of the usual mixture taken for granted, and by
     its ``prior_odds``; furniture within the content is no evidence for its marks.
     """
     if not counts:
         return RegionWeights()
-    inside, beside = (1 + sum(c[i] for (kind, _), c in counts.items() if kind != "mark") for i in (0, 1))
+    inside, beside = (1 + sum(c[i] for (kind, _), c in counts.items() if kind in ("word", "tag")) for i in (0, 1))
     odds = lambda c: log((c[0] + 0.5) / inside) - log((c[1] + 0.5) / beside)
     words = counts.get(("word", ""), (0, 0))
     usual = [(1 + x) / (2 + sum(words)) for x in words]
@@ -350,6 +419,8 @@ def weights_from(counts: dict[tuple[str, str], tuple[int, int]], prior_words: fl
         RegionWeights.other,
         {name: max(least, min(-0.1, odds(c))) for (kind, name), c in counts.items() if kind == "tag"},
         {name: prior_odds(name) + against(c) for (kind, name), c in counts.items() if kind == "mark"},
+        {name: against(c) for (kind, name), c in counts.items() if kind == "part"},
+        max(least, min(-0.1, odds(counts[("linked", "")]))) if ("linked", "") in counts else RegionWeights.linked,
     )
 
 
