@@ -30,6 +30,7 @@ ignored, and a kept column may have any name but n_tokens and p.
 
 from __future__ import annotations
 
+import logging
 import warnings
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ from . import quality, toxicity
 from .common import arrow_map, checked_keep, stored, whole_texts
 from .subwords import read_words
 
+LOG = logging.getLogger(__name__)
 DOMAINS = ("toxic", "poor", "good")
 
 
@@ -51,6 +53,7 @@ class MixSpec:
     quality: quality.EmbeddingSpec = quality.EmbeddingSpec()
     steps: int = 60
     tolerance: float = 1e-4
+    patience: int = 6
     #: Cells to a posterior's range of 1 on each axis: at most (grid + 1) ** 2 cells.
     grid: int = 512
 
@@ -139,6 +142,8 @@ def solve(rows: DataFrame, targets: np.ndarray, spec: MixSpec = MixSpec()) -> tu
 
     ``rows``: n_tokens and p, cells or single documents, stored. One pass a step; the
     driver holds vectors of the number of domains. A NaN target leaves its domain free.
+    Ends when the targets are met within ``tolerance``, or when ``patience`` steps have brought
+    the totals no nearer by as much: some targets, such as 0, can't be met exactly.
     """
     k = len(DOMAINS)
     bound = ~np.isnan(targets)
@@ -150,17 +155,20 @@ def solve(rows: DataFrame, targets: np.ndarray, spec: MixSpec = MixSpec()) -> tu
     step[np.ix_(bound, bound)] = np.linalg.pinv(gram) if bound.any() else 0.0
     moves: list[tuple[np.ndarray, float]] = []
     t, momentum = 1.0, 0.0
-    totals = np.zeros(k)
+    totals, nearest, since = np.zeros(k), np.inf, 0
     for _ in range(spec.steps):
         rated = _with_rates(rows, moves, ["n_tokens", "p"], previous=True)
         found = _sums(rated.agg(*_totals(rated, "rate"), *_totals(rated, "last")).first())
         totals, before = found[:k], found[k:]
-        if unmet(totals, np.where(bound, targets, np.nan)) <= spec.tolerance:
+        off = unmet(totals, np.where(bound, targets, np.nan))
+        nearest, since = (off, 0) if off < nearest - spec.tolerance else (min(off, nearest), since + 1)
+        if off <= spec.tolerance or since >= spec.patience and off <= nearest + spec.tolerance:
             break
         ahead = totals + momentum * (totals - before)  # totals are linear in the rates
         moves.append((step @ np.where(bound, ahead - targets, 0.0), momentum))
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         t, momentum = after, (t - 1) / after
+    LOG.info("rates after %d steps; totals are off by %.2g of the targets", len(moves), nearest)
     return moves, totals
 
 
