@@ -1,4 +1,5 @@
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -587,6 +588,61 @@ def test_fleet_plans_equal_each_devices_own(spark):
             assert got.get(d, []) == [(s.tier, s.start, s.end) for s in one.segments]
 
 
+def test_a_restarted_source_loses_and_repeats_nothing(spark, tmp_path):
+    spark.dataSource.register(rest.ReadingsSource)
+    hour = 3_600_000
+    options = {"pages": "tests.pages:fetch", "devices": "1,2,3", "from": 0, "until": 4 * hour, "slice_hours": 1, "limit": 25, "max_requests": 8, "requests_a_slice": 4, "progress": str(tmp_path / "progress.json")}
+    batches: list = []
+
+    def each(df, i):
+        rows = [(r["device_id"], int(r["timestamp"].timestamp() * 1000)) for r in df.collect()]
+        if len(batches) == 2 and not getattr(each, "failed", False):
+            each.failed = True
+            raise RuntimeError("stopped within a batch")
+        batches.append((i, rows))
+
+    def go(seconds):
+        q = spark.readStream.format("readings").options(**options).load().writeStream.foreachBatch(each).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="0 seconds").start()
+        try:
+            for _ in range(seconds * 5):
+                q.awaitTermination(0.2)
+                if sum(len(r) for _, r in batches) >= 720 or not q.isActive:
+                    break
+        except Exception as e:
+            assert "stopped within a batch" in str(e)
+        finally:
+            q.stop()
+
+    for _ in range(6):
+        go(20)
+    rows = [r for _, own in batches for r in own]
+    assert len(rows) == len(set(rows)) == 3 * 240 and each.failed
+    assert {d for d, _ in rows} == {1, 2, 3} and max(len({d for d, _ in own}) for _, own in batches) <= 2  # two slices a batch
+
+
+def test_a_silent_device_raises_its_alerts(spark, tmp_path):
+    now, minute = int(time.time() * 1000), 60_000
+    spark.createDataFrame([(1, now - 20 * minute), (2, now)], "device_id long, ms long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("device_id long, ms long").parquet(str(tmp_path / "in"))
+    with deltas.with_rocks(spark):
+        query = staleness.watch(source, every_ms=1_500).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    read = lambda: spark.read.schema(f"{staleness.SCHEMA}, last_at long").parquet(str(tmp_path / "out"))
+    try:
+        for _ in range(60):
+            query.awaitTermination(1)
+            if (tmp_path / "out").exists() and read().where("device_id = 1").count() >= 4:
+                break
+    finally:
+        query.stop()
+    rows = read().orderBy("device_id", "checked_at").collect()
+    silent = [(r["status"], r["level"]) for r in rows if r["device_id"] == 1]
+    assert silent[:3] == [("alerted", 5), ("alerted", 15), ("below-level", 15)] and len(silent) >= 4  # one check has readings, the others timers
+    assert {r["status"] for r in rows if r["device_id"] == 2} == {"fresh"}
+    same = staleness.alerts(read().select("device_id", "checked_at", "last_at"))
+    columns = ["device_id", "checked_at", "status", "stale_minutes", "level", "first_stale_at"]
+    assert sorted(map(tuple, same.select(columns).collect())) == sorted(map(tuple, read().select(columns).collect()))
+
+
 def test_a_merge_tells_its_conflicts(spark, tmp_path):
     schema = "k int, v double"
     old, new = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], schema), spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 4.0), (4, 4.0)], schema)

@@ -10,17 +10,24 @@ no further after a page without data, ``max_requests`` of the slice, or a rate l
 
 ``readings`` gives the readings, ``reading_requests`` one row a request: what was asked for
 and what came of it.
+
+As a stream, ``readings`` has an offset a device, up to where it has been read. A batch
+takes the devices that lag most a slice further, as many as ``max_requests`` of the batch
+allow at ``requests_a_slice`` each, and none beyond now. A batch that wasn't committed is
+read again with the same slices. ``progress`` names a file in the shared folder that keeps
+the offsets planned last, so that a restarted query plans on from there.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..operators.ingest import delete_range
 
@@ -93,6 +100,9 @@ class ReadingsSource(DataSource):
     def reader(self, schema):
         return ReadingsReader(self.options)
 
+    def streamReader(self, schema):
+        return ReadingsStream(self.options)
+
 
 class RequestsSource(ReadingsSource):
     """``spark.dataSource.register(RequestsSource)``, then format("reading_requests")."""
@@ -120,7 +130,7 @@ class ReadingsReader(DataSourceReader):
 
     def _walk(self, part):
         module, _, function = self.options["pages"].partition(":")
-        most = self.options.get("max_requests")
+        most = self.options.get("max_requests") if not isinstance(self, ReadingsStream) else None  # a batch's, there
         return walk(getattr(importlib.import_module(module), function), part, int(self.options.get("limit", "360")), int(most) if most else None, self.options.get("on_rate_limit", "stop"))
 
     def read(self, part):
@@ -132,6 +142,63 @@ class ReadingsReader(DataSourceReader):
                         yield part.device_id, at, s["comp"], float(s["value"])
 
 
+class ReadingsStream(ReadingsReader, DataSourceStreamReader):
+    """Offsets are {device: ms}, planned ahead and kept before Spark sees them, so they never fall behind those that Spark has logged."""
+
+    def __init__(self, options):
+        super().__init__(options)
+        o = self.options
+        self.slice = int(float(o.get("slice_hours", "24")) * 3_600_000)
+        self.most = max(1, int(o.get("max_requests", "1000000")) // int(o.get("requests_a_slice", "4")))
+        self.planned = self._kept() or self.initialOffset()
+        self.told = self.used = None  # the offset that was given last, and the last that Spark took up
+
+    def _file(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.options["progress"]) if "://" in self.options["progress"] or self.options["progress"].startswith("file:") else (fs.LocalFileSystem(), self.options["progress"])
+
+    def _kept(self) -> dict | None:
+        if "progress" not in self.options:
+            return None
+        store, path = self._file()
+        if not store.get_file_info(path).is_file:
+            return None
+        with store.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def _keep(self) -> None:
+        if "progress" in self.options:
+            store, path = self._file()
+            with store.open_output_stream(f"{path}.new") as f:
+                f.write(json.dumps(self.planned).encode())
+            store.move(f"{path}.new", path)
+
+    def _now(self) -> int:
+        return int(self.options["until"]) if "until" in self.options else int(datetime.now(timezone.utc).timestamp() * 1000)
+
+    def initialOffset(self) -> dict:
+        return {d: int(self.options["from"]) for d in self.options["devices"].split(",")}
+
+    def latestOffset(self) -> dict:
+        if self.told is not None and self.told in (self.planned, self.used):  # taken up, or nothing new to Spark
+            lagging = sorted(self.planned, key=lambda d: (self.planned[d], d))[: self.most]
+            ahead = self.planned | {d: max(self.planned[d], min(self._now(), self.planned[d] + self.slice)) for d in lagging}
+            if ahead != self.planned:
+                self.planned = ahead
+                self._keep()
+        self.told = self.planned
+        return dict(self.planned)
+
+    def partitions(self, start, end):
+        self.used = end
+        self.planned = {d: max(self.planned.get(d, at), at) for d, at in end.items()}
+        return [Slice(int(d), start.get(d, int(self.options["from"])), at) for d, at in end.items() if start.get(d, int(self.options["from"])) < at]
+
+    def commit(self, end):
+        pass  # what was planned is kept already
+
+
 class RequestsReader(ReadingsReader):
     def read(self, part):
         for report, _ in self._walk(part):

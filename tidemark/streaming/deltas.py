@@ -14,6 +14,7 @@ sums committed batches into one row a bin.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -114,19 +115,25 @@ def add(batch: DataFrame, batch_id: int, path: str, metrics: list[Metric]) -> No
     table(batch.sparkSession, path, metrics).commit(made, replaced=F.col("batch") == batch_id)
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, bin_: str, metrics: list[Metric], key: list[str], time: str = "timestamp", order: str = "timestamp", deleted: str | None = None, replace: bool = True, ttl_ms: int | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """Keep ``path`` up to date with the stream of readings, replacements and deletions."""
-    spark = stream.sparkSession
+@contextmanager
+def with_rocks(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within get the state store that keyed state needs; a query keeps the setting it starts with."""
     before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)  # what the state needs; a query keeps the setting it starts with
+    spark.conf.set(PROVIDER, ROCKS)
     try:
-        found = changes(stream, bin_, metrics, key, time, order, deleted, replace, ttl_ms)
-        each = lambda batch, batch_id: add(batch, batch_id, path, metrics)
-        return found.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+        yield
     finally:
         spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
+def run(stream: DataFrame, path: str, checkpoint: str, bin_: str, metrics: list[Metric], key: list[str], time: str = "timestamp", order: str = "timestamp", deleted: str | None = None, replace: bool = True, ttl_ms: int | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Keep ``path`` up to date with the stream of readings, replacements and deletions."""
+    each = lambda batch, batch_id: add(batch, batch_id, path, metrics)
+    with with_rocks(stream.sparkSession):
+        found = changes(stream, bin_, metrics, key, time, order, deleted, replace, ttl_ms)
+        return found.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+
+
 def _folded(rows: DataFrame, metrics: list[Metric]) -> DataFrame:
     kinds = {f.name: f.dataType for f in rows.schema}
     return rows.groupBy("device_id", "ts").agg(F.sum("readings").alias("readings"), *(F.sum(s).cast(kinds[s]).alias(s) for m in metrics for s in m.state))

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Alert levels in minutes, and the step to the next by the level reached.
@@ -232,3 +233,48 @@ def alert_stream(checks: DataFrame) -> DataFrame:
         yield _frame(key[0], rows)
 
     return checks.groupBy("device_id").applyInPandasWithState(one, SCHEMA, "level long, first_stale_at long", "append", GroupStateTimeout.NoTimeout)
+
+
+class Watch(StatefulProcessor):
+    """A device's last reading and alert state; a timer checks it every ``every_ms`` though nothing arrives."""
+
+    def __init__(self, every_ms: int, forget_ms: int | None):
+        self.every_ms, self.forget_ms = every_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "last_at long, level long, first_stale_at long", ttlDurationMs=self.forget_ms)
+
+    def _checked(self, device: int, now: int, last: int, state: AlertState) -> pd.DataFrame:
+        (row,), after = fold(iter([(now, last)]), state)
+        self.state.update((last, after.level, after.first_stale_at))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(now + self.every_ms)
+        frame = _frame(device, [row])
+        frame["last_at"] = last
+        return frame
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        newest = max(int(pdf.ms.max()) for pdf in rows)
+        last, level, first = self.state.get() if self.state.exists() else (newest, 0, 0)
+        yield self._checked(key[0], timerValues.getCurrentProcessingTimeInMs(), max(newest, last), AlertState(level, first))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():  # forgotten
+            return
+        last, level, first = self.state.get()
+        yield self._checked(key[0], expiredTimerInfo.getExpiryTimeInMs(), last, AlertState(level, first))
+
+    def close(self) -> None:
+        pass
+
+
+def watch(readings: DataFrame, every_ms: int = 60_000, forget_ms: int | None = None) -> DataFrame:
+    """A check of a device whenever readings (device_id, ms) of it arrive and every ``every_ms`` after, so that a silent device raises its alerts by itself.
+
+    Columns as ``alerts`` gives, and last_at. ``forget_ms`` after its last check a device is
+    forgotten. The query needs the state store ``deltas.ROCKS`` (see ``deltas.with_rocks``).
+    """
+    rows = readings.select(F.col("device_id").cast("long").alias("device_id"), F.col("ms").cast("long").alias("ms")).where("ms is not null")
+    return rows.groupBy("device_id").transformWithStateInPandas(Watch(every_ms, forget_ms), f"{SCHEMA}, last_at long", "Append", "ProcessingTime")
