@@ -919,6 +919,72 @@ def shards_by_device(spark, sf):
     return build.read_shards(spark, PYRAMID, path, "raw", "1d")
 
 
+@query(f"""WITH {_INPUTS} SELECT device_id, tier, rung, period_start, CASE WHEN found = 0 THEN 'no_inputs' WHEN found < wanted THEN 'partial' ELSE 'written' END AS status FROM counted
+ WHERE device_id % 2 = 1 OR found < wanted""")
+def backfill_missing(spark, sf):
+    """A backfill over a registry that has all that even devices' readings allow: what became of each slot it took up."""
+    from .plans import build
+
+    p = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], **TWO_TIERS})
+    rows, fleet = _with_hole(spark, sf)
+    fleet, path = fleet.where("device_id < 1000000"), _scratch(spark, "backfill")
+    nothing, now = _nothing(spark, sf)[0], GENESIS + 32 * DAY
+    even = build.backfill_missing(p, fleet.where("device_id % 2 = 0"), nothing, rows, path, now)
+    return build.backfill_missing(p, fleet, even.registry, rows, path, now).slots.select("device_id", "tier", "rung", "period_start", "status")
+
+
+@query(f"WITH {READINGS} {tier_sql(6 * 3_600_000, f'ms >= {GENESIS + 6 * DAY} AND ms < {GENESIS + 7 * DAY}')}")
+def built_shard(spark, sf):
+    """One shard of the fine tier, built by its label."""
+    from .plans import build
+
+    path = _scratch(spark, "shard")
+    p = Pyramid.of({"metrics": [{"name": "value", "scale": 2}], **TWO_TIERS})
+    if build.build_shard(p, readings(spark, sf), path, "h6", "1d", "2024-01-07") != build.Built("written", 1, 1):
+        raise RuntimeError("the shard has no inputs")
+    return build.tier(p, spark, path, "h6", GENESIS + 6 * DAY, GENESIS + 7 * DAY)
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total, min(epoch_ms(o_orderdate)) AS first FROM orders WHERE o_custkey % 20 = 3 GROUP BY 1")
+def month_files(spark, sf):
+    """A device's readings as a file a month, read back as one table."""
+    from .sources import files
+
+    path, own = _scratch(spark, "months"), _priced(spark, sf).where("device_id = 3").select("timestamp", "o_totalprice")
+    names = files.write_month_files(own, path)
+    back = files.read_device(spark, path, own.schema)
+    out = back.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"), F.min(epoch_ms("timestamp")).alias("first"))
+    return out.where(F.concat("month", F.lit(".parquet")).isin(names))
+
+
+@query("SELECT user_id % 5 AS k, count(*) AS n_rows, TRUE AS whole FROM events GROUP BY 1")
+def footer_rows(spark, sf):
+    """Files' rows by their footers, and whether their row groups add up to them."""
+    from .sources import files
+
+    path = _scratch(spark, "footers")
+    load(spark, sf, "events").withColumn("k", F.col("user_id") % 5).write.partitionBy("k").parquet(path)
+    stats = files.footers(spark, path).withColumn("k", F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long"))
+    adds = (F.aggregate("rg_row_counts", F.lit(0).cast("long"), lambda n, x: n + x) == F.col("n_rows")) & (F.size("rg_row_counts") == F.col("n_rgs"))
+    return stats.groupBy("k").agg(F.sum("n_rows").alias("n_rows"), F.bool_and(adds).alias("whole"))
+
+
+@query("SELECT event_id, epoch_ms(date_trunc(CASE event_id % 5 WHEN 0 THEN 'second' WHEN 1 THEN 'day' WHEN 2 THEN 'hour' WHEN 3 THEN 'minute' ELSE 'second' END, ts)::TIMESTAMP) AS ms FROM events")
+def flexible_dates(spark, sf):
+    """Times written in five of the forms that are read, and read."""
+    forms = ["yyyy-MM-dd'T'HH:mm:ss", "yyMMdd", "yyyyMMdd'T'HH", "yyMMdd'T'HHmm", "yyyyMMdd'T'HH:mm:ss"]
+    text = reduce(lambda c, f: c.when(F.col("event_id") % 5 == f[0], F.date_format("ts", f[1])), list(enumerate(forms))[1:], F.when(F.col("event_id") % 5 == 0, F.date_format("ts", forms[0])))
+    return load(spark, sf, "events").select("event_id", epoch_ms(codec.flexible_timestamp(text)).alias("ms"))
+
+
+@query(f"WITH {RECORDED}, w AS (SELECT tier, device_id, max(period_end) AS e FROM recorded GROUP BY ALL) SELECT tier, min(e) AS fresh, (SELECT min(e) FROM w WHERE device_id < 5) AS fresh_of_some FROM w GROUP BY 1")
+def fresh_until(spark, sf):
+    """Up to where every device's shards reach, of all devices and of some."""
+    held = _recorded(spark, sf)
+    every, some = range_query.freshness(held), range_query.freshness(held, list(range(5)))
+    return spark.createDataFrame([(t, e, some[t]) for t, e in every.items()], "tier string, fresh long, fresh_of_some long")
+
+
 # Streams (final state; compared in tests with the batch result) ----------------------------
 
 

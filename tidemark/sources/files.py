@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,24 @@ def _row_groups(writer, rows: int | None):
     return writer if rows is None else writer.option("parquet.block.row.count.limit", str(rows))
 
 
+def write_month_files(df: DataFrame, base: str, time: str = "timestamp") -> list[str]:
+    """One device's readings as a file a month, named YYYY-MM.parquet, in order of time; the names. A month's file replaces the one there is."""
+    spark, draft = df.sparkSession, f"{base.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    months = df.withColumn("month", F.date_format(time, "yyyy-MM")).repartition("month").sortWithinPartitions("month", time)
+    months.write.partitionBy("month").parquet(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, names = path(draft).getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for month in fs.listStatus(path(draft)):
+        label = month.getPath().getName().removeprefix("month=")
+        for part in fs.listStatus(month.getPath()) if month.isDirectory() else ():
+            target = path(f"{base.rstrip('/')}/{label}.parquet")
+            fs.delete(target, False)
+            fs.rename(part.getPath(), target)
+            names.append(f"{label}.parquet")
+    fs.delete(path(draft), True)
+    return sorted(names)
+
+
 def monthly_table(spark: SparkSession, base: str, schema: StructType) -> Versioned:
     """A table of readings by month whose writes become visible at once."""
     return Versioned(spark, base, StructType([*schema, StructField("month", StringType())]), ("month",))
