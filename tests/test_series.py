@@ -643,6 +643,14 @@ def test_a_silent_device_raises_its_alerts(spark, tmp_path):
     assert sorted(map(tuple, same.select(columns).collect())) == sorted(map(tuple, read().select(columns).collect()))
 
 
+def test_no_tier_is_taken_up_within_a_bin():
+    p, hour = default_pyramid([{"name": "v"}]), 3_600_000
+    shards = [("raw", "1d", 0, 10 * hour), ("d1", "32d", 0, 96 * hour), ("raw", "1d", 10 * hour, 20 * hour)]
+    plan = q.plan_from_inventory(p, 0, 96 * hour, 4, [s for s in shards if s[0] == "raw"] + [("d1", "32d", 5 * hour, 96 * hour)])
+    assert [(s.tier, s.start, s.end) for s in plan.segments] == [("raw", 0, 20 * hour), ("d1", 24 * hour, 96 * hour)]
+    assert [(s.tier, s.start, s.end) for s in q.plan_from_inventory(p, 0, 96 * hour, 4, shards).segments] == [("d1", 0, 96 * hour)]
+
+
 def test_a_merge_tells_its_conflicts(spark, tmp_path):
     schema = "k int, v double"
     old, new = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], schema), spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 4.0), (4, 4.0)], schema)

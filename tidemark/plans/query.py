@@ -112,7 +112,8 @@ def plan_from_inventory(pyramid: Pyramid, start: int, end: int, budget: int, sha
 
     At each point the output tier's shard of the longest rung that covers it is taken,
     else the longest of the nearest finer tier that makes up its bins; where none covers
-    it, the plan goes on at the next shard's start. Pieces end on the output's bins.
+    it, the plan goes on at the next shard's start. A tier is taken up where a bin of its own
+    begins, never within one, so no bin lacks a part of its readings.
     """
     name = choose_tier(pyramid, end - start, budget, start)
     tier = pyramid.tier(name)
@@ -124,7 +125,11 @@ def plan_from_inventory(pyramid: Pyramid, start: int, end: int, budget: int, sha
     segments: list[Segment] = []
     at = lo
     while at < hi:
+        wait = []
         for t in chain:
+            if (whole := ceil_bin(at, t.bin)) != at:
+                wait += [whole for n, _, s, e in shards if n == t.name and s <= at and span_of(e, t.bin)[0] > whole]
+                continue
             # whole bins of the tier that the shard holds from here on
             held = [(min(hi, span_of(e, t.bin)[0]), Duration.of(r).usual_ms) for n, r, s, e in shards if n == t.name and s <= at < e]
             held = [h for h in held if h[0] > at]
@@ -138,7 +143,7 @@ def plan_from_inventory(pyramid: Pyramid, start: int, end: int, budget: int, sha
                 at = to
                 break
         else:
-            later = [ceil_bin(s, t.bin) for t in chain for n, _, s, e in shards if n == t.name and s > at]
+            later = wait + [ceil_bin(s, t.bin) for t in chain for n, _, s, e in shards if n == t.name and s > at]
             at = min(later, default=hi)
     finest = chain[-1].name
     return QueryPlan(name, str(tier.bin), max((e for n, _, _, e in shards if n == finest), default=end), tuple(segments), smoothing)
@@ -175,13 +180,13 @@ def plan_fleet(pyramid: Pyramid, shards: DataFrame, start: int, end: int, budget
             for heap in live:
                 while heap and -heap[0][1] <= at:
                     heapq.heappop(heap)
-            place = next((i for i, heap in enumerate(live) if heap), None)
+            whole = [ceil_bin(at, t.bin) for t in chain]
+            place = next((i for i, heap in enumerate(live) if heap and whole[i] == at), None)
             if place is None:
-                if not ahead:
-                    break
                 first = lambda s: ceil_bin(s[2], chain[depth[s[0]]].bin)
-                to, begun = min(map(first, ahead)), True
-                while begun and ahead[-1][2] < to:  # a later one may begin on an earlier bin
+                wait = [w for w, heap in zip(whole, live) if any(-to > w for _, to in heap)]
+                to, begun = min([*wait, *map(first, ahead)], default=hi), True
+                while begun and ahead and ahead[-1][2] < to:  # a later one may begin on an earlier bin
                     begun = list(islice(held, 1))
                     ahead.extend(begun)
                     to = min([to, *map(first, begun)])
