@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from tidemark.functions.durations import Duration
 from tidemark.functions.monoid import Metric
 from tidemark.operators import analytics, ingest, joins, registry, rollup, series
 from tidemark.operators import devices as device_table
 from tidemark.plans import build
 from tidemark.plans import query as q
+from tidemark.plans.cover import min_cover
 from tidemark.plans.pyramid import Pyramid, default_pyramid
 from tidemark.sources import commits, files, rest
 from tidemark.streaming import deltas, staleness
@@ -643,6 +645,19 @@ def test_a_silent_device_raises_its_alerts(spark, tmp_path):
     assert sorted(map(tuple, same.select(columns).collect())) == sorted(map(tuple, read().select(columns).collect()))
 
 
+def test_expected_slots_equal_the_greedy_cover(spark):
+    random, day = __import__("random").Random(1), 86_400_000
+    now = 1_718_409_600_000 + 12_345_678
+    genesis = [now - random.randrange(-2 * day, 900 * day) for _ in range(40)] + [now - 512 * day, now - day // 2, now, now + 5, 0, -40 * day]
+    devices = spark.createDataFrame(list(enumerate(genesis)), "device_id long, genesis long")
+    for ladder in (["1d"], ["4d", "32d", "128d"], ["1d", "1mo"], ["1mo", "3mo", "1y"]):
+        got: dict = {}
+        for r in registry.expected(devices, {"t": ladder}, now).drop("tier").collect():
+            got.setdefault(r[0], []).append(tuple(r)[1:])
+        for i, g in enumerate(genesis):
+            assert sorted(got.get(i, [])) == sorted((s.rung, s.start, s.end, s.effective_start, s.effective_end, s.label) for s in min_cover([Duration.of(x) for x in ladder], g, now))
+
+
 def test_no_tier_is_taken_up_within_a_bin():
     p, hour = default_pyramid([{"name": "v"}]), 3_600_000
     shards = [("raw", "1d", 0, 10 * hour), ("d1", "32d", 0, 96 * hour), ("raw", "1d", 10 * hour, 20 * hour)]

@@ -6,29 +6,52 @@ optional size_bytes, n_rows, n_rgs.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import Duration
-from ..functions.timeaxis import bin_end, floor_bin
-from ..plans.cover import min_cover
+from ..functions.timeaxis import bin_end, floor_bin, period_label, period_starts, span_of
 from .joins import overlapping, uncovered_days
 
 KEY = ["device_id", "tier", "rung", "period_start"]
 SLOT_SCHEMA = "device_id long, tier string, rung string, period_start long, period_end long, effective_start long, effective_end long, label string"
 
 
-def expected(devices: DataFrame, tiers: dict[str, list[str]], now: int) -> DataFrame:
-    """The slots each device (device_id, genesis) should have in each tier (name: ladder of rungs)."""
-    ladders = {t: [Duration.of(r) for r in rungs] for t, rungs in tiers.items()}
+def _placed(place, d: Duration):
+    return lambda start: place(d, start, bin_end(start, d), start)
+
 
-    def cover(batches):
-        for pdf in batches:
-            rows = [(d, t, s.rung, s.start, s.end, s.effective_start, s.effective_end, s.label) for d, g in zip(pdf.device_id, pdf.genesis) for t, ladder in ladders.items() for s in min_cover(ladder, int(g), now)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SLOT_SCHEMA.split(", ")])
+def expected(devices: DataFrame, tiers: dict[str, list[str]], now: int) -> DataFrame:
+    """The slots each device (device_id, genesis) should have in each tier (name: ladder of rungs): ``plans.cover.min_cover`` as columns.
 
-    return devices.where("genesis is not null").select(F.col("device_id").cast("long"), F.col("genesis").cast("long")).mapInPandas(cover, SLOT_SCHEMA)
+    The first slot is the longest closed period that holds the genesis. What follows it is
+    covered by the longest rung's whole periods up to now, and before and after these by
+    those of the next shorter rung, and so on: a rung divides the next one.
+    """
+    known = devices.where("genesis is not null").select(F.col("device_id").cast("long").alias("device_id"), F.col("genesis").cast("long").alias("genesis"))
+    out = None
+    for tier, rungs in tiers.items():
+        ladder = [Duration.of(r) for r in rungs]
+        starts = [floor_bin(F.col("genesis"), d) for d in ladder]
+        place = lambda d, start, end, since: F.struct(F.lit(str(d)).alias("rung"), start.alias("period_start"), end.alias("period_end"), since.alias("effective_start"))
+        closed = [F.when(bin_end(s, d) <= now, place(d, s, bin_end(s, d), F.greatest(s, F.col("genesis")))) for d, s in zip(ladder, starts)]
+        begun = known.where(F.col("genesis") < now).withColumn("_first", F.coalesce(*reversed(closed))).where("_first is not null").withColumn("_at", F.col("_first.period_end"))
+        lo = [F.when(floor_bin(F.col("_at"), d) == F.col("_at"), F.col("_at")).otherwise(bin_end(floor_bin(F.col("_at"), d), d)) for d in ladder]
+        hi = [F.lit(span_of(now, d)[0]).cast("long") for d in ladder]
+        slots = [F.array("_first")]
+        for i, d in enumerate(ladder):
+            longer = i + 1 < len(ladder)
+            above = lo[i + 1] < hi[i + 1] if longer else F.lit(False)
+            spans = [(lo[i], F.when(above, lo[i + 1]).otherwise(hi[i]) if longer else hi[i])]
+            if longer:
+                spans.append((F.when(above, hi[i + 1]).otherwise(hi[i]), hi[i]))
+            slots += [F.transform(period_starts(s, e, d), _placed(place, d)) for s, e in spans]
+        rows = begun.select("device_id", F.lit(tier).alias("tier"), F.explode(F.concat(*slots)).alias("s")).select("device_id", "tier", "s.*")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        return known.sparkSession.createDataFrame([], SLOT_SCHEMA)
+    label = F.coalesce(*(F.when(F.col("rung") == str(d), period_label(F.col("period_start"), d.unit)) for d in {Duration.of(r) for rungs in tiers.values() for r in rungs}))
+    return out.withColumn("effective_end", F.col("period_end")).withColumn("label", label).select(*(c.split()[0] for c in SLOT_SCHEMA.split(", ")))
 
 
 def missing(expected_: DataFrame, recorded: DataFrame) -> DataFrame:
