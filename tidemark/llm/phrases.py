@@ -44,7 +44,7 @@ class PhraseSpec:
     longest: int = 5
     least: int = 100
     best: int = 2_000
-    shard: int = 1 << 21
+    shard: int = 1 << 20
     run: int = 1 << 17
     filter_bits: int = 1 << 26
     cells: int = 1 << 23
@@ -76,24 +76,25 @@ def _combined(docs: DataFrame, spec: PhraseSpec) -> DataFrame:
     return rows.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-splits // spec.splits_a_task)))
 
 
+def _counted(lang: str, held: dict[str, int], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", name, "f"])
+
+
 def word_counts(docs: DataFrame, spec: PhraseSpec) -> DataFrame:
     """lang, word, f: occurrences of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], int] = {}
-
-        def flush():
-            rows = pa.RecordBatch.from_arrays([pa.array([k[i] for k in held], pa.string()) for i in (0, 1)] + [pa.array(held.values(), pa.int64())], names=["lang", "word", "f"])
-            held.clear()
-            return rows
-
+        sums: dict[str, dict[str, int]] = {}
         for lang, words, numbers in _by_lang(batches):
+            held = sums.setdefault(lang, {})
             for w, c in zip(words, np.bincount(numbers, minlength=len(words)).tolist()):
                 if w != END:
-                    held[lang, w] = held.get((lang, w), 0) + c
-            if len(held) > MEMO_ENTRIES:
-                yield flush()
-        yield flush()
+                    held[w] = held.get(w, 0) + c
+            if sum(map(len, sums.values())) > MEMO_ENTRIES:
+                for name in list(sums):
+                    yield _counted(name, sums.pop(name), "word")
+        for name in list(sums):
+            yield _counted(name, sums.pop(name), "word")
         release_memory()
 
     counted = _combined(docs, spec).mapInArrow(run, "lang string, word string, f long")
@@ -282,9 +283,6 @@ def phrase_counts(docs: DataFrame, filters: list[np.ndarray], spec: PhraseSpec)
     """lang, phrase, f: occurrences of phrases of 2 to ``longest`` words whose runs of words the filters hold."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
-    def rows(lang: str, held: dict[str, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "f"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[str, int]] = {}
         for lang, names, shard in _shards(batches, shared.value[0], spec):
@@ -297,10 +295,10 @@ def phrase_counts(docs: DataFrame, filters: list[np.ndarray], spec: PhraseSpec)
                     for p, c in zip(phrase.to_pylist(), count[at : at + (1 << 16)].tolist()):
                         held[p] = held.get(p, 0) + c
                     if len(held) > MEMO_ENTRIES // 2:
-                        yield rows(lang, held)
+                        yield _counted(lang, held, "phrase")
                         held.clear()
         for lang, held in sums.items():
-            yield rows(lang, held)
+            yield _counted(lang, held, "phrase")
         release_memory()
 
     return _combined(docs, spec).mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
