@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import hard_negatives, near_dedup, ngram_join, phrases
+from tidemark.llm.common import remove_stored, stored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -156,6 +157,12 @@ def test_ngram_join_of_repeats_and_nothing(spark):
     assert ngram_join.similar_documents(df.limit(0)).count() == 0
 
 
+def test_tables_between_steps_are_removed(spark):
+    remove_stored(spark)
+    df = stored(spark.range(3), "some")
+    assert df.count() == 3 and remove_stored(spark) == 1 and remove_stored(spark) == 0
+
+
 def test_prefixes_lose_no_partner():
     """Random pairs of sets at the threshold share what the less demanding asks for."""
     random = np.random.default_rng(5)

@@ -45,16 +45,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+#: Folders written by ``stored`` and not removed yet.
+STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation. The files stay,
+    as results read them, until ``remove_stored``.
     """
     path = new_path(df.sparkSession, name)
+    STORED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> int:
+    """Remove the tables that this driver's operators have written between their steps; for when their results have been written. How many went."""
+    removed = 0
+    while STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STORED.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose Arrow buffers stay near ``most`` bytes; one huge row is its own batch."""
     for b in batches:
