@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import hard_negatives, near_dedup, ngram_join, phrases
-from tidemark.llm.common import remove_stored, stored
+from tidemark.llm.common import STORED, remove_stored, stored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -163,6 +163,22 @@ def test_tables_between_steps_are_removed(spark):
     assert df.count() == 3 and remove_stored(spark) == 1 and remove_stored(spark) == 0
 
 
+def test_rows_with_keys_are_shuffled_once_and_go(spark):
+    rows = spark.createDataFrame([(i % 40, i, 5, 1) for i in range(200)], "key long, id long, n long, need int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = near_dedup.shared_keys(rows)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(re.findall(r"- Exchange hashpartitioning\(key", plan)) == 1 and "ReusedExchange" in plan
+    assert near_dedup.shared_keys(rows).count() == 200
+    remove_stored(spark)
+    df = spark.createDataFrame([(i, f"a b c d e f{i // 2} g") for i in range(20)], "doc_id long, text string")
+    assert ngram_join.similar_documents(df).count() == 20
+    kept = [re.sub("-[0-9a-f]{32}$", "", path).rsplit("tidemark-")[-1] for path in STORED]
+    assert "named" in kept and not {"fingerprints", "keyed-classes"} & set(kept)
+
+
 def test_prefixes_lose_no_partner():
     """Random pairs of sets at the threshold share what the less demanding asks for."""
     random = np.random.default_rng(5)

@@ -61,15 +61,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> bool:
+    """Remove a stored table that nothing reads any more: all that was made from it has been written."""
+    if path in STORED:
+        STORED.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+
+
 def remove_stored(spark: SparkSession) -> int:
     """Remove the tables that this driver's operators have written between their steps; for when their results have been written. How many went."""
     removed = 0
     while STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(STORED.pop())
-        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        removed += discard(spark, STORED[-1])
     return removed
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Collect the driver's garbage, by which Spark's cleaner learns what shuffles and broadcasts of written steps can go; it does so by itself every half hour (``spark.cleaner.periodicGC.interval``)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches whose Arrow buffers stay near ``most`` bytes; one huge row is its own batch."""
     for b in batches:

@@ -18,9 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("id"), F.least("a", "least").alias("comp")), "labels")
+    kind = labels.schema["comp"].dataType
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("comp").alias("least"))
-        moved = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", "comp", F.least("comp", "least").alias("to"))
+        near = both.join(labels.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.lit(None).cast(kind).alias("own"), "comp")
+        known = near.unionByName(labels.select("id", F.col("comp").alias("own"), "comp"))
+        moved = known.groupBy("id").agg(F.max("own").alias("comp"), F.min("comp").alias("to"))
         jumped = moved.join(labels.select(F.col("id").alias("to"), F.col("comp").alias("far")), "to").select("id", "comp", F.least("to", "far").alias("new"))
         after = stored(jumped, "labels")
         changed = after.where("new <> comp").limit(1).count()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, split_words, stored, whole_texts
+from .common import STORED, arrow_map, discard, release_shuffles, split_words, stored, whole_texts
 from .graph import components
 
 
@@ -173,8 +173,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, spec: NearSpec) -> DataFrame:
 
 def shared_keys(rows: DataFrame) -> DataFrame:
     """Rows (key, id, n, need) whose key another class has too, with its ``members`` and its smallest class, ``centre``."""
-    keys = rows.groupBy("key").agg(F.min(F.struct("id", "n", "need")).alias("centre"), F.count("*").alias("members")).where("members > 1")
-    return rows.join(keys, "key")
+    dealt = rows.repartition("key")  # one shuffle for the counts and the rows that they are joined to
+    keys = dealt.groupBy("key").agg(F.min(F.struct("id", "n", "need")).alias("centre"), F.count("*").alias("members")).where("members > 1")
+    return dealt.join(keys, "key")
 
 
 def _fits(n, m, spec):
@@ -327,8 +328,8 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return comp.join(further.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")).unionByName(alone)
 
 
-def linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> DataFrame:
-    """id, comp of the classes that have links, where classes meet in the keys of ``rows`` (key, id, n, need).
+def linked(shared: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> DataFrame:
+    """id, comp of the classes that have links, where classes meet in the keys of ``shared`` (``shared_keys``).
 
     Two classes are taken as candidates if they meet in at least as many keys as the less
     demanding of them needs. All candidates end in one component or have been compared.
@@ -339,10 +340,10 @@ def linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> DataFr
         return stored(full_sets(docs, print_of.join(ids, "id", "left_semi"), spec), name)
 
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    shared = stored(shared_keys(rows), "shared-keys")
     stars = stored(star_edges(shared, spec), "candidates")
     sets = sets_of(ends(stars), "sets")
     checked = stored(confirm(stars, sets, spec), "checked")
+    release_shuffles(docs.sparkSession)
     comp = components(checked.where(_reaches(spec.percent)))
     # keys that still hold several components
     placed = shared.select("key", "id", "n", "need", "members", F.col("centre.id").alias("centre")).join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -359,13 +360,29 @@ def linked(rows: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> DataFr
     return merged(comp, links) if links.limit(1).count() else comp
 
 
-def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From one row a document (doc_id, n, hi, lo, need, keys): documents with ``own`` (the doc_id of those with empty sets, which are classes of their own), and classes."""
-    again = prints.groupBy("doc_id").agg(F.count("*").alias("times"), F.min(F.struct("hi", "lo")).alias("only")).where("times > 1").select("doc_id", "only")
-    single = prints.join(again, "doc_id", "left").where("only is null or (only.hi = hi and only.lo = lo)").drop("only")
-    named = single.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))
-    classes = named.groupBy("hi", "lo", "own").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "need", "keys")))
-    return named, stored(classes, "classes")
+def classes_of(prints: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From one row a document (doc_id, n, hi, lo, need, keys): documents with ``own`` (the doc_id of those with empty sets, which are classes of their own), classes, and the keys that two classes or more share (``shared_keys``).
+
+    The rows with their keys are the bulk; they are removed as soon as what needs them is written.
+    """
+    spark, prints = prints.sparkSession, stored(prints, "fingerprints")
+    path = STORED[-1]
+    again = stored(prints.groupBy("doc_id").agg(F.count("*").alias("times"), F.min(F.struct("hi", "lo")).alias("only")).where("times > 1").select("doc_id", "only"), "repeated")
+    single = prints
+    if again.limit(1).count():
+        single = prints.join(again, "doc_id", "left").where("only is null or (only.hi = hi and only.lo = lo)").drop("only")
+    single = single.withColumn("own", F.when(F.col("n") == 0, F.col("doc_id")))
+    full = stored(single.groupBy("hi", "lo", "own").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "need", "keys"))), "keyed-classes")
+    full_path = STORED[-1]
+    named = stored(single.drop("need", "keys"), "named")
+    discard(spark, path)
+    release_shuffles(spark)
+    rows = full.where("n > 0").select(F.explode("keys").alias("key"), "id", "n", "need")
+    shared = stored(shared_keys(rows), "shared-keys")
+    classes = stored(full.drop("need", "keys"), "classes")
+    discard(spark, full_path)
+    release_shuffles(spark)
+    return named, classes, shared
 
 
 def by_document(named: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
@@ -378,8 +395,7 @@ def by_document(named: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFr
 
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
-    prints = stored(fingerprints(docs, spec), "fingerprints").select("doc_id", "n", "hi", "lo", F.lit(1).alias("need"), F.col("bands").alias("keys"))
-    named, classes = classes_of(prints)
-    rows = classes.where("n > 0").select(F.explode("keys").alias("key"), "id", "n", "need")
-    found = by_document(named, classes, linked(rows, classes, docs, spec))
+    prints = fingerprints(docs, spec).select("doc_id", "n", "hi", "lo", F.lit(1).alias("need"), F.col("bands").alias("keys"))
+    named, classes, shared = classes_of(prints)
+    found = by_document(named, classes, linked(shared, classes, docs, spec))
     return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))

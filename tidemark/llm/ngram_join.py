@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, release_memory, stored, text_batches, whole_texts
+from .common import arrow_map, release_memory, text_batches, whole_texts
 from .near_dedup import Shingler, _longs, _signed_pair, by_document, classes_of, linked
 
 
@@ -122,6 +122,5 @@ def prefixes(docs: DataFrame, counts: np.ndarray, spec: JoinSpec) -> DataFrame:
 
 def similar_documents(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """doc_id, n_shingles, component_id: one row a document."""
-    named, classes = classes_of(stored(prefixes(docs, document_counts(docs, spec), spec), "prefixes"))
-    rows = classes.where("n > 0").selectExpr("explode(keys) AS key", "id", "n", "need")
-    return by_document(named, classes, linked(rows, classes, docs, spec))
+    named, classes, shared = classes_of(prefixes(docs, document_counts(docs, spec), spec))
+    return by_document(named, classes, linked(shared, classes, docs, spec))
