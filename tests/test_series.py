@@ -554,6 +554,19 @@ def test_rolling_over_odd_values(spark):
     assert same == {0: (1.0, 0.0), 60_000: (None, 0.0), 120_000: (3.0, 0.0), 10_000_000: (None, 0.0)}
 
 
+def test_rows_are_not_held_against_each_entry(spark):
+    """40,000 shards of one day and as many entries on it that none precedes: a row costs one look-up, not one an entry."""
+    day, n = 86_400_000, 40_000
+    shards = spark.range(n).selectExpr("id as device_id", "'raw' as tier", "'1d' as rung", "0L as period_start", f"{day}L as period_end", "id as written_at")
+    journal = spark.range(n).selectExpr("id % 7 as start", f"{day} - id % 5 as end", f"if(id = 5, {n - 2}L, -id) as requested_at")
+    found = registry.stale(shards, journal)
+    assert sorted(r["device_id"] for r in found.collect()) == list(range(n - 2)) and found.columns == shards.columns
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and registry.prune_journal(journal, shards).count() == 1
+    with pytest.raises(ValueError):
+        joins.overlapping(shards, journal, ["device_id"], day, F.lit(True))
+
+
 def test_spans_of_any_length_meet(spark):
     random = __import__("random").Random(4)
     spans = [(s := random.randrange(-3000, 3000), s + random.choice([0, 1, 7, 90, 900, 4000])) for _ in range(150)]

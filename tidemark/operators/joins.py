@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +38,30 @@ def blocks(start: Column, end: Column, width: int, top: int = TOP) -> tuple[Colu
     return F.array_distinct(F.concat(*own)), F.array_distinct(F.concat(*over))
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int, also: Column | None = None, left_span=("start", "end"), right_span=("r_start", "r_end")) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], width: int, also: Column | None = None, left_span=("start", "end"), right_span=("r_start", "r_end"), best: tuple[Callable[[str], Column], str] | None = None) -> DataFrame:
     """Rows of ``left`` whose half-open span meets one of ``right`` (and ``also`` holds), each once.
 
-    Both sides are cut into aligned blocks of cells of ``width``, so the join is an
-    equi-join on the block, however long the spans. ``keys`` identify a left row.
+    Rows with one span meet the same others, so distinct spans are joined: both sides are
+    cut into aligned blocks of cells of ``width``, and the join is an equi-join on the block,
+    however long the spans. ``best``, F.max or F.min and a column of ``right``, gives the value of the rows that a
+    span meets which ``also`` compares, as ``_best``, with columns of ``left``; so a row costs
+    one look-up, however many rows meet it. ``keys`` identify a left row.
     """
-    sides = []
-    for df, span in ((left, left_span), (right, right_span)):
-        own, over = blocks(F.col(span[0]), F.col(span[1]), width)
-        held = df.where(F.col(span[0]) < F.col(span[1]))
-        sides.append((held.withColumn("_block", F.explode(own)), held.withColumn("_block", F.explode(F.concat(own, over))), held.withColumn("_block", F.explode(over))))
-    meets = (F.col(left_span[0]) < F.col(right_span[1])) & (F.col(left_span[1]) > F.col(right_span[0]))
-    if also is not None:
-        meets = meets & also
-    found = None
-    for a, b in ((sides[0][0], sides[1][1]), (sides[0][2], sides[1][0])):
-        part = a.join(b, (a["_block"] == b["_block"]) & meets, "left_semi").select(*keys)
-        found = part if found is None else found.unionByName(part)
-    return left.join(found.distinct(), keys, "left_semi")
+    if (also is None) != (best is None):
+        raise ValueError("a condition needs what sums up the rows it is on")
+    pick, column = best or (F.max, right_span[0])
+    own_spans = left.where(F.col(left_span[0]) < F.col(left_span[1])).select(F.col(left_span[0]).alias("_start"), F.col(left_span[1]).alias("_end")).distinct()
+    spans = right.where(F.col(right_span[0]) < F.col(right_span[1])).groupBy(F.col(right_span[0]).alias("_from"), F.col(right_span[1]).alias("_to"))
+    others = spans.agg(pick(column).alias("_best"))
+    own, over = blocks(F.col("_start"), F.col("_end"), width)
+    there, beyond = blocks(F.col("_from"), F.col("_to"), width)
+    sided = lambda side, places: F.transform(places, lambda p: F.struct(F.lit(side).alias("side"), p["level"].alias("level"), p["place"].alias("place")))
+    a = own_spans.withColumn("_block", F.explode(F.concat(sided(0, own), sided(1, over))))
+    b = others.withColumn("_block", F.explode(F.concat(sided(0, F.concat(there, beyond)), sided(1, there))))
+    met = a.join(b, "_block").where((F.col("_start") < F.col("_to")) & (F.col("_end") > F.col("_from")))
+    reach = met.groupBy("_start", "_end").agg(pick("_best").alias("_best"))
+    found = left.join(reach, (left[left_span[0]] == reach["_start"]) & (left[left_span[1]] == reach["_end"]))
+    return (found if also is None else found.where(also)).select(*(left[c] for c in left.columns))
 
 
 def uncovered_days(devices: DataFrame, rows: DataFrame, day_ms: int = 86_400_000) -> DataFrame:

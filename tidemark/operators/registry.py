@@ -61,7 +61,7 @@ def missing(expected_: DataFrame, recorded: DataFrame) -> DataFrame:
 def stale(recorded: DataFrame, journal: DataFrame, width: int = 86_400_000) -> DataFrame:
     """Recorded shards that a journal entry (start, end, requested_at; ms) overlaps and postdates."""
     entries = journal.select(F.col("start").alias("r_start"), F.col("end").alias("r_end"), "requested_at")
-    return overlapping(recorded, entries, KEY, width, F.col("written_at") < F.col("requested_at"), ("period_start", "period_end"))
+    return overlapping(recorded, entries, KEY, width, F.col("written_at") < F.col("_best"), ("period_start", "period_end"), best=(F.max, "requested_at"))
 
 
 def work(expected_: DataFrame, recorded: DataFrame, journal: DataFrame, tier_order: list[str], tip: tuple[str, str] | None = None) -> DataFrame:
@@ -77,7 +77,7 @@ def work(expected_: DataFrame, recorded: DataFrame, journal: DataFrame, tier_ord
 def prune_journal(journal: DataFrame, recorded: DataFrame, width: int = 86_400_000) -> DataFrame:
     """Entries that some recorded shard still has to follow."""
     spans = recorded.select(F.col("period_start").alias("r_start"), F.col("period_end").alias("r_end"), "written_at")
-    return overlapping(journal, spans, ["start", "end", "requested_at"], width, F.col("written_at") < F.col("requested_at"))
+    return overlapping(journal, spans, ["start", "end", "requested_at"], width, F.col("_best") < F.col("requested_at"), best=(F.min, "written_at"))
 
 
 def upsert_watermarks(held: DataFrame, new: DataFrame) -> DataFrame:
