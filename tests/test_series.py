@@ -546,6 +546,39 @@ def test_deltas_of_odd_batches(spark, tmp_path):
     assert held()[1] == (2, t0, 2, 11.0, 73.0)
 
 
+def test_deltas_look_readings_up_together(spark, tmp_path):
+    """No call of Python a bin: 2,000 bins of a reading each, some replaced, in batches without keyed state."""
+    path, schema = str(tmp_path / "d"), "device_id long, timestamp timestamp, id long, v double, seq int, gone boolean"
+    metric, rows = Metric("v", "v", scale=1), spark.range(2_000).selectExpr("id as device_id", "timestamp'2024-01-01 00:00:00' as timestamp", "id", "1.5D as v", "0 as seq", "false as gone")
+    for own in (rows, rows.where("id < 500").withColumn("v", F.lit(2.5))):
+        own.write.mode("append").parquet(f"{path}/in")
+        query = deltas.run(spark.readStream.schema(schema).parquet(f"{path}/in"), path, f"{path}/ck", "6h", [metric], ["id"], order="seq", deleted="gone", trigger={"availableNow": True})
+        query.awaitTermination()
+        assert query.recentProgress and all(not p["stateOperators"] for p in query.recentProgress)
+    assert deltas.current_bins(spark, path, [metric]).agg(F.count("*"), F.sum("v_n"), F.sum("v_sum")).first() == (2_000, 2_000, 3_500.0)
+    assert deltas.table(spark, path, [metric]).read().where("batch = 1").count() == 500
+
+
+def test_deltas_of_batches_sent_again_and_of_forgotten_readings(spark, tmp_path):
+    path, schema = str(tmp_path / "d"), "device_id long, timestamp timestamp, id long, v double, seq int, gone boolean"
+    metric, t, at = Metric("v", "v", scale=1), 1_704_067_200_000, datetime(2024, 1, 1)
+    send = lambda i, *rows, **k: deltas.add(spark.createDataFrame([(1, at, *r) for r in rows], schema), i, path, "6h", [metric], ["id"], "timestamp", "seq", "gone", **k)
+    held = lambda: [tuple(r)[1:] for r in deltas.current_bins(spark, path, [metric]).collect()]
+    first, second = [(1, 1.0, 0, False), (2, 2.0, 0, False), (None, 4.0, 0, False)], [(1, 5.0, 0, False), (2, 9.0, None, True), (2, 8.0, 7, False), (None, 6.0, 1, False)]
+    for _ in range(2):
+        send(0, *first)
+    assert held() == [(t, 3, 7.0, 21.0)]
+    for _ in range(2):
+        send(1, *second)  # a null order is last
+    assert held() == [(t, 2, 11.0, 61.0)]
+    deltas.fold(spark, path, [metric], 1)
+    assert held() == [(t, 2, 11.0, 61.0)] and deltas.moved(spark, path, [metric]).read().count() == 2
+    send(2, (1, 1.0, 0, False), (1, 1.0, 1, True), (1, 7.0, 2, False), (1, 8.0, 3, False), (None, 1.0, 0, False), replace=False)  # held, taken away, and the first after that stays
+    assert held() == [(t, 2, 13.0, 85.0)]
+    send(3, (1, 2.0, 0, False), ttl_ms=0)  # what was held is forgotten: nothing is taken off
+    assert held() == [(t, 3, 15.0, 89.0)]
+
+
 def test_rolling_over_odd_values(spark):
     df = spark.createDataFrame([(1, 0, 1.0), (1, 60_000, None), (1, 120_000, 3.0), (1, 10_000_000, None)], "device_id long, ms long, v double")
     out = {r["ms"]: (r["mean"], r["stddev"]) for r in analytics.rolling(df, 4, "v").collect()}

@@ -1,90 +1,103 @@
 """Bins kept up to date by differences: a batch adds the state of its readings and takes off that of the readings they replace.
 
 Counts, sums and sums of squares form a group, so a replaced or deleted reading's part can
-be subtracted, and a batch costs its own rows, however many readings a day or a bin holds:
-a keyed state store looks up each reading by its key, and what it gives back is a row for
-each reading that comes (sign 1) or goes (sign -1). Those are summed by bin in the batch and
-committed as its differences; a bin's state is the sum over the batches. Sums are exact
-where the metric has a scale.
-
-A batch's commit names the batch, so a retried one replaces its own differences; ``fold``
-sums committed batches into one row a bin.
+be subtracted, and no bin's readings are summed again. What a batch's readings do is a row for
+each reading that comes (sign 1) or goes (sign -1), kept by day and batch; the last row of a key
+tells what is held. A batch joins its keys with the rows of the days it touches, writes rows for
+what changes alone, and commits their sums by bin as its differences; a bin's state is the sum
+over the batches. Sums are exact where the metric has a scale.
+
+A batch's commits name the batch, so a retried one sees what earlier batches left and replaces
+its own rows and differences; ``fold`` sums committed batches into one row a bin and keeps one
+row a reading that is held.
 """
 
 from __future__ import annotations
 
+import time as clock
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.durations import UNIT_MS
 from ..functions.monoid import Metric, coerce
 from ..functions.timeaxis import epoch_ms, floor_bin
 from ..sources.commits import Versioned
+from ..sources.files import bucket_of
 
 DAY = UNIT_MS["d"]
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+READING = ["ts", "key"]
 
 
-class Held(StatefulProcessor):
-    """The readings of a bin of a device by key: upserts and deletions in, rows that come and go out.
+def _names(metrics: list[Metric]) -> list[str]:
+    return [f"v{i}" for i in range(len(metrics))]
 
-    ``replace``: a reading whose key is held takes the old one's place; without it the one
-    held stays. Equal readings change nothing. ``ttl_ms``: how long a reading is held.
+
+def _day() -> Column:
+    return F.floor(F.col("ts") / DAY)
+
+
+def arrived(batch: DataFrame, bin_: str, metrics: list[Metric], key: list[str], time: str, order: str, deleted: str | None = None, replace: bool = True) -> DataFrame:
+    """A row a reading that the batch names: whether it takes away what was held (``cleared``), whether a reading of its own is left at its end (``comes``), and that one's values.
+
+    Rows of one key go in the order of ``order``, nulls last; of those that tie deletions are last.
     """
+    names = _names(metrics)
+    own = F.col("device_id").cast("long")
+    gone = F.coalesce(F.expr(deleted), F.lit(False)) if deleted else F.lit(False)
+    rows = batch.select(
+        own.alias("device_id"), floor_bin(epoch_ms(time), bin_).alias("ts"), F.to_json(F.struct(own.alias("_device"), *key)).alias("key"), F.col(order).alias("seq"), gone.alias("gone"), *(coerce(F.expr(m.value)).alias(n) for n, m in zip(names, metrics))
+    )
+    at = F.struct(F.col("seq").isNull().alias("unplaced"), "seq", "gone", *names)
+    if replace:
+        found = rows.groupBy(*READING).agg(F.max("device_id").alias("device_id"), F.max(at).alias("own")).withColumn("cleared", F.col("own.gone")).withColumn("comes", ~F.col("own.gone"))
+    else:
+        if deleted:
+            rows = rows.withColumn("away", F.max(F.when(F.col("gone"), at)).over(Window.partitionBy(*READING)))
+            first = F.min(F.when(~F.col("gone") & (F.col("away").isNull() | (at > F.col("away"))), at))
+        else:
+            first = F.min(at)
+        found = rows.groupBy(*READING).agg(F.max("device_id").alias("device_id"), first.alias("own"), F.bool_or("gone").alias("cleared")).withColumn("comes", F.col("own").isNotNull())
+    return found.select("device_id", *READING, "cleared", "comes", *(F.col(f"own.{n}").alias(n) for n in names))
+
+
+def changes(taken: DataFrame, held: DataFrame, metrics: list[Metric], replace: bool = True) -> DataFrame:
+    """device_id, ts, key, sign and a column a metric: readings that come and go, of what ``arrived`` and what is ``held`` (``last``).
 
-    def __init__(self, values: int, replace: bool, ttl_ms: int | None):
-        self.values, self.replace, self.ttl_ms = values, replace, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        value = ", ".join(f"v{i} double" for i in range(self.values))
-        self.held = handle.getMapState("held", "key string", value, ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names, out = [f"v{i}" for i in range(self.values)], []
-        taken = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        for reading, gone, *own in taken[["key", "gone", *names]].itertuples(index=False):
-            own = tuple(None if pd.isna(v) else float(v) for v in own)
-            at = (reading,)
-            old = tuple(self.held.getValue(at)) if self.held.containsKey(at) else None
-            if gone:
-                if old is not None:
-                    self.held.removeKey(at)
-                    out.append((-1, *old))
-            elif old is None or (self.replace and old != own):
-                self.held.updateValue(at, own)
-                out += [(-1, *old)] if old is not None else []
-                out.append((1, *own))
-        frame = pd.DataFrame(out, columns=["sign", *names]).astype({"sign": "int64", **{n: "float64" for n in names}})
-        frame.insert(0, "ts", key[1])
-        frame.insert(0, "device_id", key[0])
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def changes(stream: DataFrame, bin_: str, metrics: list[Metric], key: list[str], time: str, order: str, deleted: str | None = None, replace: bool = True, ttl_ms: int | None = None) -> DataFrame:
-    """device_id, ts, sign and a column a metric: readings that come and go in bins.
-
-    ``order`` puts readings of one key in one batch in order; rows for which the condition
-    ``deleted`` holds take the reading of their key away. The time is part of what a key names:
-    a reading is looked up in the bin of its own time.
+    ``replace``: a reading whose key is held takes the old one's place; without it the one
+    held stays. Equal readings change nothing. The time is part of what a key names: a reading
+    is looked up in the bin of its own time.
     """
     if any(m.monoid not in ("sum", "count") for m in metrics):
         raise ValueError("only sums and counts can be subtracted")
-    names = [f"v{i}" for i in range(len(metrics))]
-    rows = stream.select(
-        F.col("device_id").cast("long").alias("device_id"), floor_bin(epoch_ms(time), bin_).alias("ts"), F.to_json(F.struct(*key)).alias("key"), F.col(order).alias("seq"), (F.expr(deleted) if deleted else F.lit(False)).alias("gone"), *(coerce(F.expr(m.value)).alias(n) for n, m in zip(names, metrics))
-    )
-    out = StructType([StructField("device_id", LongType()), StructField("ts", LongType()), StructField("sign", LongType()), *(StructField(n, DoubleType()) for n in names)])
-    return rows.groupBy("device_id", "ts").transformWithStateInPandas(Held(len(metrics), replace, ttl_ms), out, "Update", "ProcessingTime" if ttl_ms else "None")
+    names = _names(metrics)
+    old = held.select(*READING, F.lit(True).alias("had"), *(F.col(n).alias(f"old_{n}") for n in names))
+    both = taken.join(old, READING, "left").withColumn("had", F.coalesce("had", F.lit(False)))
+    same = reduce(lambda c, n: c & F.col(n).eqNullSafe(F.col(f"old_{n}")), names, F.col("had") & F.col("comes"))
+    stays = same | (F.col("had") & ~F.col("cleared") & ~(F.col("comes") & F.lit(replace)))
+    side = lambda sign, prefix: F.struct(F.lit(sign).cast("long").alias("sign"), *(F.col(prefix + n).alias(n) for n in names))
+    moves = F.array(F.when(F.col("had") & ~stays, side(-1, "old_")), F.when(F.col("comes") & ~stays, side(1, "")))
+    return both.select("device_id", *READING, F.explode(F.array_compact(moves)).alias("c")).select("device_id", *READING, "c.*")
+
+
+def moved(spark: SparkSession, path: str, metrics: list[Metric]) -> Versioned:
+    """The changes of all batches, each with the time it was written (``at``, ms)."""
+    values = ", ".join(f"{n} double" for n in _names(metrics))
+    return Versioned(spark, f"{path}/moved", StructType.fromDDL(f"device_id long, ts long, key string, sign long, {values}, at long, day long, batch long"), ("day", "batch"))
+
+
+def last(rows: DataFrame) -> DataFrame:
+    """The readings that are held after ``rows`` of ``moved``: of a key's rows the last one, if it came."""
+    rest, order = [c for c in rows.columns if c not in (*READING, "batch")], F.col("batch") * 4 + F.col("sign")
+    return rows.groupBy(*READING).agg(*(F.max_by(c, order).alias(c) for c in rest)).where("sign > 0")
 
 
 def table(spark: SparkSession, path: str, metrics: list[Metric]) -> Versioned:
@@ -108,11 +121,33 @@ def _summed(rows: DataFrame, metrics: list[Metric], names: list[str]) -> DataFra
     return rows.groupBy("device_id", "ts").agg(*sums)
 
 
-def add(batch: DataFrame, batch_id: int, path: str, metrics: list[Metric]) -> None:
-    """Commit a batch's differences in the place of any that the same batch left."""
-    names = [c for c in batch.columns if c not in ("device_id", "ts", "sign")]
-    made = _summed(batch, metrics, names).withColumn("day", F.floor(F.col("ts") / DAY)).withColumn("batch", F.lit(batch_id).cast("long"))
-    table(batch.sparkSession, path, metrics).commit(made, replaced=F.col("batch") == batch_id)
+def _by_day(rows: DataFrame, batch_id: int) -> DataFrame:
+    """Rows with their partitions, a day dealt by groups of devices."""
+    return rows.withColumns({"day": _day(), "batch": F.lit(batch_id).cast("long")}).repartition("day", bucket_of())
+
+
+def add(batch: DataFrame, batch_id: int, path: str, bin_: str, metrics: list[Metric], key: list[str], time: str, order: str, deleted: str | None = None, replace: bool = True, ttl_ms: int | None = None) -> None:
+    """Commit a batch's changes and differences in the place of any that the same batch left.
+
+    ``ttl_ms``: how long a reading is held. The days it touches reach the driver.
+    """
+    spark, now = batch.sparkSession, int(clock.time() * 1000)
+    kept, own = moved(spark, path, metrics), F.col("batch") == batch_id
+    at = f"{path}/_arrived/{uuid.uuid4().hex}"
+    found = arrived(batch, bin_, metrics, key, time, order, deleted, replace)
+    found.write.parquet(at)
+    taken = spark.read.schema(found.schema).parquet(at)
+    days = [r["day"] for r in taken.select(_day().alias("day")).distinct().collect()]
+    before = kept.read().where(F.col("day").isin(days) & (F.col("batch") < batch_id))
+    if ttl_ms is not None:
+        before = before.where(F.col("at") > now - ttl_ms)
+    held = last(before.join(taken.select(*READING), READING, "left_semi"))
+    made = changes(taken, held, metrics, replace).withColumn("at", F.lit(now).cast("long"))
+    kept.commit(_by_day(made, batch_id), replaced=own)
+    sums = _summed(kept.read().where(own), metrics, _names(metrics))
+    table(spark, path, metrics).commit(_by_day(sums, batch_id), replaced=own)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 @contextmanager
@@ -128,10 +163,8 @@ def with_rocks(spark: SparkSession) -> Iterator[None]:
 
 def run(stream: DataFrame, path: str, checkpoint: str, bin_: str, metrics: list[Metric], key: list[str], time: str = "timestamp", order: str = "timestamp", deleted: str | None = None, replace: bool = True, ttl_ms: int | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Keep ``path`` up to date with the stream of readings, replacements and deletions."""
-    each = lambda batch, batch_id: add(batch, batch_id, path, metrics)
-    with with_rocks(stream.sparkSession):
-        found = changes(stream, bin_, metrics, key, time, order, deleted, replace, ttl_ms)
-        return found.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+    each = lambda batch, batch_id: add(batch, batch_id, path, bin_, metrics, key, time, order, deleted, replace, ttl_ms)
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def _folded(rows: DataFrame, metrics: list[Metric]) -> DataFrame:
@@ -148,13 +181,19 @@ def current_bins(spark: SparkSession, path: str, metrics: list[Metric], days: tu
     return left.select("device_id", "ts", *(F.col(s) if s.endswith("_n") else F.col(s).cast("double").alias(s) for m in metrics for s in m.state))
 
 
-def fold(spark: SparkSession, path: str, metrics: list[Metric], upto: int) -> int:
-    """Sum the differences of the batches up to ``upto``, all of them done with, into one a bin; the table's version.
+def fold(spark: SparkSession, path: str, metrics: list[Metric], upto: int, ttl_ms: int | None = None) -> int:
+    """Sum the differences of the batches up to ``upto``, all of them done with, into one a bin, and keep one row a reading they left; the differences' version.
 
-    Bins without readings go. A batch that may still be retried must not be folded.
+    Bins without readings go, and so do readings held for longer than ``ttl_ms``. A batch that may still be retried must not be folded.
     """
+    done = F.col("batch") <= upto
+    readings = moved(spark, path, metrics)
+    version = readings.version()
+    left = last(readings.read(version).where(done))
+    if ttl_ms is not None:
+        left = left.where(F.col("at") > int(clock.time() * 1000) - ttl_ms)
+    readings.commit(_by_day(left, upto), replaced=done, expected=version)
     kept = table(spark, path, metrics)
     version = kept.version()
-    rows = _folded(kept.read(version).where(F.col("batch") <= upto), metrics).where("readings > 0")
-    made = rows.withColumn("day", F.floor(F.col("ts") / DAY)).withColumn("batch", F.lit(upto).cast("long"))
-    return kept.commit(made, replaced=F.col("batch") <= upto, expected=version)
+    rows = _folded(kept.read(version).where(done), metrics).where("readings > 0")
+    return kept.commit(_by_day(rows, upto), replaced=done, expected=version)

@@ -6,7 +6,7 @@ hold them. Readings and bins are kept by day, so a batch reads what it touches a
 more, and ``compact`` folds a day's batches into one. Of readings with one key the one
 stored first stays, as in ``operators.ingest.merge``; each row keeps the number of the batch
 it came with (``seq``), so folded rows keep their places, and a batch that is sent again finds them.
-``streaming.deltas`` keeps bins without reading days again.
+``streaming.deltas`` keeps bins without summing days again.
 """
 
 from __future__ import annotations
