@@ -419,6 +419,21 @@ def test_failing_devices_hold_back_no_others(spark, tmp_path):
     assert build.tier(of("v"), spark, str(tmp_path / "c"), "d1").agg(F.sum("v_n")).first()[0] == 79
 
 
+def test_convergence_keeps_its_registry(spark, tmp_path):
+    """What a run leaves is read, not found again from all tiers and runs before."""
+    day, t0 = 86_400_000, 1_704_067_200_000
+    p = Pyramid.of({"metrics": [{"name": "v"}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "2d"]}]})
+    readings = spark.createDataFrame([(d, datetime(2024, 1, n), 1.0) for d in (1, 2) for n in (1, 2) if (d, n) != (2, 1)], "device_id long, timestamp timestamp, v double")
+    devices = spark.createDataFrame([(1, t0), (2, t0), (3, t0)], "device_id long, genesis long")
+    nothing = spark.createDataFrame([], "device_id long, tier string, rung string, period_start long, period_end long, written_at long")
+    journal = spark.createDataFrame([], "start long, end long, requested_at long")
+    run = build.converge(p, devices, nothing, journal, readings, str(tmp_path / "c"), t0 + 2 * day, 600.0)
+    assert run.registry.inputFiles() and all("registry=d1" in f for f in run.registry.inputFiles())
+    assert sorted((r["device_id"], r["tier"], r["period_start"]) for r in run.registry.collect()) == [(1, "d1", t0), (1, "h6", t0), (1, "h6", t0 + day), (2, "h6", t0 + day)]
+    counts = {(r["device_id"], r["tier"], r["period_start"]): (r["inputs_present"], r["inputs_expected"], r["status"]) for r in run.slots.where("device_id > 1").collect()}
+    assert counts == {(2, "h6", t0): (0, 1, "no_inputs"), (2, "h6", t0 + day): (1, 1, "written"), (2, "d1", t0): (1, 2, "partial"), (3, "h6", t0): (0, 1, "no_inputs"), (3, "h6", t0 + day): (0, 1, "no_inputs"), (3, "d1", t0): (0, 2, "no_inputs")}
+
+
 def table_at(spark, path):
     schema = spark.createDataFrame([], "device_id long, v double, month string").schema
     return commits.Versioned(spark, str(path), schema, ("month",))

@@ -173,7 +173,7 @@ class Converged:
 def inputs(pyramid: Pyramid, t: Tier, todo: DataFrame, recorded: DataFrame, readings: DataFrame, time: str) -> DataFrame:
     """``todo`` with inputs_present and inputs_expected: periods of the source's shortest rung in the slot's effective range that recorded shards cover, and all of them.
 
-    The finest tier's inputs are days with readings. One join on device and period for all slots.
+    The finest tier's inputs are days with readings. One join on device and period for all slots, which are found once.
     """
     source = pyramid.source_of(t.name)
     if source is None:
@@ -183,11 +183,10 @@ def inputs(pyramid: Pyramid, t: Tier, todo: DataFrame, recorded: DataFrame, read
         step = source.tip
         own = recorded.where(F.col("tier") == source.name)
         held = own.select("device_id", F.explode(period_starts(F.col("period_start"), F.col("period_end"), step)).alias("_input")).distinct()
-    slots = todo.withColumn("_inputs", period_starts(F.col("effective_start"), F.col("effective_end"), step))
-    wanted = slots.select(*registry.KEY, F.explode("_inputs").alias("_input"))
-    found = wanted.join(held.withColumn("_have", F.lit(1)), ["device_id", "_input"]).groupBy(*registry.KEY).agg(F.count("*").alias("inputs_present"))
-    counted = slots.withColumn("inputs_expected", F.size("_inputs").cast("long")).drop("_inputs").join(found, registry.KEY, "left")
-    return counted.withColumn("inputs_present", F.coalesce("inputs_present", F.lit(0).cast("long")))
+    slots = todo.withColumn("_inputs", period_starts(F.col("effective_start"), F.col("effective_end"), step)).withColumn("inputs_expected", F.size("_inputs").cast("long"))
+    wanted = slots.withColumn("_input", F.explode_outer("_inputs")).drop("_inputs")
+    found = wanted.join(held.withColumn("_have", F.lit(1)), ["device_id", "_input"], "left")
+    return found.groupBy(*todo.columns, "inputs_expected").agg(F.count("_have").alias("inputs_present"))
 
 
 def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal: DataFrame, readings: DataFrame, base: str, now: int, budget_s: float = 25.0, tiers: list[str] | None = None, time: str = "timestamp", dry_run: bool = False) -> Converged:
@@ -199,7 +198,8 @@ def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal:
     groups stand alone (``failed``); coarser tiers leave these groups alone (``held``).
     With under half a second of the budget left no further write begins (``skipped``).
     ``dry_run`` writes nothing, takes no slot as built, and calls what it would build ``due``.
-    What was found due is kept under ``base``/_runs; distinct periods reach the driver.
+    What was found due and the registry after each tier are kept under ``base``/_runs, so that
+    no step finds again what those before it did; distinct periods reach the driver.
     """
     began, spark = clock.monotonic(), readings.sparkSession
     run, results, after, outcomes = uuid.uuid4().hex, [], recorded, []
@@ -244,6 +244,10 @@ def converge(pyramid: Pyramid, devices: DataFrame, recorded: DataFrame, journal:
         told = due.withColumn("status", status).drop("bucket")
         outcomes.append(told)
         after = registry.upsert(after, told.where("status = 'written'").select(*registry.KEY, "period_end", F.lit(now).cast("long").alias("written_at")))
+        if not dry_run:
+            kept = f"{base}/_runs/{run}/registry={t.name}"
+            after.write.parquet(kept)
+            after = spark.read.schema(after.schema).parquet(kept)
         bad |= failed.keys()
         errors = ", ".join(sorted(set(failed.values())))
         results.append((t.name, f"failed: {errors}" if failed and not parts else f"written, {len(failed)} of {len(groups)} groups failed: {errors}" if failed else "skipped" if skipped else "due" if dry_run else "written", parts))
