@@ -421,9 +421,9 @@ def test_failing_devices_hold_back_no_others(spark, tmp_path):
 
 def test_convergence_keeps_its_registry(spark, tmp_path):
     """What a run leaves is read, not found again from all tiers and runs before."""
-    day, t0 = 86_400_000, 1_704_067_200_000
+    day, t0 = 86_400_000, 1_704_153_600_000
     p = Pyramid.of({"metrics": [{"name": "v"}], "tiers": [{"name": "h6", "bin": "6h", "shards": ["1d"]}, {"name": "d1", "bin": "1d", "shards": ["1d", "2d"]}]})
-    readings = spark.createDataFrame([(d, datetime(2024, 1, n), 1.0) for d in (1, 2) for n in (1, 2) if (d, n) != (2, 1)], "device_id long, timestamp timestamp, v double")
+    readings = spark.createDataFrame([(d, datetime(2024, 1, n), 1.0) for d in (1, 2) for n in (2, 3) if (d, n) != (2, 2)], "device_id long, timestamp timestamp, v double")
     devices = spark.createDataFrame([(1, t0), (2, t0), (3, t0)], "device_id long, genesis long")
     nothing = spark.createDataFrame([], "device_id long, tier string, rung string, period_start long, period_end long, written_at long")
     journal = spark.createDataFrame([], "start long, end long, requested_at long")
