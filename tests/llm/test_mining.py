@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,49 @@ def test_prefixes_lose_no_partner():
     assert len(seen) > 3
 
 
+def test_prefixes_tell_shared_shingles_from_chance():
+    """Among 3 million documents of 530 shingles each, a shingle that 60 documents share is told from those that one holds."""
+    random = np.random.default_rng(9)
+    spec = ngram_join.JoinSpec()
+    mean = 3e6 * 530 / spec.cells
+    counts = random.poisson(mean, spec.cells).astype(np.int64)
+    own = np.unique(random.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    shared = random.choice(own, 400, replace=False)
+    np.add.at(counts, ngram_join.cells_of(shared, spec.cells), 60)
+    counts = ngram_join.Levels((np.searchsorted(ngram_join.LEVELS, counts, "right") - 1).astype(np.uint8))
+    need, keys = ngram_join.prefix(own, counts, mean + 4 * mean**0.5, spec)
+    assert len(keys) == len(own) - 800 + need and not np.isin(keys, shared).any()
+
+
+def test_counters_equal_plain_counts(spark):
+    random = np.random.default_rng(6)
+    texts = [" ".join(f"w{int(x)}" for x in random.integers(0, 4, int(n))) for n in random.integers(0, 90, 300)] + [None, "a b c d e f"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a b c d e f")], "doc_id long, text string").repartition(4)
+    spec = ngram_join.JoinSpec(cells=1 << 8)
+    want = np.zeros(spec.cells, np.int64)
+    for own in near_dedup.Shingler(spec).sets(pa.array([t or "" for t in texts], pa.large_string())):
+        np.add.at(want, ngram_join.cells_of(own, spec.cells), 1)
+    found = ngram_join.document_counts(df, spec, 1 << 5)
+    assert want.max() > 64 and (ngram_join.LEVELS[np.searchsorted(ngram_join.LEVELS, want, "right") - 1] == found[np.arange(spec.cells)]).all()
+    assert found[np.arange(spec.cells)].max() > 0 and ngram_join.document_counts(df.limit(0), spec).mean() == 0
+    for counts in (want, np.array([0, 0, 1 << 31, 5, 70_000]), np.zeros(3, np.int64)):
+        assert (ngram_join.unpacked(*ngram_join.packed(counts), len(counts)) == counts).all()
+
+
+def test_shuffled_texts_go_before_pairs_are_compared(spark, monkeypatch):
+    """Whole texts are shuffled where sets are fetched; those files and those of the comparison don't stand at once."""
+    steps = []
+    for module in (near_dedup, ngram_join):
+        monkeypatch.setattr(module, "release_shuffles", lambda spark: steps.append("release"))
+    keep = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: steps.append(name) or keep(df, name))
+    df = spark.createDataFrame([(i, f"a b c d e f{i // 2} g") for i in range(20)], "doc_id long, text string")
+    assert ngram_join.similar_documents(df).count() == 20
+    for fetched, compared in (("sets", "star-edges"), ("more-sets", "missed")):
+        assert "release" in steps[steps.index(fetched) : steps.index(compared)]
+    assert "release" in steps[: steps.index("fingerprints")]  # the counters' shuffle
+
+
 def test_a_star_between_unlike_documents_loses_no_link(spark):
     """Thousands of documents from one stock of sentences stand between two near copies."""
     random = np.random.default_rng(17)

@@ -342,6 +342,7 @@ def linked(shared: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> Data
     ends = lambda pairs: pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     stars = stored(star_edges(shared, spec), "candidates")
     sets = sets_of(ends(stars), "sets")
+    release_shuffles(docs.sparkSession)  # all texts were shuffled
     checked = stored(confirm(stars, sets, spec), "checked")
     release_shuffles(docs.sparkSession)
     comp = components(checked.where(_reaches(spec.percent)))
@@ -355,6 +356,7 @@ def linked(shared: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> Data
     clusters = stored(clusters.select("id", F.col("comp").alias("cluster")).join(large.groupBy("id").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "id"), "clusters")
     more_ids = ends(pairs).union(clusters.select("id")).distinct().join(sets.select("id"), "id", "left_anti")
     sets = sets.unionByName(sets_of(more_ids, "more-sets"))
+    release_shuffles(docs.sparkSession)
     links = confirm(pairs, sets, spec).where(_reaches(spec.percent)).select("a", "b").unionByName(missed_links(clusters, sets, spec))
     links = stored(links, "missed")
     return merged(comp, links) if links.limit(1).count() else comp

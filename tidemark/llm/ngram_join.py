@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, release_memory, text_batches, whole_texts
+from .common import arrow_map, release_memory, release_shuffles, text_batches, whole_texts
 from .near_dedup import Shingler, _longs, _signed_pair, by_document, classes_of, linked
 
 
@@ -37,7 +37,8 @@ from .near_dedup import Shingler, _longs, _signed_pair, by_document, classes_of,
 class JoinSpec:
     words: int = 5
     percent: int = 80
-    cells: int = 1 << 20
+    #: Counters of shingles, a byte each; the more, the fewer documents that a shingle's counter holds by chance.
+    cells: int = 1 << 24
     #: Numbers of shared prefix shingles that a document chooses from.
     needs: tuple[int, ...] = (1, 2, 4, 8, 16, 32, 64, 128)
     #: What verifying a pair costs, in rows of a prefix.
@@ -51,35 +52,69 @@ def cells_of(hashes: np.ndarray, cells: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.int64)
 
 
-def document_counts(docs: DataFrame, spec: JoinSpec, block: int = 1 << 12) -> np.ndarray:
-    """How many documents' shingles fall in each of ``cells`` cells of hashes: never less than a shingle's own count. At most 8 bytes a cell, over all documents."""
+#: What a counter's byte stands for, rounded down: all counts to 64, then twelve steps to each doubling, to four millions.
+LEVELS = np.concatenate([np.arange(64), np.floor(64 * 2 ** (np.arange(192) / 12))]).astype(np.int64)
+
+
+class Levels:
+    """Counts kept as a byte each, looked up as an array of counts is."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        return LEVELS[self.codes[cells]]
+
+    def mean(self) -> float:
+        return float(np.bincount(self.codes, minlength=len(LEVELS)) @ LEVELS / len(self.codes))
+
+
+def packed(counts: np.ndarray) -> tuple[bytes, int]:
+    """Counts as compressed planes of their bits, about as many bits as their spread holds; and how many planes."""
+    bits = int(counts.max()).bit_length()
+    return pa.compress(b"".join(np.packbits((counts >> k & 1).astype(bool)).tobytes() for k in range(bits)), "zstd", asbytes=True), bits
+
+
+def unpacked(planes: bytes, bits: int, n: int) -> np.ndarray:
+    size = -(-n // 8)
+    flat = np.frombuffer(pa.decompress(planes, bits * size, "zstd"), np.uint8).reshape(bits, size)
+    return sum((np.unpackbits(flat[k], count=n).astype(np.int64) << k for k in range(bits)), np.zeros(n, np.int64))
+
+
+def document_counts(docs: DataFrame, spec: JoinSpec, most: int = 1 << 16) -> Levels:
+    """How many documents' shingles fall in each of ``cells`` cells of hashes: never less than a shingle's own count but for the rounding of ``LEVELS``. A byte a cell reaches the driver."""
+    block = min(most, spec.cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, total = Shingler(spec), np.zeros(spec.cells, np.int64)
+        shingler, total = Shingler(spec), np.zeros(spec.cells, np.uint32)
         for b in text_batches(batches):
             for own in shingler.sets(whole_texts(b.column("text"))):
-                np.add.at(total, cells_of(own, spec.cells), 1)
-        for at in range(0, spec.cells if total.any() else 0, block):
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total[at : at + block].astype(np.int32 if total.max() < 1 << 31 else np.int64).tobytes()]), pa.array([4 if total.max() < 1 << 31 else 8])], names=["block", "counts", "width"])
+                np.add.at(total, cells_of(own, spec.cells), np.uint32(1))
+        for at in range(0, spec.cells, block):
+            if total[at : at + block].any():
+                planes, bits = packed(total[at : at + block])
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([planes]), pa.array([bits])], names=["block", "planes", "bits"])
+        del total
         release_memory()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for at, counts, width in zip(*(b.column(c).to_pylist() for c in ("block", "counts", "width"))):
-                own = np.frombuffer(counts, np.int32 if width == 4 else np.int64)
-                held[at] = held[at] + own if at in held else own.astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["block", "counts"])
+            for at, planes, bits in zip(*(b.column(c).to_pylist() for c in ("block", "planes", "bits"))):
+                held[at] = held.get(at, 0) + unpacked(planes, bits, block)
+        for at, total in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([(np.searchsorted(LEVELS, total, "right") - 1).astype(np.uint8).tobytes()], pa.binary())], names=["block", "codes"])
+        release_memory()
 
-    parts = docs.where("doc_id is not null").select("text").mapInArrow(count, "block long, counts binary, width long")
-    out = np.zeros(spec.cells, np.int64)
-    for r in parts.repartition("block").mapInArrow(add, "block long, counts binary").collect():
-        own = np.frombuffer(r["counts"], np.int64)
-        out[r["block"] : r["block"] + len(own)] = own
-    return out
+    parts = docs.where("doc_id is not null").select("text").mapInArrow(count, "block long, planes binary, bits long")
+    codes = np.zeros(spec.cells, np.uint8)
+    for r in parts.repartition("block").mapInArrow(add, "block long, codes binary").collect():
+        codes[r["block"] : r["block"] + block] = np.frombuffer(r["codes"], np.uint8)
+    release_shuffles(docs.sparkSession)
+    return Levels(codes)
 
 
-def prefix(own: np.ndarray, counts: np.ndarray, usual: float, spec: JoinSpec) -> tuple[int, np.ndarray]:
+def prefix(own: np.ndarray, counts: np.ndarray | Levels, usual: float, spec: JoinSpec) -> tuple[int, np.ndarray]:
     """How many prefix shingles a partner of this set must share, and the prefix: the cheapest by what the counters say.
 
     A prefix costs a row a shingle, a meeting for each document beyond the ``usual`` that
@@ -97,11 +132,11 @@ def prefix(own: np.ndarray, counts: np.ndarray, usual: float, spec: JoinSpec) ->
     return int(choices[best]), own[order[: ends[best]]]
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, spec: JoinSpec) -> DataFrame:
+def prefixes(docs: DataFrame, counts: Levels, spec: JoinSpec) -> DataFrame:
     """doc_id, n (size of its set), hi and lo (128-bit hash of the set), need and keys (how many of these a partner must share)."""
     import xxhash
 
-    shared, usual = docs.sparkSession.sparkContext.broadcast(counts), float(counts.mean() + 4 * np.sqrt(counts.mean())) if len(counts) else 0.0
+    shared, usual = docs.sparkSession.sparkContext.broadcast(counts), counts.mean() + 4 * counts.mean() ** 0.5
 
     def make():
         shingler, held = Shingler(spec), shared.value
