@@ -229,7 +229,7 @@ def test_counters_equal_plain_counts(spark):
 
 
 def test_shuffled_texts_go_before_pairs_are_compared(spark, monkeypatch):
-    """Whole texts are shuffled where sets are fetched; those files and those of the comparison don't stand at once."""
+    """Whole texts are shuffled where sets are fetched; the files of that and of each comparison don't stand at once."""
     steps = []
     for module in (near_dedup, ngram_join):
         monkeypatch.setattr(module, "release_shuffles", lambda spark: steps.append("release"))
@@ -237,8 +237,8 @@ def test_shuffled_texts_go_before_pairs_are_compared(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "stored", lambda df, name: steps.append(name) or keep(df, name))
     df = spark.createDataFrame([(i, f"a b c d e f{i // 2} g") for i in range(20)], "doc_id long, text string")
     assert ngram_join.similar_documents(df).count() == 20
-    for fetched, compared in (("sets", "star-edges"), ("more-sets", "missed")):
-        assert "release" in steps[steps.index(fetched) : steps.index(compared)]
+    for one, other in (("sets", "star-edges"), ("more-sets", "pair-links"), ("pair-links", "missed")):
+        assert "release" in steps[steps.index(one) : steps.index(other)]
     assert "release" in steps[: steps.index("fingerprints")]  # the counters' shuffle
 
 

@@ -357,8 +357,9 @@ def linked(shared: DataFrame, classes: DataFrame, docs: DataFrame, spec) -> Data
     more_ids = ends(pairs).union(clusters.select("id")).distinct().join(sets.select("id"), "id", "left_anti")
     sets = sets.unionByName(sets_of(more_ids, "more-sets"))
     release_shuffles(docs.sparkSession)
-    links = confirm(pairs, sets, spec).where(_reaches(spec.percent)).select("a", "b").unionByName(missed_links(clusters, sets, spec))
-    links = stored(links, "missed")
+    links = stored(confirm(pairs, sets, spec).where(_reaches(spec.percent)).select("a", "b"), "pair-links")
+    release_shuffles(docs.sparkSession)
+    links = links.unionByName(stored(missed_links(clusters, sets.join(clusters.select("id"), "id", "left_semi"), spec), "missed"))
     return merged(comp, links) if links.limit(1).count() else comp
 
 
